@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, simhash
+from . import byte_bpe, line_dedup, mixing, simhash
+
+
+#: The vocabulary that op8 and the pipeline encode with; the operator takes any path.
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +28,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op6_line_dedup": op6_line_dedup, "op9_simhash_pigeonring": op9_simhash_pigeonring}
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
+
+
+QUERIES = {"op8_byte_bpe": op8_byte_bpe, "op2_mixing": op2_mixing, "op6_line_dedup": op6_line_dedup, "op9_simhash_pigeonring": op9_simhash_pigeonring}
 
 ORACLES = {
     "op6_line_dedup": r"""
