@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,7 +180,7 @@ def encoded(codec_of: Codec, texts: list[str]) -> Iterator[list[int]]:
 
 def _few(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about `most` bytes of text (column 1), one row at least."""
-    ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(1).cast(pa.binary())), 0)))
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1).cast(pa.binary())), 0)))
     at = 0
     while at < batch.num_rows:
         base = ends[at - 1] if at else 0
