@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, line_dedup, mixing, simhash
+from . import byte_bpe, line_dedup, mixing, quality, simhash
 
 
 #: The vocabulary that op8 and the pipeline encode with; the operator takes any path.
@@ -32,7 +32,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op8_byte_bpe": op8_byte_bpe, "op2_mixing": op2_mixing, "op6_line_dedup": op6_line_dedup, "op9_simhash_pigeonring": op9_simhash_pigeonring}
+def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_docs(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op7_quality_cnn": op7_quality_cnn, "op8_byte_bpe": op8_byte_bpe, "op2_mixing": op2_mixing, "op6_line_dedup": op6_line_dedup, "op9_simhash_pigeonring": op9_simhash_pigeonring}
 
 ORACLES = {
     "op6_line_dedup": r"""
