@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, licenses, line_dedup, mixing, quality, sharding, simhash
+from . import byte_bpe, jpeg, licenses, line_dedup, mixing, quality, sharding, simhash
 
 
 #: The vocabulary that op8 and the pipeline encode with; the operator takes any path.
@@ -45,7 +45,11 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_licenses": op4_licenses, "op7_quality_cnn": op7_quality_cnn, "op8_byte_bpe": op8_byte_bpe, "op2_mixing": op2_mixing, "op6_line_dedup": op6_line_dedup, "op9_simhash_pigeonring": op9_simhash_pigeonring}
+def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.media_features(jpeg.media_column(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op4_licenses": op4_licenses, "op5_jpeg": op5_jpeg, "op7_quality_cnn": op7_quality_cnn, "op8_byte_bpe": op8_byte_bpe, "op2_mixing": op2_mixing, "op6_line_dedup": op6_line_dedup, "op9_simhash_pigeonring": op9_simhash_pigeonring}
 
 ORACLES = {
     "op6_line_dedup": r"""
