@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, jpeg, licenses, line_dedup, mixing, quality, sharding, simhash
+from . import byte_bpe, jpeg, licenses, line_dedup, mixing, quality, sharding, simhash, warc
 
 
 #: The vocabulary that op8 and the pipeline encode with; the operator takes any path.
@@ -49,9 +49,22 @@ def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media_features(jpeg.media_column(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_licenses": op4_licenses, "op5_jpeg": op5_jpeg, "op7_quality_cnn": op7_quality_cnn, "op8_byte_bpe": op8_byte_bpe, "op2_mixing": op2_mixing, "op6_line_dedup": op6_line_dedup, "op9_simhash_pigeonring": op9_simhash_pigeonring}
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op3_warc": op3_warc, "op4_licenses": op4_licenses, "op5_jpeg": op5_jpeg, "op7_quality_cnn": op7_quality_cnn, "op8_byte_bpe": op8_byte_bpe, "op2_mixing": op2_mixing, "op6_line_dedup": op6_line_dedup, "op9_simhash_pigeonring": op9_simhash_pigeonring}
 
 ORACLES = {
+    "op3_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
+FROM f
+""",
     "op6_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, CAST(generate_subscripts(a, 1) AS BIGINT) AS pos, unnest(a) AS line
