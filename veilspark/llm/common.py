@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 NO_ID = 2**63 - 1
 #: A key is hot when it holds at least this share of the rows; so there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
-SALTS = 64
 #: White space by the contracts: space and U+0009 to U+000D.
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -78,16 +77,19 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, rows: int, count: str)
     """left LEFT JOIN right on key; right has one row a key and, in `count`, how many rows of left have it.
 
     Keys with at least HOT_SHARE of `rows` go by a broadcast of at most 1 / HOT_SHARE rows; their left rows
-    are then dealt by a salt through the join of all others, so no task holds a hot key.
+    then pass through the join of all others under a key of their own, so no task holds a hot key.
     """
     least = max(2, int(rows * HOT_SHARE) + 1)
     cols = [c for c in right.columns if c not in (key, count)]
     hot = right.where(F.col(count) >= least).select(F.col(key).alias("_hk"), *[F.col(c).alias(f"_h_{c}") for c in cols])
-    cold = right.where(F.col(count) < least).select(F.col(key).alias("_ck"), F.lit(0).alias("_cs"), *cols)
-    mixed = [F.xxhash64(*[F.col(c) for c in left.columns if left.schema[c].dataType.simpleString() in ("bigint", "int", "string", "binary")])]
+    cold = right.where(F.col(count) < least).select(F.col(key).alias("_ck"), *cols)
+    kind = left.schema[key].dataType
+    spread = F.xxhash64(*[F.col(c) for c in left.columns if left.schema[c].dataType.simpleString() in ("bigint", "int", "string", "binary")])
+    spread = spread.cast(kind) if kind.simpleString() == "bigint" else spread.cast("string").cast(kind)
     out = left.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
-    out = out.withColumn("_salt", F.when(F.col("_hk").isNotNull(), 1 + F.pmod(mixed[0], F.lit(SALTS))).otherwise(F.lit(0)))
-    out = out.join(cold, (F.col(key) == F.col("_ck")) & (F.col("_salt") == F.col("_cs")), "left")
+    # a key of its own for each row that is settled: matching by a salt beside the key would let the join deal by the key alone
+    out = out.withColumn("_lk", F.when(F.col("_hk").isNotNull(), spread).otherwise(F.col(key)))
+    out = out.join(cold, (F.col("_lk") == F.col("_ck")) & F.col("_hk").isNull(), "left")
     return out.select(*left.columns, *[F.when(F.col("_hk").isNotNull(), F.col(f"_h_{c}")).otherwise(F.col(c)).alias(c) for c in cols])
 
 
