@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, jpeg, licenses, line_dedup, mixing, quality, sharding, simhash, warc
+from . import byte_bpe, jpeg, licenses, line_dedup, mixing, quality, sharding, simhash, vectors, warc
 
 
 #: The vocabulary that op8 and the pipeline encode with; the operator takes any path.
@@ -53,7 +53,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_warc": op3_warc, "op4_licenses": op4_licenses, "op5_jpeg": op5_jpeg, "op7_quality_cnn": op7_quality_cnn, "op8_byte_bpe": op8_byte_bpe, "op2_mixing": op2_mixing, "op6_line_dedup": op6_line_dedup, "op9_simhash_pigeonring": op9_simhash_pigeonring}
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op10_vectors": op10_vectors, "op3_warc": op3_warc, "op4_licenses": op4_licenses, "op5_jpeg": op5_jpeg, "op7_quality_cnn": op7_quality_cnn, "op8_byte_bpe": op8_byte_bpe, "op2_mixing": op2_mixing, "op6_line_dedup": op6_line_dedup, "op9_simhash_pigeonring": op9_simhash_pigeonring}
 
 ORACLES = {
     "op3_warc": """
