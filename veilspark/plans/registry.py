@@ -1,4 +1,617 @@
-"""Names of the registered queries with their plans and DuckDB twins."""
+"""Every registered query of the engine with its plan and, where SQL can express it, its DuckDB twin.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Queries over spans take the spans that sources.fixture derives from the documents table; queries over files, tokens,
+pages and pixels derive theirs from the tables named. All read whole tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import color, text, visibility
+from ..operators import reports, risk, sanitize
+from ..operators import spans as span_ops
+from ..sources import docx, fixture, ingest, ocr, pdf, samples
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+SEP = " | "
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def over_spans(select: str) -> str:
+    """A DuckDB statement over a: the analysed spans."""
+    return f"WITH {fixture.DUCK}\n{select}"
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture.read(spark, sf_dir, "documents")
+
+
+def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_ops.analyzed(fixture.spans(spark, sf_dir))
+
+
+def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.risk_report(analyzed(spark, sf_dir), documents(spark, sf_dir))
+
+
+def listed(column: str | Column) -> Column:
+    return F.array_join(column, SEP)
+
+
+# ---- DuckDB building blocks
+
+# The patterns as DuckDB's engine reads them; the fixture keeps matches at ASCII edges.
+_PATTERNS = [
+    r"\bignore\s+(?:previous|prior|above|all)\s+(?:instructions?|prompts?|commands?)\b",
+    r"\bdisregard\s+(?:previous|prior|above|all)\s+(?:instructions?|prompts?|commands?)\b",
+    r"\bforget\s+(?:everything|all|previous|prior|above)\b",
+    r"\bsystem\s*:\s*",
+    r"\bassistant\s*:\s*",
+    r"\buser\s*:\s*",
+    r"\byou\s+are\s+now\b",
+    r"\bpretend\s+(?:to\s+be|you\s+are)\b",
+    r"\bact\s+as\s+(?:if|a|an)\b",
+    r"\brole\s*:\s*",
+    r"\bnew\s+(?:instructions?|prompts?|commands?)\b",
+    r"\boverride\s+(?:previous|settings?|instructions?)\b",
+]
+_MATCHES = "list_filter([" + ", ".join(f"regexp_extract(lower(text), '{p}', 0)" for p in _PATTERNS) + "], lambda x: x <> '')"
+_HIDDEN = "status IN ('suspicious', 'invisible')"
+_RISK = f"""{fixture.DUCK},
+m AS (SELECT doc_id, unnest({_MATCHES}) AS hit FROM a WHERE {_HIDDEN}),
+h AS (SELECT doc_id, list_sort(list(DISTINCT hit)) AS hits FROM m GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE status = 'visible') AS vis, count(*) FILTER (WHERE status = 'suspicious') AS susp,
+  count(*) FILTER (WHERE status = 'invisible') AS inv, count(*) FILTER (WHERE status = 'unknown') AS unk,
+  list(text ORDER BY span_seq) FILTER (WHERE status = 'invisible') AS texts FROM a GROUP BY doc_id),
+b AS (SELECT d.doc_id, coalesce(total, 0) AS total, coalesce(vis, 0) AS vis, coalesce(susp, 0) AS susp, coalesce(inv, 0) AS inv, coalesce(unk, 0) AS unk,
+  coalesce(hits, []) AS hits, coalesce(texts[1:5], []) AS sample, hits IS NOT NULL AS inj
+  FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN h ON h.doc_id = d.doc_id),
+r AS (SELECT *, CASE WHEN inj AND inv > 0 THEN 'critical' WHEN inv >= 3 THEN 'high' WHEN inj THEN 'high' WHEN inv >= 1 THEN 'medium'
+  WHEN susp >= 10 THEN 'medium' WHEN susp >= 5 THEN 'low' ELSE 'safe' END AS level,
+  least(100, CASE WHEN inv > 0 THEN 50 + least(5*inv, 30) ELSE 0 END + CASE WHEN susp > 0 THEN 20 + least(2*susp, 20) ELSE 0 END
+    + CASE WHEN inj THEN 40 ELSE 0 END + CASE WHEN total > 0 THEN floor((inv + susp)::DOUBLE / total * 20.0) ELSE 0 END)::INT AS gate,
+  least(100, least(20*inv, 60) + least(5*susp, 20) + CASE WHEN inj THEN 20 ELSE 0 END)::INT AS web,
+  inv + susp = 0 AND NOT inj AS clean FROM b)"""
+
+
+def over_risk(select: str) -> str:
+    """A DuckDB statement over r: a row a document with counts, hits, level and scores."""
+    return f"WITH {_RISK}\n{select} FROM r"
+
+
+def cut(column: str, most: int) -> str:
+    return f"CASE WHEN length({column}) > {most} THEN concat(substring({column}, 1, {most}), '...') ELSE {column} END"
+
+
+def why(places: int | None) -> str:
+    points = f"format('{{:.{places}f}}', font_size)" if places is not None else "CAST(font_size AS VARCHAR)"
+    return f"""array_to_string(list_filter([
+  CASE WHEN contrast < 1.5 THEN concat('nearly invisible (contrast: ', format('{{:.2f}}', contrast), ':1)')
+    WHEN contrast < 3.0 THEN concat('low contrast (', format('{{:.2f}}', contrast), ':1)') END,
+  CASE WHEN font_size = 0 THEN NULL WHEN font_size < 1.0 THEN concat('microscopic (', {points}, 'pt)')
+    WHEN font_size < 4.0 THEN concat('very small (', {points}, 'pt)') END], lambda x: x IS NOT NULL), ', ')"""
+
+
+# ---- sources
+
+_EXTENSIONS = [".pdf", ".PDF", ".docx", ".png", ".jpg", ".jpeg", ".tiff", ".tif", ".bmp", ".gif", ".unknown-kind", ""]
+
+
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ext = F.element_at(F.array(*[F.lit(x) for x in _EXTENSIONS]), (F.col("doc_id") % len(_EXTENSIONS) + 1).cast("int"))
+    return documents(spark, sf_dir).select("doc_id", F.concat(F.lit("/in/"), "source", F.lit("/report.v1_"), F.col("doc_id").cast("string"), ext).alias("path"), (F.col("n_chars") * 4096).alias("length"))
+
+
+_FILES = f"""f AS (SELECT doc_id, concat('/in/', source, '/report.v1_', doc_id, [{", ".join(f"'{x}'" for x in _EXTENSIONS)}][doc_id % 12 + 1]) AS path, n_chars * 4096 AS length FROM documents),
+g AS (SELECT *, CASE doc_id % 12 WHEN 0 THEN 'pdf' WHEN 1 THEN 'pdf' WHEN 2 THEN 'docx' WHEN 10 THEN NULL WHEN 11 THEN NULL ELSE 'image' END AS format FROM f)"""
+
+
+@query("detect_format", f"WITH {_FILES} SELECT doc_id, path, format, CASE WHEN format IS NULL THEN concat('Unknown file format: ', path) END AS error FROM g")
+def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("path")
+    return file_names(spark, sf_dir).select("doc_id", "path", ingest.format_of(p).alias("format"), ingest.format_error(p).alias("error"))
+
+
+@query("route_format", f"WITH {_FILES} SELECT doc_id, format, CASE WHEN format IS NULL THEN concat('Unknown file format: ', path) WHEN format NOT IN ('pdf', 'docx') THEN concat('Unsupported format: ', format) END AS error FROM g")
+def route_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("path")
+    return file_names(spark, sf_dir).select("doc_id", ingest.format_of(p).alias("format"), ingest.route_error(p).alias("error"))
+
+
+@query("allowed_upload", f"WITH {_FILES} SELECT doc_id, doc_id % 12 IN (0, 1, 2) AS allowed, CASE WHEN doc_id % 12 < 2 THEN 'pdf' ELSE 'docx' END AS file_type FROM g")
+def allowed_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_names(spark, sf_dir).select("doc_id", ingest.allowed_upload(F.col("path")).alias("allowed"), ingest.file_type(F.col("path")).alias("file_type"))
+
+
+@query("upload_size_gate", f"WITH {_FILES} SELECT doc_id, length FROM g WHERE length <= 16777216")
+def upload_size_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_names(spark, sf_dir).where(ingest.within_cap(F.col("length"))).select("doc_id", "length")
+
+
+@query("load_files")
+def load_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parquet files of the region table as input files: their format is unknown, so each is a row with an error."""
+    return ingest.load_files(spark, f"{sf_dir}/region.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "format", F.col("error").isNotNull().alias("rejected"))
+
+
+@query(
+    "pdf_ocr_decision",
+    "SELECT doc_id, CASE WHEN length(trim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))) < 50 AND doc_id % 2 = 0 THEN 'ocr' ELSE 'native' END AS choice FROM documents",
+)
+def pdf_ocr_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chars = F.length(F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")))
+    return documents(spark, sf_dir).select("doc_id", ocr.extraction_choice(chars, F.col("doc_id") % 2 == 0).alias("choice"))
+
+
+_TOKENS = """t AS (SELECT doc_id, CAST(generate_subscripts(x, 1) - 1 AS BIGINT) AS pos, unnest(x) AS text FROM (SELECT doc_id, string_split(text, ' ') AS x FROM documents)),
+o AS (SELECT doc_id, pos // 400 AS page_index, pos AS token_seq, text, (doc_id * 7 + pos * 13) % 101 AS conf, (pos % 10) * 50 AS "left", (pos // 10 % 40) * 25 AS top, length(text) * 8 AS width, 12 AS height, 300 AS dpi FROM t)"""
+
+
+@query(
+    "ocr_tokens_to_spans",
+    f"""WITH {_TOKENS} SELECT doc_id, token_seq, trim(text) AS text, page_index + 1 AS page_number, round("left" * (72.0/dpi), 6)::DOUBLE AS x0, round(top * (72.0/dpi), 6)::DOUBLE AS y0,
+round("left" * (72.0/dpi) + width * (72.0/dpi), 6)::DOUBLE AS x1, round(top * (72.0/dpi) + height * (72.0/dpi), 6)::DOUBLE AS y1 FROM o WHERE conf >= 30 AND trim(text) <> ''""",
+)
+def ocr_tokens_to_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "text"))
+    pos = F.col("pos").cast("long")
+    tokens = words.select("doc_id", F.expr("CAST(pos AS BIGINT) div 400").alias("page_index"), pos.alias("token_seq"), "text", ((F.col("doc_id") * 7 + pos * 13) % 101).alias("conf"), (pos % 10 * 50).alias("left"), F.expr("(CAST(pos AS BIGINT) div 10) % 40 * 25").alias("top"), (F.length("text") * 8).alias("width"), F.lit(12).alias("height"), F.lit(300).alias("dpi"))
+    out = ocr.tokens_to_spans(tokens)
+    return out.select("doc_id", "token_seq", "text", "page_number", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query(
+    "scanned_detection",
+    """WITH p AS (SELECT o_custkey AS doc_id, o_orderkey AS page, 612.0::DOUBLE * 792.0 AS area FROM orders),
+r AS (SELECT o_custkey AS doc_id, l_orderkey AS page, CASE WHEN l_linenumber = 6 THEN NULL ELSE l_quantity::DOUBLE * 10 END AS width, l_linenumber * 90.0::DOUBLE AS height FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+i AS (SELECT r.doc_id, sum(CASE WHEN r.width IS NULL THEN 0.5 * p.area ELSE r.width * r.height END) AS image_area FROM r JOIN p ON p.doc_id = r.doc_id AND p.page = r.page GROUP BY r.doc_id),
+t AS (SELECT doc_id, sum(area) AS page_area FROM p GROUP BY doc_id)
+SELECT t.doc_id, round(page_area, 3) AS page_area, round(coalesce(image_area, 0), 3) AS image_area, coalesce(image_area, 0) / page_area > 0.7 AS is_scanned FROM t LEFT JOIN i ON i.doc_id = t.doc_id""",
+)
+def scanned_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = fixture.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page"))
+    lines = fixture.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.when(F.col("l_linenumber") != 6, F.col("l_quantity").cast("double") * 10).alias("width"), (F.col("l_linenumber") * F.lit(90.0)).alias("height"))
+    pages = orders.select("doc_id", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+    out = ocr.scanned(pages, lines.join(orders, "page").select("doc_id", "page", "width", "height"))
+    return out.select("doc_id", F.round("page_area", 3).alias("page_area"), F.round("image_area", 3).alias("image_area"), "is_scanned")
+
+
+@query(
+    "pixel_colors",
+    """WITH x AS (SELECT l_orderkey AS doc_id, l_orderkey % 3 AS box_id, (l_partkey * 37) % 256 AS r, (l_suppkey * 91) % 256 AS g, (l_linenumber * 53) % 256 AS b FROM lineitem),
+q AS (SELECT doc_id, box_id, quantile_cont((r + g + b)::DOUBLE, 0.1) AS p, floor(avg(r))::INT AS br, floor(avg(g))::INT AS bg, floor(avg(b))::INT AS bb FROM x GROUP BY doc_id, box_id)
+SELECT q.doc_id, q.box_id, floor(avg(x.r))::INT AS fr, floor(avg(x.g))::INT AS fg, floor(avg(x.b))::INT AS fb, any_value(br) AS br, any_value(bg) AS bg, any_value(bb) AS bb
+FROM q JOIN x ON x.doc_id = q.doc_id AND x.box_id = q.box_id AND x.r + x.g + x.b <= round(q.p, 9) GROUP BY q.doc_id, q.box_id""",
+)
+def pixel_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    pixels = fixture.read(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("doc_id"), (c("l_orderkey") % 3).alias("box_id"), (c("l_partkey") * 37 % 256).alias("r"), (c("l_suppkey") * 91 % 256).alias("g"), (c("l_linenumber") * 53 % 256).alias("b"))
+    out = ocr.pixel_colors(pixels)
+    return out.select("doc_id", "box_id", *[c(f"font_color.{k}").alias(f"f{k}") for k in "rgb"], *[c(f"background_color.{k}").alias(f"b{k}") for k in "rgb"])
+
+
+_DOCX = r"""WITH x AS (SELECT doc_id, CAST(generate_subscripts(y, 1) - 1 AS BIGINT) AS line, unnest(y) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS y FROM documents)),
+w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS span_seq FROM x WHERE regexp_matches(text, '[^\s]'))
+"""
+
+
+@query("docx_spans", _DOCX + "SELECT doc_id, span_seq, text, CAST(1 + line // 40 AS INT) AS page_number, (line % 40 * 14)::DOUBLE AS y0, (line % 40 * 14 + 14)::DOUBLE AS y1 FROM w")
+def docx_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans read back from DOCX files that hold a paragraph for every line of a document."""
+    out = docx.docx_spans(samples.files_of(documents(spark, sf_dir), "docx"))
+    return out.select("doc_id", "span_seq", "text", "page_number", "bbox.y0", "bbox.y1")
+
+
+@query("docx_paging", _DOCX + "SELECT doc_id, CAST(1 + line // 40 AS INT) AS page_number, count(*) AS n_spans FROM w GROUP BY ALL")
+def docx_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docx.docx_spans(samples.files_of(documents(spark, sf_dir), "docx")).groupBy("doc_id", "page_number").agg(F.count("*").alias("n_spans"))
+
+
+@query(
+    "pdf_words",
+    r"""WITH d AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z0-9 .,\n]', '', 'g') AS text FROM documents),
+x AS (SELECT doc_id, CAST(generate_subscripts(y, 1) - 1 AS BIGINT) AS line, unnest(y) AS line_text FROM (SELECT doc_id, string_split(text, chr(10)) AS y FROM d)),
+w AS (SELECT doc_id, line, CAST(generate_subscripts(z, 1) AS BIGINT) AS pos, unnest(z) AS text FROM (SELECT doc_id, line, string_split(line_text, ' ') AS z FROM x))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line, pos) - 1 AS span_seq, text, CAST(1 + line // 40 AS INT) AS page_number, 12.0::DOUBLE AS font_size FROM w WHERE text <> ''""",
+)
+def pdf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words read back from PDF files that show a document's plain characters, 40 lines a page."""
+    plain = documents(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"[^A-Za-z0-9 .,\n]", "").alias("text"))
+    return pdf.pdf_words(samples.files_of(plain, "pdf")).select("doc_id", "span_seq", "text", "page_number", "font_size")
+
+
+@query("highlight_map", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {r}::INT, {g}::INT, {b}::INT)" for k, (r, g, b) in docx.HIGHLIGHTS.items()) + ") t(name, r, g, b)")
+def highlight_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(k, *v) for k, v in docx.HIGHLIGHTS.items()], "name string, r int, g int, b int")
+
+
+# ---- colour and visibility
+
+
+@query("srgb_to_linear", "SELECT v::INT AS v, round(CASE WHEN v/255.0::DOUBLE <= 0.03928 THEN v/255.0::DOUBLE/12.92 ELSE pow((v/255.0::DOUBLE + 0.055)/1.055, 2.4) END, 9) AS y FROM range(256) t(v)")
+def srgb_to_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("id").cast("int")
+    return spark.range(256).select(v.alias("v"), F.round(color.srgb_to_linear(v / F.lit(255.0)), 9).alias("y"))
+
+
+@query(
+    "relative_luminance",
+    """WITH lin AS (SELECT v, CASE WHEN v/255.0::DOUBLE <= 0.03928 THEN v/255.0::DOUBLE/12.92 ELSE pow((v/255.0::DOUBLE + 0.055)/1.055, 2.4) END AS y FROM range(256) t(v)),
+p AS (SELECT p_partkey, (p_partkey * 37) % 256 AS r, (p_partkey * 91) % 256 AS g, (p_partkey * 53) % 256 AS b FROM part)
+SELECT p_partkey, round(0.2126*x.y + 0.7152*y.y + 0.0722*z.y, 9) AS luminance FROM p JOIN lin x ON x.v = p.r JOIN lin y ON y.v = p.g JOIN lin z ON z.v = p.b""",
+)
+def relative_luminance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    c = F.struct((k * 37 % 256).alias("r"), (k * 91 % 256).alias("g"), (k * 53 % 256).alias("b"))
+    return fixture.read(spark, sf_dir, "part").select("p_partkey", F.round(color.relative_luminance(c), 9).alias("luminance"))
+
+
+@query("contrast_ratio", over_spans("SELECT doc_id, span_seq, round(contrast, 6) AS contrast FROM a"))
+def contrast_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture.spans(spark, sf_dir).select("doc_id", "span_seq", F.round(color.contrast_ratio(F.col("font_color"), F.col("background_color")), 6).alias("contrast"))
+
+
+@query("is_low_contrast", over_spans("SELECT doc_id, span_seq, contrast < 4.5 AS low FROM a"))
+def is_low_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture.spans(spark, sf_dir).select("doc_id", "span_seq", color.is_low_contrast(F.col("font_color"), F.col("background_color")).alias("low"))
+
+
+@query("metadata_gate", over_spans("SELECT doc_id, span_seq, fg IS NOT NULL AND bg IS NOT NULL AS known FROM a"))
+def metadata_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture.spans(spark, sf_dir).select("doc_id", "span_seq", visibility.metadata_known(F.col("font_color"), F.col("background_color")).alias("known"))
+
+
+@query("contrast_status", over_spans("SELECT doc_id, span_seq, by_contrast AS status FROM a"))
+def contrast_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyzed(spark, sf_dir).select("doc_id", "span_seq", visibility.contrast_status(F.col("contrast_ratio")).alias("status"))
+
+
+@query("font_size_status", over_spans("SELECT doc_id, span_seq, by_size AS status FROM a"))
+def font_size_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture.spans(spark, sf_dir).select("doc_id", "span_seq", visibility.font_size_status(F.col("font_size")).alias("status"))
+
+
+@query("bbox_status", over_spans("SELECT doc_id, span_seq, by_box AS status FROM a"))
+def bbox_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture.spans(spark, sf_dir).select("doc_id", "span_seq", visibility.bbox_status(F.col("bbox")).alias("status"))
+
+
+@query("visibility_status", over_spans("SELECT doc_id, span_seq, text, status FROM a"))
+def visibility_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyzed(spark, sf_dir).select("doc_id", "span_seq", "text", F.col("visibility_status").alias("status"))
+
+
+@query(
+    "span_repr",
+    over_spans(
+        f"""SELECT doc_id, span_seq, concat('TextSpan(page=', page_number, ', text=''', {cut('text', 50)}, '''', CASE WHEN font_size IS NOT NULL AND font_size <> 0 THEN concat(' size=', font_size, 'pt') ELSE '' END,
+CASE WHEN fg IS NOT NULL AND bg IS NOT NULL THEN concat(' fg=(', fg, ', ', fg, ', ', fg, ') bg=(', bg, ', ', bg, ', ', bg, ')') ELSE '' END, ')') AS shown FROM a"""
+    ),
+)
+def span_repr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    return fixture.spans(spark, sf_dir).select("doc_id", "span_seq", text.span_repr(c("page_number"), c("text"), c("font_size"), c("font_color"), c("background_color")).alias("shown"))
+
+
+# ---- filters
+
+
+@query("hidden_spans", over_spans(f"SELECT doc_id, span_seq, status FROM a WHERE {_HIDDEN}"))
+def hidden_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_ops.hidden(analyzed(spark, sf_dir)).select("doc_id", "span_seq", F.col("visibility_status").alias("status"))
+
+
+@query("invisible_spans", over_spans("SELECT doc_id, span_seq, text FROM a WHERE status = 'invisible'"))
+def invisible_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_ops.invisible(analyzed(spark, sf_dir)).select("doc_id", "span_seq", "text")
+
+
+@query("near_white_spans", over_spans("SELECT doc_id, span_seq FROM a WHERE 3 * fg > 700"))
+def near_white_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_ops.near_white(fixture.spans(spark, sf_dir)).select("doc_id", "span_seq")
+
+
+@query("small_font_spans", over_spans("SELECT doc_id, span_seq, font_size FROM a WHERE font_size <> 0 AND font_size < 5"))
+def small_font_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_ops.small_font(fixture.spans(spark, sf_dir)).select("doc_id", "span_seq", "font_size")
+
+
+# ---- aggregations
+
+
+@query("status_counts", over_spans("SELECT doc_id, count(*) AS total_spans, count(*) FILTER (WHERE status = 'visible') AS visible_count, count(*) FILTER (WHERE status = 'suspicious') AS suspicious_count, count(*) FILTER (WHERE status = 'invisible') AS invisible_count, count(*) FILTER (WHERE status = 'unknown') AS unknown_count FROM a GROUP BY doc_id"))
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.status_counts(analyzed(spark, sf_dir))
+
+
+@query("injection_detected", over_risk("SELECT doc_id, inj AS detected"))
+def injection_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(spark, sf_dir).select("doc_id", F.col("prompt_injection_detected").alias("detected"))
+
+
+@query("injection_patterns", over_risk(f"SELECT doc_id, array_to_string(hits, '{SEP}') AS patterns"))
+def injection_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(spark, sf_dir).select("doc_id", listed("prompt_injection_patterns").alias("patterns"))
+
+
+@query("injection_matches", over_spans(f"SELECT doc_id, span_seq, array_to_string(m, '{SEP}') AS matches FROM (SELECT doc_id, span_seq, {_MATCHES} AS m FROM a WHERE {_HIDDEN}) WHERE len(m) > 0"))
+def injection_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_ops.with_matches(span_ops.hidden(analyzed(spark, sf_dir))).select("doc_id", "span_seq", listed("matches").alias("matches"))
+
+
+@query("invisible_sample", over_risk(f"SELECT doc_id, array_to_string(sample, '{SEP}') AS sample"))
+def invisible_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(spark, sf_dir).select("doc_id", listed("invisible_text_sample").alias("sample"))
+
+
+@query("metadata_coverage", over_spans("SELECT doc_id, count(*) AS n, count(font_size) AS with_size, count(fg) AS with_color, count(bg) AS with_background FROM a GROUP BY doc_id"))
+def metadata_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture.spans(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.count("font_size").alias("with_size"), F.count("font_color").alias("with_color"), F.count("background_color").alias("with_background"))
+
+
+@query("total_chars", over_spans("SELECT doc_id, sum(length(text))::BIGINT AS chars FROM a GROUP BY doc_id"))
+def total_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture.spans(spark, sf_dir).groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars"))
+
+
+_BY_PAGE = f"""{fixture.DUCK},
+q AS (SELECT *, {why(1)} AS why, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY span_seq) AS rn FROM a WHERE {_HIDDEN}),
+g AS (SELECT doc_id, page_number, count(*) AS n_hidden, CASE WHEN bool_or(status = 'invisible') THEN 'INVISIBLE' ELSE 'LOW CONTRAST' END AS severity,
+  max(CASE WHEN rn = 1 THEN {cut('text', 50)} END) AS example, max(CASE WHEN rn = 1 THEN why END) AS why FROM q GROUP BY doc_id, page_number)"""
+
+
+@query("hidden_by_page", f"WITH {_BY_PAGE} SELECT * FROM g")
+def hidden_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.hidden_by_page(analyzed(spark, sf_dir))
+
+
+@query("min_small_font", over_spans("SELECT doc_id, min(font_size) AS smallest FROM a WHERE font_size <> 0 AND font_size < 5 GROUP BY doc_id"))
+def min_small_font(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_ops.small_font(fixture.spans(spark, sf_dir)).groupBy("doc_id").agg(F.min("font_size").alias("smallest"))
+
+
+_VERDICT = "CASE level WHEN 'safe' THEN 'safe' WHEN 'low' THEN 'review' WHEN 'medium' THEN 'review' ELSE 'block' END"
+
+
+@query("batch_summary", over_risk(f"SELECT {_VERDICT} AS verdict, count(*) AS n_docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc") + " GROUP BY 1")
+def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.batch_summary(report(spark, sf_dir))
+
+
+# ---- risk
+
+
+@query("risk_level", over_risk("SELECT doc_id, total AS total_spans, vis AS visible_count, susp AS suspicious_count, inv AS invisible_count, unk AS unknown_count, inj AS detected, level AS risk_level"))
+def risk_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(spark, sf_dir).select("doc_id", "total_spans", "visible_count", "suspicious_count", "invisible_count", "unknown_count", F.col("prompt_injection_detected").alias("detected"), "risk_level")
+
+
+_ADVICE = f"""array_to_string(list_filter(CASE level
+  WHEN 'critical' THEN ['DO NOT process this document with LLMs', 'Prompt injection attack detected in invisible text', 'Manual security review required', 'Consider reporting as malicious document']
+  WHEN 'high' THEN CASE WHEN inj THEN ['Block LLM processing - prompt injection detected', 'Review detected patterns before proceeding', 'Manual review strongly recommended']
+    ELSE ['Block LLM processing - excessive invisible text', concat('Found ', inv, ' invisible text spans'), 'Manual review strongly recommended'] END
+  WHEN 'medium' THEN [CASE WHEN inv > 0 THEN 'Warn user about invisible text before LLM processing' END, CASE WHEN inv > 0 THEN concat('Strip ', inv, ' invisible spans from output') END,
+    CASE WHEN susp > 0 THEN concat('Review ', susp, ' suspicious spans for legitimacy') END, 'Consider manual verification']
+  WHEN 'low' THEN ['Safe to process with caution', concat('Monitor ', susp, ' suspicious spans'), 'Likely legitimate low-contrast text']
+  ELSE ['Safe to process with LLMs', 'No suspicious content detected'] END, lambda x: x IS NOT NULL), '{SEP}')"""
+
+
+@query("recommendations", over_risk(f"SELECT doc_id, {_ADVICE} AS recommendations"))
+def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(spark, sf_dir).select("doc_id", listed("recommendations").alias("recommendations"))
+
+
+@query(
+    "risk_report",
+    over_risk(f"SELECT doc_id, level AS risk_level, total AS total_spans, vis AS visible_count, susp AS suspicious_count, inv AS invisible_count, unk AS unknown_count, inj AS prompt_injection_detected, array_to_string(hits, '{SEP}') AS prompt_injection_patterns, {_ADVICE} AS recommendations, array_to_string(sample, '{SEP}') AS invisible_text_sample"),
+)
+def risk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = report(spark, sf_dir)
+    return r.select(*[listed(c).alias(c) if c in ("prompt_injection_patterns", "recommendations", "invisible_text_sample") else F.col(c) for c in r.columns])
+
+
+@query("risk_color", over_risk("SELECT doc_id, CASE level WHEN 'safe' THEN 'green' WHEN 'low' THEN 'blue' WHEN 'medium' THEN 'yellow' WHEN 'high' THEN 'red' ELSE 'red bold' END AS color"))
+def risk_color(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(spark, sf_dir).select("doc_id", risk.risk_color().alias("color"))
+
+
+@query("gate_score", over_risk("SELECT doc_id, gate AS score"))
+def gate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(spark, sf_dir).select("doc_id", risk.gate_score().alias("score"))
+
+
+@query("web_score", over_risk("SELECT doc_id, web AS score"))
+def web_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(spark, sf_dir).select("doc_id", risk.web_score().alias("score"))
+
+
+@query("scan_exit_code", over_risk("SELECT doc_id, CASE level WHEN 'safe' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END AS exit_code"))
+def scan_exit_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(spark, sf_dir).select("doc_id", risk.scan_exit_code().alias("exit_code"))
+
+
+@query("gate_status", over_risk("SELECT doc_id, CASE WHEN clean THEN 'SAFE' ELSE 'SUSPICIOUS' END AS status, CASE WHEN clean THEN 1 WHEN inv + susp > 0 THEN 2 ELSE 3 END AS exit_code"))
+def gate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(spark, sf_dir).select("doc_id", risk.gate_status().alias("status"), risk.gate_exit_code().alias("exit_code"))
+
+
+@query("web_status", over_risk("SELECT doc_id, CASE WHEN clean THEN 'SAFE' ELSE 'SUSPICIOUS' END AS status, upper(level) AS risk_level"))
+def web_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(spark, sf_dir).select("doc_id", risk.gate_status().alias("status"), F.upper("risk_level").alias("risk_level"))
+
+
+@query("ui_badge", over_risk("SELECT doc_id, CASE WHEN clean THEN 'SAFE' WHEN web >= 70 THEN 'CRITICAL' ELSE 'SUSPICIOUS' END AS badge"))
+def ui_badge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(spark, sf_dir).select("doc_id", risk.ui_badge().alias("badge"))
+
+
+@query("batch_verdict", over_risk(f"SELECT doc_id, {_VERDICT} AS verdict"))
+def batch_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(spark, sf_dir).select("doc_id", risk.batch_verdict(risk.scan_exit_code()).alias("verdict"))
+
+
+# ---- sanitizing
+
+
+def _sanitize_oracle(strategy: str, spans: str = "a") -> str:
+    gone = {"strip": "status = 'invisible'", "flag": "status = 'invisible'", "preserve": "FALSE"}[strategy]
+    flagged = "status = 'suspicious'" if strategy == "flag" else "FALSE"
+    order = "span_seq" if strategy == "flag" else "page_number, y0, x0, span_seq"
+    shown = "CASE WHEN status = 'suspicious' THEN concat('[SUSPICIOUS] ', text) ELSE text END" if strategy == "flag" else "text"
+    return f"""SELECT doc_id, count(*) AS original_span_count, count(*) FILTER (WHERE NOT ({gone})) AS sanitized_span_count, count(*) FILTER (WHERE {gone}) AS removed_count, count(*) FILTER (WHERE {flagged}) AS flagged_count,
+'{strategy}' AS strategy_used, coalesce(array_to_string((list(text ORDER BY span_seq) FILTER (WHERE {gone}))[1:10], '{SEP}'), '') AS removed_text_sample,
+coalesce(string_agg({shown}, ' ' ORDER BY {order}) FILTER (WHERE NOT ({gone})), '') AS safe_text FROM {spans} GROUP BY doc_id"""
+
+
+def _sanitized(strategy: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return sanitize.sanitize(analyzed(spark, sf_dir), strategy).withColumn("removed_text_sample", listed("removed_text_sample"))
+
+    return run
+
+
+for _s in ("strip", "flag", "preserve"):
+    query(f"sanitize_{_s}", over_spans(_sanitize_oracle(_s)))(_sanitized(_s))
+
+
+@query("adaptive_strategy", over_risk("SELECT doc_id, CASE WHEN level IN ('high', 'critical') THEN 'strip' WHEN level = 'medium' THEN 'flag' ELSE 'strip' END AS strategy"))
+def adaptive_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(spark, sf_dir).select("doc_id", risk.adaptive_strategy().alias("strategy"))
+
+
+_ADAPTED = f"WITH {_RISK}, z AS (SELECT a.*, CASE WHEN r.level = 'medium' THEN 'flag' ELSE 'strip' END AS strategy FROM a JOIN r ON r.doc_id = a.doc_id) "
+
+
+@query("sanitize_adaptive", _ADAPTED + f"{_sanitize_oracle('strip', '(SELECT * FROM z WHERE strategy = $$strip$$)')} UNION ALL {_sanitize_oracle('flag', '(SELECT * FROM z WHERE strategy = $$flag$$)')}")
+def sanitize_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = analyzed(spark, sf_dir)
+    return sanitize.sanitize_by_level(spans, risk.risk_report(spans)).withColumn("removed_text_sample", listed("removed_text_sample"))
+
+
+@query("reconstruct_text", over_spans("SELECT doc_id, string_agg(text, ' ' ORDER BY page_number, y0, x0, span_seq) AS text FROM a GROUP BY doc_id"))
+def reconstruct_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitize.reconstructed(fixture.spans(spark, sf_dir))
+
+
+@query("removed_sample", over_spans(f"SELECT doc_id, coalesce(array_to_string((list(text ORDER BY span_seq) FILTER (WHERE status = 'invisible'))[1:10], '{SEP}'), '') AS sample FROM a GROUP BY doc_id"))
+def removed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitize.sanitize(analyzed(spark, sf_dir), "strip").select("doc_id", listed("removed_text_sample").alias("sample"))
+
+
+@query("safe_text", over_spans("SELECT doc_id, coalesce(string_agg(text, ' ' ORDER BY page_number, y0, x0, span_seq) FILTER (WHERE status <> 'invisible'), '') AS safe_text FROM a GROUP BY doc_id"))
+def safe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitize.sanitize(analyzed(spark, sf_dir), "strip").select("doc_id", "safe_text")
+
+
+# ---- reports
+
+_GROUPS = f"""{fixture.DUCK},
+q AS (SELECT *, {why(None)} AS why, CASE WHEN status = 'invisible' THEN 'INVISIBLE' ELSE 'SUSPICIOUS' END AS severity FROM a WHERE {_HIDDEN}),
+q2 AS (SELECT *, CASE WHEN severity IS DISTINCT FROM lag(severity) OVER (PARTITION BY doc_id, page_number ORDER BY span_seq) THEN 1 ELSE 0 END AS begins FROM q),
+q3 AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id, page_number ORDER BY span_seq)::BIGINT AS group_seq FROM q2),
+g AS (SELECT doc_id, page_number, group_seq, severity, string_agg(text, ' ' ORDER BY span_seq) AS text,
+  array_to_string(list_sort(list_distinct(list_filter(flatten(list(string_split(why, ', '))), lambda x: x <> ''))), ', ') AS reasons FROM q3 GROUP BY doc_id, page_number, group_seq, severity)"""
+
+
+@query("issue_groups", f"WITH {_GROUPS} SELECT * FROM g")
+def issue_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.issue_groups(analyzed(spark, sf_dir)).withColumn("reasons", F.array_join("reasons", ", "))
+
+
+@query("issues", f"WITH {_GROUPS} SELECT doc_id, page_number AS page, group_seq, {cut('text', 100)} AS text, severity, reasons FROM g")
+def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.issues(analyzed(spark, sf_dir))
+
+
+_FULL = f"""{fixture.DUCK},
+v AS (SELECT *, lag(page_number, 1, 1) OVER (PARTITION BY doc_id ORDER BY span_seq) AS was FROM s),
+x AS (SELECT doc_id, string_agg(CASE WHEN page_number <> was THEN concat(chr(10), '--- Page ', page_number, ' ---', chr(10), ' ', text) ELSE text END, ' ' ORDER BY span_seq) AS full_text FROM v GROUP BY doc_id)"""
+
+
+@query("full_text", f"WITH {_FULL} SELECT * FROM x")
+def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.full_text(fixture.spans(spark, sf_dir))
+
+
+@query(
+    "viewer_sections",
+    f"""WITH {_FULL}, y AS (SELECT doc_id, generate_subscripts(z, 1)::INT - 1 AS section, unnest(z) AS body FROM (SELECT doc_id, regexp_split_to_array(full_text, '--- Page [0-9]+ ---') AS z FROM x)),
+w AS (SELECT doc_id, section, trim(body, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(160), chr(65279))) AS body FROM y) SELECT doc_id, section, body FROM w WHERE section > 0 OR body <> ''""",
+)
+def viewer_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.viewer_sections(reports.full_text(fixture.spans(spark, sf_dir)))
+
+
+@query("top_pages", f"WITH {_BY_PAGE}, t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number) AS rn, greatest(count(*) OVER (PARTITION BY doc_id) - 10, 0) AS more_pages FROM g) SELECT doc_id, page_number, n_hidden, severity, more_pages FROM t WHERE rn <= 10")
+def top_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.top_pages(reports.hidden_by_page(analyzed(spark, sf_dir))).select("doc_id", "page_number", "n_hidden", "severity", "more_pages")
+
+
+@query(
+    "problem_spans_top10",
+    over_spans(f"""SELECT doc_id, rn, status, shown, page_number, contrast, size, more_spans FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY span_seq)::INT AS rn, upper(status) AS status, substring(text, 1, 50) AS shown, page_number,
+format('{{:.2f}}', contrast) AS contrast, CASE WHEN font_size <> 0 THEN format('{{:.1f}}', font_size) END AS size, greatest(count(*) OVER (PARTITION BY doc_id) - 10, 0) AS more_spans FROM a WHERE {_HIDDEN}) WHERE rn <= 10"""),
+)
+def problem_spans_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.top_problem_spans(analyzed(spark, sf_dir))
+
+
+@query("pattern_preview", over_risk(f"SELECT doc_id, array_to_string(hits[1:3], '{SEP}') AS first3, array_to_string(hits[1:5], '{SEP}') AS first5, greatest(len(hits) - 5, 0)::INT AS more"))
+def pattern_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = "prompt_injection_patterns"
+    return report(spark, sf_dir).select("doc_id", listed(F.slice(p, 1, 3)).alias("first3"), listed(F.slice(p, 1, 5)).alias("first5"), F.greatest(F.size(p) - 5, F.lit(0)).alias("more"))
+
+
+def _cut_list(column: str, most: int) -> str:
+    return f"array_to_string(list_transform({column}, lambda x: {cut('x', most)}), '{SEP}')"
+
+
+@query("sample_preview", over_risk(f"SELECT doc_id, {_cut_list('sample[1:3]', 40)} AS short, {_cut_list('sample', 60)} AS long"))
+def sample_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(spark, sf_dir).select("doc_id", listed(risk.previews("invisible_text_sample", 3, 40)).alias("short"), listed(risk.previews("invisible_text_sample", 5, 60)).alias("long"))
+
+
+@query("hidden_reasons", over_spans(f"SELECT doc_id, span_seq, {why(1)} AS gate, {why(None)} AS web FROM a WHERE {_HIDDEN}"))
+def hidden_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = span_ops.hidden(analyzed(spark, sf_dir))
+    c = F.col
+    return h.select("doc_id", "span_seq", F.array_join(text.reasons(c("contrast_ratio"), c("font_size"), 1), ", ").alias("gate"), F.array_join(text.reasons(c("contrast_ratio"), c("font_size")), ", ").alias("web"))
+
+
+@query("preview", over_spans(f"SELECT doc_id, span_seq, {cut('text', 40)} AS p40, {cut('text', 100)} AS p100 FROM a"))
+def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return fixture.spans(spark, sf_dir).select("doc_id", "span_seq", text.preview(t, 40).alias("p40"), text.preview(t, 100).alias("p100"))
+
+
+@query("escape_html", "SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(160), '&nbsp;') AS escaped FROM pages")
+def escape_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture.read(spark, sf_dir, "pages").select("page_id", text.escape_html(F.col("html")).alias("escaped"))
+
+
+@query("web_report", f"WITH {_RISK}, {_GROUPS.removeprefix(fixture.DUCK + ',')}, {_FULL.removeprefix(fixture.DUCK + ',')}, i AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id) SELECT r.doc_id, CASE WHEN clean THEN 'SAFE' ELSE 'SUSPICIOUS' END AS status, upper(level) AS risk_level, web AS risk_score, total AS total_spans, inv + susp AS hidden_spans, coalesce(i.n, 0)::INT AS n_issues, coalesce(x.full_text, '') AS full_text, array_to_string(hits, '{SEP}') AS prompt_injection_patterns FROM r LEFT JOIN i ON i.doc_id = r.doc_id LEFT JOIN x ON x.doc_id = r.doc_id")
+def web_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = reports.web_report(fixture.spans(spark, sf_dir), documents(spark, sf_dir))
+    return out.select("doc_id", "status", "risk_level", "risk_score", "total_spans", "hidden_spans", F.size("issues").alias("n_issues"), "full_text", listed("prompt_injection_patterns").alias("prompt_injection_patterns"))
+
+
+@query("gate_report", f"WITH {_RISK}, {_BY_PAGE.removeprefix(fixture.DUCK + ',')}, i AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id) SELECT r.doc_id, CASE WHEN clean THEN 'SAFE' ELSE 'SUSPICIOUS' END AS status, CASE WHEN clean THEN 1 WHEN inv + susp > 0 THEN 2 ELSE 3 END AS exit_code, gate AS risk_score, inv + susp AS hidden_count, total AS total_spans, least(coalesce(i.n, 0), 10)::INT AS n_pages, greatest(coalesce(i.n, 0) - 10, 0) AS more_pages, array_to_string(hits[1:3], '{SEP}') AS patterns FROM r LEFT JOIN i ON i.doc_id = r.doc_id")
+def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = reports.gate_report(fixture.spans(spark, sf_dir), documents(spark, sf_dir))
+    return out.select("doc_id", "status", "exit_code", "risk_score", "hidden_count", "total_spans", F.when(F.col("pages").isNull(), 0).otherwise(F.size("pages")).alias("n_pages"), "more_pages", listed("patterns").alias("patterns"))
