@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import color, text, visibility
 from ..operators import reports, risk, sanitize
 from ..operators import spans as span_ops
-from ..sources import docx, fixture, ingest, ocr, pdf, samples
+from ..sources import docx, fixture, ingest, ocr, pdf, samples, sinks
+from ..streaming import files as stream_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -615,3 +616,22 @@ def web_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = reports.gate_report(fixture.spans(spark, sf_dir), documents(spark, sf_dir))
     return out.select("doc_id", "status", "exit_code", "risk_score", "hidden_count", "total_spans", F.when(F.col("pages").isNull(), 0).otherwise(F.size("pages")).alias("n_pages"), "more_pages", listed("patterns").alias("patterns"))
+
+
+# ---- sinks and streams
+
+
+@query("write_safe_text", over_spans("SELECT doc_id, coalesce(string_agg(text, ' ' ORDER BY page_number, y0, x0, span_seq) FILTER (WHERE status <> 'invisible'), '') AS safe_text FROM a GROUP BY doc_id"))
+def write_safe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Safe texts written as JSON lines and read again."""
+    path = sinks.scratch(spark, "safe-text")
+    sinks.write_json(sanitize.sanitize(analyzed(spark, sf_dir), "strip").select("doc_id", "safe_text"), path)
+    return spark.read.schema("doc_id long, safe_text string").json(path)
+
+
+@query("stream_reports", _DOCX + "SELECT doc_id, count(*) AS total_spans, count(*) FILTER (WHERE FALSE) AS hidden_count, 'safe' AS risk_level FROM w GROUP BY doc_id")
+def stream_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming reports' plan over DOCX files made from documents; files without spans are left out."""
+    files = samples.files_of(documents(spark, sf_dir), "docx").select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), "content")
+    out = stream_files.reports(stream_files.span_arrays(files)).where("total_spans > 0")
+    return out.select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("doc_id"), "total_spans", (F.col("invisible_count") + F.col("suspicious_count")).alias("hidden_count"), "risk_level")
