@@ -1,11 +1,14 @@
 """Byte-level BPE encoding by corpus-level merge replay, and decoding (operator 8).
 
 A text is split by the vocabulary's pattern, and the distinct words of a batch of texts form a corpus. An inverted index
-holds, for every adjacent pair of tokens, the word positions where it stands. Pairs are replayed in rank
-order over the whole corpus; a merge touches only its own positions and their two neighbours, whose
-pairs leave and enter the index. A pair that a merge makes with a lower rank than the merge itself (vocabularies
-that were not trained by these merges have them) goes back into the queue before the word's other positions
-are merged, so every word is merged lowest rank first and leftmost first, as the tiktoken library does.
+holds, for every merge, the word positions where its pair of tokens stands. Merges are replayed in rank order, each on all its
+positions at once; a merge touches only its own positions and their two neighbours, whose new pairs enter the index under
+their own, later ranks. The index is kept in windows of ranks: what a window's merges add for later windows is dealt out once,
+when the window is done.
+
+A vocabulary may hold pairs that rank below the merge that makes them (if it was not trained by these very merges).
+Words in which such a pair turns up, and long words, are replayed apart, one position at a time with a queue, so
+every word is merged lowest rank first and leftmost first, as the tiktoken library does.
 
 Words that a task has seen keep their ids in a bounded memory (WORDS entries, then it starts afresh), which
 changes the speed alone. Nothing is shuffled.
@@ -25,15 +28,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words that a task remembers, and the bytes of a word that are still worth remembering.
-WORDS, WORD_BYTES = 1 << 18, 256
+WORDS, WORD_BYTES = 300_000, 64
+#: Ranks of a window of the inverted index.
+WINDOW = 256
 #: Code points of a text that are split into words at once; the cut is moved to where the pattern cuts anyway.
 PIECE = 1 << 20
+#: Code points of the texts whose words are replayed together.
+CORPUS = 4 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -107,19 +113,192 @@ def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[tuple[int, ...]]
     return out
 
 
+class Merges:
+    """Which pairs of ids merge to which id: an open-addressed table that numpy probes for many pairs at once."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.size = max(ranks.values()) + 1
+        self.none = np.int32(self.size)
+        pairs = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                a, b = ranks.get(token[:k]), ranks.get(token[k:])
+                if a is not None and b is not None:
+                    pairs[a * self.size + b] = rank
+        bits = max(10, (4 * len(pairs)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.values = np.full(1 << bits, self.none, np.int32)
+        left = np.array(list(pairs), np.int64)
+        value = np.array(list(pairs.values()), np.int32)
+        slot = self._slot(left)
+        self.probes = 0
+        while len(left):  # each turn, one key of those that want a free slot takes it
+            self.probes += 1
+            free = self.keys[slot] == -1
+            first = np.zeros(len(left), bool)
+            first[np.unique(slot, return_index=True)[1]] = True
+            take = free & first
+            self.keys[slot[take]], self.values[slot[take]] = left[take], value[take]
+            left, value, slot = left[~take], value[~take], (slot[~take] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The id that a and b merge to, `none` where they don't."""
+        keys = a.astype(np.int64) * self.size + b
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.values[slot], self.none)
+        open_ = np.flatnonzero((there != keys) & (there != -1))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.mask
+            there = self.keys[slot[open_]]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.values[slot[open_[hit]]]
+            open_ = open_[~hit & (there != -1)]
+        return out
+
+
+def replay_corpus(words: list[bytes], ranks: dict[bytes, int], merges: Merges, byte_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words one after another, number of ids of each word), by the windowed index."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    n = int(sizes.sum())
+    flat = np.frombuffer(b"".join(words), np.uint8)
+    token = byte_ids[flat]
+    ends = np.cumsum(sizes)
+    right, left = np.arange(1, n + 1), np.arange(-1, n - 1)
+    # position n stands for no neighbour
+    right[ends[sizes > 0] - 1] = n
+    left[(ends - sizes)[sizes > 0]] = n
+    token = np.append(token, np.int32(0))
+    right, left = np.append(right, n), np.append(left, n)
+    none = int(merges.none)
+    pair = np.full(n + 1, none, np.int32)
+    at = np.flatnonzero(right[:n] < n)
+    pair[at] = merges.of(token[at], token[right[at]])
+    odd: list[np.ndarray] = []
+    pools: list[list[np.ndarray]] = [[] for _ in range(none // WINDOW + 1)]
+
+    def deal(pos: np.ndarray) -> None:
+        """Positions whose pairs can merge to the pools of their windows."""
+        pos = pos[pair[pos] < none]
+        if not len(pos):
+            return
+        window = pair[pos] // WINDOW
+        order = np.argsort(window, kind="stable")
+        pos, window = pos[order], window[order]
+        cut = np.flatnonzero(np.diff(window)) + 1
+        for part, w in zip(np.split(pos, cut), window[np.concatenate([[0], cut])].tolist()):
+            pools[w].append(part)
+
+    deal(at)
+    for w, pool in enumerate(pools):
+        if not pool:
+            continue
+        low, high = w * WINDOW, min((w + 1) * WINDOW, none)
+        later: list[np.ndarray] = []
+        queue: dict[int, list[np.ndarray]] = {}
+
+        def file(pos: np.ndarray) -> None:
+            """Positions with pairs of this window under their ranks."""
+            order = np.argsort(pair[pos], kind="stable")
+            pos = pos[order]
+            own = pair[pos]
+            cut = np.flatnonzero(np.diff(own)) + 1
+            for part, r in zip(np.split(pos, cut), own[np.concatenate([[0], cut])].tolist()):
+                if r in queue:
+                    queue[r].append(part)
+                else:
+                    queue[r] = [part]
+                    heapq.heappush(heap, r)
+
+        heap: list[int] = []
+        pos = np.concatenate(pool)
+        pos = pos[(pair[pos] >= low) & (pair[pos] < high)]
+        if len(pos):
+            file(pos)
+        while heap:
+            rank = heapq.heappop(heap)
+            parts = queue.pop(rank)
+            p = np.unique(np.concatenate(parts)) if len(parts) > 1 else np.sort(parts[0])
+            p = p[pair[p] == rank]
+            if len(p) > 1:
+                p = p[np.append(True, p[1:] != p[:-1])]
+                # of places that overlap, every other one merges, from the left
+                over = right[p[:-1]] == p[1:]
+                if over.any():
+                    run = np.arange(len(p))
+                    begin = np.maximum.accumulate(np.where(np.append(False, over), 0, run))
+                    p = p[(run - begin) % 2 == 0]
+            if not len(p):
+                continue
+            q = right[p]
+            after = right[q]
+            if len(p) > 1 and (meet := after[:-1] == p[1:]).any():
+                # between two merges side by side, a pair of the first with the second's left token stands for a moment
+                k = np.flatnonzero(meet)
+                low_pair = merges.of(np.full(len(k), rank, np.int32), token[p[k + 1]]) <= rank
+                odd.append(p[k[low_pair]])
+            token[p] = rank
+            right[p] = after
+            left[after] = p
+            pair[q] = none
+            before = left[p]
+            has = after < n
+            pair[p] = none
+            pair[p[has]] = merges.of(token[p[has]], token[after[has]])
+            b = before[before < n]
+            pair[b] = merges.of(token[b], token[right[b]])
+            fresh = np.concatenate([p[has], b])
+            got = pair[fresh]
+            if (got <= rank).any():
+                odd.append(fresh[got <= rank])
+                fresh, got = fresh[got > rank], got[got > rank]
+            near = got < high
+            if near.any():
+                file(np.unique(fresh[near]))
+            later.append(fresh[~near])
+        if later:
+            deal(np.concatenate(later))
+    live = np.zeros(n, bool)
+    now = (ends - sizes)[sizes > 0]
+    while len(now):  # a walk along the tokens that are left
+        live[now] = True
+        now = right[now]
+        now = now[now < n]
+    word = np.repeat(np.arange(len(words)), sizes)
+    count = np.bincount(word[live], minlength=len(words))
+    ids = token[:n][live]
+    if odd and len(bad := np.unique(word[np.concatenate(odd)])):
+        parts = np.split(ids, np.cumsum(count)[:-1])
+        for k, own in zip(bad.tolist(), replay([words[k] for k in bad], ranks)):
+            parts[k] = np.array(own, np.int32)
+            count[k] = len(own)
+        ids = np.concatenate(parts)
+    return ids, count
+
+
 class Codec:
     """Encodes and decodes with one vocabulary."""
 
     def __init__(self, path: str, pattern: str) -> None:
         self.ranks = read_ranks(path)
+        self.merges = Merges(self.ranks)
+        self.byte_ids = np.array([self.ranks[bytes([k])] for k in range(256)], np.int32)
         self.split = regex.compile(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
-        tokens = [b""] * (max(self.ranks.values()) + 1)
+        self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
-            tokens[rank] = token
-        self.tokens = tokens
+            self.tokens[rank] = token
+        self.forget()
 
-    def words(self, text: str) -> Iterator[list[str]]:
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.spelled: list[str] = []
+        self.flat, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def pieces(self, text: str) -> Iterator[list[str]]:
         """The pattern's matches, some at a time. A piece ends before the last match that it shows whole."""
         if len(text) <= PIECE:
             yield self.split.findall(text)
@@ -137,29 +316,54 @@ class Codec:
             yield [text[a:b] for a, b in ends]
             at = ends[-1][1] if ends else len(text)
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Puts the ids of words that aren't known into `known` (long ones are left out)."""
-        fresh = [w for w in set(words) if w not in self.known and len(w) <= WORD_BYTES]
-        if len(self.known) + len(fresh) > WORDS:
-            self.known.clear()
-            fresh = [w for w in set(words) if len(w) <= WORD_BYTES]
-        if fresh:
-            self.known.update(zip(fresh, replay([w.encode() for w in fresh], self.ranks)))
-
-    def ids(self, words: list[str]) -> list[int]:
-        out: list[int] = []
-        known = self.known
-        for w in words:
-            found = known.get(w)
-            out += found if found is not None else replay([w.encode()], self.ranks)[0]
-        return out
+    def learn(self, words: set[str]) -> None:
+        """Makes all these words known: their ids, and the ids spelled as decimals."""
+        fresh = [w for w in words if w not in self.known]
+        if len(self.known) + len(fresh) > WORDS and self.known:
+            self.forget()
+            fresh = list(words)
+        if not fresh:
+            return
+        raw = [w.encode() for w in fresh]
+        long = [k for k, w in enumerate(raw) if len(w) > WORD_BYTES]
+        ids, count = replay_corpus([b"" if len(w) > WORD_BYTES else w for w in raw] if long else raw, self.ranks, self.merges, self.byte_ids)
+        if long:
+            parts = np.split(ids, np.cumsum(count)[:-1])
+            for k, own in zip(long, replay([raw[k] for k in long], self.ranks)):
+                parts[k] = np.array(own, np.int32)
+                count[k] = len(own)
+            ids = np.concatenate(parts)
+        base = len(self.flat)
+        self.starts = np.concatenate([self.starts, base + np.cumsum(count) - count])
+        self.counts = np.concatenate([self.counts, count])
+        self.flat = np.concatenate([self.flat, ids])
+        text = list(map(str, ids.tolist()))
+        k = 0
+        for c in count.tolist():
+            self.spelled.append(",".join(text[k : k + c]))
+            k += c
+        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
+
+    def numbers(self, words: list[str]) -> list[int]:
+        return list(map(self.known.__getitem__, words))
+
+    def ids(self, numbers: list[int]) -> np.ndarray:
+        """The ids of words given by their numbers."""
+        k = np.array(numbers, np.int64)
+        count = self.counts[k]
+        end = np.cumsum(count)
+        at = np.repeat(self.starts[k] - (end - count), count) + np.arange(end[-1] if len(end) else 0)
+        return self.flat[at]
+
+    def encode_pieces(self, text: str) -> Iterator[tuple[np.ndarray, str]]:
+        for words in self.pieces(text):
+            if words:
+                self.learn(set(words))
+                k = self.numbers(words)
+                yield self.ids(k), ",".join(map(self.spelled.__getitem__, k))
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for part in self.words(text):
-            self.learn(part)
-            out += self.ids(part)
-        return out
+        return [x for ids, _ in self.encode_pieces(text) for x in ids.tolist()]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -170,23 +374,30 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encoded(codec_of: Codec, texts: list[str]) -> Iterator[list[int]]:
-    """The ids of each text. Short texts of a batch form one corpus for the replay."""
-    short = [codec_of.split.findall(t) if len(t) <= PIECE else None for t in texts]
-    codec_of.learn(w for words in short if words for w in words)
-    for text, words in zip(texts, short):
-        yield codec_of.encode(text) if words is None else codec_of.ids(words)
-
-
-def _few(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about `most` bytes of text (column 1), one row at least."""
-    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1).cast(pa.binary())), 0)))
-    at = 0
-    while at < batch.num_rows:
-        base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
-        yield batch.slice(at, to - at)
-        at = to
+def encoded(own: Codec, texts: Iterable[str]) -> Iterator[list[tuple[np.ndarray, str]]]:
+    """The ids of each text, in pieces, as an array and spelled. Short texts form corpora of about CORPUS code points."""
+    group: list[list[str]] = []
+    size = 0
+
+    def done() -> Iterator[list[tuple[np.ndarray, str]]]:
+        own.learn({w for words in group for w in words})
+        for words in group:
+            k = own.numbers(words)
+            yield [(own.ids(k), ",".join(map(own.spelled.__getitem__, k)))]
+        group.clear()
+
+    for text in texts:
+        if len(text) > PIECE:
+            yield from done()
+            size = 0
+            yield list(own.encode_pieces(text))
+            continue
+        group.append(own.split.findall(text))
+        size += len(text)
+        if size > CORPUS:
+            yield from done()
+            size = 0
+    yield from done()
 
 
 def summarise(path: str, pattern: str):
@@ -194,32 +405,50 @@ def summarise(path: str, pattern: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for whole in batches:
-            for batch in _few(whole):
-                n, ids_sha, text_sha = [], [], []
-                for ids in encoded(own, [t or "" for t in batch.column(1).to_pylist()]):
-                    n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(own.decode(ids)).hexdigest())
-                yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch in batches:
+            n, ids_sha, text_sha = [], [], []
+            for pieces in encoded(own, (t.as_py() or "" for t in batch.column(1))):
+                spelled, plain, count, mark = hashlib.sha256(), hashlib.sha256(), 0, b""
+                for ids, text in pieces:
+                    if len(ids):
+                        spelled.update(mark + text.encode())
+                        plain.update(own.decode(ids.tolist()))
+                        count, mark = count + len(ids), b","
+                n.append(count)
+                ids_sha.append(spelled.hexdigest())
+                text_sha.append(plain.hexdigest())
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
 
 def to_ids(path: str, pattern: str):
-    """(row, text) to (row, ids, text as decoded from the ids)."""
+    """(row, text) to (row, ids, digest of what they decode to)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for whole in batches:
-            for batch in _few(whole):
-                found = list(encoded(own, [t or "" for t in batch.column(1).to_pylist()]))
-                sha = [hashlib.sha256(own.decode(ids)).hexdigest() for ids in found]
-                yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(sha, pa.string())], names=["row", "ids", "decoded_sha256"])
+        for batch in batches:
+            at, lists, sha, size = 0, [], [], 0
+            for pieces in encoded(own, (t.as_py() or "" for t in batch.column(1))):
+                ids = np.concatenate([x for x, _ in pieces]) if pieces else np.zeros(0, np.int32)
+                lists.append(ids)
+                sha.append(hashlib.sha256(own.decode(ids.tolist())).hexdigest())
+                size += len(ids)
+                if size > PIECE:
+                    yield _id_rows(batch.slice(at, len(lists)), lists, sha)
+                    at, lists, sha, size = at + len(lists), [], [], 0
+            if lists:
+                yield _id_rows(batch.slice(at, len(lists)), lists, sha)
 
     return run
 
 
+def _id_rows(batch: pa.RecordBatch, lists: list[np.ndarray], sha: list[str]) -> pa.RecordBatch:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists).astype(np.int32)))
+    return pa.record_batch([batch.column(0), ids, pa.array(sha, pa.string())], names=["row", "ids", "decoded_sha256"])
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
