@@ -30,6 +30,8 @@ from .common import drop_written, from_id, to_id, written
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 BLOCK, BUCKET, SEED = 64, 4096, 20
+#: Up to so many sources, what is known of each is broadcast.
+FEW_SOURCES = 20_000
 #: Kinds of documents by their share of their source's fractional words, larger ones rounded first.
 BIG = (0.05, 0.005, 0.0005)
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -84,10 +86,18 @@ def _fold(items: Column, level: int) -> Column:
     return F.aggregate(F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0))), start, merge)
 
 
-def _round(rows: DataFrame, level: int, name: str) -> DataFrame:
+def _with_sources(rows: DataFrame, per_source: DataFrame, n_sources: int, on: Column | str = "s") -> DataFrame:
+    """rows joined to a row a source: by broadcast if there are few sources, else by a shuffle, which is dealt anew
+    so that a large source is not in one task in what follows."""
+    if n_sources <= FEW_SOURCES:
+        return rows.join(F.broadcast(per_source), on)
+    return rows.join(per_source, on).repartition("s", "id")
+
+
+def _round(rows: DataFrame, level: int, name: str, n_sources: int) -> DataFrame:
     """One level of the tree over (s, id, w, m): written rows (s, done, id, w, m), one a block."""
     per = rows.groupBy("s").agg(F.ceil(F.count("*") / BUCKET).alias("buckets"))
-    dealt = rows.join(per, "s").withColumn("b", F.pmod(F.xxhash64(F.lit(level), "id", "w"), "buckets"))
+    dealt = _with_sources(rows, per, n_sources).withColumn("b", F.pmod(F.xxhash64(F.lit(level), "id", "w"), "buckets"))
     at = F.row_number().over(Window.partitionBy("s", "b").orderBy(F.desc("w"), "id", "m"))
     dealt = dealt.withColumn("k", F.floor((at - 1) / BLOCK)).withColumn("at", at)
     items = F.transform(F.array_sort(F.collect_list(F.struct("at", "id", "w", "m"))), lambda x: F.struct(x["id"].alias("id"), x["w"].alias("w"), x["m"].alias("m")))
@@ -95,11 +105,11 @@ def _round(rows: DataFrame, level: int, name: str) -> DataFrame:
     return written(blocks.select("s", _fold(F.col("items"), level).alias("f")).select("s", "f.*"), name)
 
 
-def round_by_pairs(rows: DataFrame, name: str = "mixing") -> DataFrame:
+def round_by_pairs(rows: DataFrame, n_sources: int, name: str = "mixing") -> DataFrame:
     """(s, id, w, up) for rows (s, id, w, m): up is 0 or 1, and the sum of w over up = 1 is that of m in every s but for the last residual."""
     done, now, level = None, rows, 0
     while True:
-        blocks = _round(now, level, name)
+        blocks = _round(now, level, name, n_sources)
         part = blocks.select("s", F.explode("done").alias("d")).select("s", "d.*")
         done = part if done is None else done.union(part)
         most = blocks.groupBy("s").count().agg(F.max("count")).first()[0]
@@ -116,15 +126,17 @@ def mix_sizes(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     sources = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     sources = sources.withColumn("x", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     sources = written(sources.withColumn("whole", F.floor("x")).withColumn("p", F.col("x") - F.floor("x")), "sources")
-    known = base.join(sources.withColumnRenamed("source", "_of"), F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
+    n = sources.count()
+    known = _with_sources(base, sources.withColumnRenamed("source", "_of"), n, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
     share_of = F.col("size") / (F.col("p") * F.col("source_size"))
     kind = sum((F.when(share_of > b, 1).otherwise(0) for b in BIG[1:]), F.when(share_of > BIG[0], 1).otherwise(0))
     known = known.withColumn("kind", F.when((F.col("p") > 0) & (F.col("size") > 0), len(BIG) - kind).otherwise(-1))
     words = written(known.where("kind >= 0").groupBy("s", "kind").agg(F.sum("size").alias("words")), "words")
     state, every = sources.select("s", "p"), None
     for k in range(len(BIG) + 1):
-        open_rows = known.where(F.col("kind") == k).select("s", "id", F.col("size").alias("w")).join(state, "s")
-        part = round_by_pairs(open_rows.select("s", "id", "w", (F.col("p") * F.col("w")).alias("m")))
+        open_rows = known.where(F.col("kind") == k).select("s", "id", F.col("size").alias("w"))
+        open_rows = _with_sources(open_rows, state, n)
+        part = round_by_pairs(open_rows.select("s", "id", "w", (F.col("p") * F.col("w")).alias("m")), n)
         if k < len(BIG):  # what this kind takes over its share, the smaller documents take less
             part = written(part, "part")
             took = part.groupBy("s").agg(F.sum(F.col("w") * F.col("up")).alias("took"), F.sum("w").alias("own"))
@@ -135,7 +147,7 @@ def mix_sizes(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
         every = part if every is None else every.union(part)
     closed = known.where("kind = -1").select("s", "id", F.col("size").alias("w"), F.lit(0).alias("up"))
     about = sources.select("s", "source", "source_size", "target", "whole")
-    return every.union(closed).join(about, "s").select("id", "source", F.col("w").alias("size"), "source_size", "target", (F.col("whole") + F.col("up")).alias("copies"))
+    return _with_sources(every.union(closed), about, n).select("id", "source", F.col("w").alias("size"), "source_size", "target", (F.col("whole") + F.col("up")).alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
