@@ -75,6 +75,8 @@ def scores(texts: list[bytes], model: Model) -> np.ndarray:
             flat = b"".join(t.ljust((u + 1) * BLOCK, b"\0") for t, u in zip(texts[at:to], used))
             pooled = _block_maxima(flat, model)
             first = np.concatenate([[0], np.cumsum([u + 1 for u in used])[:-1]])
+            # the last windows of a block of zeros reach into the next text
+            pooled[first + np.array(used)] = _block_maxima(b"\0" * BLOCK, model)[0]
             chunk = np.maximum(pooled, np.concatenate([pooled[1:], pooled[-1:]]))
             keep = np.ones(len(chunk), bool)
             keep[first + np.array(used)] = False
