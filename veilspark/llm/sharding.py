@@ -1,8 +1,8 @@
 """Balanced label propagation over shards (operator 1).
 
 Documents start in shards by a hash order, so counts differ by one at most. Documents of a group (equal texts) are
-linked. Each round counts a group's members by shard, names its home (the shard with most members; several for a
-group that one shard can't hold), and lets members elsewhere ask to move there. A shard takes no more
+linked. Each round counts a group's members by shard, names its home (the shard with most members; the next ones too
+where that has no place for all), and lets members elsewhere ask to move there. A shard takes no more
 than its quota leaves room for: requests are counted in PRIORITIES classes of a group's hash, so groups move
 together, and classes are let in, in order, while they fit. Unlinked documents have no say: they fill what room is
 left at the end, which keeps all counts at their quotas. Rounds end when nothing moves, or after ROUNDS.
@@ -41,12 +41,14 @@ def ranked(df: DataFrame, by: list[str], bucket: Column, order: list[str | Colum
     return df.withColumn("_at", at).join(offsets, [*by, "_b"]).withColumn(out, F.col("_before") + F.col("_at") - 1).drop("_b", "_at", "_before")
 
 
-def _homes(members: DataFrame, quota: int) -> DataFrame:
-    """(g, homes, n): each group's shards with most members, as many as it needs."""
+def _homes(members: DataFrame, room: list[int]) -> DataFrame:
+    """(g, homes, n): each group's shards with most members, as many as have place for all of it."""
     by_shard = members.groupBy("g", "shard").agg(F.count("*").alias("c"))
     per = by_shard.groupBy("g").agg(F.sum("c").alias("n"), F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), F.xxhash64("g", "shard").alias("h"), "shard"))).alias("held"))
-    need = F.greatest(F.lit(1), F.ceil(F.col("n") * 1.1 / max(1, quota))).cast("int")
-    need = F.when(F.col("n") <= quota, F.lit(1)).otherwise(need)
+    rooms = F.array(*[F.lit(max(0, r)).cast("long") for r in room])
+    start = F.struct(F.lit(0).cast("long").alias("place"), F.lit(0).alias("k"))
+    grow = lambda acc, x: F.when(acc["place"] >= F.col("n"), acc).otherwise(F.struct((acc["place"] - x["c"] + F.get(rooms, x["shard"])).alias("place"), (acc["k"] + 1).alias("k")))
+    need = F.aggregate("held", start, grow)["k"]
     return per.select("g", "n", F.transform(F.slice("held", F.lit(1), need), lambda x: x["shard"]).alias("homes"))
 
 
@@ -57,8 +59,9 @@ def propagate(linked: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Dat
     total = now.count()
     for turn in range(rounds if total else 0):
         full = dict(now.groupBy("shard").count().collect())  # a row a shard
-        room = spark.createDataFrame([(s, q - full.get(s, 0)) for s, q in enumerate(quotas)], "wanted int, room long")
-        homes = written(_homes(now, min(quotas)), "homes")
+        free = [q - full.get(s, 0) for s, q in enumerate(quotas)]
+        room = spark.createDataFrame(list(enumerate(free)), "wanted int, room long")
+        homes = written(_homes(now, free), "homes")
         asked = hot_join(now, homes, "g", total, "n")
         pick = F.element_at("homes", (F.pmod(F.xxhash64("r", F.lit(turn)), F.size("homes")) + 1).cast("int"))
         asked = asked.withColumn("wanted", F.when(F.array_contains("homes", F.col("shard")), F.col("shard")).otherwise(pick))
