@@ -23,20 +23,19 @@ def hidden_by_page(analyzed_spans: DataFrame, places: int = 1) -> DataFrame:
 
 
 def top_pages(by_page: DataFrame, most: int = 10) -> DataFrame:
-    """The first pages of each document, with how many more there are."""
+    """The first pages of each document, with how many more there are: one window pass numbers and counts them."""
     w = Window.partitionBy("doc_id")
-    ranked = by_page.withColumn("rn", F.row_number().over(w.orderBy("page_number"))).where(F.col("rn") <= most)
-    totals = by_page.groupBy("doc_id").agg(F.greatest(F.count("*") - most, F.lit(0)).alias("more_pages"))
-    return ranked.join(totals, "doc_id")
+    ranked = by_page.withColumn("rn", F.row_number().over(w.orderBy("page_number"))).withColumn("more_pages", F.greatest(F.count("*").over(w) - most, F.lit(0)))
+    return ranked.where(F.col("rn") <= most)
 
 
 def top_problem_spans(analyzed_spans: DataFrame, most: int = 10, chars: int = 50) -> DataFrame:
-    h = span_ops.hidden(analyzed_spans)
-    w = Window.partitionBy("doc_id").orderBy("span_seq")
-    ranked = h.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
-    totals = h.groupBy("doc_id").agg(F.greatest(F.count("*") - most, F.lit(0)).alias("more_spans"))
-    out = ranked.join(totals, "doc_id")
-    return out.select("doc_id", F.col("rn").cast("int").alias("rn"), F.upper("visibility_status").alias("status"), F.substring("text", 1, chars).alias("shown"), "page_number", text.fixed(F.col("contrast_ratio"), 2).alias("contrast"), F.when(F.col("font_size") != 0, text.fixed(F.col("font_size"), 1)).alias("size"), "more_spans")
+    """The first hidden spans of each document as shown, with how many more there are; texts are cut before the shuffle."""
+    h = span_ops.hidden(analyzed_spans).select("doc_id", "span_seq", F.upper("visibility_status").alias("status"), F.substring("text", 1, chars).alias("shown"), "page_number", "contrast_ratio", "font_size")
+    w = Window.partitionBy("doc_id")
+    ranked = h.withColumn("rn", F.row_number().over(w.orderBy("span_seq"))).withColumn("more_spans", F.greatest(F.count("*").over(w) - most, F.lit(0)))
+    size = F.when(F.col("font_size") != 0, text.fixed(F.col("font_size"), 1))
+    return ranked.where(F.col("rn") <= most).select("doc_id", F.col("rn").cast("int").alias("rn"), "status", "shown", "page_number", text.fixed(F.col("contrast_ratio"), 2).alias("contrast"), size.alias("size"), "more_spans")
 
 
 def issue_groups(analyzed_spans: DataFrame) -> DataFrame:
