@@ -121,6 +121,9 @@ def test_cli(spark, folder, capsys):
     assert "DO NOT process" in capsys.readouterr().out
     assert cli.main(["scan", bad], spark) == 5 and cli.main(["clean", bad], spark) == 5
     assert cli.main(["clean", attack, "--strategy", "strip"], spark) == 0
+    target = folder / "clean.txt"
+    assert cli.main(["clean", safe, "-o", str(target), "-v"], spark) == 0 and target.read_text() == "hello"
+    assert cli.main(["clean", safe, attack, "-o", str(folder / "clean")], spark) == 0 and (folder / "clean").is_dir()
     assert cli.main(["gate", safe], spark) == 1 and cli.main(["gate", attack], spark) == 2 and cli.main(["gate", bad], spark) == 3
     assert cli.main(["report", safe], spark) == 0 and cli.main(["report", bad], spark) == 1
     assert cli.main([], spark) == 0 and cli.main(["--version"], spark) == 0 and cli.main(["unknown"], spark) == 5

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -31,13 +32,17 @@ def _parser() -> argparse.ArgumentParser:
         one.add_argument("paths", nargs="+")
         one.add_argument("--verbose", "-v", action="store_true")
         if name == "clean":
-            one.add_argument("--output", "-o", help="folder for the cleaned text")
+            one.add_argument("--output", "-o", help="text file for the cleaned text; a folder of JSON lines for several documents")
             one.add_argument("--strategy", choices=STRATEGIES, default="strip")
     return p
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = _parser()
+    argv = sys.argv[1:] if argv is None else argv
+    if "--version" in argv:
+        print(f"veilspark {__version__}")
+        return OK
     try:
         args = parser.parse_args(argv)
     except SystemExit as e:
@@ -75,17 +80,34 @@ def _scan(spans, documents, c, args) -> int:
             print(f"  WARNING: Prompt injection detected ({len(r.prompt_injection_patterns)} patterns)")
         if args.verbose:
             print("".join(f"  - {line}\n" for line in r.recommendations), end="")
+            print("".join(f"  [{k}] '{_short(x)}'\n" for k, x in enumerate(r.invisible_text_sample[:3], 1)), end="")
         worst = max(worst, r.exit_code)
     return worst
 
 
+def _short(x: str, most: int = 40) -> str:
+    return x[:most] + "..." if len(x) > most else x
+
+
 def _clean(spans, documents, c, args) -> int:
-    out = sanitize.sanitize(span_ops.analyzed(spans, c), args.strategy, c).join(documents, "doc_id")
-    if args.output:
+    """Cleaned text to standard output, to a text file (one document) or to a folder of JSON lines (several)."""
+    found = documents.join(sanitize.sanitize(span_ops.analyzed(spans, c), args.strategy, c), "doc_id", "left")
+    out = found.fillna({"original_span_count": 0, "removed_count": 0, "flagged_count": 0, "safe_text": "", "strategy_used": args.strategy})
+    first = out.orderBy("path").limit(2).collect()
+    if args.output and len(first) > 1:
         out.select("path", "safe_text").write.mode("overwrite").json(args.output)
         return OK
-    for r in out.orderBy("path").collect():
-        print(f"{r.path}\n  Strategy: {r.strategy_used}\n  Original: {r.original_span_count} spans\n  Removed: {r.removed_count} spans\n{r.safe_text}")
+    for r in first if len(first) < 2 else out.orderBy("path").collect():
+        print(f"{r.path}\n  Strategy: {r.strategy_used}\n  Original: {r.original_span_count} spans\n  Removed: {r.removed_count} spans")
+        if r.flagged_count:
+            print(f"  Flagged: {r.flagged_count} spans")
+        if args.verbose:
+            print("".join(f"  [{k}] '{_short(x)}'\n" for k, x in enumerate((r.removed_text_sample or [])[:3], 1)), end="")
+        if args.output:
+            Path(args.output).write_text(r.safe_text, encoding="utf-8")
+            print(f"  Output: {args.output}")
+        else:
+            print(f"\n--- Cleaned Text ---\n{r.safe_text}\n--- End ---")
     return OK
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions import text, visibility
+from ..functions import text
 from . import risk, spans as span_ops
 
 
