@@ -32,14 +32,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 #: Words that a task remembers, and the bytes of a word that are still worth remembering.
-WORDS, WORD_BYTES = 300_000, 64
+WORDS, WORD_BYTES = 200_000, 64
 #: Ranks of a window of the inverted index.
 WINDOW = 256
 #: Code points of a text that are split into words at once; the cut is moved to where the pattern cuts anyway.
 PIECE = 1 << 20
 #: Code points of the texts whose words are replayed together.
-CORPUS = 4 << 20
+CORPUS = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -418,6 +420,7 @@ def summarise(path: str, pattern: str):
                 ids_sha.append(spelled.hexdigest())
                 text_sha.append(plain.hexdigest())
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.forget()
 
     return run
 
@@ -439,6 +442,7 @@ def to_ids(path: str, pattern: str):
                     at, lists, sha, size = at + len(lists), [], [], 0
             if lists:
                 yield _id_rows(batch.slice(at, len(lists)), lists, sha)
+        own.forget()
 
     return run
 
@@ -452,12 +456,12 @@ def _id_rows(batch: pa.RecordBatch, lists: list[np.ndarray], sha: list[str]) ->
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(summarise(path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(trimmed(summarise(path, pattern)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
     """The columns `keep` of docs with n_tokens, ids (array) and the digest of the decoded text."""
     rows = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    out = rows.mapInArrow(to_ids(path, pattern), f"row {kind}, ids array<int>, decoded_sha256 string")
+    out = rows.mapInArrow(trimmed(to_ids(path, pattern)), f"row {kind}, ids array<int>, decoded_sha256 string")
     return out.select("row.*", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")

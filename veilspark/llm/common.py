@@ -7,9 +7,14 @@ back into null in what the operator returns. Rows with the same id count as one
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +25,28 @@ HOT_SHARE = 0.001
 SPACE = b" \t\n\x0b\x0c\r"
 
 
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def trimmed(task: Task) -> Task:
+    """task, giving the memory that it has freed back to the system when it ends: Spark keeps idle Python workers, and what
+    they hold counts against the executor."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+    return run
+
+
 def to_id(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(NO_ID)).cast("long")
 

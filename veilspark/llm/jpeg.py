@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 UNIT = 64
 #: Bytes of one image: 64 blocks a row and 8064 rows of blocks, 64512 of the 65535 lines that a frame may have.
 FRAME = UNIT * 8064
@@ -414,10 +416,10 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes and the media column (JPEG bytes) of every row of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(store, "id long, n_bytes long, media binary")
+    return rows.mapInArrow(trimmed(store), "id long, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:
     """Dimensions, thumbnail hashes and digests of a media column (id, n_bytes, media)."""
     kinds = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("id", "n_bytes", "media").mapInArrow(features, kinds).withColumnRenamed("id", "doc_id")
+    return media.select("id", "n_bytes", "media").mapInArrow(trimmed(features), kinds).withColumnRenamed("id", "doc_id")

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 THRESHOLD = 0.8
 
 # Phrases whose places count as base, and their labels.
@@ -175,8 +177,8 @@ def _scan(index: Index):
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: tuple = PHRASES, notices: tuple = NOTICES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of docs."""
     vocabulary = frozenset(w for t, _ in (*phrases, *notices) for w in t.encode().split())
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_count(vocabulary), "word binary, n long")
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(trimmed(_count(vocabulary)), "word binary, n long")
     counts = {bytes(r.word): r.n for r in counted.groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row a template word
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     kinds = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return rows.mapInArrow(_scan(Index(phrases, notices, threshold, counts)), kinds)
+    return rows.mapInArrow(trimmed(_scan(Index(phrases, notices, threshold, counts))), kinds)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, drop_written, from_id, hot_join, to_id, written
+from .common import SPACE, drop_written, from_id, hot_join, to_id, trimmed, written
 
 LEAST_CHARS = 10
 BITS_A_LINE, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 27
@@ -89,17 +89,17 @@ def build_filters(bits: int):
     """Task side of pass 1: (segment, once, twice) rows of this task's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        seen, twice = [], []
         for batch in batches:
+            # each line once a document: a document may not confirm its own line
             found = [b"".join({d for _, d in keyed_lines(text)[1]}) for _, text in _texts(batch)]
-            all_pos = positions(np.frombuffer(b"".join(found), np.uint8), bits)
-            # a document may not confirm its own line, but two documents must: count each position's documents
-            flat = all_pos.ravel()
-            twice[flat[once[flat]]] = True
-            uniq, n = np.unique(flat, return_counts=True)
-            twice[uniq[n > 1]] = True
-            once[uniq] = True
-        a, b = _segments(np.flatnonzero(once)), _segments(np.flatnonzero(twice))
+            uniq, n = np.unique(positions(np.frombuffer(b"".join(found), np.uint8), bits), return_counts=True)
+            seen.append(uniq)
+            twice.append(uniq[n > 1])
+        if not seen:
+            return
+        uniq, n = np.unique(np.concatenate(seen), return_counts=True)
+        a, b = _segments(uniq), _segments(np.union1d(uniq[n > 1], np.concatenate(twice)))
         rows = [(s, _packed(x), _packed(b.get(s, np.zeros(0, np.int64)))) for s, x in a.items()]
         for k in range(0, len(rows), 256):
             s, x, y = zip(*rows[k : k + 256])
@@ -130,8 +130,8 @@ def merge_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def twice_seen(texts: DataFrame, bits: int) -> bytes:
     """The merged twice-seen filter, bits / 8 bytes; texts has (id, text)."""
-    parts = texts.mapInArrow(build_filters(bits), "seg int, once binary, twice binary")
-    merged = parts.repartition("seg").sortWithinPartitions("seg").mapInArrow(merge_filters, "seg int, twice binary")
+    parts = texts.mapInArrow(trimmed(build_filters(bits)), "seg int, once binary, twice binary")
+    merged = parts.repartition("seg").sortWithinPartitions("seg").mapInArrow(trimmed(merge_filters), "seg int, twice binary")
     out = np.zeros(bits // 8, np.uint8)
     for seg, packed in merged.toLocalIterator():
         out[seg * SEGMENT // 8 : (seg + 1) * SEGMENT // 8] = np.packbits(_flags(bytes(packed)))
@@ -220,7 +220,7 @@ def drop_lists(texts: DataFrame) -> tuple[DataFrame, object, int]:
     while bits < min(MOST_BITS, BITS_A_LINE * lines):
         bits *= 2
     shared = spark.sparkContext.broadcast(twice_seen(texts, bits))
-    found = written(texts.mapInArrow(suspects(shared, bits), "id long, digest binary"), "suspects")
+    found = written(texts.mapInArrow(trimmed(suspects(shared, bits)), "id long, digest binary"), "suspects")
     confirmed = found.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("_last"), F.count("*").alias("n")).where("keeper <> _last").drop("_last")
     lost = hot_join(found, confirmed, "digest", found.count(), "n").where("id <> keeper")
     drops = written(lost.groupBy("id").agg(F.collect_set("digest").alias("drops")), "drops")
@@ -232,9 +232,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, n_lines, n_dropped, kept_sha256 for every row of docs."""
     texts = docs.select(to_id(id_col).alias("id"), F.col(text_col).alias("text"))
     drops, shared, bits = drop_lists(texts)
-    looked = texts.mapInArrow(classify(shared, bits), "id long, n_lines long, open boolean, sha string, text binary")
+    looked = texts.mapInArrow(trimmed(classify(shared, bits)), "id long, n_lines long, open boolean, sha string, text binary")
     out = looked.join(drops, "id", "left").select("id", "n_lines", "open", "sha", "text", "drops")
-    out = out.mapInArrow(finish, "id long, n_lines long, n_dropped long, kept_sha256 string")
+    out = out.mapInArrow(trimmed(finish), "id long, n_lines long, n_dropped long, kept_sha256 string")
     return out.select(from_id("id").alias("doc_id"), "n_lines", "n_dropped", "kept_sha256")
 
 
@@ -246,7 +246,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(to_id(id_col).alias("id"), F.struct(*rest).alias("row"), F.col(text_col).alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     joined = rows.join(drops, "id", "left").select("row", "text", "drops")
-    out = joined.mapInArrow(rewrite, f"row {kind}, kept string, n_lines long, n_dropped long")
+    out = joined.mapInArrow(trimmed(rewrite), f"row {kind}, kept string, n_lines long, n_dropped long")
     value = {text_col: F.col("kept")}
     if chars_col in rest:
         value[chars_col] = F.when(F.col("n_dropped") > 0, F.char_length("kept")).otherwise(F.col(f"row.{chars_col}")).cast(docs.schema[chars_col].dataType)

@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, from_id, to_id, written
+from .common import from_id, to_id, written
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 BLOCK, BUCKET, SEED = 64, 4096, 20

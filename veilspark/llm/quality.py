@@ -16,20 +16,22 @@ learned from; without any label every score is 0.5; extra columns are ignored; a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 DIM, WIDTH, STRIDE, FILTERS, BLOCK = 4, 8, 2, 32, 128
 CHUNK = 2 * BLOCK + WIDTH - STRIDE
 FOLDS, THRESHOLD = 5, 0.3
 DOCS, CHUNKS = 4000, 12
 EPOCHS, STEP, BATCH, SEED = 12, 0.01, 32, 7
 #: Bytes that are convolved at once.
-PIECE = 1 << 20
+PIECE = 1 << 17
 
 Model = dict[str, np.ndarray]
 
@@ -58,33 +60,38 @@ def patches(emb: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(view)
 
 
-def scores(texts: list[bytes], model: Model) -> np.ndarray:
-    """The probability of label 1 for every text, each read whole."""
-    out = np.empty(len(texts))
-    at = 0
-    while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to]) <= PIECE):
-            size += len(texts[to])
-            to += 1
-        if to == at + 1 and size > PIECE:
-            out[at] = _pooled_score(*_long_pool(texts[at], model), model)
-        else:
-            used = [max(1, -(-len(t) // BLOCK)) for t in texts[at:to]]
-            # a block of zeros after each text keeps the windows of its last bytes off the next text
-            flat = b"".join(t.ljust((u + 1) * BLOCK, b"\0") for t, u in zip(texts[at:to], used))
-            pooled = _block_maxima(flat, model)
-            first = np.concatenate([[0], np.cumsum([u + 1 for u in used])[:-1]])
-            # the last windows of a block of zeros reach into the next text
-            pooled[first + np.array(used)] = _block_maxima(b"\0" * BLOCK, model)[0]
-            chunk = np.maximum(pooled, np.concatenate([pooled[1:], pooled[-1:]]))
-            keep = np.ones(len(chunk), bool)
-            keep[first + np.array(used)] = False
-            chunk, first = chunk[keep], np.concatenate([[0], np.cumsum(used)[:-1]])
-            mean = np.add.reduceat(chunk, first, axis=0) / np.array(used)[:, None]
-            out[at:to] = _pooled_score(mean, np.maximum.reduceat(chunk, first, axis=0), model)
-        at = to
-    return out
+def scores(texts: Iterable[bytes], model: Model) -> np.ndarray:
+    """The probability of label 1 for every text, each read whole; short texts are convolved together, about PIECE bytes at once."""
+    out: list[np.ndarray] = []
+    group: list[bytes] = []
+    size = 0
+    for text in texts:
+        if len(text) > PIECE:
+            out += [_together(group, model), _pooled_score(*_long_pool(text, model), model)[None]]
+            group, size = [], 0
+            continue
+        if size + len(text) > PIECE:
+            out.append(_together(group, model))
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    return np.concatenate([*out, _together(group, model)])
+
+
+def _together(texts: list[bytes], model: Model) -> np.ndarray:
+    if not texts:
+        return np.zeros(0)
+    used = np.array([max(1, -(-len(t) // BLOCK)) for t in texts])
+    # a block of zeros after each text keeps the windows of its last bytes off the next text
+    flat = b"".join(t.ljust((u + 1) * BLOCK, b"\0") for t, u in zip(texts, used.tolist()))
+    pooled = _block_maxima(flat, model)
+    blank = np.cumsum(used + 1) - 1
+    # the last windows of a block of zeros reach into the next text
+    pooled[blank] = _block_maxima(b"\0" * BLOCK, model)[0]
+    chunk = np.delete(np.maximum(pooled, np.concatenate([pooled[1:], pooled[-1:]])), blank, axis=0)
+    first = np.cumsum(used) - used
+    mean = np.add.reduceat(chunk, first, axis=0) / used[:, None]
+    return _pooled_score(mean, np.maximum.reduceat(chunk, first, axis=0), model)
 
 
 def _block_maxima(flat: bytes, model: Model) -> np.ndarray:
@@ -197,17 +204,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # ids first, so that only the sampled rows' texts are read into the join
     ids = wanted.join(texts.distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(most)
     rows = docs.select(key.alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select("id", "text", "label")
-    got = rows.mapInArrow(_pick(chunks), "id long, chunks binary, label int").orderBy(F.xxhash64("id"), "id", "chunks").limit(most).collect()
+    got = rows.mapInArrow(trimmed(_pick(chunks)), "id long, chunks binary, label int").orderBy(F.xxhash64("id"), "id", "chunks").limit(most).collect()
     if not got:
         return None
     return train([([bytes(r.chunks[k : k + CHUNK]) for k in range(0, len(r.chunks), CHUNK)], r.label) for r in got])
 
 
+def _batch_scores(texts: pa.Array, model: Model | None) -> np.ndarray:
+    if model is None:
+        return np.full(len(texts), 0.5)
+    return scores((x.as_py() or b"" for x in texts.cast(pa.binary())), model)
+
+
 def _score(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.as_py() or b"" for x in batch.column(1).cast(pa.binary())]
-            got = scores(texts, model) if model is not None else np.full(len(texts), 0.5)
+            got = _batch_scores(batch.column(1), model)
             yield pa.record_batch([batch.column(0), pa.array(got, pa.float64())], names=["row", "score"])
 
     return run
@@ -216,7 +228,7 @@ def _score(model: Model | None):
 def score_docs(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(_score(model), "row long, score double")
+    out = rows.mapInArrow(trimmed(_score(model)), "row long, score double")
     return out.select(F.col("row").alias("doc_id"), held_out(F.col("row")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -226,8 +238,7 @@ def good_docs(docs: DataFrame, model: Model | None, text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.as_py() or b"" for x in batch.column(names.index(text_col)).cast(pa.binary())]
-            got = scores(texts, model) if model is not None else np.full(len(texts), 0.5)
+            got = _batch_scores(batch.column(names.index(text_col)), model)
             yield batch.filter(pa.array(got >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_written, from_id, hot_join, to_id, written
+from .common import components, from_id, hot_join, to_id, trimmed, written
 
 SHINGLE, SEED, LIMIT = 4, 42, 4
 WIDTHS = (13, 13, 13, 13, 12)
@@ -248,8 +248,8 @@ def match_blocks(key: tuple, rows: pa.Table) -> pa.Table:
 
 def links(fps: DataFrame) -> DataFrame:
     """(u, v) edges between distinct fingerprints (column fp) whose components are those of all links."""
-    keyed = fps.select("fp").mapInArrow(_keyed, "key long, fp long")
-    found = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(match, "kind int, a long, b long, c long"), "matches")
+    keyed = fps.select("fp").mapInArrow(trimmed(_keyed), "key long, fp long")
+    found = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(match), "kind int, a long, b long, c long"), "matches")
     edges = found.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v"))
     held = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"), F.col("c").alias("block"))
     blocks = held.groupBy("key").agg(F.max("block").alias("last"), F.count("*").alias("n"))
@@ -262,7 +262,7 @@ def links(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id for every row of docs."""
     texts = docs.select(to_id(id_col).alias("id"), F.col(text_col).alias("text"))
-    printed = written(texts.mapInArrow(_fingerprints, "id long, fp long"), "fingerprints")
+    printed = written(texts.mapInArrow(trimmed(_fingerprints), "id long, fp long"), "fingerprints")
     nodes = written(printed.groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("n")), "nodes")
     pairs = links(nodes)
     at = nodes.select("fp", "node")

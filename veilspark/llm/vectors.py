@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, from_id, hot_join, to_id, written
+from .common import components, from_id, hot_join, to_id, trimmed, written
 from .simhash import forest
 
 LIMIT, LABELS, SAMPLE, SHARD, BLOCK = 0.93, 1000, 20_000, 1000, 2000
@@ -317,7 +317,7 @@ def audit(nodes: DataFrame, links: DataFrame, limit: float = LIMIT, audited: int
     sample = nodes.orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(audited).select("node", "label", "dim", "vec").collect()
     if not sample:
         return 1.0
-    truth = nodes.select("node", "label", "dim", "mult", "vec").mapInArrow(brute_counts(sample, limit), "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth"))
+    truth = nodes.select("node", "label", "dim", "mult", "vec").mapInArrow(trimmed(brute_counts(sample, limit)), "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth"))
     got = truth.join(links, "node", "left").agg(F.sum("truth"), F.sum(F.least("truth", F.coalesce("n_links", F.lit(0))))).first()
     return got[1] / got[0] if got[0] else 1.0
 
@@ -327,7 +327,7 @@ def audit(nodes: DataFrame, links: DataFrame, limit: float = LIMIT, audited: int
 
 def search_links(nodes: DataFrame, homes: int, beam: int, limit: float) -> DataFrame:
     """Written rows (kind, a, b) of the search over nodes (node, label, dim, mult, vec)."""
-    placed = nodes.select("node", "label", "dim", "mult", "vec").mapInArrow(assign(shard_centers(nodes), homes), "node long, label int, dim int, mult long, vec array<double>, homes array<int>")
+    placed = nodes.select("node", "label", "dim", "mult", "vec").mapInArrow(trimmed(assign(shard_centers(nodes), homes)), "node long, label int, dim int, mult long, vec array<double>, homes array<int>")
     members = placed.withColumn("cluster", F.explode("homes"))
     sizes = written(members.groupBy("label", "dim", "cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
     members = members.join(sizes, ["label", "dim", "cluster"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, from_id, hot_join, new_path, remove, to_id, written
+from .common import NO_ID, from_id, hot_join, new_path, remove, to_id, trimmed, written
 
 LEAST, RECORDS, FEW = 100, 2000, 200_000
 PIECE = 1 << 20
@@ -290,15 +290,15 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", records: int = RECORDS) -> None:
     """pages as ARC files under path, of both versions."""
     rows = pages.select(to_id(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    _save(rows.mapInArrow(to_arc(records), "value binary"), path, "\n", records)
+    _save(rows.mapInArrow(trimmed(to_arc(records)), "value binary"), path, "\n", records)
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, records: int = RECORDS, least: int = LEAST) -> None:
     """The ARC files under arc_path as WARC files under warc_path."""
-    seen = written(_files(spark, arc_path).mapInArrow(arc_digests, "id long, digest binary, size long"), "digests")
+    seen = written(_files(spark, arc_path).mapInArrow(trimmed(arc_digests), "id long, digest binary, size long"), "digests")
     first = seen.where(F.col("size") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     again = written(hot_join(seen, first, "digest", seen.count(), "n").where("id <> first").select("id", "digest", "first").distinct(), "revisits")
-    fields = _files(spark, arc_path).mapInArrow(arc_fields, "id long, digest binary, fields binary, block_digest string, head binary, block binary")
+    fields = _files(spark, arc_path).mapInArrow(trimmed(arc_fields), "id long, digest binary, fields binary, block_digest string, head binary, block binary")
     joined = fields.join(F.broadcast(again) if again.count() <= FEW else again, ["id", "digest"], "left")
     to = F.col("first")
     b = lambda c: (F.lit(c) if isinstance(c, str) else c.cast("string")).cast("binary")
@@ -312,7 +312,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, records: int = R
 
 def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of the WARC files under path."""
-    rows = _files(spark, path).mapInArrow(warc_rows, "id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    rows = _files(spark, path).mapInArrow(trimmed(warc_rows), "id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     return rows.select(from_id("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", from_id("refers_to").alias("refers_to"))
 
 
