@@ -133,7 +133,7 @@ def twice_seen(texts: DataFrame, bits: int) -> bytes:
     parts = texts.mapInArrow(trimmed(build_filters(bits)), "seg int, once binary, twice binary")
     merged = parts.repartition("seg").sortWithinPartitions("seg").mapInArrow(trimmed(merge_filters), "seg int, twice binary")
     out = np.zeros(bits // 8, np.uint8)
-    for seg, packed in merged.toLocalIterator():
+    for seg, packed in merged.collect():  # bits / 8 bytes at most
         out[seg * SEGMENT // 8 : (seg + 1) * SEGMENT // 8] = np.packbits(_flags(bytes(packed)))
     return out.tobytes()
 
