@@ -138,3 +138,11 @@ def test_stream(spark, folder, tmp_path_factory):
         q.stop()
     got = {r.path.rsplit("/", 1)[1]: (r.risk_level, r.exit_code, r.error is None) for r in spark.table("veil_reports").collect()}
     assert got == {"safe.docx": ("safe", 0, True), "attack.docx": ("critical", 4, True), "bad.pdf": ("safe", 5, False)}
+
+
+def test_stream_to_parquet_takes_each_file_once(spark, folder, tmp_path_factory):
+    at = tmp_path_factory.mktemp("sink")
+    for _ in range(2):
+        q = stream.write_reports(stream.reports(stream.span_arrays(stream.read_stream(spark, str(folder), "*.docx"))), str(at / "out"), str(at / "checkpoint"), once=True)
+        assert q.awaitTermination(120)
+    assert spark.read.parquet(str(at / "out")).count() == 2

@@ -64,3 +64,9 @@ def reports(arrays: DataFrame, c: Config = DEFAULT) -> DataFrame:
     out = out.withColumn("risk_level", risk.risk_level(F.col("invisible_count"), F.col("suspicious_count"), F.col("prompt_injection_detected"), c))
     code = F.when(F.col("error").isNotNull(), risk.ERROR_EXIT).otherwise(risk.scan_exit_code())
     return out.withColumn("risk_score", risk.gate_score()).withColumn("exit_code", code)
+
+
+def write_reports(stream: DataFrame, path: str, checkpoint: str, once: bool = False):
+    """Starts writing reports as Parquet, exactly once a file; once=True stops after what is there now."""
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if once else writer).start()
