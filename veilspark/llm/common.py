@@ -56,12 +56,27 @@ def from_id(col: str | Column) -> Column:
     return F.when(c != NO_ID, c)
 
 
+#: Up to so many rows, a table is broadcast.
+FEW_ROWS = 50_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it has FEW_ROWS rows at most; without one it joins by a shuffle."""
+    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
+
+
+#: Folders made for sessions that name none, by application.
+_OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='veilspark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN_DIRS:
+            _OWN_DIRS[app] = f"file://{tempfile.mkdtemp(prefix='veilspark-')}"
+        found = _OWN_DIRS[app]
     return found.rstrip("/")
 
 
@@ -137,10 +152,11 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         if not was[0]:
             break
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # a node may have a third of all edges, so both joins treat hot nodes apart
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = hot_join(both.where("v > u"), least, "u", 2 * was[0], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        star = hot_join(large, down, "u", was[0], "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = written(star.union(down.select("u", F.col("m").alias("v"))).distinct(), name)
         mark_after = mark(after)
         drop_written(now)
