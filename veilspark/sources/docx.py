@@ -24,6 +24,8 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 LINES, LINE_HEIGHT, LINE_WIDTH = 40, 14.0, 500.0
 BLACK, WHITE = (0, 0, 0), (255, 255, 255)
+#: Span rows that are handed over together.
+ROWS = 4096
 
 # Colours of highlight names.
 HIGHLIGHTS = {
@@ -146,14 +148,27 @@ def extract(files: DataFrame, reader) -> DataFrame:
     """doc_id, span columns and error of files (doc_id, content); a file that can't be read gives one row with its error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, spans, errors = [], [], []
+
+        def rows() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array(docs, pa.int64()), pa.array(spans, SPAN_ARROW), pa.array(errors, pa.string())], names=["doc_id", "span", "error"])
+            for x in (docs, spans, errors):
+                x.clear()
+            return out
+
         for batch in batches:
             for doc, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
                     found, error = [as_struct(s) for s in reader(content.as_py())], None
                 except Exception as e:
-                    found, error = [], f"{type(e).__name__}: {e}"
-                rows = found or ([None] if error else [])
-                yield pa.record_batch([pa.array([doc] * len(rows), pa.int64()), pa.array(rows, SPAN_ARROW), pa.array([error] * len(rows), pa.string())], names=["doc_id", "span", "error"])
+                    found, error = [None], f"{type(e).__name__}: {e}"
+                docs += [doc] * len(found)
+                spans += found
+                errors += [error] * len(found)
+                if len(docs) >= ROWS:
+                    yield rows()
+        if docs:
+            yield rows()
 
     out = files.select(F.col("doc_id").cast("long").alias("doc_id"), "content").mapInArrow(run, f"doc_id long, span {SPAN}, error string")
     return out.select("doc_id", "span.*", "error")

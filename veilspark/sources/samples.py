@@ -60,13 +60,15 @@ def files_of(documents: DataFrame, kind: str) -> DataFrame:
     """doc_id, content: each document's text as a DOCX (a paragraph a line) or a PDF file (40 lines a page)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(text: str) -> bytes:
+            lines = text.split("\n")
+            if kind == "docx":
+                return docx_bytes("".join(paragraph_xml(run_xml(x)) for x in lines))
+            return pdf_bytes([pdf_page(lines[k : k + 40]) for k in range(0, len(lines), 40)])
+
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                lines = (text or "").split("\n")
-                if kind == "docx":
-                    content = docx_bytes("".join(paragraph_xml(run_xml(x)) for x in lines))
-                else:
-                    content = pdf_bytes([pdf_page(lines[k : k + 40]) for k in range(0, len(lines), 40)])
-                yield pa.record_batch([pa.array([doc], pa.int64()), pa.array([content], pa.binary())], names=["doc_id", "content"])
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                yield pa.record_batch([part.column(0), pa.array([made(t or "") for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "content"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, content binary")
