@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, from_id, hot_join, to_id, trimmed, written
+from .common import components, from_id, hot_join, small, to_id, trimmed, written
 from .simhash import forest
 
 LIMIT, LABELS, SAMPLE, SHARD, BLOCK = 0.93, 1000, 20_000, 1000, 2000
@@ -330,7 +330,7 @@ def search_links(nodes: DataFrame, homes: int, beam: int, limit: float) -> DataF
     placed = nodes.select("node", "label", "dim", "mult", "vec").mapInArrow(trimmed(assign(shard_centers(nodes), homes)), "node long, label int, dim int, mult long, vec array<double>, homes array<int>")
     members = placed.withColumn("cluster", F.explode("homes"))
     sizes = written(members.groupBy("label", "dim", "cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
-    members = members.join(sizes, ["label", "dim", "cluster"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    members = members.join(small(sizes), ["label", "dim", "cluster"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     members = written(members, "members")
     graphs = members.select("label", "dim", "cluster", "block", "node", "vec").groupBy("label", "dim", "cluster", "block").applyInArrow(build, "node long, near array<long>")
     united = graphs.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
