@@ -20,13 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, from_id, hot_join, to_id, written
+from .common import drop_written, from_id, hot_join, small, to_id, written
 
 SHARDS, ROUNDS, PRIORITIES = 40, 6, 1024
 #: Rows that one window ranks together.
 RANKED = 1 << 16
-#: Up to so many rows, a table of offsets is broadcast.
-FEW_ROWS = 50_000
 
 
 def ranked(df: DataFrame, by: list[str], bucket: Column, order: list[str | Column], out: str) -> DataFrame:
@@ -36,9 +34,8 @@ def ranked(df: DataFrame, by: list[str], bucket: Column, order: list[str | Colum
     sizes = df.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), "offsets")
-    offsets = F.broadcast(offsets) if offsets.count() <= FEW_ROWS else offsets
     at = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order))
-    return df.withColumn("_at", at).join(offsets, [*by, "_b"]).withColumn(out, F.col("_before") + F.col("_at") - 1).drop("_b", "_at", "_before")
+    return df.withColumn("_at", at).join(small(offsets), [*by, "_b"]).withColumn(out, F.col("_before") + F.col("_at") - 1).drop("_b", "_at", "_before")
 
 
 def _homes(members: DataFrame, room: list[int]) -> DataFrame:
