@@ -256,6 +256,23 @@ def test_vectors_shards_and_blocks(spark, monkeypatch):
     check_vectors(spark, rows, recall=0.9)
 
 
+def test_large_shards_are_split_again(spark, monkeypatch):
+    """Two levels of pivots, and a group of near copies that no pivot may split."""
+    monkeypatch.setattr(vectors, "SHARD", 40)
+    monkeypatch.setattr(vectors, "SAMPLE", 16)
+    monkeypatch.setattr(vectors, "REFINE", 90)
+    monkeypatch.setattr(vectors, "CHUNK", 50)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(120, 24))
+    near = [base[k % 120] + rng.normal(size=24) * 0.1 for k in range(500)] + [base[0] + rng.normal(size=24) * 0.03 for _ in range(150)]
+    rows = [(k, [float(x) for x in v.astype(np.float32)], 1) for k, v in enumerate(near)]
+    calls = []
+    split = vectors.written
+    monkeypatch.setattr(vectors, "written", lambda df, name: calls.append(name) or split(df, name))
+    check_vectors(spark, rows, recall=0.95)
+    assert "finer" in calls
+
+
 def test_walks_find_what_is_in_range():
     rng = np.random.default_rng(8)
     x = vectors.unit(np.concatenate([rng.normal(size=(300, 24)), np.repeat(rng.normal(size=(1, 24)), 60, axis=0) + rng.normal(size=(60, 24)) * 0.05]))

@@ -1,7 +1,8 @@
 """Embedding near-dedup by robust-pruned flat graphs (operator 10).
 
 Vectors that are equal are one node with a count. Centroids are fitted on a bounded sample for each large label, and every node goes to
-the shards of its HOMES nearest centroids, so neighbours across a border share a shard. In each block of a
+the shards of its HOMES nearest centroids, so neighbours across a border share a shard. Shards of over REFINE nodes are
+split again, level by level, by pivots of their own that lie APART; a shard of near copies has one pivot and stays whole. In each block of a
 shard a flat graph is built: candidates (nearest and random nodes) are pruned robustly, so that an edge is left out when a
 kept neighbour is closer to its end by ALPHA, and reverse edges are added. A node's adjacency lists from all its shards
 are united. Every node then searches its shards: a greedy beam walk from the medoid, and from all nodes in range a
@@ -33,6 +34,8 @@ from .simhash import forest
 LIMIT, LABELS, SAMPLE, SHARD, BLOCK = 0.93, 1000, 20_000, 1000, 2000
 HOMES, NEAREST, RANDOM, DEGREE, ALPHA, BEAM = 2, 32, 32, 20, 1.2, 24
 AUDITED, LEAST_RECALL, TRIES, SEED = 200, 0.95, 3, 11
+#: Shards with more nodes are split again by up to about PIVOTS of their nodes, dealt CHUNK at a time.
+REFINE, PIVOTS, CHUNK, APART, LEVELS = 8 * BLOCK, 1000, 10_000, 0.6, 4
 _QUERIES = 256
 
 
@@ -99,6 +102,62 @@ def assign(centers: dict, homes: int):
     return run
 
 
+def thin(key: tuple, rows: pa.Table) -> pa.Table:
+    """A shard's candidate pivots without those that are near one kept before."""
+    rows = rows.sort_by("node")
+    units = unit(_matrix(rows["vec"]))
+    kept: list[int] = []
+    for k in range(len(units)):
+        if not kept or (units[kept] @ units[k]).max() < APART:
+            kept.append(k)
+    rows = rows.take(pa.array(kept))
+    same = [pa.array([k.as_py()] * len(kept), t) for k, t in zip(key, (pa.int32(), pa.int32(), pa.int64()))]
+    return pa.table([*same, rows["node"], rows["vec"]], names=["label", "dim", "cluster", "pivot", "pivot_vec"])
+
+
+def finer(cluster: int, pivots: np.ndarray) -> np.ndarray:
+    """Numbers for the parts of a shard that belong to its pivots."""
+    x = pivots.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(cluster & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(29))) >> np.uint64(1)).astype(np.int64)
+
+
+def deal_out(key: tuple, rows: pa.Table, pivots: pa.Table) -> pa.Table:
+    """A chunk of a large shard to the parts of its nearest pivots; unchanged and final if there are no two."""
+    rows = rows.select(["label", "dim", "cluster", "node", "mult", "vec"])
+    if pivots.num_rows < 2 or not rows.num_rows:
+        return rows.append_column("final", pa.array([True] * rows.num_rows))
+    pivots = pivots.sort_by("pivot")
+    near = np.argsort(-(unit(_matrix(rows["vec"])) @ unit(_matrix(pivots["pivot_vec"])).T), axis=1, kind="stable")[:, :HOMES]
+    parts = finer(key[2].as_py(), pivots["pivot"].to_numpy())[near]
+    rows = rows.take(pa.array(np.repeat(np.arange(rows.num_rows), near.shape[1])))
+    rows = rows.set_column(2, "cluster", pa.array(parts.ravel()))
+    return rows.append_column("final", pa.array([False] * rows.num_rows))
+
+
+def refined(members: DataFrame) -> DataFrame:
+    """members (label, dim, cluster, node, mult, vec, homes) with large shards split; homes lists each node's shards anew."""
+    keys = ["label", "dim", "cluster"]
+    schema = "label int, dim int, cluster long, node long, mult long, vec array<double>, final boolean"
+    now = members.drop("homes").withColumn("final", F.lit(False))
+    for level in range(LEVELS):
+        sizes = written(now.where("NOT final").groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > REFINE), "large")
+        if not sizes.head(1):
+            return members if not level else now.drop("final").join(now.groupBy("node").agg(F.array_sort(F.collect_set("cluster")).alias("homes")), "node")
+        marked = now.join(small(sizes), keys, "left")
+        large = marked.where("n IS NOT NULL")
+        every = F.greatest(F.lit(1), F.floor(F.col("n") / F.least(F.lit(PIVOTS), F.ceil(F.col("n") / SHARD))))
+        chosen = large.where(F.pmod(F.xxhash64("node", F.lit(level)), every) == 0).select(*keys, "node", "vec")
+        pivots = written(chosen.groupBy(*keys).applyInArrow(thin, "label int, dim int, cluster long, pivot long, pivot_vec array<double>"), "pivots")
+        chunks = F.ceil(F.col("n") / CHUNK)
+        left = large.select(*keys, "node", "mult", "vec", F.pmod(F.xxhash64("node", F.lit(-1)), chunks).alias("chunk"))
+        right = pivots.join(small(sizes), keys).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).drop("n")
+        split = left.groupBy(*keys, "chunk").cogroup(right.groupBy(*keys, "chunk")).applyInArrow(deal_out, schema)
+        kept = marked.where("n IS NULL").select(*keys, "node", "mult", "vec", "final")
+        now = written(kept.unionByName(split), "finer")
+    return now.drop("final").join(now.groupBy("node").agg(F.array_sort(F.collect_set("cluster")).alias("homes")), "node")
+
+
 # ---- graphs
 
 
@@ -328,7 +387,8 @@ def audit(nodes: DataFrame, links: DataFrame, limit: float = LIMIT, audited: int
 def search_links(nodes: DataFrame, homes: int, beam: int, limit: float) -> DataFrame:
     """Written rows (kind, a, b) of the search over nodes (node, label, dim, mult, vec)."""
     placed = nodes.select("node", "label", "dim", "mult", "vec").mapInArrow(trimmed(assign(shard_centers(nodes), homes)), "node long, label int, dim int, mult long, vec array<double>, homes array<int>")
-    members = placed.withColumn("cluster", F.explode("homes"))
+    members = placed.withColumn("homes", F.col("homes").cast("array<long>")).withColumn("cluster", F.explode("homes"))
+    members = refined(written(members.select("label", "dim", "cluster", "node", "mult", "vec", "homes"), "placed"))
     sizes = written(members.groupBy("label", "dim", "cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
     members = members.join(small(sizes), ["label", "dim", "cluster"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     members = written(members, "members")
