@@ -215,13 +215,13 @@ w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS spa
 @query("docx_spans", _DOCX + "SELECT doc_id, span_seq, text, CAST(1 + line // 40 AS INT) AS page_number, (line % 40 * 14)::DOUBLE AS y0, (line % 40 * 14 + 14)::DOUBLE AS y1 FROM w")
 def docx_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans read back from DOCX files that hold a paragraph for every line of a document."""
-    out = docx.docx_spans(samples.files_of(documents(spark, sf_dir), "docx"))
+    out = docx.docx_spans(samples.files_of(fixture.spread(documents(spark, sf_dir)), "docx"))
     return out.select("doc_id", "span_seq", "text", "page_number", "bbox.y0", "bbox.y1")
 
 
 @query("docx_paging", _DOCX + "SELECT doc_id, CAST(1 + line // 40 AS INT) AS page_number, count(*) AS n_spans FROM w GROUP BY ALL")
 def docx_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docx.docx_spans(samples.files_of(documents(spark, sf_dir), "docx")).groupBy("doc_id", "page_number").agg(F.count("*").alias("n_spans"))
+    return docx.docx_spans(samples.files_of(fixture.spread(documents(spark, sf_dir)), "docx")).groupBy("doc_id", "page_number").agg(F.count("*").alias("n_spans"))
 
 
 @query(
@@ -233,7 +233,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line, pos) - 1 AS
 )
 def pdf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words read back from PDF files that show a document's plain characters, 40 lines a page."""
-    plain = documents(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"[^A-Za-z0-9 .,\n]", "").alias("text"))
+    plain = fixture.spread(documents(spark, sf_dir)).select("doc_id", F.regexp_replace("text", r"[^A-Za-z0-9 .,\n]", "").alias("text"))
     return pdf.pdf_words(samples.files_of(plain, "pdf")).select("doc_id", "span_seq", "text", "page_number", "font_size")
 
 
@@ -632,6 +632,6 @@ def write_safe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_reports", _DOCX + "SELECT doc_id, count(*) AS total_spans, count(*) FILTER (WHERE FALSE) AS hidden_count, 'safe' AS risk_level FROM w GROUP BY doc_id")
 def stream_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming reports' plan over DOCX files made from documents; files without spans are left out."""
-    files = samples.files_of(documents(spark, sf_dir), "docx").select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), "content")
+    files = samples.files_of(fixture.spread(documents(spark, sf_dir)), "docx").select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), "content")
     out = stream_files.reports(stream_files.span_arrays(files)).where("total_spans > 0")
     return out.select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("doc_id"), "total_spans", (F.col("invisible_count") + F.col("suspicious_count")).alias("hidden_count"), "risk_level")

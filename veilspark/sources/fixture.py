@@ -31,6 +31,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """df dealt by key where its files are fewer than the cores, as one file of one row group is one task however large the
+    cluster. Larger inputs come in enough files and are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def grey(name: str):
     c = F.col(name)
     return F.when(c.isNotNull(), F.struct(c.alias("r"), c.alias("g"), c.alias("b")))
@@ -45,7 +52,7 @@ def spans_of(documents: DataFrame) -> DataFrame:
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans_of(read(spark, sf_dir, "documents"))
+    return spans_of(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 #: The same spans as DuckDB common table expressions: s (flat), then a with contrast and status.
