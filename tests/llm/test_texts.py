@@ -286,6 +286,27 @@ def test_sharding(spark):
     assert again.set_index("doc_id").shard.to_dict() == got.set_index("doc_id").shard.to_dict()
 
 
+def split_groups(got, text):
+    return int((got.assign(text=got.doc_id.map(text)).groupby("text").shard.nunique() > 1).sum())
+
+
+def test_shards_exchange_rows(spark):
+    """No unlinked row, so no shard has a free place at any time: only exchanges put groups together."""
+    pairs = [(k, f"pair {k // 2}") for k in range(4000)]
+    got = sharding.place(spark.createDataFrame(pairs, DOC)).toPandas()
+    assert got.groupby("shard").size().tolist() == [100] * 40 and split_groups(got, dict(pairs)) == 0
+    rows = [(k, "hot") for k in range(1000)] + [(1000 + k, f"group {k // 3 if k < 999 else (k - 999) // 2 + 333}") for k in range(1999)]
+    got = sharding.place(spark.createDataFrame(rows, DOC), shards=7).toPandas()
+    sizes = got.groupby("shard").size()
+    assert sizes.max() - sizes.min() <= 1 and split_groups(got, dict(rows)) <= 7
+    assert got[got.doc_id < 1000].shard.nunique() == 3
+
+
+def test_exchanges_along_cycles():
+    assert sharding.exchanges({(0, 1): 5, (1, 0): 3, (1, 2): 2, (2, 0): 2}, [0, 0, 0]) == {(0, 1): 5, (1, 0): 3, (1, 2): 2, (2, 0): 2}
+    assert sharding.exchanges({(0, 1): 5}, [0, 0]) == {} and sharding.exchanges({(0, 1): 5}, [0, 2]) == {(0, 1): 2}
+
+
 # ---- mixing
 
 
