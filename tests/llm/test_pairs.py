@@ -273,6 +273,33 @@ def test_large_shards_are_split_again(spark, monkeypatch):
     assert "finer" in calls
 
 
+def planted_pairs(n=300, dim=24):
+    """Unstructured vectors, each with one other at cosine 0.935 to 0.96."""
+    rng = np.random.default_rng(12)
+    a = vectors.unit(rng.normal(size=(n, dim)))
+    b = rng.normal(size=(n, dim))
+    b = vectors.unit(b - (b * a).sum(axis=1, keepdims=True) * a)
+    c = rng.uniform(0.935, 0.96, (n, 1))
+    return [(k, [float(x) for x in v.astype(np.float32)], 1) for k, v in enumerate(np.concatenate([a, c * a + np.sqrt(1 - c * c) * b]))]
+
+
+def test_the_last_try_is_audited(spark, monkeypatch):
+    """A search that loses half of the links on every try: all is compared in full then, in several blocks."""
+    monkeypatch.setattr(vectors, "BLOCK", 100)
+    search, calls = vectors.search_links, []
+    monkeypatch.setattr(vectors, "search_links", lambda *args: calls.append(args[1]) or search(*args).where("a % 2 = 0"))
+    rows = planted_pairs()
+    check_vectors(spark, rows + [(1000 + k, rows[0][1], 1) for k in range(5)] + [(None, [1.0, 2.0], 1)])
+    assert calls == [2, 3, 4]
+
+
+def test_homes_reach_shards_that_are_split_again():
+    rows = pa.table({"label": pa.array([1] * 9, pa.int32()), "dim": pa.array([2] * 9, pa.int32()), "cluster": range(9), "node": range(9), "mult": [1] * 9, "vec": [[1.0, k / 9] for k in range(9)]})
+    pivots = pa.table({"pivot": [0, 4, 7, 8], "pivot_vec": [[1.0, k / 9] for k in (0, 4, 7, 8)]})
+    key = [pa.scalar(0)] * 3
+    assert [vectors.deal_out(homes)(key, rows, pivots).num_rows for homes in (2, 3, 4)] == [18, 27, 36]
+
+
 def test_walks_find_what_is_in_range():
     rng = np.random.default_rng(8)
     x = vectors.unit(np.concatenate([rng.normal(size=(300, 24)), np.repeat(rng.normal(size=(1, 24)), 60, axis=0) + rng.normal(size=(60, 24)) * 0.05]))

@@ -10,8 +10,9 @@ range-expanding walk until it finds no more. Pairs in range are verified in doub
 
 A pair is counted in the smallest shard that its nodes share. Shards of over BLOCK nodes are cut in blocks by a hash, and every
 block is searched by every block, so no task holds a large shard and no pair of blocks is left out. Tasks return
-counts and a spanning forest of their links, never the pairs. Recall is audited against brute force for AUDITED nodes; below
-LEAST_RECALL the search is repeated with more homes and a wider beam.
+counts and a spanning forest of their links, never the pairs. Recall is audited against brute force for AUDITED nodes, over all links
+and as the mean over nodes with links, and the lower of both counts; below LEAST_RECALL the search is repeated with more homes, at every
+level of shards, and a wider beam. If no search of TRIES passes, all blocks of a label are compared in full, which loses nothing.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows without a label, link
 with nothing; vectors of different lengths don't link; equal rows link with each other; rows with the same vec_id and
@@ -122,20 +123,24 @@ def finer(cluster: int, pivots: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(29))) >> np.uint64(1)).astype(np.int64)
 
 
-def deal_out(key: tuple, rows: pa.Table, pivots: pa.Table) -> pa.Table:
-    """A chunk of a large shard to the parts of its nearest pivots; unchanged and final if there are no two."""
-    rows = rows.select(["label", "dim", "cluster", "node", "mult", "vec"])
-    if pivots.num_rows < 2 or not rows.num_rows:
-        return rows.append_column("final", pa.array([True] * rows.num_rows))
-    pivots = pivots.sort_by("pivot")
-    near = np.argsort(-(unit(_matrix(rows["vec"])) @ unit(_matrix(pivots["pivot_vec"])).T), axis=1, kind="stable")[:, :HOMES]
-    parts = finer(key[2].as_py(), pivots["pivot"].to_numpy())[near]
-    rows = rows.take(pa.array(np.repeat(np.arange(rows.num_rows), near.shape[1])))
-    rows = rows.set_column(2, "cluster", pa.array(parts.ravel()))
-    return rows.append_column("final", pa.array([False] * rows.num_rows))
+def deal_out(homes: int):
+    """A chunk of a large shard to the parts of its `homes` nearest pivots; unchanged and final if there are no two."""
 
+    def run(key: tuple, rows: pa.Table, pivots: pa.Table) -> pa.Table:
+        rows = rows.select(["label", "dim", "cluster", "node", "mult", "vec"])
+        if pivots.num_rows < 2 or not rows.num_rows:
+            return rows.append_column("final", pa.array([True] * rows.num_rows))
+        pivots = pivots.sort_by("pivot")
+        near = np.argsort(-(unit(_matrix(rows["vec"])) @ unit(_matrix(pivots["pivot_vec"])).T), axis=1, kind="stable")[:, :homes]
+        parts = finer(key[2].as_py(), pivots["pivot"].to_numpy())[near]
+        rows = rows.take(pa.array(np.repeat(np.arange(rows.num_rows), near.shape[1])))
+        rows = rows.set_column(2, "cluster", pa.array(parts.ravel()))
+        return rows.append_column("final", pa.array([False] * rows.num_rows))
 
-def refined(members: DataFrame) -> DataFrame:
+    return run
+
+
+def refined(members: DataFrame, homes: int) -> DataFrame:
     """members (label, dim, cluster, node, mult, vec, homes) with large shards split; homes lists each node's shards anew."""
     keys = ["label", "dim", "cluster"]
     schema = "label int, dim int, cluster long, node long, mult long, vec array<double>, final boolean"
@@ -152,7 +157,7 @@ def refined(members: DataFrame) -> DataFrame:
         chunks = F.ceil(F.col("n") / CHUNK)
         left = large.select(*keys, "node", "mult", "vec", F.pmod(F.xxhash64("node", F.lit(-1)), chunks).alias("chunk"))
         right = pivots.join(small(sizes), keys).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).drop("n")
-        split = left.groupBy(*keys, "chunk").cogroup(right.groupBy(*keys, "chunk")).applyInArrow(deal_out, schema)
+        split = left.groupBy(*keys, "chunk").cogroup(right.groupBy(*keys, "chunk")).applyInArrow(deal_out(homes), schema)
         kept = marked.where("n IS NULL").select(*keys, "node", "mult", "vec", "final")
         now = written(kept.unionByName(split), "finer")
     return now.drop("final").join(now.groupBy("node").agg(F.array_sort(F.collect_set("cluster")).alias("homes")), "node")
@@ -372,13 +377,59 @@ def brute_counts(sample: list, limit: float):
 
 
 def audit(nodes: DataFrame, links: DataFrame, limit: float = LIMIT, audited: int = AUDITED) -> float:
-    """The share of the brute-force links of `audited` nodes that links (node, n_links) has."""
+    """The share of the brute-force links of `audited` nodes that links (node, n_links) has: over all their links or as the mean
+    over those with links, whichever is lower, so that neither a few large groups nor many small ones hide a loss."""
     sample = nodes.orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(audited).select("node", "label", "dim", "vec").collect()
     if not sample:
         return 1.0
     truth = nodes.select("node", "label", "dim", "mult", "vec").mapInArrow(trimmed(brute_counts(sample, limit)), "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth"))
-    got = truth.join(links, "node", "left").agg(F.sum("truth"), F.sum(F.least("truth", F.coalesce("n_links", F.lit(0))))).first()
-    return got[1] / got[0] if got[0] else 1.0
+    have = F.least("truth", F.coalesce("n_links", F.lit(0)))
+    got = truth.where("truth > 0").join(links, "node", "left").agg(F.sum("truth"), F.sum(have), F.avg(have / F.col("truth"))).first()
+    return min(got[1] / got[0], got[2]) if got[0] else 1.0
+
+
+# ---- comparison in full
+
+
+def compare(limit: float):
+    """Two blocks (role 1 and 2), or one with itself (role 3), all nodes with all: rows as of search(), links of both sides."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node")
+        role, ids, mult = (rows[c].to_numpy() for c in ("role", "node", "mult"))
+        units = unit(_matrix(rows["vec"]))
+        asking, held = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+        counts, us, vs = np.zeros(len(ids), np.int64), [], []
+        for k in range(0, len(asking), _QUERIES):
+            q = asking[k : k + _QUERIES]
+            hit = units[q] @ units[held].T >= limit
+            hit &= q[:, None] != held[None, :]
+            counts[q] += hit @ mult[held]
+            if key[3] != key[4]:
+                counts[held] += mult[q] @ hit
+            a, b = np.nonzero(hit)
+            if len(a):
+                u, v = forest(ids[q[a]], ids[held[b]])
+                us.append(u)
+                vs.append(v)
+        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
+        if len(u):
+            u, v = forest(u, v)
+        kind = np.repeat(np.array([0, 1], np.int32), [len(ids), len(u)])
+        return pa.table({"kind": kind, "a": np.concatenate([ids, u]), "b": np.concatenate([counts, v])})
+
+    return run
+
+
+def compare_all(nodes: DataFrame, limit: float) -> DataFrame:
+    """Rows as of search_links() by comparing every pair of blocks of a label: no link is lost, at quadratic cost."""
+    keys = ["label", "dim"]
+    sizes = written(nodes.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
+    placed = nodes.select(*keys, "node", "mult", "vec").join(small(sizes), keys).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    ready = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    role = F.when(F.col("block") == F.col("other"), 3).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("role")
+    pairs = ready.select(*keys, F.lit(0).alias("cluster"), F.least("block", "other").alias("q"), F.greatest("block", "other").alias("g"), role, "node", "mult", "vec")
+    return written(pairs.groupBy(*keys, "cluster", "q", "g").applyInArrow(compare(limit), "kind int, a long, b long"), "links")
 
 
 # ---- operator
@@ -388,7 +439,7 @@ def search_links(nodes: DataFrame, homes: int, beam: int, limit: float) -> DataF
     """Written rows (kind, a, b) of the search over nodes (node, label, dim, mult, vec)."""
     placed = nodes.select("node", "label", "dim", "mult", "vec").mapInArrow(trimmed(assign(shard_centers(nodes), homes)), "node long, label int, dim int, mult long, vec array<double>, homes array<int>")
     members = placed.withColumn("homes", F.col("homes").cast("array<long>")).withColumn("cluster", F.explode("homes"))
-    members = refined(written(members.select("label", "dim", "cluster", "node", "mult", "vec", "homes"), "placed"))
+    members = refined(written(members.select("label", "dim", "cluster", "node", "mult", "vec", "homes"), "placed"), homes)
     sizes = written(members.groupBy("label", "dim", "cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
     members = members.join(small(sizes), ["label", "dim", "cluster"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     members = written(members, "members")
@@ -417,10 +468,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     nodes = nodes.withColumnRenamed("node", "id").withColumn("node", F.when(again, -F.shiftrightunsigned(F.xxhash64("key"), 1) - 1).otherwise(F.col("id")))
     nodes = written(nodes.withColumn("dim", F.size("vec")), "nodes")
     homes, beam = HOMES, BEAM
-    for turn in range(TRIES):
-        found = search_links(nodes, homes, beam, limit)
+    for turn in range(TRIES + 1):
+        found = search_links(nodes, homes, beam, limit) if turn < TRIES else compare_all(nodes, limit)
         links = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n_links"))
-        if turn == TRIES - 1 or audit(nodes, links, limit) >= LEAST_RECALL:
+        if turn == TRIES or audit(nodes, links, limit) >= LEAST_RECALL:
             break
         homes, beam = homes + 1, 2 * beam
     roots = components(found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))
