@@ -349,6 +349,26 @@ def test_mixing(spark):
     assert sorted(map(repr, got[key].values.tolist())) == sorted(map(repr, again[key].values.tolist()))
 
 
+def test_mixed_rows_keep_their_own_decisions(spark):
+    """Null and repeated ids, a null source and equal rows: the stage takes as many words as the query, row by row."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 7, 7, 100 + k]), " w" * rng.choice([0, 1, 3, 20, 50]) + f" x{k % 40}", rng.choice(["a", "b", "c", None])) for k in range(900)] + [(None, "same text", "c")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = mixing.mix_sizes(df.select(mixing.to_id("doc_id").alias("id"), "source", mixing.n_words("text").alias("size"))).toPandas()
+    got = mixing.mixed(df).select("doc_id", "source", mixing.n_words("text").alias("size")).collect()
+    count = {}
+    for r in got:
+        key = (2**63 - 1 if r.doc_id is None else r.doc_id, r.source, r["size"])
+        count[key] = count.get(key, 0) + 1
+    due = {}
+    for i, s, n, c in zip(want.id, want.source, want["size"], want.copies):
+        key = (int(i), s if isinstance(s, str) else None, int(n))
+        due[key] = due.get(key, 0) + int(c)
+    assert count == {k: c for k, c in due.items() if c}
+    again = mixing.mixed(df.repartition(7)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, mixing.mixed(df).collect()))
+
+
 def test_rounding_keeps_mass_and_probability(spark):
     rows = [(k % 2, k, 1 + k % 9, 0.3 * (1 + k % 9)) for k in range(2000)]
     df = spark.createDataFrame(rows, "s int, id long, w long, m double")

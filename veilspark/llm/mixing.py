@@ -26,7 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import from_id, to_id, written
+from .common import from_id, small, to_id, written
+from .sharding import RANKED, ranked
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 BLOCK, BUCKET, SEED = 64, 4096, 20
@@ -157,8 +158,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with each row as often as the mix takes it; rows that share an id share the smallest of their decisions."""
+    """docs with each row as often as the mix takes it. Rows of one id, source and size are alike to the mix, so their decisions are
+    dealt to them by a hash of their columns; every decision goes to one row."""
+    own = {"_mix_id": to_id(docs[id_col]), "_mix_source": docs[source_col], "_mix_size": n_words(text_col)}
     rows = docs.select(to_id(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"))
-    copies = mix_sizes(rows).groupBy("id").agg(F.min("copies").cast("int").alias("_copies")).where("_copies > 0").select(F.col("id").alias("_mix_id"), "_copies")
-    out = docs.join(copies, to_id(docs[id_col]) == F.col("_mix_id"))
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    decided = written(mix_sizes(rows).groupBy("id", "source", "size").agg(F.count("*").alias("_n"), F.min("copies").cast("int").alias("_least"), F.sum("copies").alias("_all")), "decided")
+    # the ids whose rows all get the same need no more than the id; those of others are told apart
+    even = F.max(F.col("_all") / F.col("_n")) == F.min("_least")
+    ids = written(decided.groupBy("id").agg(F.min("_least").alias("_copies"), even.alias("_even")), "ids")
+    out = docs.withColumns({"_mix_id": own["_mix_id"]}).join(ids.where("_even AND _copies > 0").select(F.col("id").alias("_mix_id"), "_copies"), "_mix_id")
+    out = out.select(*docs.columns, "_copies")
+    apart = written(ids.where("NOT _even").select(F.col("id").alias("_mix_id")), "apart")
+    if apart.head(1):
+        kinds = decided.join(small(apart), decided["id"] == F.col("_mix_id")).select(F.col("id").alias("_of"), F.col("source").alias("_from"), F.col("size").alias("_words"), "_n", "_least", (F.col("_all") - F.col("_n") * F.col("_least")).alias("_more"))
+        kinds = written(kinds, "kinds")
+        told = docs.withColumns(own).join(small(apart), "_mix_id")
+        told = told.join(small(kinds), (F.col("_mix_id") == F.col("_of")) & F.col("_mix_source").eqNullSafe(F.col("_from")) & (F.col("_mix_size") == F.col("_words")))
+        told = told.withColumn("_row", F.xxhash64(*[c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]))
+        told = told.withColumn("_none", F.col("_from").isNull()).withColumn("_named", F.coalesce(F.col("_from").cast("string"), F.lit("")))
+        told = ranked(told, ["_of", "_none", "_named", "_words"], F.pmod(F.xxhash64("_row"), F.floor(F.col("_n") / RANKED) + 1), ["_row"], "_nth")
+        out = out.union(told.select(*docs.columns, (F.col("_least") + (F.col("_nth") < F.col("_more")).cast("int")).alias("_copies")))
+    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
