@@ -4,21 +4,7 @@ from __future__ import annotations
 
 import re
 
-PATTERNS = [
-    r"\bignore\s+(previous|prior|above|all)\s+(instructions?|prompts?|commands?)\b",
-    r"\bdisregard\s+(previous|prior|above|all)\s+(instructions?|prompts?|commands?)\b",
-    r"\bforget\s+(everything|all|previous|prior|above)\b",
-    r"\bsystem\s*:\s*",
-    r"\bassistant\s*:\s*",
-    r"\buser\s*:\s*",
-    r"\byou\s+are\s+now\b",
-    r"\bpretend\s+(to\s+be|you\s+are)\b",
-    r"\bact\s+as\s+(if|a|an)\b",
-    r"\brole\s*:\s*",
-    r"\bnew\s+(instructions?|prompts?|commands?)\b",
-    r"\boverride\s+(previous|settings?|instructions?)\b",
-]
-
+from veilspark.functions.injection import PATTERNS
 
 def luminance(rgb):
     lin = [c / 12.92 if c <= 0.03928 else ((c + 0.055) / 1.055) ** 2.4 for c in (v / 255.0 for v in rgb)]

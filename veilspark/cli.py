@@ -14,7 +14,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__, config
-from .functions.text import preview
 from .operators import reports, risk, sanitize, spans as span_ops
 from .schema import STRATEGIES
 from .sources import files
@@ -31,6 +30,7 @@ def _parser() -> argparse.ArgumentParser:
         one = sub.add_parser(name)
         one.add_argument("paths", nargs="+")
         one.add_argument("--verbose", "-v", action="store_true")
+        one.add_argument("--ocr-tokens", help="Parquet table of OCR tokens with the paths of their files")
         if name == "clean":
             one.add_argument("--output", "-o", help="text file for the cleaned text; a folder of JSON lines for several documents")
             one.add_argument("--strategy", choices=STRATEGIES, default="strip")
@@ -58,9 +58,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     failed = {"scan": FAILED, "clean": FAILED, "gate": 3, "report": 1}[args.command]
     try:
         found = files.load(spark, args.paths).cache()
-        spans, errors = files.spans_of_files(found, settings)
+        got = files.extracted(found, settings).cache()
+        tokens = spark.read.parquet(args.ocr_tokens).withColumn("doc_id", F.xxhash64("path")) if args.ocr_tokens else None
+        spans, errors = files.spans_and_errors(got, tokens)
         # what is printed is a row a file named on the command line
-        bad = errors.collect()
+        bad = errors.join(found.select("doc_id", "path"), "doc_id").collect()
         for row in bad:
             print(f"ERROR: {row.path}: {row.error}", file=sys.stderr)
         good = found.select("doc_id", "path").join(errors.select("doc_id"), "doc_id", "left_anti")
@@ -73,7 +75,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 
 def _scan(spans, documents, c, args) -> int:
     report = risk.risk_report(span_ops.analyzed(spans, c), documents, c).join(documents, "doc_id")
-    worst = OK
+    worst, safe, unsafe = OK, [], []
     for r in report.withColumn("exit_code", risk.scan_exit_code()).orderBy("path").collect():
         print(f"{r.path}\n  Status: {r.visible_count} visible, {r.suspicious_count} suspicious, {r.invisible_count} invisible\n  Risk: {r.risk_level.upper()}")
         if r.prompt_injection_detected:
@@ -82,6 +84,11 @@ def _scan(spans, documents, c, args) -> int:
             print("".join(f"  - {line}\n" for line in r.recommendations), end="")
             print("".join(f"  [{k}] '{_short(x)}'\n" for k, x in enumerate(r.invisible_text_sample[:3], 1)), end="")
         worst = max(worst, r.exit_code)
+        (safe if r.exit_code == 0 else unsafe).append(r.path)
+    if len(safe) + len(unsafe) > 1:
+        print(f"Results: {len(safe)} safe, {len(unsafe)} unsafe")
+        for title, mark, paths in (("Safe to process:", "+", safe), ("Requires review:", "-", unsafe)):
+            print("".join([f"{title}\n" if paths else "", *[f"  {mark} {p}\n" for p in paths]]), end="")
     return worst
 
 
@@ -119,17 +126,31 @@ def _gate(spans, documents, c, args) -> int:
             print(f"  Page {p.page_number}: {p.n_hidden} hidden span(s) [{p.severity}]\n    Text: '{p.example}'" + (f"\n    Why: {p.why}" if p.why else ""))
         if r.more_pages:
             print(f"  ... and {r.more_pages} more pages")
+        if r.patterns:
+            print(f"  WARNING: {r.n_patterns} suspicious pattern(s)" + "".join(f"\n    - '{x}'" for x in r.patterns))
         code = max(code, r.exit_code)
     return code
 
 
 def _report(spans, documents, c, args) -> int:
-    analyzed = span_ops.analyzed(spans, c)
-    shown = F.transform("invisible_text_sample", lambda x: preview(x, 60))
-    out = risk.risk_report(analyzed, documents, c).withColumn("samples", shown).join(documents, "doc_id")
-    for r in out.orderBy("path").collect():
-        print(f"{r.path}\n  {r.total_spans} spans: {r.visible_count} visible, {r.suspicious_count} suspicious, {r.invisible_count} invisible, {r.unknown_count} unknown\n  Risk: {r.risk_level.upper()}")
-        print("".join(f"  - {line}\n" for line in (*r.samples, *r.recommendations)), end="")
+    for r in reports.detail_report(spans, documents, c).join(documents, "doc_id").orderBy("path").collect():
+        lines = [
+            r.path,
+            f"  {r.total_spans} spans, {r.total_chars} characters; {r.with_size} with a size, {r.with_color} with a colour",
+            f"  {r.visible_count} visible, {r.suspicious_count} suspicious, {r.invisible_count} invisible, {r.unknown_count} unknown",
+        ]
+        for k, x in enumerate(r.problem_spans, 1):
+            about = [f"Page: {x.page}", x.contrast and f"Contrast: {x.contrast}:1", x.size and f"Size: {x.size}pt", x.color and x.background and f"Colors: {x.color} on {x.background}"]
+            lines += [f"  [{k}] {x.status}: '{x.text}'", "      " + ", ".join(filter(None, about))]
+        if r.more_spans:
+            lines.append(f"  ... and {r.more_spans} more")
+        lines.append(f"  Risk: {r.risk_level.upper()}")
+        if r.patterns:
+            lines += [f"  WARNING: {r.n_patterns} attack pattern(s)", *[f"    - '{x}'" for x in r.patterns]]
+        if r.more_patterns:
+            lines.append(f"    ... and {r.more_patterns} more")
+        lines += [f"  [{k}] '{x}'" for k, x in enumerate(r.samples, 1)] + [f"  - {x}" for x in r.recommendations]
+        print("\n".join(lines))
     return OK
 
 

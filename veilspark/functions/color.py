@@ -21,8 +21,8 @@ _TABLE = "array(" + ", ".join(f"{_linear(v)!r}D" for v in range(256)) + ")"
 
 def linear_channel(level: Column) -> Column:
     """srgb_to_linear of an 8-bit level by a folded table: a look-up a channel keeps contrast small enough to be pushed
-    into filters, and no power is raised per row. Null beyond 0 to 255."""
-    return F.get(F.expr(_TABLE), level)
+    into filters, and no power is raised per row. Levels beyond 0 to 255 go by the formula, as the specification has no bounds."""
+    return F.coalesce(F.get(F.expr(_TABLE), level), srgb_to_linear(level / F.lit(255.0)))
 
 
 def relative_luminance(color: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions import text
+from ..functions import text, visibility
+from ..sources import ingest
 from . import risk, spans as span_ops
 
 
@@ -56,12 +57,16 @@ def issues(analyzed_spans: DataFrame) -> DataFrame:
     return g.select("doc_id", F.col("page_number").alias("page"), "group_seq", text.preview(F.col("text"), 100).alias("text"), "severity", F.array_join("reasons", ", ").alias("reasons"))
 
 
+def _with_marker(by_doc) -> Column:
+    """A span's text, after a marker where the page changes (from page 1 at first)."""
+    page = F.col("page_number")
+    marker = F.when(page != F.lag("page_number", 1, 1).over(by_doc), F.concat(F.lit("\n--- Page "), page.cast("string"), F.lit(" ---\n")))
+    return F.concat_ws(" ", marker, F.col("text"))
+
+
 def full_text(spans: DataFrame) -> DataFrame:
     """doc_id, full_text: all texts with a marker where the page changes (from page 1 at first)."""
-    w = Window.partitionBy("doc_id").orderBy("span_seq")
-    page = F.col("page_number")
-    marker = F.when(page != F.lag("page_number", 1, 1).over(w), F.concat(F.lit("\n--- Page "), page.cast("string"), F.lit(" ---\n")))
-    marked = spans.withColumn("_part", F.concat_ws(" ", marker, F.col("text")))
+    marked = spans.withColumn("_part", _with_marker(Window.partitionBy("doc_id").orderBy("span_seq")))
     items = F.array_sort(F.collect_list(F.struct("span_seq", "_part")))
     return marked.groupBy("doc_id").agg(F.array_join(F.transform(items, lambda x: x["_part"]), " ").alias("full_text"))
 
@@ -73,24 +78,79 @@ def viewer_sections(full: DataFrame) -> DataFrame:
     return cut.select("doc_id", "section", body.alias("body")).where((F.col("section") > 0) | (F.col("body") != ""))
 
 
-def web_report(spans: DataFrame, documents: DataFrame | None = None, c: Config = DEFAULT) -> DataFrame:
-    """A row a document as the web view shows it, with issues as an array and the file type from its name if it has one."""
-    analyzed = span_ops.analyzed(spans, c)
-    report = risk.risk_report(analyzed, documents, c)
-    found = issues(analyzed).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "group_seq", "text", "severity", "reasons"))).alias("issues"))
-    bare = F.transform(F.coalesce("issues", F.array()), lambda x: F.struct(x["page"].alias("page"), x["text"].alias("text"), x["severity"].alias("severity"), x["reasons"].alias("reasons")))
-    out = report.join(found, "doc_id", "left").join(full_text(spans), "doc_id", "left")
-    return out.select(
+def web_report(spans: DataFrame, documents: DataFrame | None = None, c: Config = DEFAULT, errors: DataFrame | None = None) -> DataFrame:
+    """A row a document as the web view shows it, with issues as an array. documents with a path add the file type; errors (doc_id,
+    error) add a row with status ERROR for each file that can't be read.
+
+    Spans are read and dealt by document once; windows, issue groups and documents then follow in place."""
+    analyzed = span_ops.with_reasons(span_ops.analyzed(spans, c)).withColumn("_hidden", visibility.is_hidden(F.col("visibility_status")))
+    by_doc, by_page = Window.partitionBy("doc_id").orderBy("span_seq"), Window.partitionBy("doc_id", "page_number").orderBy("span_seq")
+    severity = F.when(F.col("_hidden"), text.severity(F.col("visibility_status")))
+    marked = analyzed.withColumn("_part", _with_marker(by_doc)).withColumn("_severity", severity)
+    was = F.last("_severity", ignorenulls=True).over(by_page.rowsBetween(Window.unboundedPreceding, -1))
+    marked = marked.withColumn("_begins", (F.col("_hidden") & (was.isNull() | (was != F.col("_severity")))).cast("int"))
+    marked = marked.withColumn("group_seq", F.when(F.col("_hidden"), F.sum("_begins").over(by_page.rowsBetween(Window.unboundedPreceding, 0))))
+    own = lambda column: F.collect_list(F.when(F.col("_hidden"), column))
+    groups = marked.groupBy("doc_id", "page_number", "group_seq", "_severity").agg(
+        *risk.span_measures(c),
+        F.collect_list(F.struct("span_seq", "_part")).alias("_parts"),
+        F.array_join(F.transform(F.array_sort(own(F.struct("span_seq", "text"))), lambda x: x["text"]), " ").alias("_text"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(own(F.col("reasons"))))), ", ").alias("_reasons"),
+    )
+    issue = F.struct(F.col("page_number").alias("page"), "group_seq", text.preview(F.col("_text"), 100).alias("text"), F.col("_severity").alias("severity"), F.col("_reasons").alias("reasons"))
+    per = groups.groupBy("doc_id").agg(
+        *risk.document_measures(),
+        F.array_sort(F.collect_list(F.when(F.col("group_seq").isNotNull(), issue))).alias("issues"),
+        F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("_parts"))), lambda x: x["_part"]), " ").alias("full_text"),
+    )
+    report = risk.judged(per, documents, c)
+    bare = F.transform("issues", lambda x: F.struct(x["page"].alias("page"), x["text"].alias("text"), x["severity"].alias("severity"), x["reasons"].alias("reasons")))
+    kind = "array<struct<page:int,text:string,severity:string,reasons:string>>"
+    out = report.select(
         "doc_id", risk.gate_status().alias("status"), F.upper("risk_level").alias("risk_level"), risk.web_score().alias("risk_score"), "total_spans",
         F.col("visible_count").alias("visible_spans"), F.col("suspicious_count").alias("suspicious_spans"), F.col("invisible_count").alias("invisible_spans"), risk.hidden_count().alias("hidden_spans"),
-        bare.alias("issues"), F.coalesce("full_text", F.lit("")).alias("full_text"), F.col("prompt_injection_detected").alias("prompt_injection"), "prompt_injection_patterns",
+        F.coalesce(bare, F.array()).cast(kind).alias("issues"), F.coalesce("full_text", F.lit("")).alias("full_text"), F.col("prompt_injection_detected").alias("prompt_injection"), "prompt_injection_patterns",
     )
+    if errors is not None:
+        nothing = F.lit(0)
+        failed = errors.select("doc_id", F.lit("ERROR").alias("status"), "error", nothing.alias("risk_score"), nothing.cast("long").alias("total_spans"), F.array().cast(kind).alias("issues"))
+        out = out.join(failed.select("doc_id"), "doc_id", "left_anti").unionByName(failed, allowMissingColumns=True)
+    if documents is not None and "path" in documents.columns:
+        out = out.join(documents.select("doc_id", ingest.file_type(F.col("path")).alias("file_type")), "doc_id", "left")
+    return out
 
 
 def gate_report(spans: DataFrame, documents: DataFrame | None = None, c: Config = DEFAULT) -> DataFrame:
-    """A row a document as the gate prints it: status, exit code, score and the first ten pages."""
+    """A row a document as the gate prints it: status, exit code, score, the first ten pages and three phrases, from one pass by page."""
+    analyzed = span_ops.with_reasons(span_ops.analyzed(spans, c), 1)
+    hidden = visibility.is_hidden(F.col("visibility_status"))
+    pages = analyzed.groupBy("doc_id", "page_number").agg(*risk.span_measures(c), F.min(F.when(hidden, F.struct("span_seq", "text", "reasons"))).alias("_first"))
+    n_hidden = risk.hidden_count()
+    severity = F.when(F.col("invisible_count") > 0, "INVISIBLE").otherwise("LOW CONTRAST")
+    page = F.struct("page_number", n_hidden.alias("n_hidden"), severity.alias("severity"), text.preview(F.col("_first.text"), 50).alias("example"), F.array_join("_first.reasons", ", ").alias("why"))
+    pages = pages.withColumn("_page", F.when(n_hidden > 0, page))
+    per = pages.groupBy("doc_id").agg(*risk.document_measures(), F.slice(F.array_sort(F.collect_list("_page")), 1, 10).alias("pages"), F.greatest(F.count("_page") - 10, F.lit(0)).alias("more_pages"))
+    out = risk.judged(per, documents, c)
+    empty = F.array().cast(per.schema["pages"].dataType)
+    return out.select("doc_id", risk.gate_status().alias("status"), risk.gate_exit_code().alias("exit_code"), risk.gate_score().alias("risk_score"), risk.hidden_count().alias("hidden_count"), "total_spans", F.coalesce("pages", empty).alias("pages"), F.coalesce("more_pages", F.lit(0)).alias("more_pages"), F.size("prompt_injection_patterns").alias("n_patterns"), F.slice("prompt_injection_patterns", 1, 3).alias("patterns"))
+
+
+def detail_report(spans: DataFrame, documents: DataFrame | None = None, c: Config = DEFAULT, most: int = 10) -> DataFrame:
+    """A row a document as the detailed view prints it: counts, characters, known sizes and colours, the first hidden spans,
+    phrases, samples, level, colour and recommendations."""
     analyzed = span_ops.analyzed(spans, c)
-    report = risk.risk_report(analyzed, documents, c)
-    pages = hidden_by_page(analyzed).groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("page_number", "n_hidden", "severity", "example", "why"))), 1, 10).alias("pages"), F.greatest(F.count("*") - 10, F.lit(0)).alias("more_pages"))
-    out = report.join(pages, "doc_id", "left")
-    return out.select("doc_id", risk.gate_status().alias("status"), risk.gate_exit_code().alias("exit_code"), risk.gate_score().alias("risk_score"), risk.hidden_count().alias("hidden_count"), "total_spans", "pages", F.coalesce("more_pages", F.lit(0)).alias("more_pages"), F.slice("prompt_injection_patterns", 1, 3).alias("patterns"))
+    hidden = visibility.is_hidden(F.col("visibility_status"))
+    size = F.when(F.col("font_size") != 0, text.fixed(F.col("font_size"), 1))
+    shown = F.struct("span_seq", F.upper("visibility_status").alias("status"), F.substring("text", 1, 50).alias("text"), F.col("page_number").alias("page"), text.fixed(F.col("contrast_ratio"), 2).alias("contrast"), size.alias("size"), text.color_text(F.col("font_color")).alias("color"), text.color_text(F.col("background_color")).alias("background"))
+    first = lambda items: F.slice(F.array_sort(items), 1, most)
+    extra = [F.sum(F.length("text")).alias("total_chars"), F.count("font_size").alias("with_size"), F.count("font_color").alias("with_color")]
+    pages = analyzed.groupBy("doc_id", "page_number").agg(*risk.span_measures(c), *extra, first(F.collect_list(F.when(hidden, shown))).alias("_shown"))
+    sums = ["total_chars", "with_size", "with_color"]
+    per = pages.groupBy("doc_id").agg(*risk.document_measures(), *[F.sum(k).alias(k) for k in sums], first(F.flatten(F.collect_list("_shown"))).alias("problem_spans"))
+    out = risk.judged(per, documents, c).fillna(0, subset=sums)
+    patterns = "prompt_injection_patterns"
+    return out.select(
+        "doc_id", *risk.COUNTS, *sums, F.coalesce("problem_spans", F.array().cast(per.schema["problem_spans"].dataType)).alias("problem_spans"),
+        F.greatest(risk.hidden_count() - most, F.lit(0)).alias("more_spans"), "risk_level", risk.risk_color().alias("risk_color"), F.size(patterns).alias("n_patterns"), F.slice(patterns, 1, 5).alias("patterns"),
+        F.greatest(F.size(patterns) - 5, F.lit(0)).alias("more_patterns"), risk.previews("invisible_text_sample", risk.SAMPLE, 60).alias("samples"), "recommendations",
+    )

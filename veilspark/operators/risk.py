@@ -63,23 +63,36 @@ def recommendations(level: Column, inv: Column, susp: Column, inj: Column) -> Co
     return F.filter(F.array(*lines), lambda x: x.isNotNull())
 
 
-def risk_report(analyzed_spans: DataFrame, documents: DataFrame | None = None, c: Config = DEFAULT) -> DataFrame:
-    """A report a document; documents (doc_id) adds those without any span."""
+#: The counts that reports carry, and the statuses that they count.
+COUNTS = {"total_spans": None, "visible_count": "visible", "suspicious_count": "suspicious", "invisible_count": "invisible", "unknown_count": "unknown"}
+
+
+def span_measures(c: Config = DEFAULT) -> list[Column]:
+    """Aggregates over analysed spans: counts, the phrases found in hidden ones, and the first invisible texts (at most SAMPLE)."""
     hidden = visibility.is_hidden(F.col("visibility_status"))
     found = F.when(hidden, injection.matches(F.col("text"))) if c.check_hidden_instructions else F.lit(None).cast("array<string>")
-    per = analyzed_spans.withColumn("_found", found).groupBy("doc_id").agg(
-        F.count("*").alias("total_spans"),
-        count_of("visible").alias("visible_count"),
-        count_of("suspicious").alias("suspicious_count"),
-        count_of("invisible").alias("invisible_count"),
-        count_of("unknown").alias("unknown_count"),
+    first = F.collect_list(F.when(F.col("visibility_status") == "invisible", F.struct("span_seq", "text")))
+    return [
+        *[(count_of(status) if status else F.count("*")).alias(k) for k, status in COUNTS.items()],
+        F.array_distinct(F.flatten(F.collect_list(found))).alias("_found"),
+        F.slice(F.array_sort(first), 1, SAMPLE).alias("_sample"),
+    ]
+
+
+def document_measures() -> list[Column]:
+    """Aggregates over parts of documents that hold span_measures()."""
+    return [
+        *[F.sum(k).alias(k) for k in COUNTS],
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("_found")))).alias("prompt_injection_patterns"),
-        first_texts(F.col("visibility_status") == "invisible", SAMPLE).alias("invisible_text_sample"),
-    )
+        F.transform(F.slice(F.array_sort(F.flatten(F.collect_list("_sample"))), 1, SAMPLE), lambda x: x["text"]).alias("invisible_text_sample"),
+    ]
+
+
+def judged(per: DataFrame, documents: DataFrame | None, c: Config = DEFAULT) -> DataFrame:
+    """A row a document with document_measures() completed: documents without spans, level and recommendations."""
     if documents is not None:
         per = documents.select("doc_id").join(per, "doc_id", "left")
-    zero = {k: 0 for k in ("total_spans", "visible_count", "suspicious_count", "invisible_count", "unknown_count")}
-    per = per.fillna(zero)
+    per = per.fillna(0, subset=list(COUNTS))
     for k in ("prompt_injection_patterns", "invisible_text_sample"):
         per = per.withColumn(k, F.coalesce(k, F.array().cast("array<string>")))
     per = per.withColumn("prompt_injection_detected", F.size("prompt_injection_patterns") > 0)
@@ -88,6 +101,13 @@ def risk_report(analyzed_spans: DataFrame, documents: DataFrame | None = None, c
     return per.withColumn("recommendations", recommendations(F.col("risk_level"), inv, susp, inj))
 
 
+def risk_report(analyzed_spans: DataFrame, documents: DataFrame | None = None, c: Config = DEFAULT) -> DataFrame:
+    """A report a document; documents (doc_id) adds those without any span. Pages are summed up first, so what is kept of a
+    long document is a few phrases and texts a page."""
+    pages = analyzed_spans.groupBy("doc_id", "page_number").agg(*span_measures(c))
+    return judged(pages.groupBy("doc_id").agg(*document_measures()), documents, c)
+
+
 # ---- scores and verdicts over a risk report
 
 
@@ -158,6 +178,12 @@ def previews(texts: str, most: int, chars: int) -> Column:
 
 
 def batch_summary(report: DataFrame) -> DataFrame:
-    """How many documents a batch holds by verdict, and their ids."""
+    """How many documents a batch holds by verdict, and the first and last of their ids; batch_lists() names them all."""
     verdict = batch_verdict(scan_exit_code())
     return report.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+
+
+def batch_lists(report: DataFrame) -> DataFrame:
+    """doc_id, verdict, is_safe: the safe documents and those that need review, as rows, since a list has no bound."""
+    verdict = batch_verdict(scan_exit_code())
+    return report.select("doc_id", verdict.alias("verdict"), (verdict == "safe").alias("is_safe"))

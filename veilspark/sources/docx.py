@@ -9,23 +9,19 @@ never end one.
 from __future__ import annotations
 
 import io
+import posixpath
 import zipfile
-from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..schema import SPAN
+from .extraction import Info, extract, info_of, native_spans
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 LINES, LINE_HEIGHT, LINE_WIDTH = 40, 14.0, 500.0
 BLACK, WHITE = (0, 0, 0), (255, 255, 255)
-#: Span rows that are handed over together.
-ROWS = 4096
 
 # Colours of highlight names.
 HIGHLIGHTS = {
@@ -101,7 +97,8 @@ def read_docx(content: bytes, highlight_mode: str = "white") -> list[tuple]:
         root = ElementTree.fromstring(z.read("word/document.xml"))
         rels = {}
         if "word/_rels/document.xml.rels" in z.namelist():
-            rels = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("word/_rels/document.xml.rels"))}
+            # targets are relative to the document's folder, or absolute
+            rels = {r.get("Id"): posixpath.normpath(posixpath.join("/word", r.get("Target") or "")).lstrip("/") for r in ElementTree.fromstring(z.read("word/_rels/document.xml.rels"))}
         body, walk = root.find(f"{_W}body"), _Walk(highlight_mode)
         for x in body:
             if x.tag == f"{_W}p":
@@ -115,8 +112,8 @@ def read_docx(content: bytes, highlight_mode: str = "white") -> list[tuple]:
                 for ref in section.findall(f"{_W}{kind}Reference"):
                     if ref.get(f"{_W}type", "default") == "default":
                         parts[kind] = rels.get(ref.get(f"{_R}id"))  # a section without its own keeps the one before
-                if parts.get(kind) and f"word/{parts[kind]}" in z.namelist():
-                    for p in ElementTree.fromstring(z.read(f"word/{parts[kind]}")).findall(f"{_W}p"):
+                if parts.get(kind) in z.namelist():
+                    for p in ElementTree.fromstring(z.read(parts[kind])).findall(f"{_W}p"):
                         walk.paragraph(p)
         for _ in sections:
             for box in body.iter(f"{_W}txbxContent"):
@@ -125,55 +122,11 @@ def read_docx(content: bytes, highlight_mode: str = "white") -> list[tuple]:
         return walk.spans
 
 
-def as_struct(span: tuple) -> dict:
-    seq, text, page, box, size, fg, bg = span
-    color = lambda c: None if c is None else dict(zip("rgb", c))
-    return {"span_seq": seq, "text": text, "page_number": page, "bbox": dict(zip(("x0", "y0", "x1", "y1"), box)), "font_size": size, "font_color": color(fg), "background_color": color(bg)}
-
-
-SPAN_ARROW = pa.struct(
-    [
-        ("span_seq", pa.int64()),
-        ("text", pa.string()),
-        ("page_number", pa.int32()),
-        ("bbox", pa.struct([(k, pa.float64()) for k in ("x0", "y0", "x1", "y1")])),
-        ("font_size", pa.float64()),
-        ("font_color", pa.struct([(k, pa.int32()) for k in "rgb"])),
-        ("background_color", pa.struct([(k, pa.int32()) for k in "rgb"])),
-    ]
-)
-
-
-def extract(files: DataFrame, reader) -> DataFrame:
-    """doc_id, span columns and error of files (doc_id, content); a file that can't be read gives one row with its error."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, spans, errors = [], [], []
-
-        def rows() -> pa.RecordBatch:
-            out = pa.record_batch([pa.array(docs, pa.int64()), pa.array(spans, SPAN_ARROW), pa.array(errors, pa.string())], names=["doc_id", "span", "error"])
-            for x in (docs, spans, errors):
-                x.clear()
-            return out
-
-        for batch in batches:
-            for doc, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                try:
-                    found, error = [as_struct(s) for s in reader(content.as_py())], None
-                except Exception as e:
-                    found, error = [None], f"{type(e).__name__}: {e}"
-                docs += [doc] * len(found)
-                spans += found
-                errors += [error] * len(found)
-                if len(docs) >= ROWS:
-                    yield rows()
-        if docs:
-            yield rows()
-
-    out = files.select(F.col("doc_id").cast("long").alias("doc_id"), "content").mapInArrow(run, f"doc_id long, span {SPAN}, error string")
-    return out.select("doc_id", "span.*", "error")
+def read_file(content: bytes, highlight_mode: str = "white") -> tuple[list[tuple], Info]:
+    spans = read_docx(content, highlight_mode)
+    return spans, info_of(spans)
 
 
 def docx_spans(files: DataFrame, c: Config = DEFAULT) -> DataFrame:
     mode = c.highlight_mode
-    return extract(files, lambda content: read_docx(content, mode))
+    return native_spans(extract(files, lambda content: read_file(content, mode)))

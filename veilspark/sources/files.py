@@ -1,28 +1,59 @@
-"""Files of any supported kind to one spans frame, with a row of its own for every file that can't be read."""
+"""Files of any supported kind to one spans frame, with a row of its own for every file that can't be read.
+
+A PDF file with little native text whose pages are mostly pictures needs OCR. Its spans come from a table of OCR tokens if one is given
+and has the file; else the file is an error, never a document without hidden text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from . import ingest
-from .docx import extract, read_docx
-from .pdf import read_pdf
+from . import docx, ingest, ocr, pdf
+from .extraction import Info, extract
+
+NEEDS_OCR = "the pages are pictures: no text can be read without OCR"
 
 
-def read_any(content: bytes, highlight_mode: str = "white") -> list[tuple]:
+def read_any(content: bytes, highlight_mode: str = "white") -> tuple[list[tuple], Info]:
     """Spans of a PDF or DOCX file, told apart by its first bytes."""
-    return read_pdf(content) if content[:4] == b"%PDF" else read_docx(content, highlight_mode)
+    return pdf.read_file(content) if b"%PDF" in content[:1024] else docx.read_file(content, highlight_mode)
 
 
-def spans_of_files(files: DataFrame, c: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(spans, errors) of files (doc_id, path, content, error): errors has doc_id, path and error."""
+def choice_of(c: Config = DEFAULT) -> Column:
+    """'native', 'ocr' or, without OCR, 'unread' for a file that shows pictures and no text at all."""
+    scanned = (F.col("page_area") > 0) & (F.col("image_area") > F.lit(ocr.SCANNED_SHARE) * F.col("page_area"))
+    choice = ocr.extraction_choice(F.col("native_chars"), scanned, c)
+    return F.when((choice == "native") & (F.col("native_chars") == 0) & (F.col("image_area") > 0), "unread").otherwise(choice)
+
+
+def extracted(files: DataFrame, c: Config = DEFAULT) -> DataFrame:
+    """Rows as of extract() for files (doc_id, content, error), with the choice of their text; files that were rejected keep their error."""
     mode = c.highlight_mode
-    got = extract(files.where("error IS NULL"), lambda content: read_any(content, mode))
-    failed = got.where("error IS NOT NULL").select("doc_id", "error").join(files.select("doc_id", "path"), "doc_id")
-    rejected = files.where("error IS NOT NULL").select("doc_id", "error", "path")
-    return got.where("error IS NULL").drop("error"), rejected.unionByName(failed).select("doc_id", "path", "error")
+    got = extract(files.where("error IS NULL"), lambda content: read_any(content, mode)).withColumn("choice", choice_of(c))
+    rejected = files.where("error IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "error")
+    return got.unionByName(rejected, allowMissingColumns=True)
+
+
+def spans_and_errors(got: DataFrame, tokens: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(spans, errors) of extracted(): errors has doc_id and error. tokens: OCR tokens (schema.OCR_TOKENS, and colours if known)."""
+    about = ["error", "native_chars", "page_area", "image_area", "choice"]
+    native = got.where("span_seq IS NOT NULL AND choice = 'native'").drop(*about)
+    failed = got.where("error IS NOT NULL").select("doc_id", "error")
+    unread = got.where("error IS NULL AND choice <> 'native'").select("doc_id", "choice").distinct()
+    if tokens is None:
+        return native, failed.union(unread.select("doc_id", F.lit(NEEDS_OCR)))
+    asked = unread.where("choice = 'ocr'")
+    words = ocr.token_spans(tokens.join(asked.select("doc_id"), "doc_id", "left_semi"))
+    without = unread.join(tokens.select("doc_id").distinct(), "doc_id", "left_anti").union(unread.where("choice = 'unread'")).distinct()
+    return native.unionByName(words), failed.union(without.select("doc_id", F.lit(NEEDS_OCR)))
+
+
+def spans_of_files(files: DataFrame, c: Config = DEFAULT, tokens: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(spans, errors) of files (doc_id, path, content, error): errors has doc_id, path and error."""
+    spans, errors = spans_and_errors(extracted(files, c), tokens)
+    return spans, errors.join(files.select("doc_id", "path"), "doc_id").select("doc_id", "path", "error")
 
 
 def load(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -62,8 +62,30 @@ def file_type(name: Column) -> Column:
     return F.when(F.lower(name).endswith(".pdf"), "pdf").otherwise("docx")
 
 
+def missing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths (or patterns) that name nothing, in any store that Spark reads."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        if not at.getFileSystem(conf).globStatus(at):
+            out.append(p)
+    return out
+
+
 def load_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, format, length, content, error of the files under paths."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    """path, format, length, content, error of the files under paths; a path that names nothing is a row with an error."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    gone = missing(spark, paths)
+    there = [p for p in paths if p not in gone]
     p = F.col("path")
-    return raw.select("path", format_of(p).alias("format"), "length", "content", route_error(p).alias("error"))
+    if there:
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(there)
+    else:
+        raw = spark.createDataFrame([], "path string, length long, content binary")
+    out = raw.select("path", format_of(p).alias("format"), "length", "content", route_error(p).alias("error"))
+    if not gone:
+        return out
+    rows = spark.createDataFrame([(x,) for x in gone], "path string")
+    lost = rows.select("path", format_of(p).alias("format"), F.lit(None).cast("long").alias("length"), F.lit(None).cast("binary").alias("content"), F.concat(F.lit("File not found: "), p).alias("error"))
+    return out.unionByName(lost)

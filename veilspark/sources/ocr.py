@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..schema import BBOX, COLOR
 
 LEAST_CONFIDENCE, SCANNED_SHARE, NATIVE_CHARS, UNREADABLE_SHARE = 30, 0.7, 50, 0.5
 
@@ -18,6 +19,19 @@ def tokens_to_spans(tokens: DataFrame) -> DataFrame:
     return kept.select("doc_id", "token_seq", F.trim("text").alias("text"), (F.col("page_index") + 1).alias("page_number"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("width") * scale).alias("x1"), (y0 + F.col("height") * scale).alias("y1"), F.lit(None).cast("double").alias("font_size"))
 
 
+def token_spans(tokens: DataFrame) -> DataFrame:
+    """tokens_to_spans() in the engine's schema: numbered by token_seq, with the tokens' font_color and background_color if they have them."""
+    color = [F.col(c).cast(COLOR).alias(c) if c in tokens.columns else F.lit(None).cast(COLOR).alias(c) for c in ("font_color", "background_color")]
+    own = tokens.select("doc_id", "token_seq", *color)
+    spans = tokens_to_spans(tokens)
+    if "font_color" in tokens.columns or "background_color" in tokens.columns:
+        spans = spans.join(own, ["doc_id", "token_seq"])
+    else:
+        spans = spans.select("*", *color)
+    box = F.struct("x0", "y0", "x1", "y1").cast(BBOX)
+    return spans.select("doc_id", F.col("token_seq").cast("long").alias("span_seq"), "text", F.col("page_number").cast("int").alias("page_number"), box.alias("bbox"), "font_size", "font_color", "background_color")
+
+
 def scanned(pages: DataFrame, rects: DataFrame) -> DataFrame:
     """doc_id, page_area, image_area, is_scanned. Both sides are summed by document before they meet; a rectangle
     that can't be read (null) counts half its page."""
@@ -39,11 +53,21 @@ def extraction_choice(native_chars: Column, is_scanned: Column, c: Config = DEFA
 
 
 def pixel_colors(pixels: DataFrame) -> DataFrame:
-    """doc_id, box_id, font_color, background_color: the mean of all pixels, and of those no brighter than the 10th percentile."""
+    """doc_id, box_id, font_color, background_color: the mean of all pixels, and of those no brighter than the 10th percentile.
+
+    One aggregation gathers each box's pixels by brightness: at most 766 sums, however many pixels a box has."""
     total = F.col("r") + F.col("g") + F.col("b")
-    mean = lambda when: [F.avg(F.when(when, F.col(c)) if when is not None else F.col(c)) for c in "rgb"]
-    limits = pixels.groupBy("doc_id", "box_id").agg(F.percentile(total, F.lit(0.1)).alias("p"), *[m.alias(f"b{c}") for c, m in zip("rgb", mean(None))])
-    dark = pixels.join(limits, ["doc_id", "box_id"]).where(total <= F.round("p", 9))
-    fg = dark.groupBy("doc_id", "box_id").agg(*[m.alias(f"f{c}") for c, m in zip("rgb", mean(None))])
-    color = lambda k: F.struct(*[F.col(f"{k}{c}").cast("int").alias(c) for c in "rgb"])
-    return limits.join(fg, ["doc_id", "box_id"]).select("doc_id", "box_id", color("f").alias("font_color"), color("b").alias("background_color"))
+    sums = lambda names: [F.sum(c).alias(c) for c in names]
+    by_light = pixels.groupBy("doc_id", "box_id", total.alias("light")).agg(F.count("*").alias("n"), *sums("rgb"))
+    box = Window.partitionBy("doc_id", "box_id")
+    upto = box.orderBy("light").rowsBetween(Window.unboundedPreceding, 0)
+    # the percentile lies between the pixels of ranks floor(at) and floor(at) + 1, counted from 0
+    at = F.lit(0.1) * (F.sum("n").over(box) - 1)
+    ranked = by_light.withColumn("_at", at).withColumn("_upto", F.sum("n").over(upto))
+    lower = F.min(F.when(F.col("_upto") > F.floor("_at"), F.col("light"))).over(box)
+    upper = F.min(F.when(F.col("_upto") > F.floor("_at") + 1, F.col("light"))).over(box)
+    limit = lower + (F.col("_at") - F.floor("_at")) * (F.coalesce(upper, lower) - lower)
+    ranked = ranked.withColumn("_dark", F.col("light") <= F.round(limit, 9))
+    mean = lambda c, when: (F.sum(F.when(when, F.col(c))) / F.sum(F.when(when, F.col("n")))).cast("int").alias(c)
+    color = lambda when: F.struct(*[mean(c, when) for c in "rgb"])
+    return ranked.groupBy("doc_id", "box_id").agg(color(F.col("_dark")).alias("font_color"), color(F.lit(True)).alias("background_color"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
@@ -24,51 +24,103 @@ def paragraph_xml(*runs: str) -> str:
     return f"<w:p>{''.join(runs)}</w:p>"
 
 
-def docx_bytes(body: str, headers: dict[str, str] | None = None) -> bytes:
-    """A file with this body XML; headers: part name to paragraphs, related by the ids rId1, rId2, ..."""
+def docx_bytes(body: str, headers: dict[str, str] | None = None, folder: str = "") -> bytes:
+    """A file with this body XML; headers: part name to paragraphs, related by the ids rId1, rId2, ... under their names in `folder`."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("word/document.xml", f"<w:document {_NS}><w:body>{body}</w:body></w:document>")
         rels = ""
         for k, (name, xml) in enumerate((headers or {}).items(), 1):
-            rels += f'<Relationship Id="rId{k}" Target="{name}"/>'
+            rels += f'<Relationship Id="rId{k}" Target="{folder}{name}"/>'
             z.writestr(f"word/{name}", f"<w:hdr {_NS}>{xml}</w:hdr>")
         z.writestr("word/_rels/document.xml.rels", f"<Relationships>{rels}</Relationships>")
     return out.getvalue()
 
 
-def pdf_bytes(pages: list[str], flate: bool = True) -> bytes:
-    """A file with these content streams, a page each."""
-    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b""]
+def _stream(info: bytes, raw: bytes, flate: bool) -> bytes:
+    packed = zlib.compress(raw) if flate else raw
+    return b"<< %s /Length %d%s >>\nstream\n%s\nendstream" % (info, len(packed), b" /Filter /FlateDecode" if flate else b"", packed)
+
+
+def pdf_file(objects: list[bytes], packed: bool = False, trailer: bytes = b"") -> bytes:
+    """A file of these objects, numbered from 1; the first is the catalog. packed: all but the streams lie in an object stream, with a
+    cross-reference stream, as files have it since version 1.5."""
+    if not packed:
+        return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k, o) for k, o in enumerate(objects, 1)) + b"trailer << /Root 1 0 R /Size %d %s >>\n%%%%EOF\n" % (len(objects) + 1, trailer)
+    out, entries = b"%PDF-1.5\n", {0: (0, 0, 0)}
+    inner = [(k, o) for k, o in enumerate(objects, 1) if b"stream" not in o]
+    n = len(objects)
+    for k, o in enumerate(objects, 1):
+        if b"stream" in o:
+            entries[k] = (1, len(out), 0)
+            out += b"%d 0 obj\n%s\nendobj\n" % (k, o)
+    heads, body = b"", b""
+    for place, (k, o) in enumerate(inner):
+        heads += b"%d %d " % (k, len(body))
+        entries[k] = (2, n + 1, place)
+        body += o + b"\n"
+    entries[n + 1] = (1, len(out), 0)
+    out += b"%d 0 obj\n%s\nendobj\n" % (n + 1, _stream(b"/Type /ObjStm /N %d /First %d" % (len(inner), len(heads)), heads + body, True))
+    entries[n + 2] = (1, len(out), 0)
+    table = b"".join(bytes([a]) + b.to_bytes(4, "big") + c.to_bytes(2, "big") for a, b, c in (entries[k] for k in range(n + 3)))
+    out += b"%d 0 obj\n%s\nendobj\n" % (n + 2, _stream(b"/Type /XRef /Root 1 0 R /W [1 4 2] /Size %d %s" % (n + 3, trailer), table, True))
+    return out + b"startxref\n%d\n%%%%EOF\n" % entries[n + 2][1]
+
+
+def pdf_bytes(pages: list[str], flate: bool = True, packed: bool = False, resources: bytes = b"", more: list[bytes] = [], trailer: bytes = b"") -> bytes:
+    """A file with these content streams, a page each. more: further objects, numbered from 3, which `resources` may refer to."""
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", *more]
     kids = []
     for content in pages:
-        raw = content.encode("cp1252", "replace")
-        packed = zlib.compress(raw) if flate else raw
-        objects.append(b"<< /Length %d%s >>\nstream\n%s\nendstream" % (len(packed), b" /Filter /FlateDecode" if flate else b"", packed))
-        objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Contents %d 0 R >>" % len(objects))
+        objects.append(_stream(b"", content.encode("cp1252", "replace"), flate))
+        objects.append(b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % len(objects))
         kids.append(b"%d 0 R" % len(objects))
-    objects[1] = b"<< /Type /Pages /Kids [%s] /Count %d >>" % (b" ".join(kids), len(kids))
-    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k, o) for k, o in enumerate(objects, 1)) + b"%%EOF\n"
+    objects[1] = b"<< /Type /Pages /MediaBox [0 0 612 792] /Resources << %s >> /Kids [%s] /Count %d >>" % (resources, b" ".join(kids), len(kids))
+    return pdf_file(objects, packed, trailer)
 
 
-def pdf_page(lines: list[str], top: float = 720.0, step: float = 14.0) -> str:
-    shown = [line.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)") for line in lines]
-    return "BT /F1 12 Tf 0 g 72 %g Td %s ET" % (top, f" 0 -{step:g} Td ".join(f"({x}) Tj" for x in shown))
+def unicode_font(text: str) -> tuple[dict[str, int], bytes, list[bytes]]:
+    """Codes for a text's characters, and the resources and objects of a font of two-byte codes with a table of their characters."""
+    codes = {c: k for k, c in enumerate(sorted(set(text)), 1)}
+    lines = "".join(f"<{k:04x}> <{c.encode('utf-16-be').hex()}>\n" for c, k in codes.items())
+    table = f"1 begincodespacerange <0000> <ffff> endcodespacerange {len(codes)} beginbfchar\n{lines}endbfchar".encode()
+    font = b"<< /Type /Font /Subtype /Type0 /BaseFont /Made /Encoding /Identity-H /ToUnicode 4 0 R /DescendantFonts [<< /Subtype /CIDFontType2 /DW 500 >>] >>"
+    return codes, b"/Font << /F1 3 0 R >>", [font, _stream(b"", table, True)]
 
 
-def files_of(documents: DataFrame, kind: str) -> DataFrame:
-    """doc_id, content: each document's text as a DOCX (a paragraph a line) or a PDF file (40 lines a page)."""
+def pdf_page(lines: list[str], codes: dict[str, int] | None = None, before: str = "0 g", size: float = 12.0, after: str = "", top: float = 720.0, step: float = 14.0) -> str:
+    """The operators that show lines, in a font's codes or as plain strings."""
+    plain = lambda x: "(" + x.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)") + ")"
+    shown = [plain(x) if codes is None else "<" + "".join(f"{codes[c]:04x}" for c in x) + ">" for x in lines]
+    return f"BT /F1 {size:g} Tf {before} 72 {top:g} Td " + f" 0 -{step:g} Td ".join(f"{x} Tj" for x in shown) + f" ET {after}"
+
+
+def docx_of(text: str, props: str = "") -> bytes:
+    """A paragraph a line."""
+    return docx_bytes("".join(paragraph_xml(run_xml(x, props)) for x in text.split("\n")))
+
+
+def pdf_of(text: str, packed: bool = False, **page) -> bytes:
+    """40 lines a page, whatever their characters."""
+    lines = text.split("\n")
+    codes, resources, more = unicode_font(text)
+    return pdf_bytes([pdf_page(lines[k : k + 40], codes, **page) for k in range(0, len(lines), 40)], packed=packed, resources=resources, more=more)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(text: str) -> bytes:
-            lines = text.split("\n")
-            if kind == "docx":
-                return docx_bytes("".join(paragraph_xml(run_xml(x)) for x in lines))
-            return pdf_bytes([pdf_page(lines[k : k + 40]) for k in range(0, len(lines), 40)])
 
+def picture_pdf(text: str = "") -> bytes:
+    """A page that a picture covers, with some text."""
+    picture = b"<< /Type /XObject /Subtype /Image /Width 1 /Height 1 /ColorSpace /DeviceGray /BitsPerComponent 8 /Length 1 >>\nstream\n\x80\nendstream"
+    return pdf_bytes(["q 612 0 0 792 0 0 cm /I1 Do Q " + pdf_page([text])], resources=b"/XObject << /I1 3 0 R >>", more=[picture])
+
+
+def files_of(documents: DataFrame, made: Callable[[int, str], bytes]) -> DataFrame:
+    """doc_id, content: the file that `made` makes of each document's id and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                yield pa.record_batch([part.column(0), pa.array([made(t or "") for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "content"])
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                content = [made(i, t or "") for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+                yield pa.record_batch([part.column(0), pa.array(content, pa.binary())], names=["doc_id", "content"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, content binary")

@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir), or a temporary one where there is none."""
+    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir). A temporary folder of this machine stands in for
+    it on a local master alone: on a cluster, every executor would write to its own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = base or f"file://{tempfile.mkdtemp(prefix='veilspark-')}"
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='veilspark-')}"
     return f"{base.rstrip('/')}/veilspark/{name}-{uuid.uuid4().hex}"
 
 

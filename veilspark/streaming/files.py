@@ -17,8 +17,8 @@ from ..functions import injection, visibility
 from ..operators import risk
 from ..schema import SPAN
 from ..sources import ingest
-from ..sources.docx import SPAN_ARROW, as_struct
-from ..sources.files import read_any
+from ..sources import files as source_files
+from ..sources.extraction import SPAN_ARROW, Info, as_struct, attempt
 
 FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
 
@@ -28,25 +28,25 @@ def read_stream(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
 
 
 def span_arrays(files: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """path, spans (array), error; one row a file."""
+    """path, spans (array), error; one row a file. A file whose text only OCR can read is an error."""
     mode = c.highlight_mode
 
+    names = ["path", "spans", "error", *Info._fields]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, errors = [], []
-            for content, error in zip(batch.column(1), batch.column(2).to_pylist()):
-                found = []
+            # a file at a time: a batch may hold many large ones
+            for k in range(batch.num_rows):
+                content, error = batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
+                spans, info = [], Info(0)
                 if error is None:
-                    try:
-                        found = [as_struct(s) for s in read_any(content.as_py(), mode)]
-                    except Exception as e:
-                        error = f"{type(e).__name__}: {e}"
-                spans.append(found)
-                errors.append(error)
-            yield pa.record_batch([batch.column(0), pa.array(spans, pa.list_(SPAN_ARROW)), pa.array(errors, pa.string())], names=["path", "spans", "error"])
+                    spans, info, error = attempt(lambda x: source_files.read_any(x, mode), content or b"")
+                yield pa.record_batch([batch.column(0).slice(k, 1), pa.array([[as_struct(s) for s in spans]], pa.list_(SPAN_ARROW)), pa.array([error], pa.string()), *[pa.array([x], kind) for x, kind in zip(info, (pa.int64(), pa.float64(), pa.float64()))]], names=names)
 
     routed = files.select("path", "content", ingest.route_error(F.col("path")).alias("error"))
-    return routed.mapInArrow(run, f"path string, spans array<{SPAN}>, error string")
+    out = routed.mapInArrow(run, f"path string, spans array<{SPAN}>, error string, native_chars long, page_area double, image_area double")
+    unread = F.when(source_files.choice_of(c) != "native", F.lit(source_files.NEEDS_OCR))
+    return out.select("path", F.when(unread.isNull(), F.col("spans")).otherwise(F.array().cast(f"array<{SPAN}>")).alias("spans"), F.coalesce("error", unread).alias("error"))
 
 
 def reports(arrays: DataFrame, c: Config = DEFAULT) -> DataFrame:
@@ -62,8 +62,10 @@ def reports(arrays: DataFrame, c: Config = DEFAULT) -> DataFrame:
     )
     out = out.withColumn("prompt_injection_detected", F.size("prompt_injection_patterns") > 0)
     out = out.withColumn("risk_level", risk.risk_level(F.col("invisible_count"), F.col("suspicious_count"), F.col("prompt_injection_detected"), c))
+    read = F.col("error").isNull()
+    out = out.withColumn("risk_level", F.when(read, F.col("risk_level")))  # a file that wasn't read has no level
     code = F.when(F.col("error").isNotNull(), risk.ERROR_EXIT).otherwise(risk.scan_exit_code())
-    return out.withColumn("risk_score", risk.gate_score()).withColumn("exit_code", code)
+    return out.withColumn("risk_score", F.when(read, risk.gate_score())).withColumn("exit_code", code)
 
 
 def write_reports(stream: DataFrame, path: str, checkpoint: str, once: bool = False):
