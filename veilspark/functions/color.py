@@ -21,8 +21,8 @@ _TABLE = "array(" + ", ".join(f"{_linear(v)!r}D" for v in range(256)) + ")"
 
 def linear_channel(level: Column) -> Column:
     """srgb_to_linear of an 8-bit level by a folded table: a look-up a channel keeps contrast small enough to be pushed
-    into filters, and no power is raised per row. Levels beyond 0 to 255 go by the formula, as the specification has no bounds."""
-    return F.coalesce(F.get(F.expr(_TABLE), level), srgb_to_linear(level / F.lit(255.0)))
+    into filters, and no power is raised per row. Null beyond 0 to 255, which makes a span's visibility unknown."""
+    return F.get(F.expr(_TABLE), level)
 
 
 def relative_luminance(color: Column) -> Column:
@@ -35,9 +35,11 @@ def has_colors(fg: Column, bg: Column) -> Column:
 
 
 def contrast_ratio(fg: Column, bg: Column) -> Column:
-    """Null unless both colours are known: greatest and least would skip a null."""
+    """Null unless both colours are known and within 0 to 255: greatest and least would skip a null."""
     a, b = relative_luminance(fg), relative_luminance(bg)
-    return F.when(has_colors(fg, bg), (F.greatest(a, b) + F.lit(0.05)) / (F.least(a, b) + F.lit(0.05)))
+    levels = [c[ch] for c in (fg, bg) for ch in "rgb"]
+    known = has_colors(fg, bg) & (F.greatest(*levels) <= 255) & (F.least(*levels) >= 0)
+    return F.when(known, (F.greatest(a, b) + F.lit(0.05)) / (F.least(a, b) + F.lit(0.05)))
 
 
 def is_low_contrast(fg: Column, bg: Column, least: float = 4.5) -> Column:

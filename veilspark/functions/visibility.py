@@ -47,7 +47,7 @@ def visibility_status(contrast: Column, size: Column, box: Column, known: Column
     below = lambda x, limit: F.coalesce(x < F.lit(float(limit)), F.lit(False))
     gone = below(contrast, c.invisible_contrast) | below(size, c.invisible_size) | gone
     part = below(contrast, max(c.suspicious_contrast, c.min_contrast)) | below(size, max(c.suspicious_size, c.min_readable_size)) | part
-    return F.when(~known, UNKNOWN).when(gone, INVISIBLE).when(part, SUSPICIOUS).otherwise(VISIBLE)
+    return F.when(~known | contrast.isNull(), UNKNOWN).when(gone, INVISIBLE).when(part, SUSPICIOUS).otherwise(VISIBLE)
 
 
 def is_hidden(status: Column) -> Column:

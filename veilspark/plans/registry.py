@@ -290,7 +290,7 @@ for _name, _packed in (("pdf_words", False), ("pdf_packed_words", True)):
     query(_name, f"WITH {_SPLIT} SELECT doc_id, span_seq, text, CAST(1 + line // 40 AS INT) AS page_number, 12.0::DOUBLE AS font_size FROM v")(_pdf_words(_packed))
 
 #: Ways to hide text of a PDF page: white, painted in no colour, tiny, covered by a later rectangle.
-_HIDING = ({}, {"before": "1 g"}, {"before": "0 g 3 Tr"}, {"size": 0.5}, {"after": "0 g 0 0 99999 792 re f"})
+_HIDING = ({}, {"before": "1 g"}, {"before": "0 g 3 Tr"}, {"size": 0.5}, {"after": "0 g 0 0 99999999 792 re f"})
 
 
 @query("pdf_hidden_text", f"WITH {_SPLIT} SELECT doc_id, span_seq, text, CASE WHEN doc_id % 5 IN (1, 2, 4) THEN 'invisible' ELSE 'visible' END AS by_contrast, CASE WHEN doc_id % 5 = 3 THEN 'invisible' ELSE 'visible' END AS by_size FROM v")
@@ -335,14 +335,17 @@ def contrast_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "contrast_beyond_levels",
     """WITH p AS (SELECT p_partkey, ((p_partkey * 37) % 400 - 60)::INT AS f, ((p_partkey * 91) % 400 - 20)::INT AS b FROM part),
-y AS (SELECT p_partkey, [CASE WHEN v/255.0::DOUBLE <= 0.03928 THEN v/255.0::DOUBLE/12.92 ELSE pow((v/255.0::DOUBLE + 0.055)/1.055, 2.4) END for v in [f, b]] AS l FROM p)
-SELECT p_partkey, round((greatest(l[1], l[2]) + 0.05) / (least(l[1], l[2]) + 0.05), 6) AS contrast FROM y""",
+y AS (SELECT p_partkey, greatest(f, b) <= 255 AND least(f, b) >= 0 AS known, [CASE WHEN v/255.0::DOUBLE <= 0.03928 THEN v/255.0::DOUBLE/12.92 ELSE pow((v/255.0::DOUBLE + 0.055)/1.055, 2.4) END for v in [f, b]] AS l FROM p)
+SELECT p_partkey, CASE WHEN known THEN round((greatest(l[1], l[2]) + 0.05) / (least(l[1], l[2]) + 0.05), 6) END AS contrast, NOT known AS is_unknown FROM y""",
 )
 def contrast_beyond_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grey levels below 0 and above 255 follow the formula; none of them makes a contrast of 1 by being skipped."""
+    """Grey levels below 0 or above 255 have no contrast, and leave a span's visibility unknown."""
     k = F.col("p_partkey")
     grey = lambda level: F.struct(*[level.cast("int").alias(c) for c in "rgb"])
-    return fixture.read(spark, sf_dir, "part").select("p_partkey", F.round(color.contrast_ratio(grey(k * 37 % 400 - 60), grey(k * 91 % 400 - 20)), 6).alias("contrast"))
+    own = fixture.read(spark, sf_dir, "part").select("p_partkey", grey(k * 37 % 400 - 60).alias("f"), grey(k * 91 % 400 - 20).alias("b"))
+    box = F.struct(*[F.lit(v).alias(c) for c, v in (("x0", 72.0), ("y0", 72.0), ("x1", 90.0), ("y1", 90.0))])
+    status = visibility.status_of(F.col("f"), F.col("b"), F.lit(12.0), box)
+    return own.select("p_partkey", F.round(color.contrast_ratio(F.col("f"), F.col("b")), 6).alias("contrast"), (status == "unknown").alias("is_unknown"))
 
 
 @query("is_low_contrast", over_spans("SELECT doc_id, span_seq, contrast < 4.5 AS low FROM a"))
