@@ -127,6 +127,39 @@ def test_every_linked_pair_shares_a_key_and_long_runs_lose_none(monkeypatch, run
     assert roots(signed, edges) == roots(signed, [(signed[i], signed[j]) for i, j in near(fps)])
 
 
+def test_hot_keys_are_dealt_to_blocks(spark, monkeypatch):
+    """A third of the fingerprints share two segments; runs and blocks are small, on the driver's side at least."""
+    monkeypatch.setattr(simhash, "RUN", 40)
+    rng = np.random.default_rng(5)
+    one = np.uint64(0x0123456789ABCDEF)
+    near_one = [one ^ np.uint64(1 << a | 1 << b) for a in range(30, 60) for b in range(a, 60)]
+    fps = np.unique(np.concatenate([planted_fingerprints(200, rng), near_one])).view(np.int64).tolist()
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    hot = simhash.hot_keys(df, len(fps))
+    keys = simhash.chain_keys(np.array(fps, np.int64).view(np.uint64)).ravel()
+    names, n = np.unique(keys, return_counts=True)
+    assert hot == {int(k): -(-int(c) // 40) for k, c in zip(names, n) if c > 40} and hot
+    edges = [(r.u, r.v) for r in simhash.links(df).collect()]
+    assert roots(fps, edges) == roots(fps, [(fps[i], fps[j]) for i, j in near(np.array(fps, np.int64).view(np.uint64))])
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    text = "\n".join(" ".join(f"w{(k * j) % 97}" for k in range(40)) for j in range(60)) + "\tlast"
+    whole = plain_fingerprint(text)
+    for size in (1, 5, 64, 1000):
+        monkeypatch.setattr(simhash, "PIECE", size)
+        assert simhash.fingerprint(text.encode()) == whole == simhash.fingerprint(("  " + text + "\n").upper().encode())
+    for few in ("", " ", "One", "a b\nc", "a b c d"):
+        assert simhash.fingerprint(few.encode()) == plain_fingerprint(few)
+
+
+def test_one_of_each_with_clashing_names(spark):
+    rows = [(1, "a b c d", "x"), (2, "a b c d", "y"), (3, "other words are here", "z"), (None, "last of all these", "n")]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, row string").selectExpr("doc_id", "text", "row", "1 AS id", "2 AS _kept_id", "3 AS fp", "4 AS `a.b`"))
+    assert got.columns == ["doc_id", "text", "row", "id", "_kept_id", "fp", "a.b"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "a b c d", "x", 1, 2, 3, 4), (3, "other words are here", "z", 1, 2, 3, 4), (None, "last of all these", "n", 1, 2, 3, 4)], key=repr)
+
+
 # ---- line dedup
 
 

@@ -65,14 +65,17 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
 
 
-#: Folders made for sessions that name none, by application.
+#: Folders made for local sessions that name none, by application.
 _OWN_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it names none."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where a local session names none, one of our own; on a cluster
+    that would be another folder on every machine, so none is made there."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN_DIRS:
             _OWN_DIRS[app] = f"file://{tempfile.mkdtemp(prefix='veilspark-')}"
@@ -80,6 +83,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one, so that no name of theirs can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
+
+
+def unpacked(df: DataFrame, row: str = "row") -> DataFrame:
+    return df.select(f"{row}.*")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -9,15 +9,19 @@ Candidates are found by the first two conditions: a key holds the start, its seg
 one of its bits cleared. Fingerprints that share a key are compared: the cumulative differences of three and of
 four segments prune pairs before the full Hamming check. Every key run keeps only the edges of a spanning forest, as the
 result asks for components; a run of over RUN fingerprints is dealt out as pairs of blocks, so no
-task holds it and no pair of it is skipped.
+task holds it and no pair of it is skipped. Keys that a thousandth of all fingerprints share are counted first, and their rows
+dealt to blocks without passing one task.
 
 Defined cases: a null or wordless text has fingerprint 0 and links like any other; rows with equal texts share a
-fingerprint and a component; a null doc_id sorts last and is null again in the result (also as a component
-made of null ids alone); extra columns are ignored; an empty table gives an empty result.
+fingerprint and a component; ties need no rule, as a component's name is its smallest id; a very long text is hashed a PIECE at
+a time, with about three times its bytes held; a null doc_id sorts last and is null again in the result (also as a component
+made of null ids alone); rows with the same doc_id, or equal in all columns, are rows of their own in the result; extra columns are
+ignored, or passed through under their own names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, from_id, hot_join, to_id, trimmed, written
+from .common import HOT_SHARE, components, from_id, hot_join, to_id, trimmed, unpacked, whole_row, written
 
 SHINGLE, SEED, LIMIT = 4, 42, 4
 WIDTHS = (13, 13, 13, 13, 12)
@@ -38,32 +42,54 @@ BUDGET = tuple((k + 1) * LIMIT // SEGMENTS for k in range(SEGMENTS))
 RUN = 2048
 PAIRS = 1 << 20
 _HASHES = 1 << 15
+_SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
 
 
-def shingle_hashes(text: bytes) -> np.ndarray:
-    words = text.lower().split()
-    n = len(words)
-    if n == 0:
-        return np.zeros(0, np.uint64)
+#: Bytes of a text that are hashed at once; the cut is moved to white space.
+PIECE = 1 << 20
+
+
+def _pieces(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, lower-cased, some at a time; split() and lower() treat exactly U+0009-U+000D, space and A-Z."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text):
+            m = _SPACE.search(text, end)
+            end = m.start() if m else len(text)
+        yield text[at:end].lower().split()
+        at = end
+
+
+def shingle_hashes(text: bytes) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, some at a time; the last words of a piece go before the next one's."""
     digest = xxhash.xxh64_intdigest
-    if n <= SHINGLE:
-        return np.array([digest(b" ".join(words), SEED)], np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-    starts = np.concatenate([[0], ends[:-1]])
-    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: n - SHINGLE + 1].tolist(), (ends[SHINGLE - 1 :] - 1).tolist())), np.uint64, n - SHINGLE + 1)
+    last: list[bytes] = []
+    found = 0
+    for own in _pieces(text):
+        words = last + own
+        n = len(words)
+        last = words[max(0, n - SHINGLE + 1) :]
+        if n < SHINGLE:
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+        starts = np.concatenate([[0], ends[:-1]])
+        found += n - SHINGLE + 1
+        yield np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: n - SHINGLE + 1].tolist(), (ends[SHINGLE - 1 :] - 1).tolist())), np.uint64, n - SHINGLE + 1)
+    if not found and last:
+        yield np.array([digest(b" ".join(last), SEED)], np.uint64)
 
 
 def fingerprint(text: bytes) -> int:
-    """The 64-bit fingerprint; bytes.split and bytes.lower treat exactly U+0009-U+000D, space and A-Z."""
-    h = shingle_hashes(text)
-    if not len(h):
-        return 0
-    counts = np.zeros(64, np.int64)
-    for k in range(0, len(h), _HASHES):
-        bits = np.unpackbits(h[k : k + _HASHES].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big")
+    """The 64-bit fingerprint; 0 without words."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text):
+        n += len(h)
+        for k in range(0, len(h), _HASHES):
+            bits = np.unpackbits(h[k : k + _HASHES].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            counts += bits.sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big") if n else 0
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,13 +126,58 @@ def chain_keys(fp: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1).view(np.int64)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp) to (start, segment, n): how many fingerprints have each first segment, summed up within the task."""
+    counts = [np.zeros(1 << w, np.int64) for w in WIDTHS]
     for batch in batches:
-        fps = batch.column(0).to_numpy(zero_copy_only=False)
-        for k in range(0, len(fps), 4096):
-            part = fps[k : k + 4096]
-            keys = chain_keys(part.view(np.uint64))
-            yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(part, keys.shape[1]))], names=["key", "fp"])
+        fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        for s in range(SEGMENTS):
+            counts[s] += np.bincount((rotated(fps, np.full(len(fps), s)) & MASKS[s, 0]).astype(np.int64), minlength=1 << WIDTHS[s])
+    for s, own in enumerate(counts):
+        at = np.flatnonzero(own)
+        yield pa.record_batch([pa.array(np.full(len(at), s, np.int32)), pa.array(at), pa.array(own[at])], names=["start", "segment", "n"])
+
+
+def _keyed(hot: dict[int, int], wanted: bool, within: frozenset | None = None):
+    """(fp) to (key, fp, block): rows of the hot keys with a block of theirs by a hash of the fingerprint (wanted), or all others. within:
+    only keys that begin with one of these (start, segment)."""
+    names = np.array(sorted(hot), np.int64)
+    blocks = np.array([hot[k] for k in names.tolist()], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy(zero_copy_only=False)
+            for k in range(0, len(fps), 4096):
+                part = fps[k : k + 4096]
+                keys = chain_keys(part.view(np.uint64))
+                own = np.repeat(part, keys.shape[1])
+                keys = keys.ravel()
+                if within is not None:
+                    some = np.isin(keys >> 30 << 13 | keys >> 13 & 0x1FFF, np.array([s << 13 | x for s, x in within]))
+                    keys, own = keys[some], own[some]
+                block = np.zeros(len(keys), np.int64)
+                if len(names):
+                    at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+                    is_hot = names[at] == keys
+                    some = is_hot == wanted
+                    keys, own, at = keys[some], own[some], at[some]
+                    mixed = own.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                    block = ((mixed >> np.uint64(33)).astype(np.int64) % blocks[at]) if wanted else np.zeros(len(keys), np.int64)
+                yield pa.record_batch([pa.array(keys), pa.array(own), pa.array(block)], names=["key", "fp", "block"])
+
+    return run
+
+
+def hot_keys(fps: DataFrame, n: int) -> dict[int, int]:
+    """Keys with at least RUN and a HOT_SHARE of the n fingerprints, and in how many blocks to deal them: at most 1 / HOT_SHARE keys for each of a
+    fingerprint's 64. Only first segments with that many fingerprints can have such keys, so most are never counted."""
+    least = max(RUN + 1, int(n * HOT_SHARE) + 1)
+    first = fps.mapInArrow(trimmed(_first_segments), "start int, segment long, n long").groupBy("start", "segment").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    within = frozenset((r.start, r.segment) for r in first.collect())  # under SEGMENTS / HOT_SHARE rows
+    if not within:
+        return {}
+    counted = fps.mapInArrow(trimmed(_keyed({}, False, within)), "key long, fp long, block long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return {r.key: -(-r.n // RUN) for r in counted.collect()}
 
 
 def linked(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -247,13 +318,22 @@ def match_blocks(key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """(u, v) edges between distinct fingerprints (column fp) whose components are those of all links."""
-    keyed = fps.select("fp").mapInArrow(trimmed(_keyed), "key long, fp long")
+    """(u, v) edges between distinct fingerprints (column fp) whose components are those of all links.
+
+    Rows of hot keys go to blocks at once; other runs pass one task each, which hands those of over RUN rows on in blocks."""
+    fps = fps.select("fp")
+    hot = hot_keys(fps, fps.count())
+    kinds = "key long, fp long, block long"
+    keyed = fps.mapInArrow(trimmed(_keyed(hot, False)), kinds).drop("block")
     found = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(match), "kind int, a long, b long, c long"), "matches")
     edges = found.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v"))
     held = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"), F.col("c").alias("block"))
     blocks = held.groupBy("key").agg(F.max("block").alias("last"), F.count("*").alias("n"))
-    each = held.join(blocks, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    each = hot_join(held, blocks, "key", held.count(), "n")
+    if hot:
+        ends = fps.sparkSession.createDataFrame([(k, b - 1) for k, b in hot.items()], "key long, last long")
+        each = each.union(fps.mapInArrow(trimmed(_keyed(hot, True)), kinds).join(F.broadcast(ends), "key").select("key", "fp", "block", "last"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
     each = each.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "fp", "block")
     far = each.groupBy("key", "x", "y").applyInArrow(match_blocks, "u long, v long")
     return edges.union(far).distinct()
@@ -276,5 +356,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is their component's smallest; of rows that share that id, all."""
     near = near_duplicates(docs, id_col, text_col)
-    kept = near.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = near.where("doc_id <=> component_id").select(to_id("doc_id").alias("id")).distinct()
+    rows = docs.select(to_id(id_col).alias("id"), whole_row(docs).alias("row"))
+    return unpacked(rows.join(kept, "id", "left_semi"))
