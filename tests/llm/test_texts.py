@@ -369,9 +369,26 @@ def test_mixed_rows_keep_their_own_decisions(spark):
     assert sorted(map(repr, again)) == sorted(map(repr, mixing.mixed(df).collect()))
 
 
+def test_mixed_with_clashing_names(spark):
+    names = ["copies", "_copies", "_copy", "_mix_id", "row", "id", "hash", "n", "size", "key", "nth", "a.b"]
+    rows = [(k % 7 if k % 3 else None, " w" * (k % 5), "ab"[k % 2]) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    more = df.selectExpr("*", *[f"{k} AS `{c}`" for k, c in enumerate(names)])
+    got = mixing.mixed(more)
+    assert got.columns == more.columns
+    assert sorted(map(repr, got.select("doc_id", "text", "source").collect())) == sorted(map(repr, mixing.mixed(df).collect()))
+
+
+def test_equal_rows_are_numbered(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    rows = [(None, "a", 5)] * 40 + [(1, None, 0), (1, None, 0), (2, "a", 5)]
+    got = mixing.numbered(spark.createDataFrame(rows, "id long, source string, size long")).collect()
+    assert sorted(r.nth for r in got if r.id is None) == list(range(40)) and sorted((r.id, r.nth) for r in got if r.id) == [(1, 0), (1, 1), (2, 0)]
+
+
 def test_rounding_keeps_mass_and_probability(spark):
     rows = [(k % 2, k, 1 + k % 9, 0.3 * (1 + k % 9)) for k in range(2000)]
-    df = spark.createDataFrame(rows, "s int, id long, w long, m double")
+    df = spark.createDataFrame(rows, "s int, id long, w long, m double").withColumn("nth", F.lit(0).cast("long"))
     got = mixing.round_by_pairs(df, 2).toPandas()
     assert len(got) == 2000 and set(got.up) == {0, 1}
     for s in (0, 1):
