@@ -200,6 +200,36 @@ def test_line_dedup_against_plain(spark):
     assert all(sha256(kept[i].text.encode()).hexdigest() == h and (not n or kept[i].n_chars == len(kept[i].text)) for i, _, n, h in want)
 
 
+def test_line_dedup_in_several_passes(spark, monkeypatch):
+    for name, value in (("LEAST_BITS", 1 << 16), ("MOST_BITS", 1 << 16), ("BITS_A_LINE", 128)):
+        monkeypatch.setattr(line_dedup, name, value)
+    calls = []
+    build = line_dedup.twice_seen
+    monkeypatch.setattr(line_dedup, "twice_seen", lambda *a: calls.append(a[2:]) or build(*a))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").union(spark.createDataFrame([(i, t, None, None, 0) for i, t in LINES], "doc_id long, text string, lang string, source string, n_chars long"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(map(tuple, line_dedup.dedup_lines(docs).collect()), key=repr) == sorted(plain_lines(rows), key=repr)
+    assert len(calls) > 1 and calls == [(k, len(calls)) for k in range(len(calls))]
+
+
+def test_without_repeats_with_odd_rows_and_clashing_names(spark):
+    more = [(i, t, 1, "k", b"d", 7, None) for i, t in LINES]
+    df = spark.createDataFrame(more, "doc_id long, text string, id long, key string, drops binary, n int, `row` string").withColumn("a.b", common.F.lit(3))
+    got = line_dedup.without_repeats(df)
+    assert got.columns == df.columns
+    rows = got.collect()
+    want = {(i, h) for i, _, _, h in plain_lines(LINES)}
+    assert len(rows) == len(LINES) and {(r.doc_id, sha256((r.text or "").encode()).hexdigest()) for r in rows} == want
+    assert {(r.id, r.key, bytes(r.drops), r.n, r.row, r["a.b"]) for r in rows} == {(1, "k", b"d", 7, None, 3)}
+    assert sum(r.text is None for r in rows) == sum(t is None for _, t in LINES)
+
+
+def test_many_rows_without_an_id(spark):
+    rows = [(None, f"a line that is shared\nrow number {k // 2} is here") for k in range(300)] + [(1, "a line that is shared")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, DOC)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(plain_lines(rows), key=repr)
+
+
 def test_a_full_filter_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "LEAST_BITS", 1 << 16)
     monkeypatch.setattr(line_dedup, "MOST_BITS", 1 << 16)
