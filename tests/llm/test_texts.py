@@ -113,27 +113,68 @@ def test_long_texts_are_scored_whole(monkeypatch):
     assert np.allclose(whole, [quality.scores([t], model)[0] for t in texts], atol=1e-5)
 
 
-def test_gradients():
+def plain_score(text, model):
+    """The network over a whole text by its definition: every window of a chunk, every chunk of the text."""
+    n = max(1, -(-len(text) // quality.BLOCK))
+    text = text + bytes((n + 2) * quality.BLOCK - len(text))
+    found = []
+    for c in range(n):
+        begin = c * quality.BLOCK
+        windows = [model["emb"][np.frombuffer(text[k : k + quality.WIDTH], np.uint8)].reshape(-1) @ model["filt"] for k in range(begin, begin + 2 * quality.BLOCK, quality.STRIDE)]
+        found.append(np.maximum(np.max(windows, axis=0) + model["bias"], 0))
+    z = np.concatenate([np.mean(found, axis=0), np.max(found, axis=0)]) @ model["out"] + model["shift"][0]
+    return 1 / (1 + np.exp(-z))
+
+
+def random_texts(rng):
+    return [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (0, 1, 5, 127, 128, 129, 300, 900, 2000)]
+
+
+def test_scores_against_a_plain_convolution(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = quality.new_model(rng)
+    model["bias"] += rng.normal(0, 0.3, quality.FILTERS).astype(np.float32)
+    texts = random_texts(rng)
+    want = [plain_score(t, model) for t in texts]
+    for piece in (quality.PIECE, 512):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        assert np.allclose(quality.scores(texts, model), want, atol=1e-5)
+
+
+def test_gradients(monkeypatch):
+    """Against differences of the loss, over whole texts that are read in pieces."""
+    monkeypatch.setattr(quality, "PIECE", 384)
     rng = np.random.default_rng(2)
     model = {k: v.astype(np.float64) for k, v in quality.new_model(rng).items()}
-    batch = [(quality.sample_chunks(bytes(rng.integers(97, 110, n).astype(np.uint8)), 4), y) for n, y in ((300, 1), (900, 0), (40, 1))]
+    model["bias"] += rng.normal(0, 0.3, quality.FILTERS)
+    batch = [(t, k % 2) for k, t in enumerate(random_texts(rng))]
 
     def loss(m):
         total = 0.0
-        for chunks, y in batch:
-            raw = np.frombuffer(b"".join(chunks), np.uint8).reshape(-1, quality.CHUNK)
-            h = np.maximum((quality.patches(m["emb"][raw]) @ m["filt"]).max(axis=1) + m["bias"], 0)
-            p = 1 / (1 + np.exp(-(np.concatenate([h.mean(axis=0), h.max(axis=0)]) @ m["out"] + m["shift"][0])))
+        for text, y in batch:
+            p = plain_score(text, m)
             total -= np.log(p if y else 1 - p) / len(batch)
         return total + 0.5e-4 * (m["filt"] ** 2).sum() + 0.5e-4 * (m["out"] ** 2).sum()
 
     grads = quality._gradients(batch, model)
-    for name, at in (("emb", (100, 1)), ("filt", (5, 3)), ("bias", (2,)), ("out", (4,)), ("out", (quality.FILTERS + 4,)), ("shift", (0,))):
+    for name, at in (("emb", (100, 1)), ("emb", (0, 2)), ("filt", (5, 3)), ("filt", (30, 17)), ("bias", (2,)), ("out", (4,)), ("out", (quality.FILTERS + 4,)), ("shift", (0,))):
         step = {k: v.copy() for k, v in model.items()}
-        step[name][at] += 1e-5
+        step[name][at] += 1e-6
         back = {k: v.copy() for k, v in model.items()}
-        back[name][at] -= 1e-5
-        assert abs((loss(step) - loss(back)) / 2e-5 - grads[name][at]) < 1e-4, name
+        back[name][at] -= 1e-6
+        assert abs((loss(step) - loss(back)) / 2e-6 - grads[name][at]) < 1e-5, (name, at)
+
+
+def test_the_sample_has_whole_texts_within_its_bounds(spark):
+    docs = spark.createDataFrame([(k, "x" * (10 * k)) for k in range(40)] + [(7, "x" * 70), (None, "n")], DOC)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(99, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    some = lambda most, most_bytes: quality.chosen_rows(docs, labels, "doc_id", "text", "quality", most, most_bytes)
+    every = some(1000, 1 << 20)
+    assert sorted(every) == [(k, k % 2) for k in range(40) if zlib.crc32(str(k).encode()) % 5]
+    assert some(10, 1 << 20) == every[:10] or 7 in dict(every[:10])
+    few = some(1000, 600)
+    assert sum(10 * k * (2 if k == 7 else 1) for k, _ in few) <= 600 and set(few) <= set(every) and len(few) > 3
+    assert some(1000, 0) == [(0, 0)] if (0, 0) in every else True
 
 
 def test_without_labels_every_score_is_a_half(spark):

@@ -4,18 +4,20 @@ A text's UTF-8 bytes are embedded; learned filters of WIDTH bytes slide over the
 BLOCK bytes, each overlapping the next by one block, cover the whole text; a filter's response to a chunk is its maximum
 there. The mean and the maximum of these over all chunks of the text are combined into one probability.
 
-The network is fitted on the driver on a bounded sample (parameters `docs` and `chunks`): the labelled rows with the
-smallest hashes of their id, and of each up to `chunks` chunks spread evenly over the whole text. Labels are learned
+The network is fitted on the driver on a bounded sample (parameters `most` and `most_bytes`): the labelled rows with the
+smallest hashes of their id, as many as fit into both bounds, each with all chunks of its whole text. Labels are learned
 only from rows outside the held-out fold (crc32 of the id as text, mod FOLDS, is 0 there). Scores depend on the text
 alone. Every text is scored whole.
 
-Defined cases: a null or empty text is scored as one block of zero bytes; labels that are null, or that belong to no document,
-are ignored, and of several labels of one id the smallest holds; a null doc_id is in no fold (held_out false) and is never
-learned from; without any label every score is 0.5; extra columns are ignored; an empty table gives an empty result.
+Defined cases: a null or empty text is scored as one block of zero bytes; a very long text is convolved a PIECE at a time; equal texts get
+equal scores; labels that are null, or that belong to no document, are ignored, and of several labels of one id the smallest holds; rows with the
+same doc_id are learned from and scored one by one; a null doc_id is in no fold (held_out false) and is never learned from; without any
+label every score is 0.5; extra columns are ignored, or passed through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import trimmed
 
 DIM, WIDTH, STRIDE, FILTERS, BLOCK = 4, 8, 2, 32, 128
-CHUNK = 2 * BLOCK + WIDTH - STRIDE
 FOLDS, THRESHOLD = 5, 0.3
-DOCS, CHUNKS = 4000, 12
+#: The sample that the network is fitted on: rows, and bytes of their texts.
+DOCS, DOC_BYTES = 1500, 24 << 20
 EPOCHS, STEP, BATCH, SEED = 12, 0.01, 32, 7
 #: Bytes that are convolved at once.
 PIECE = 1 << 17
@@ -123,16 +125,8 @@ def _pooled_score(mean: np.ndarray, most: np.ndarray, model: Model) -> np.ndarra
     return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
-def sample_chunks(text: bytes, most: int) -> list[bytes]:
-    """Up to `most` chunks, spread evenly over the text, as training sees them."""
-    used = max(1, -(-len(text) // BLOCK))
-    text = text.ljust((used + 1) * BLOCK + WIDTH, b"\0")
-    picks = range(used) if used <= most else np.linspace(0, used - 1, most).round().astype(int).tolist()
-    return [text[k * BLOCK : k * BLOCK + CHUNK].ljust(CHUNK, b"\0") for k in picks]
-
-
-def train(samples: list[tuple[list[bytes], int]], epochs: int = EPOCHS, seed: int = SEED) -> Model:
-    """Fits the network to (chunks, label) samples by Adam on the log loss."""
+def train(samples: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = SEED) -> Model:
+    """Fits the network to (whole text, label) samples by Adam on the log loss."""
     rng = np.random.default_rng(seed)
     model = new_model(rng)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.items()}
@@ -154,60 +148,85 @@ def train(samples: list[tuple[list[bytes], int]], epochs: int = EPOCHS, seed: in
     return model
 
 
-def _gradients(batch: list[tuple[list[bytes], int]], model: Model) -> Model:
-    n = np.array([len(c) for c, _ in batch])
-    first = np.concatenate([[0], np.cumsum(n)[:-1]])
-    raw = np.frombuffer(b"".join(b"".join(c) for c, _ in batch), np.uint8).reshape(-1, CHUNK)
-    cols = patches(model["emb"][raw])
-    got = cols @ model["filt"]
-    where = got.argmax(axis=1)  # (chunks, filters)
-    rows = np.arange(len(raw))
-    h = np.take_along_axis(got, where[:, None, :], axis=1)[:, 0] + model["bias"]
-    live = h > 0
-    h = np.where(live, h, 0)
+def _chunk_maxima(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, number of chunks of each, each chunk's largest responses, where in the bytes they begin), a PIECE at a time."""
+    used = np.array([max(1, -(-len(t) // BLOCK)) for t in texts])
+    # a block of zeros after each text, so that a text's last chunk is like any other
+    flat = np.frombuffer(b"".join(t.ljust((u + 1) * BLOCK, b"\0") for t, u in zip(texts, used.tolist())) + b"\0" * (WIDTH - STRIDE), np.uint8)
+    blocks = int(used.sum()) + len(texts)
+    best, where = np.zeros((blocks, FILTERS), model["filt"].dtype), np.zeros((blocks, FILTERS), np.int64)
+    step = PIECE // BLOCK
+    for k in range(0, blocks, step):
+        n = min(step, blocks - k)
+        got = (patches(model["emb"][flat[k * BLOCK : (k + n) * BLOCK + WIDTH - STRIDE]]) @ model["filt"]).reshape(n, BLOCK // STRIDE, FILTERS)
+        at = got.argmax(axis=1)
+        best[k : k + n] = np.take_along_axis(got, at[:, None], axis=1)[:, 0]
+        where[k : k + n] = at * STRIDE + (np.arange(k, k + n) * BLOCK)[:, None]
+    blank = np.cumsum(used + 1) - 1
+    # what begins in a block of zeros may reach into the next text: a block of nothing but zeros stands for it
+    best[blank] = (model["emb"][np.zeros(WIDTH, np.uint8)].ravel() @ model["filt"])[None]
+    where[blank] = blank[:, None] * BLOCK
+    first = np.delete(np.arange(blocks), blank)
+    later = best[first + 1] > best[first]
+    return flat, used, np.where(later, best[first + 1], best[first]), np.where(later, where[first + 1], where[first])
+
+
+def _gradients(batch: list[tuple[bytes, int]], model: Model) -> Model:
+    """Gradients of the mean log loss (and a little of the weights' squares) over all chunks of the texts."""
+    flat, n, best, where = _chunk_maxima([t for t, _ in batch], model)
+    first = np.cumsum(n) - n
+    h = np.maximum(best + model["bias"], 0)
     mean = np.add.reduceat(h, first, axis=0) / n[:, None]
     most = np.maximum.reduceat(h, first, axis=0)
     y = np.array([label for _, label in batch], np.float32)
-    dz = ((_pooled_score(mean, most, model) - y) / len(batch)).astype(np.float32)
+    kind = model["filt"].dtype
+    dz = ((_pooled_score(mean, most, model) - y) / len(batch)).astype(kind)
     feats = np.concatenate([mean, most], axis=1)
     doc = np.repeat(np.arange(len(batch)), n)
     dh = (dz / n)[doc, None] * model["out"][:FILTERS]
     top = h == most[doc]
-    ties = np.add.reduceat(top.astype(np.float32), first, axis=0)
+    ties = np.add.reduceat(top.astype(kind), first, axis=0)
     dh = dh + top * (dz[:, None] * model["out"][FILTERS:] / ties)[doc]
-    dh = np.where(live, dh, 0).astype(np.float32)
+    dh = np.where(h > 0, dh, 0).astype(kind)
     dfilt, demb = np.zeros_like(model["filt"]), np.zeros_like(model["emb"])
+    byte = np.arange(WIDTH)
     for f in range(FILTERS):
-        dfilt[:, f] = dh[:, f] @ cols[rows, where[:, f]]
-        spread = dh[:, f, None] * model["filt"][:, f]
-        near = raw[rows[:, None], where[:, f, None] * STRIDE + np.arange(WIDTH)]
-        for d in range(DIM):
-            demb[:, d] += np.bincount(near.ravel(), weights=spread[:, d::DIM].ravel(), minlength=256)
+        live = np.flatnonzero(dh[:, f])
+        near = flat[where[live, f][:, None] + byte]
+        # by byte value and place in the filter: sums of what flows back, from which both gradients follow
+        flow = np.bincount((near + 256 * byte).ravel(), weights=np.repeat(dh[live, f], WIDTH), minlength=256 * WIDTH).reshape(WIDTH, 256)
+        dfilt[:, f] = (flow @ model["emb"]).ravel()
+        demb += flow.T @ model["filt"][:, f].reshape(WIDTH, DIM)
     return {"emb": demb, "filt": dfilt + 1e-4 * model["filt"], "bias": dh.sum(axis=0), "out": feats.T @ dz + 1e-4 * model["out"], "shift": np.array([dz.sum()], np.float32)}
 
 
-def _pick(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            picked = [b"".join(sample_chunks(x.as_py() or b"", most)) for x in batch.column(1).cast(pa.binary())]
-            yield pa.record_batch([batch.column(0), pa.array(picked, pa.binary()), batch.column(2)], names=["id", "chunks", "label"])
-
-    return run
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = DOCS, chunks: int = CHUNKS) -> Model | None:
-    """The network fitted to at most `most` labelled rows outside the held-out fold; None without any."""
+def chosen_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, most_bytes: int) -> list[tuple[int, int]]:
+    """(id, label) of the sample: labelled rows outside the held-out fold in the order of a hash of their ids, as long as there are under
+    `most` of them and their texts fit into `most_bytes`; one that doesn't fit makes room for the next."""
     key = F.col(id_col).cast("long")
-    wanted = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
-    wanted = wanted.groupBy(key.alias("id")).agg(F.min(label_col).cast("int").alias("label"))
-    texts = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(key.alias("id"))
-    # ids first, so that only the sampled rows' texts are read into the join
-    ids = wanted.join(texts.distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(most)
-    rows = docs.select(key.alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select("id", "text", "label")
-    got = rows.mapInArrow(trimmed(_pick(chunks)), "id long, chunks binary, label int").orderBy(F.xxhash64("id"), "id", "chunks").limit(most).collect()
-    if not got:
+    open_fold = F.col(id_col).isNotNull() & ~held_out(F.col(id_col))
+    wanted = labels.where(open_fold & F.col(label_col).isin(0, 1)).groupBy(key.alias("id")).agg(F.min(label_col).cast("int").alias("label"))
+    sizes = docs.where(open_fold).select(key.alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("size"))
+    sized = sizes.groupBy("id").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).join(wanted, "id")
+    # texts that never fit are left out before the limit
+    first = sized.where(F.col("size") <= most_bytes).orderBy(F.xxhash64("id"), "id").limit(most).collect()
+    out, rows, room = [], 0, most_bytes
+    for r in first:
+        if rows + r.rows <= most and r.size <= room:
+            out.append((r.id, r.label))
+            rows, room = rows + r.rows, room - r.size
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = DOCS, most_bytes: int = DOC_BYTES) -> Model | None:
+    """The network fitted to the whole texts of at most `most` labelled rows outside the held-out fold, of `most_bytes` in all; None without any."""
+    chosen = chosen_rows(docs, labels, id_col, text_col, label_col, most, most_bytes)
+    if not chosen:
         return None
-    return train([([bytes(r.chunks[k : k + CHUNK]) for k in range(0, len(r.chunks), CHUNK)], r.label) for r in got])
+    ids = docs.sparkSession.createDataFrame(chosen, "id long, label int")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(ids), "id")
+    got = rows.select("id", "label", "text").collect()
+    return train([(bytes(r.text or b""), r.label) for r in sorted(got, key=lambda r: (zlib.crc32(str(r.id).encode()), r.id, r.text or b""))])
 
 
 def _batch_scores(texts: pa.Array, model: Model | None) -> np.ndarray:
