@@ -30,7 +30,7 @@ from .common import trimmed
 DIM, WIDTH, STRIDE, FILTERS, BLOCK = 4, 8, 2, 32, 128
 FOLDS, THRESHOLD = 5, 0.3
 #: The sample that the network is fitted on: rows, and bytes of their texts.
-DOCS, DOC_BYTES = 1500, 24 << 20
+DOCS, DOC_BYTES = 4000, 24 << 20
 EPOCHS, STEP, BATCH, SEED = 12, 0.01, 32, 7
 #: Bytes that are convolved at once.
 PIECE = 1 << 17
