@@ -468,6 +468,55 @@ def test_warc_odd_rows(spark):
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def archive_files(path):
+    return sorted(p for p in path.glob("part-*"))
+
+
+def test_types_and_members(spark, tmp_path):
+    """Version blocks, responses, resources and revisits of files of both versions, read member by member."""
+    http = b"HTTP/1.1 200 OK\r\nX-Page-Id: %d\r\n\r\n" + b"<p>" + b"same " * 40
+    records = [
+        warc.ArcRecord("http://a", "1.2.3.4", "20010203040506", "text/html", http % 7),
+        warc.ArcRecord("dns:a", "1.2.3.4", "20010203", "text/dns", b"20010203\na. 300 IN A 1.2.3.4\n"),
+        warc.ArcRecord("http://b", "1.2.3.4", "20010203040507", "text/html", http % 3),
+    ]
+    (tmp_path / "arc").mkdir()
+    for version in (1, 2):
+        raw = warc.arc_version_block(version, "n.arc") + b"\n" + b"".join(warc.arc_record(version, "n.arc", r) + b"\n" for r in records[version - 1 :: 2])
+        (tmp_path / "arc" / f"v{version}.arc.gz").write_bytes(gzip.compress(raw))
+    warc.convert(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc")
+    seen = []
+    for f in archive_files(tmp_path / "warc"):
+        packed, own = f.read_bytes(), []
+        while packed:
+            work = zlib.decompressobj(31)
+            (record,) = warc.read_warc(gzip.compress(work.decompress(packed)))
+            packed = work.unused_data
+            own.append(record)
+        assert own[0][0]["warc-type"] == "warcinfo" and all(f["warc-type"] != "warcinfo" for f, _ in own[1:])
+        seen += own[1:]
+    by = {f["warc-target-uri"]: (f, block) for f, block in seen}
+    assert {u: f["warc-type"] for u, (f, _) in by.items()} == {"http://a": "revisit", "dns:a": "resource", "http://b": "response"}
+    kept, again, lookup = by["http://b"][0], by["http://a"][0], by["dns:a"]
+    assert (again["warc-refers-to"], again["warc-refers-to-target-uri"], again["warc-refers-to-date"]) == (kept["warc-record-id"], "http://b", "2001-02-03T04:05:07Z")
+    assert again["warc-payload-digest"] == kept["warc-payload-digest"] == "sha256:" + hashlib.sha256(b"<p>" + b"same " * 40).hexdigest()
+    assert lookup[0]["content-type"] == "text/dns" and lookup[0]["warc-date"] == "2001-02-03T00:00:00Z" and lookup[1] == records[1].block
+    rows = sorted(map(repr, map(tuple, warc.read_warc_files(spark, f"file://{tmp_path}/warc").select("page_id", "record_type", "refers_to").collect())))
+    assert rows == sorted(map(repr, [(7, "revisit", 3), (3, "response", None), (None, "resource", None)]))
+
+
+def test_files_end_by_their_bytes(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    pages = [(k, f"http://p/{k}", rng.bytes(3 << 20).hex()) for k in range(12)] + [(20, "http://long", rng.bytes(9 << 20).hex())]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    warc.write_arc(df, f"file://{tmp_path}/arc")
+    sizes = [f.stat().st_size for f in archive_files(tmp_path / "arc")]
+    assert len(sizes) > 2 and max(sizes) < 40 << 20
+    assert [r.block[-10:] for f in archive_files(tmp_path / "arc") for r in warc.read_arc(f.read_bytes())] == [p[2][-10:].encode() for p in pages]
+    got = {r.page_id: (r.payload_bytes, r.record_type) for r in warc.archive(df).collect()}
+    assert got == {p[0]: (len(p[2]), "response") for p in pages}
+
+
 # ---- pipeline
 
 

@@ -3,18 +3,22 @@
 ARC files open with a version block whose fields say how the header lines of all records are laid out: version 1
 has five fields, version 2 ten. A record is its header line, then as many bytes as the line declares. Each record becomes a
 WARC record: its identifier is made from what identifies the ARC record, its timestamp from the 14-digit date, its type
-from its payload, and payload and block digests are computed.
+from what it holds, and payload and block digests are computed. Types: the version block becomes a warcinfo record, which every
+WARC file opens with; a block that begins with an HTTP status line becomes a response; any other block (a name look-up, a
+file transfer) a resource, whose payload is the whole block.
 
-Of records with equal payloads of at least LEAST bytes, the one with the smallest id is a response, and the others
-revisit it without repeating the payload. Digests alone are compared for that; the payloads stay where they are, as the list of
+Of responses with equal payloads of at least LEAST bytes, the one with the smallest id is kept, and the others become revisits, which
+name the kept record's identifier, address and date and don't repeat the payload. Digests alone are compared for that; the list of
 revisits is broadcast up to FEW rows and joined by a shuffle beyond.
 
-Archives are gzip files in the shared folder, written and read by Spark's own file formats, RECORDS records each, so that
-any store will do and a lost executor's files are written again.
+Archives are gzip files in the shared folder with a member for each record, so any record can be read on its own; a file ends
+after FILE_BYTES, whatever its number of records. ARC files are parsed once: records are kept packed, as they go into the WARC files. Files are
+written and read by Spark's own formats, so that any store will do and a lost executor's files are written again.
 
 Defined cases: a null payload is empty; a null url becomes urn:page:<id>; white space and control characters in urls are percent-encoded, as
 header fields end at them; a null page_id sorts last and is null again in the result; rows with the same page_id and
-payload have the same type; extra columns are ignored; an empty table gives an empty result.
+payload have the same type, and so have rows equal in all columns; of equal payloads the smallest page_id decides; a very long payload
+is held whole, with about six times its bytes; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,9 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, from_id, hot_join, new_path, remove, to_id, trimmed, written
+from .common import NO_ID, drop_written, from_id, hot_join, new_path, remove, to_id, trimmed, written
 
-LEAST, RECORDS, FEW = 100, 2000, 200_000
+LEAST, FEW = 100, 200_000
+#: Packed bytes after which an archive file ends.
+FILE_BYTES = 16 << 20
 PIECE = 1 << 20
 
 # The field names of the two versions' header lines.
@@ -156,14 +162,60 @@ def page_of(head: bytes) -> str:
     return found[1].decode() if found else ""
 
 
-def warc_header(r: ArcRecord, page: str, digest: str, size: int) -> str:
+def when_of(date: str) -> str:
+    d = date.ljust(14, "0")
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+
+
+def is_http(block: bytes) -> bool:
+    return block.startswith(b"HTTP/")
+
+
+def sha(data: bytes) -> str:
+    return f"sha256:{hashlib.sha256(data).hexdigest()}"
+
+
+def warc_record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
+    """A record with its block's digest and length."""
+    lines = [("WARC-Type", kind), *fields, ("WARC-Block-Digest", sha(block)), ("Content-Length", str(len(block)))]
+    head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines) + "\r\n"
+    return head.encode("utf-8", "surrogateescape") + block + b"\r\n\r\n"
+
+
+def warc_fields(r: ArcRecord, page: str, payload: bytes) -> list[tuple[str, str]]:
     """The fields that a record has whatever its type."""
-    d = r.date.ljust(14, "0")
-    when = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-    return (
-        f"WARC-Record-ID: {record_id(r, page)}\r\nWARC-Date: {when}\r\nWARC-Target-URI: {r.url}\r\nWARC-IP-Address: {r.ip}\r\n"
-        f"WARC-Payload-Digest: sha256:{digest}\r\nX-Payload-Length: {size}\r\nX-Page-Id: {page}\r\nContent-Type: application/http; msgtype=response\r\n"
-    )
+    http = is_http(r.block)
+    out = [
+        ("WARC-Record-ID", record_id(r, page)),
+        ("WARC-Date", when_of(r.date)),
+        ("WARC-Target-URI", r.url),
+        ("WARC-IP-Address", r.ip),
+        ("WARC-Payload-Digest", sha(payload)),
+        ("X-Payload-Length", str(len(payload))),
+        ("Content-Type", "application/http; msgtype=response" if http else r.content_type),
+    ]
+    return [*out, ("X-Page-Id", page)] if http else out
+
+
+#: What a revisit's profile is called. Fixed value.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+
+
+def warcinfo(name: str) -> bytes:
+    block = b"software: veilspark\r\nformat: WARC File Format 1.1\r\ndescription: converted from ARC files\r\n"
+    about = [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"), ("WARC-Date", "2026-01-01T00:00:00Z"), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")]
+    return warc_record("warcinfo", about, block)
+
+
+def packed(data: bytes) -> bytes:
+    """A gzip member whose last byte is 0: so ends the length of anything under 16 MiB, and of the empty member that follows others."""
+    out = _member(data)
+    return out if out[-1] == 0 else out + _member(b"")
+
+
+def _member(data: bytes) -> bytes:
+    work = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return work.compress(data) + work.flush()
 
 
 def read_warc(packed: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -201,74 +253,116 @@ def _chunked(names_kinds: list[tuple[str, pa.DataType]], rows: Iterable[tuple],
         yield _rows(names_kinds, part)
 
 
-def to_arc(records: int):
-    """(id, url, html) to ARC records, a version block before every `records` - 1 of them; versions take turns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made() -> Iterator[tuple[bytes]]:
-            n, files, version, name = 0, 0, 1, ""
-            for batch in batches:
-                for page, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
-                    if n % records == 0:
-                        version, name = 1 + files % 2, f"crawl-{files}.arc.gz"
-                        files += 1
-                        n += 1
-                        yield (arc_version_block(version, name),)
-                    page_text = "" if page == NO_ID else str(page)
-                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {page_text}\r\n\r\n".encode()
-                    date = f"20260101{page // 3600 % 24:02d}{page // 60 % 60:02d}{page % 60:02d}"
-                    n += 1
-                    yield (arc_record(version, name, ArcRecord(f"urn:page:{page_text}" if url is None else url or "urn:page:", "0.0.0.0", date, "text/html", head + (html.as_py() or b""))),)
-
-        yield from _chunked([("value", pa.binary())], made(), lambda r: len(r[0]))
+def to_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, url, html) to ARC files; versions take turns."""
+    version, name = 1, ""
 
-    return run
+    def opening(k: int) -> bytes:
+        nonlocal version, name
+        version, name = 1 + k % 2, f"crawl-{k}.arc.gz"
+        return arc_version_block(version, name) + b"\n"
 
-
-def arc_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(content) of ARC files to (id, digest, size) of their payloads."""
+    def records() -> Iterator[bytes]:
+        for batch in batches:
+            for page, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
+                page_text = "" if page == NO_ID else str(page)
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {page_text}\r\n\r\n".encode()
+                date = f"20260101{page // 3600 % 24:02d}{page // 60 % 60:02d}{page % 60:02d}"
+                own = ArcRecord(f"urn:page:{page_text}" if url is None else url or "urn:page:", "0.0.0.0", date, "text/html", head + (html.as_py() or b""))
+                yield own
+
+    # a file's version is set before its first record is asked for
+    yield from _chunked([("value", pa.binary())], _in_files(records(), opening, lambda own: packed(arc_record(version, name, own) + b"\n")), lambda r: len(r[0]))
+
+
+KINDS = [
+    ("id", pa.int64()),
+    ("kind", pa.string()),
+    ("digest", pa.binary()),
+    ("size", pa.int64()),
+    ("record", pa.string()),
+    ("url", pa.binary()),
+    ("date", pa.string()),
+    ("fields", pa.binary()),
+    ("head", pa.binary()),
+    ("member", pa.binary()),
+]
+
+
+def arc_parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(content) of ARC files to what identifies their records, and the WARC records that they become if they are no revisits, packed."""
 
     def made() -> Iterator[tuple]:
         for batch in batches:
-            for packed in batch.column(0):
-                for r in read_arc(packed.as_py()):
-                    head, payload = split_http(r.block)
+            for content in batch.column(0):
+                for r in read_arc(content.as_py()):
+                    http = is_http(r.block)
+                    head, payload = split_http(r.block) if http else (b"", r.block)
                     page = page_of(head)
-                    yield int(page) if page else NO_ID, hashlib.sha256(payload).digest(), len(payload)
+                    fields = warc_fields(r, page, payload)
+                    kind = "response" if http else "resource"
+                    spelled = "\n".join(f"{k}\t{v}" for k, v in fields).encode("utf-8", "surrogateescape")
+                    member = packed(warc_record(kind, fields, r.block))
+                    yield int(page) if page else NO_ID, kind, hashlib.sha256(payload).digest(), len(payload), record_id(r, page), r.url.encode("utf-8", "surrogateescape"), when_of(r.date), spelled, head, member
 
-    yield from _chunked([("id", pa.int64()), ("digest", pa.binary()), ("size", pa.int64())], made(), lambda r: 64)
+    yield from _chunked(KINDS, made(), lambda r: len(r[8]) + len(r[9]) + 256)
 
 
-def arc_fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(content) of ARC files to what their WARC records are put together from."""
+def to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(first, to_record, to_url, to_date, fields, head, member) to WARC files: a revisit where `first` is given, else the member as it is."""
+    name = uuid.uuid4().hex
 
-    def made() -> Iterator[tuple]:
+    def members() -> Iterator[bytes]:
         for batch in batches:
-            for packed in batch.column(0):
-                for r in read_arc(packed.as_py()):
-                    head, payload = split_http(r.block)
-                    page = page_of(head)
-                    digest = hashlib.sha256(payload)
-                    yield int(page) if page else NO_ID, digest.digest(), warc_header(r, page, digest.hexdigest(), len(payload)).encode("utf-8", "surrogateescape"), hashlib.sha256(r.block).hexdigest(), head, r.block
-
-    kinds = [("id", pa.int64()), ("digest", pa.binary()), ("fields", pa.binary()), ("block_digest", pa.string()), ("head", pa.binary()), ("block", pa.binary())]
-    yield from _chunked(kinds, made(), lambda r: len(r[5]))
+            for first, to, url, date, fields, head, member in zip(*batch.columns):
+                if not first.is_valid:
+                    yield member.as_py()
+                    continue
+                own = [tuple(line.split("\t", 1)) for line in fields.as_py().decode("utf-8", "surrogateescape").split("\n")]
+                target = url.as_py().decode("utf-8", "surrogateescape")
+                about = [("WARC-Profile", PROFILE), ("WARC-Refers-To", to.as_py()), ("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date.as_py()), ("X-Refers-To-Page-Id", str(first.as_py()))]
+                yield packed(warc_record("revisit", own + about, head.as_py()))
+
+    yield from _chunked([("value", pa.binary())], _in_files(members(), lambda k: warcinfo(f"{name}-{k}.warc.gz"), lambda m: m), lambda r: len(r[0]))
+
+
+def _in_files(records: Iterable, opening, member) -> Iterator[tuple[bytes]]:
+    """Records put together, as gzip members, to files of about FILE_BYTES; opening(k) is the first record of the k-th and is made before the
+    members of that file. The last byte, a 0, is left to the line separator of the writer."""
+    held: list[bytes] = []
+    size, files = 0, 0
+    for record in records:
+        if not held:
+            held.append(packed(opening(files)))
+            files += 1
+        held.append(member(record))
+        size += len(held[-1])
+        if size >= FILE_BYTES:
+            yield (b"".join(held)[:-1],)
+            held, size = [], 0
+    if held:
+        yield (b"".join(held)[:-1],)
 
 
 def warc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(content) of WARC files to a row a record; a response's payload is measured again."""
+    """(content) of WARC files to a row for each record but the warcinfo; every block and payload is measured again."""
 
     def made() -> Iterator[tuple]:
         for batch in batches:
-            for packed in batch.column(0):
-                for fields, block in read_warc(packed.as_py()):
+            for content in batch.column(0):
+                for fields, block in read_warc(content.as_py()):
+                    kind, name = fields["warc-type"], fields["warc-record-id"]
+                    if sha(block) != fields["warc-block-digest"]:
+                        raise ValueError(f"record {name} does not hold its block")
+                    if kind == "warcinfo":
+                        continue
                     digest, size = fields["warc-payload-digest"].removeprefix("sha256:"), int(fields["x-payload-length"])
-                    if fields["warc-type"] == "response":
-                        payload = split_http(block)[1]
+                    if kind != "revisit":
+                        payload = split_http(block)[1] if kind == "response" else block
                         if len(payload) != size or hashlib.sha256(payload).hexdigest() != digest:
-                            raise ValueError(f"record {fields['warc-record-id']} does not hold its payload")
-                    to = fields.get("x-refers-to-page-id")
-                    yield int(fields["x-page-id"]) if fields["x-page-id"] else NO_ID, size, digest, fields["warc-type"], int(to) if to else None
+                            raise ValueError(f"record {name} does not hold its payload")
+                    to, page = fields.get("x-refers-to-page-id"), fields.get("x-page-id")
+                    yield int(page) if page else NO_ID, size, digest, kind, int(to) if to else None
 
     kinds = [("id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
     yield from _chunked(kinds, made(), lambda r: 128)
@@ -277,41 +371,39 @@ def warc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- operators
 
 
-def _save(records: DataFrame, path: str, end: str, most: int) -> None:
-    """Writes a column of bytes, each followed by `end`, as gzip files of `most` records."""
-    text = records.select(F.col("value").cast("string").alias("value"))
-    text.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", end).option("maxRecordsPerFile", most).text(path)
+def _save(files: DataFrame, path: str) -> None:
+    """Writes whole files from a column of bytes, a row each. The last byte of a gzip file, a 0, is what the writer ends its lines with."""
+    files.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content")
 
 
-def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", records: int = RECORDS) -> None:
+def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """pages as ARC files under path, of both versions."""
     rows = pages.select(to_id(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    _save(rows.mapInArrow(trimmed(to_arc(records)), "value binary"), path, "\n", records)
+    _save(rows.mapInArrow(trimmed(to_arc), "value binary"), path)
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, records: int = RECORDS, least: int = LEAST) -> None:
+def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST) -> None:
     """The ARC files under arc_path as WARC files under warc_path."""
-    seen = written(_files(spark, arc_path).mapInArrow(trimmed(arc_digests), "id long, digest binary, size long"), "digests")
-    first = seen.where(F.col("size") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = written(hot_join(seen, first, "digest", seen.count(), "n").where("id <> first").select("id", "digest", "first").distinct(), "revisits")
-    fields = _files(spark, arc_path).mapInArrow(trimmed(arc_fields), "id long, digest binary, fields binary, block_digest string, head binary, block binary")
-    joined = fields.join(F.broadcast(again) if again.count() <= FEW else again, ["id", "digest"], "left")
-    to = F.col("first")
-    b = lambda c: (F.lit(c) if isinstance(c, str) else c.cast("string")).cast("binary")
-    response = F.concat(b("WARC/1.1\r\nWARC-Type: response\r\n"), F.col("fields"), b("WARC-Block-Digest: sha256:"), b(F.col("block_digest")), b("\r\nContent-Length: "), b(F.octet_length("block")), b("\r\n\r\n"), F.col("block"))
-    revisit = F.concat(
-        b("WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"),
-        F.col("fields"), b("WARC-Block-Digest: sha256:"), b(F.sha2("head", 256)), b("\r\nX-Refers-To-Page-Id: "), b(to), b("\r\nContent-Length: "), b(F.octet_length("head")), b("\r\n\r\n"), F.col("head"),
-    )
-    _save(joined.select(F.when(to.isNull(), response).otherwise(revisit).alias("value")), warc_path, "\r\n\r\n", records)
+    schema = "id long, kind string, digest binary, size long, record string, url binary, date string, fields binary, head binary, member binary"
+    records = written(_files(spark, arc_path).mapInArrow(trimmed(arc_parsed), schema), "records")
+    seen = records.where("kind = 'response'").select("id", "digest", "size", "record", "url", "date")
+    kept = F.min(F.struct("id", "record", "url", "date")).alias("kept")
+    first = seen.where(F.col("size") >= least).groupBy("digest").agg(kept, F.count("*").alias("n")).where("n > 1")
+    again = hot_join(seen.select("id", "digest"), first, "digest", seen.count(), "n").where("id <> kept.id")
+    again = written(again.groupBy("id", "digest").agg(F.first("kept").alias("kept")), "revisits")
+    joined = records.join(F.broadcast(again) if again.count() <= FEW else again, ["id", "digest"], "left")
+    is_response = F.when(F.col("kind") == "response", F.col("kept.id"))
+    out = joined.select(is_response.alias("first"), "kept.record", "kept.url", "kept.date", "fields", "head", "member")
+    _save(out.mapInArrow(trimmed(to_warc), "value binary"), warc_path)
+    drop_written(records, again)
 
 
 def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of the WARC files under path."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of the WARC files under path; page_id is null for resources."""
     rows = _files(spark, path).mapInArrow(trimmed(warc_rows), "id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     return rows.select(from_id("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", from_id("refers_to").alias("refers_to"))
 
