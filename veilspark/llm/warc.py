@@ -39,7 +39,7 @@ from .common import NO_ID, drop_written, from_id, hot_join, new_path, remove, to
 LEAST, FEW = 100, 200_000
 #: Packed bytes after which an archive file ends.
 FILE_BYTES = 16 << 20
-PIECE = 1 << 20
+PIECE, FEED = 1 << 20, 1 << 13
 
 # The field names of the two versions' header lines.
 ARC_FIELDS = {
@@ -71,7 +71,8 @@ class Reader:
                 rest = self.inflate.unused_data
                 self.at -= len(rest)
                 self.inflate = zlib.decompressobj(31)
-            piece = self.inflate.unconsumed_tail or self.packed[self.at : self.at + PIECE]
+            # small pieces: what lies behind a member's end is copied and put back
+            piece = self.inflate.unconsumed_tail or self.packed[self.at : self.at + FEED]
             if not piece:
                 return False
             if not self.inflate.unconsumed_tail:
@@ -182,16 +183,15 @@ def warc_record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes
     return head.encode("utf-8", "surrogateescape") + block + b"\r\n\r\n"
 
 
-def warc_fields(r: ArcRecord, page: str, payload: bytes) -> list[tuple[str, str]]:
+def warc_fields(r: ArcRecord, page: str, digest: str, size: int, http: bool) -> list[tuple[str, str]]:
     """The fields that a record has whatever its type."""
-    http = is_http(r.block)
     out = [
         ("WARC-Record-ID", record_id(r, page)),
         ("WARC-Date", when_of(r.date)),
         ("WARC-Target-URI", r.url),
         ("WARC-IP-Address", r.ip),
-        ("WARC-Payload-Digest", sha(payload)),
-        ("X-Payload-Length", str(len(payload))),
+        ("WARC-Payload-Digest", f"sha256:{digest}"),
+        ("X-Payload-Length", str(size)),
         ("Content-Type", "application/http; msgtype=response" if http else r.content_type),
     ]
     return [*out, ("X-Page-Id", page)] if http else out
@@ -275,20 +275,24 @@ def to_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _chunked([("value", pa.binary())], _in_files(records(), opening, lambda own: packed(arc_record(version, name, own) + b"\n")), lambda r: len(r[0]))
 
 
+#: What is kept of each record between reading and writing.
 KINDS = [
     ("id", pa.int64()),
     ("kind", pa.string()),
     ("digest", pa.binary()),
     ("size", pa.int64()),
-    ("record", pa.string()),
     ("url", pa.binary()),
+    ("ip", pa.string()),
     ("date", pa.string()),
-    ("fields", pa.binary()),
     ("head", pa.binary()),
     ("member", pa.binary()),
 ]
 
 
+def page_text(page: int) -> str:
+    return "" if page == NO_ID else str(page)
+
+
 def arc_parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(content) of ARC files to what identifies their records, and the WARC records that they become if they are no revisits, packed."""
 
@@ -298,30 +302,31 @@ def arc_parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for r in read_arc(content.as_py()):
                     http = is_http(r.block)
                     head, payload = split_http(r.block) if http else (b"", r.block)
-                    page = page_of(head)
-                    fields = warc_fields(r, page, payload)
+                    page, digest = page_of(head), hashlib.sha256(payload)
                     kind = "response" if http else "resource"
-                    spelled = "\n".join(f"{k}\t{v}" for k, v in fields).encode("utf-8", "surrogateescape")
-                    member = packed(warc_record(kind, fields, r.block))
-                    yield int(page) if page else NO_ID, kind, hashlib.sha256(payload).digest(), len(payload), record_id(r, page), r.url.encode("utf-8", "surrogateescape"), when_of(r.date), spelled, head, member
+                    member = packed(warc_record(kind, warc_fields(r, page, digest.hexdigest(), len(payload), http), r.block))
+                    yield int(page) if page else NO_ID, kind, digest.digest(), len(payload), r.url.encode("utf-8", "surrogateescape"), r.ip, r.date, head, member
 
-    yield from _chunked(KINDS, made(), lambda r: len(r[8]) + len(r[9]) + 256)
+    yield from _chunked(KINDS, made(), lambda r: len(r[7]) + len(r[8]) + 256)
 
 
 def to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(first, to_record, to_url, to_date, fields, head, member) to WARC files: a revisit where `first` is given, else the member as it is."""
+    """(first, first_url, first_date, id, digest, size, url, ip, date, head, member) to WARC files: a revisit where `first` is given, else the
+    member as it is."""
     name = uuid.uuid4().hex
+    plain = lambda raw: raw.decode("utf-8", "surrogateescape")
+
+    def revisit(first: int, first_url: bytes, first_date: str, page: int, digest: bytes, size: int, url: bytes, ip: str, date: str, head: bytes) -> bytes:
+        kept = ArcRecord(plain(first_url), "", first_date, "", b"")
+        own = warc_fields(ArcRecord(plain(url), ip, date, "", b""), page_text(page), digest.hex(), size, True)
+        to = [("WARC-Refers-To", record_id(kept, page_text(first))), ("WARC-Refers-To-Target-URI", kept.url), ("WARC-Refers-To-Date", when_of(first_date)), ("X-Refers-To-Page-Id", str(first))]
+        return packed(warc_record("revisit", [("WARC-Profile", PROFILE), *own, *to], head))
 
     def members() -> Iterator[bytes]:
         for batch in batches:
-            for first, to, url, date, fields, head, member in zip(*batch.columns):
-                if not first.is_valid:
-                    yield member.as_py()
-                    continue
-                own = [tuple(line.split("\t", 1)) for line in fields.as_py().decode("utf-8", "surrogateescape").split("\n")]
-                target = url.as_py().decode("utf-8", "surrogateescape")
-                about = [("WARC-Profile", PROFILE), ("WARC-Refers-To", to.as_py()), ("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date.as_py()), ("X-Refers-To-Page-Id", str(first.as_py()))]
-                yield packed(warc_record("revisit", own + about, head.as_py()))
+            *about, member = batch.columns
+            for k, first in enumerate(about[0].to_pylist()):
+                yield member[k].as_py() if first is None else revisit(*[c[k].as_py() for c in about])
 
     yield from _chunked([("value", pa.binary())], _in_files(members(), lambda k: warcinfo(f"{name}-{k}.warc.gz"), lambda m: m), lambda r: len(r[0]))
 
@@ -345,14 +350,14 @@ def _in_files(records: Iterable, opening, member) -> Iterator[tuple[bytes]]:
 
 
 def warc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(content) of WARC files to a row for each record but the warcinfo; every block and payload is measured again."""
+    """(content) of WARC files to a row for each record but the warcinfo; what they hold is measured again."""
 
     def made() -> Iterator[tuple]:
         for batch in batches:
             for content in batch.column(0):
                 for fields, block in read_warc(content.as_py()):
                     kind, name = fields["warc-type"], fields["warc-record-id"]
-                    if sha(block) != fields["warc-block-digest"]:
+                    if kind in ("warcinfo", "revisit") and sha(block) != fields["warc-block-digest"]:
                         raise ValueError(f"record {name} does not hold its block")
                     if kind == "warcinfo":
                         continue
@@ -386,20 +391,31 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
     _save(rows.mapInArrow(trimmed(to_arc), "value binary"), path)
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST) -> None:
-    """The ARC files under arc_path as WARC files under warc_path."""
-    schema = "id long, kind string, digest binary, size long, record string, url binary, date string, fields binary, head binary, member binary"
-    records = written(_files(spark, arc_path).mapInArrow(trimmed(arc_parsed), schema), "records")
-    seen = records.where("kind = 'response'").select("id", "digest", "size", "record", "url", "date")
-    kept = F.min(F.struct("id", "record", "url", "date")).alias("kept")
+def read_arc_files(spark: SparkSession, path: str) -> DataFrame:
+    """The records of the ARC files under path, written to the shared folder: what identifies them, and their WARC records packed."""
+    schema = "id long, kind string, digest binary, size long, url binary, ip string, date string, head binary, member binary"
+    return written(_files(spark, path).mapInArrow(trimmed(arc_parsed), schema), "records")
+
+
+def write_warc(records: DataFrame, path: str, least: int = LEAST) -> None:
+    """Records of read_arc_files() as WARC files under path."""
+    seen = records.where("kind = 'response'").select("id", "digest", "size", "url", "date")
+    kept = F.min(F.struct("id", "url", "date")).alias("kept")
     first = seen.where(F.col("size") >= least).groupBy("digest").agg(kept, F.count("*").alias("n")).where("n > 1")
     again = hot_join(seen.select("id", "digest"), first, "digest", seen.count(), "n").where("id <> kept.id")
     again = written(again.groupBy("id", "digest").agg(F.first("kept").alias("kept")), "revisits")
     joined = records.join(F.broadcast(again) if again.count() <= FEW else again, ["id", "digest"], "left")
     is_response = F.when(F.col("kind") == "response", F.col("kept.id"))
-    out = joined.select(is_response.alias("first"), "kept.record", "kept.url", "kept.date", "fields", "head", "member")
-    _save(out.mapInArrow(trimmed(to_warc), "value binary"), warc_path)
-    drop_written(records, again)
+    out = joined.select(is_response.alias("first"), F.col("kept.url").alias("first_url"), F.col("kept.date").alias("first_date"), "id", "digest", "size", "url", "ip", "date", "head", "member")
+    _save(out.mapInArrow(trimmed(to_warc), "value binary"), path)
+    drop_written(again)
+
+
+def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST) -> None:
+    """The ARC files under arc_path as WARC files under warc_path."""
+    records = read_arc_files(spark, arc_path)
+    write_warc(records, warc_path, least)
+    drop_written(records)
 
 
 def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
@@ -413,6 +429,8 @@ def archive(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     write_arc(pages, arc)
-    convert(spark, arc, warc)
+    records = read_arc_files(spark, arc)
     remove(spark, arc)
+    write_warc(records, warc)
+    drop_written(records)
     return read_warc_files(spark, warc)
