@@ -11,14 +11,15 @@ thumbnail, are the payload without loss. A row has 64 blocks and is a restart in
 FRAME bytes becomes several images one after another (motion JPEG).
 
 Defined cases: a null or empty text is a payload of 64 zero bytes; rows with equal texts get equal values; rows that share a
-doc_id are stored one by one; a null doc_id stays null; extra columns are ignored; an empty table gives an empty result.
+doc_id, or are equal in all columns, are stored one by one; a very long text is coded and decoded BATCH bytes at a time, with about six times
+its bytes held; a null doc_id stays null; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -123,8 +124,26 @@ def _pack_rows(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:
-    """The images of payloads whose lengths are positive multiples of 64."""
-    frames = [p[k : k + FRAME] for p in payloads for k in range(0, len(p), FRAME)]
+    """The images of payloads whose lengths are positive multiples of 64; about BATCH bytes are coded side by side."""
+    images: list[list[bytes]] = [[] for _ in payloads]
+    places, group, size = [], [], 0
+    for k, p in enumerate(payloads):
+        for at in range(0, len(p), FRAME):
+            frame = p[at : at + FRAME] if len(p) > FRAME else p
+            if group and size + len(frame) > BATCH:
+                for place, image in zip(places, _images(group)):
+                    images[place].append(image)
+                places, group, size = [], [], 0
+            places.append(k)
+            group.append(frame)
+            size += len(frame)
+    for place, image in zip(places, _images(group) if group else []):
+        images[place].append(image)
+    return [x[0] if len(x) == 1 else b"".join(x) for x in images]
+
+
+def _images(frames: list[bytes]) -> list[bytes]:
+    """One image for each frame."""
     rows = [len(f) // UNIT for f in frames]
     matrix, sizes = _pack_rows(np.frombuffer(b"".join(frames), np.uint8).reshape(-1, UNIT))
     flat = matrix[np.arange(matrix.shape[1]) < sizes[:, None]]
@@ -143,12 +162,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     for r, e in zip(rows, ends[last].tolist()):
         images.append(_header(r) + data[at:e])
         at = e
-    media, k = [], 0
-    for p in payloads:
-        n = -(-len(p) // FRAME)
-        media.append(b"".join(images[k : k + n]))
-        k += n
-    return media
+    return images
 
 
 # ---- reading
@@ -176,8 +190,12 @@ class Image(NamedTuple):
 
 
 def parse(data: bytes) -> list[Image]:
-    """All baseline images of data, one after another."""
-    images: list[Image] = []
+    """All baseline images of data."""
+    return list(images_of(data))
+
+
+def images_of(data: bytes) -> Iterator[Image]:
+    """The baseline images of data, one after another, each parsed when it is asked for."""
     steps: dict[int, int] = {}
     tables: dict[int, bytes] = {}
     size, components, interval, at = (0, 0), (), 0, 0
@@ -219,8 +237,7 @@ def parse(data: bytes) -> list[Image]:
             scanned = tuple((idents.index(body[k]), tables[body[k + 1] >> 4], tables[16 | body[k + 1] & 15]) for k in range(1, 1 + 2 * body[0], 2))
             segments, at = _entropy_coded(data, at)
             if scanned[0][0] == 0:  # scans of other components alone hold no luminance
-                images.append(Image(*size, components, scanned, steps[components[0].quantizer], interval, segments))
-    return images
+                yield Image(*size, components, scanned, steps[components[0].quantizer], interval, segments)
 
 
 def _entropy_coded(data: bytes, at: int) -> tuple[list[bytes], int]:
@@ -351,13 +368,19 @@ def _decode(images: list[Image]) -> list[np.ndarray]:
     return out
 
 
-def thumbnail_hash(thumb: np.ndarray) -> str:
-    """64 bits: which cells of an 8x8 grid over the thumbnail are brighter than their mean."""
-    at = [np.arange(8) * n // 8 for n in thumb.shape]
-    to = [np.maximum(a + 1, (np.arange(8) + 1) * n // 8) for a, n in zip(at, thumb.shape)]
-    total = np.zeros((thumb.shape[0] + 1, thumb.shape[1] + 1), np.int64)
-    total[1:, 1:] = thumb.cumsum(axis=0, dtype=np.int64).cumsum(axis=1)
-    cells = total[np.ix_(to[0], to[1])] - total[np.ix_(at[0], to[1])] - total[np.ix_(to[0], at[1])] + total[np.ix_(at[0], at[1])]
+def thumbnail_hash(thumbs: list[np.ndarray]) -> str:
+    """64 bits: which cells of an 8x8 grid over thumbnails of one width, one below the other, are brighter than their mean."""
+    high, wide = sum(len(t) for t in thumbs), thumbs[0].shape[1]
+    at = [np.arange(8) * n // 8 for n in (high, wide)]
+    to = [np.maximum(a + 1, (np.arange(8) + 1) * n // 8) for a, n in zip(at, (high, wide))]
+    cells = np.zeros((8, 8), np.int64)
+    for k, (begin, end) in enumerate(zip(at[0].tolist(), to[0].tolist())):
+        above, columns = 0, np.zeros(wide, np.int64)
+        for t in thumbs:
+            columns += t[max(0, begin - above) : max(0, end - above)].sum(axis=0, dtype=np.int64)
+            above += len(t)
+        total = np.concatenate([[0], columns.cumsum()])
+        cells[k] = total[to[1]] - total[at[1]]
     area = (to[0] - at[0])[:, None] * (to[1] - at[1])
     return np.packbits(cells * area.sum() > cells.sum() * area).tobytes().hex()
 
@@ -391,6 +414,20 @@ def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += len(part)
 
 
+def _grouped(media: Iterable[bytes]) -> Iterator[list[tuple[int, Image]]]:
+    """The images of media with the media's places, in groups of about BATCH coded bytes that are decoded side by side."""
+    group, size = [], 0
+    for k, data in enumerate(media):
+        for image in images_of(data):
+            group.append((k, image))
+            size += sum(map(len, image.segments))
+            if size > BATCH:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
 def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, n_bytes, media) to what is computed from the stored bytes."""
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -398,15 +435,20 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = 0
         for part in _parts([x.as_py() for x in batch.column(2)]):
-            parsed = [parse(m) for m in part]
-            thumbs = iter(thumbnails([im for images in parsed for im in images]))
+            sizes: list[list[int]] = [[] for _ in part]
+            thumbs: list[list[np.ndarray]] = [[] for _ in part]
+            sums, tails = [hashlib.sha256() for _ in part], [b""] * len(part)
+            for group in _grouped(part):
+                for (k, image), thumb in zip(group, thumbnails([image for _, image in group])):
+                    data = thumb.tobytes()
+                    sums[k].update(data)
+                    tails[k] = data[-UNIT:]
+                    thumbs[k].append(thumb)
+                    sizes[k] = [image.width, image.height + (sizes[k][1] if sizes[k] else 0)]
             out: list[list] = [[] for _ in names]
-            for media, images in zip(part, parsed):
-                own = [next(thumbs) for _ in images]
-                payload = b"".join(t.tobytes() for t in own)
-                high = sum(im.height for im in images)
-                feature = f"{images[0].width}x{high}:{len(images)}:{thumbnail_hash(np.concatenate(own))}"
-                row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+            for k, media in enumerate(part):
+                feature = f"{sizes[k][0]}x{sizes[k][1]}:{len(thumbs[k])}:{thumbnail_hash(thumbs[k])}"
+                row = (sum(t.size for t in thumbs[k]), sums[k].hexdigest(), zlib.crc32(tails[k]), len(media), hashlib.sha256(media).hexdigest(), feature)
                 for column, value in zip(out, row):
                     column.append(value)
             yield pa.record_batch([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), *[pa.array(x, k) for x, k in zip(out, kinds)]], names=["id", "n_bytes", *names])
