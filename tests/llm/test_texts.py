@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -50,24 +51,66 @@ def library(codec):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
 
 
-def test_bpe_equals_the_library(spark, codec, library):
+def odd_texts():
     rng = random.Random(1)
-    texts = [r.text or "" for r in documents(spark).select("text").collect()]
-    texts += ["", " ", "a" * 300, "\n\n  x  \n", "don't  I'll", "日本語 テキスト", "😀👨‍👩‍👧", "".join(rng.choice("abc \n") for _ in range(5000))]
-    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xA0, 0x500), rng.randrange(0x4E00, 0x9000)])) for _ in range(60)) for _ in range(100)]
-    for text, pieces in zip(texts, byte_bpe.encoded(codec, texts), strict=True):
-        ids = [x for a, _ in pieces for x in a.tolist()]
+    texts = ["", " ", "a" * 300, "\n\n  x  \n", "don't  I'll", "日本語 テキスト", "😀👨‍👩‍👧", "".join(rng.choice("abc \n") for _ in range(5000)), "ab" * 4000 + " " + "é" * 500]
+    return texts + ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xA0, 0x500), rng.randrange(0x4E00, 0x9000)])) for _ in range(60)) for _ in range(100)]
+
+
+def test_bpe_equals_the_library(codec, library):
+    for text in odd_texts():
+        ids = codec.encode(text)
         assert ids == library.encode_ordinary(text) and codec.decode(ids) == text.encode()
-        assert ",".join(s for _, s in pieces) == ",".join(map(str, ids))
 
 
-def test_bpe_in_pieces_and_with_little_memory(spark, codec, library, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "PIECE", 40)
-    monkeypatch.setattr(byte_bpe, "WORDS", 100)
-    monkeypatch.setattr(byte_bpe, "WORD_BYTES", 8)
-    for r in documents(spark).limit(60).collect():
-        assert codec.encode(r.text) == library.encode_ordinary(r.text)
-    codec.forget()
+def check_bpe(spark, library, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), DOC)
+    got = {r.doc_id: r for r in byte_bpe.round_trip(df, PATH, public_tokenizers.PATTERN).collect()}
+    lists = {r.doc_id: r for r in byte_bpe.tokens(df, PATH, public_tokenizers.PATTERN, keep=("doc_id",)).collect()}
+    assert len(got) == len(lists) == len(texts)
+    for k, text in enumerate(texts):
+        ids = library.encode_ordinary(text or "")
+        spelled = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        plain = hashlib.sha256((text or "").encode()).hexdigest()
+        assert (got[k].n_tokens, got[k].ids_sha256, got[k].decoded_sha256) == (len(ids), spelled, plain), k
+        assert (lists[k].ids, lists[k].n_tokens, lists[k].decoded_sha256) == (ids, len(ids), plain)
+
+
+def test_bpe_over_a_corpus(spark, library):
+    texts = [r.text for r in documents(spark).select("text").collect()]
+    check_bpe(spark, library, [*texts, None, *odd_texts(), texts[0], texts[0]])
+
+
+def test_bpe_with_many_parts(spark, library, monkeypatch):
+    """Parts are counted on the driver's side: here nearly every word has one of its own."""
+    monkeypatch.setattr(byte_bpe, "PART_BYTES", 50)
+    check_bpe(spark, library, ["a few words, a few", "", "words 12 and\n more", None])
+
+
+def test_bpe_splits_blocks_and_long_texts(monkeypatch, codec, library):
+    """What a task makes of its texts when blocks, pieces and groups are small."""
+    for name, value in (("BLOCK", 200), ("PIECE", 40), ("TOGETHER", 60), ("WORD_BYTES", 8)):
+        monkeypatch.setattr(byte_bpe, name, value)
+    monkeypatch.setattr(byte_bpe, "TaskContext", type("T", (), {"get": lambda: type("C", (), {"partitionId": lambda self: 3})()}))
+    monkeypatch.setattr(byte_bpe, "codec", lambda *_: codec)
+    texts = [t for t in odd_texts()[:20]] + ["short", None, "and more words " * 30]
+    batches = [pa.record_batch([pa.array(range(k, min(k + 7, len(texts)))), pa.array(texts[k : k + 7])], names=["row", "text"]) for k in range(0, len(texts), 7)]
+    rows = pa.Table.from_batches(list(byte_bpe.split_texts(public_tokenizers.PATTERN, 5)(iter(batches)))).to_pylist()
+    words = [r for r in rows if r["part"] is not None]
+    ids = []
+    for part in sorted({r["part"] for r in words}):
+        own = [r for r in words if r["part"] == part]
+        table = pa.table({"block": [r["block"] for r in own], "numbers": [r["numbers"] for r in own], "words": pa.array([r["words"] for r in own], pa.list_(pa.binary()))})
+        ids += byte_bpe.encode_part("", "")((pa.scalar(part),), table).to_pylist()
+    blocks = sorted({r["block"] for r in rows})
+    assert len(blocks) > 3 and blocks[0] == 3 << 32
+    seen = {}
+    for block in blocks:
+        held, own = [r for r in rows if r["part"] is None and r["block"] == block], [r for r in ids if r["block"] == block]
+        table = lambda x, names: pa.table({n: pa.array([r[n] for r in x], pa.int64() if n == "row" else pa.binary()) for n in names})
+        out = byte_bpe.assemble("", "", True)((pa.scalar(block),), table(held, ["row", "numbers"]), table(own, ["numbers", "ids", "counts"]))
+        seen |= {r["row"]: r["ids"] for r in out.to_pylist()}
+    assert seen == {k: library.encode_ordinary(t or "") for k, t in enumerate(texts)}
 
 
 def test_bpe_with_ranks_out_of_order():
@@ -77,11 +120,18 @@ def test_bpe_with_ranks_out_of_order():
     for _ in range(8):
         rng.shuffle(longer)
         ranks = {bytes([k]): k for k in range(256)} | {t: 256 + k for k, t in enumerate(longer)}
+        merges = byte_bpe.Merges(ranks)
         words = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 25))) for _ in range(400)]
-        ids, count = byte_bpe.replay_corpus(words, ranks, byte_bpe.Merges(ranks), np.arange(256, dtype=np.int32))
+        ids, count = byte_bpe.replay_corpus(words, merges)
         library = tiktoken.Encoding("x", pat_str=".+", mergeable_ranks=ranks, special_tokens={})
         for w, own in zip(words, np.split(ids, np.cumsum(count)[:-1])):
-            assert own.tolist() == library.encode_ordinary(w.decode()) == list(byte_bpe.replay([w], ranks)[0])
+            assert own.tolist() == library.encode_ordinary(w.decode()) == byte_bpe.replay(w, merges).tolist()
+
+
+def test_numbers_pack():
+    rng = np.random.default_rng(3)
+    for x in (np.zeros(0), np.arange(5), rng.integers(0, 2**32, 1000), rng.integers(0, 300, 5000)):
+        assert (byte_bpe.unpack_numbers(byte_bpe.pack_numbers(x.astype(np.uint32))) == x).all()
 
 
 # ---- classifier

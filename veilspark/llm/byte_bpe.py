@@ -1,20 +1,26 @@
 """Byte-level BPE encoding by corpus-level merge replay, and decoding (operator 8).
 
-A text is split by the vocabulary's pattern, and the distinct words of a batch of texts form a corpus. An inverted index
-holds, for every merge, the word positions where its pair of tokens stands. Merges are replayed in rank order, each on all its
-positions at once; a merge touches only its own positions and their two neighbours, whose new pairs enter the index under
-their own, later ranks. The index is kept in windows of ranks: what a window's merges add for later windows is dealt out once,
+Every distinct word of the corpus is merged once. Texts are split by the vocabulary's pattern in blocks of about BLOCK code points; a
+block's texts are kept as numbers of its distinct words. The words of all blocks are dealt by their hash, so equal ones meet, and
+about PART_BYTES of text share a part, however large the corpus. A part's distinct words are replayed together, and each block
+gets the ids of its words back, from which its texts' ids are put together.
+
+Replay: an inverted index holds, for every merge, the word positions where its pair of tokens stands. Merges are replayed in rank order,
+each on all its positions at once; a merge touches only its own positions and their two neighbours, whose new pairs enter the index
+under their own, later ranks. The index is kept in windows of ranks: what a window's merges add for later windows is dealt out once,
 when the window is done.
 
 A vocabulary may hold pairs that rank below the merge that makes them (if it was not trained by these very merges).
 Words in which such a pair turns up, and long words, are replayed apart, one position at a time with a queue, so
 every word is merged lowest rank first and leftmost first, as the tiktoken library does.
 
-Words that a task has seen keep their ids in a bounded memory (WORDS entries, then it starts afresh), which
-changes the speed alone. Nothing is shuffled.
+Moved are a block's distinct words, and its texts as packed word numbers, about a third of their bytes; no word is a hot key, as a
+block names it once.
 
-Defined cases: a null text is empty and has no ids; rows with equal texts or ids are encoded one by one; a null
-doc_id stays null; extra columns are ignored or passed through; an empty table gives an empty result.
+Defined cases: a null text is empty and has no ids; rows with equal texts or ids, and rows equal in all columns, are encoded one by one;
+ties between merges of one rank go to the leftmost; a very long text is a block of its own, split a PIECE at a time, with about eight times its
+bytes held, and a very long run without a place to cut is a word of about 40 times its bytes; a null doc_id stays null; extra columns are
+ignored, or passed through under their own names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,25 +29,30 @@ import base64
 import functools
 import hashlib
 import heapq
-from collections import defaultdict
+import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
-from .common import trimmed
+from .common import trimmed, written
 
-#: Words that a task remembers, and the bytes of a word that are still worth remembering.
-WORDS, WORD_BYTES = 200_000, 64
+#: Bytes of a word that is replayed together with others.
+WORD_BYTES = 64
 #: Ranks of a window of the inverted index.
 WINDOW = 256
 #: Code points of a text that are split into words at once; the cut is moved to where the pattern cuts anyway.
 PIECE = 1 << 20
-#: Code points of the texts whose words are replayed together.
-CORPUS = 2 << 20
+#: Code points of the texts of a block, and bytes of text for each part of the words.
+BLOCK, PART_BYTES = 16 << 20, 16 << 20
+#: Bytes of words that are replayed together.
+TOGETHER = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,79 +60,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[tuple[int, ...]]:
-    """The ids of every word. All words lie in one array of positions, linked to their neighbours."""
-    flat = b"".join(words)
-    n = len(flat)
-    starts = np.zeros(len(words) + 1, np.int64)
-    np.cumsum([len(w) for w in words], out=starts[1:])
-    right = list(range(1, n + 1))
-    left = list(range(-1, n - 1))
-    last = n  # no neighbour
-    for s in starts.tolist():
-        if s < n:
-            left[s] = last
-        if s:
-            right[s - 1] = last
-    token: list[bytes | None] = [flat[i : i + 1] for i in range(n)]
-    index: dict[bytes, list[int]] = defaultdict(list)
-    waiting: set[bytes] = set()
-    queue: list[tuple[int, bytes]] = []
-
-    def enter(at: int, merged: bytes) -> None:
-        """The pair whose left token is at `at`, if it can merge, joins the index."""
-        index[merged].append(at)
-        if merged not in waiting:
-            waiting.add(merged)
-            heapq.heappush(queue, (ranks[merged], merged))
-
-    for i in range(n):
-        if right[i] != last and (pair := flat[i : i + 2]) in ranks:
-            enter(i, pair)
-    while queue:
-        rank, merged = heapq.heappop(queue)
-        waiting.discard(merged)
-        places = sorted(index.pop(merged))
-        held_until = -1  # positions below belong to a word in which a lower pair goes first
-        for k, at in enumerate(places):
-            if at < held_until:
-                enter(at, merged)
-                continue
-            a, then = token[at], right[at]
-            if a is None or then == last or a + token[then] != merged:
-                continue  # a merge at its left has taken it
-            after = right[then]
-            token[at], token[then] = merged, None
-            right[at] = after
-            lower = False
-            if after != last:
-                left[after] = at
-                if (pair := merged + token[after]) in ranks:
-                    enter(at, pair)
-                    lower = ranks[pair] < rank
-            before = left[at]
-            if before != last and (pair := token[before] + merged) in ranks:
-                enter(before, pair)
-                lower = lower or ranks[pair] < rank
-            if lower and k + 1 < len(places):
-                held_until = int(starts[np.searchsorted(starts, at, side="right")])
-    out = []
-    for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-        ids, i = [], s if e > s else last
-        while i != last:
-            ids.append(ranks[token[i]])
-            i = right[i]
-        out.append(tuple(ids))
-    return out
-
-
 class Merges:
     """Which pairs of ids merge to which id: an open-addressed table that numpy probes for many pairs at once."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.size = max(ranks.values()) + 1
         self.none = np.int32(self.size)
-        pairs = {}
+        self.byte_ids = np.array([ranks[bytes([k])] for k in range(256)], np.int32)
+        self.pairs = pairs = {}
         for token, rank in ranks.items():
             for k in range(1, len(token)):
                 a, b = ranks.get(token[:k]), ranks.get(token[k:])
@@ -163,8 +109,59 @@ class Merges:
         return out
 
 
-def replay_corpus(words: list[bytes], ranks: dict[bytes, int], merges: Merges, byte_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def replay(word: bytes, merges: Merges) -> np.ndarray:
+    """The ids of one word, by an index of its positions and a queue of ranks."""
+    n, none, size, pairs = len(word), int(merges.none), merges.size, merges.pairs
+    if not n:
+        return np.zeros(0, np.int32)
+    first = merges.byte_ids[np.frombuffer(word, np.uint8)]
+    token, right, left = array("i", first.tobytes()), array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+    index: dict[int, array] = {}
+    for k in range(0, n - 1, PIECE):
+        got = merges.of(first[k : min(k + PIECE, n - 1)], first[k + 1 : k + PIECE + 1])
+        for rank in np.unique(got[got < none]).tolist():
+            index.setdefault(rank, array("i")).frombytes((np.flatnonzero(got == rank) + k).astype(np.int32).tobytes())
+    queue = list(index)
+    heapq.heapify(queue)
+
+    def enter(at: int, rank: int) -> None:
+        if rank not in index:
+            index[rank] = array("i")
+            heapq.heappush(queue, rank)
+        index[rank].append(at)
+
+    while queue:
+        rank = heapq.heappop(queue)
+        places = np.unique(np.frombuffer(index.pop(rank), np.int32))
+        lower = False
+        for k in range(0, len(places), 4096):
+            for j, at in enumerate(places[k : k + 4096].tolist(), k):
+                then = right[at]
+                if token[at] < 0 or then >= n or pairs.get(token[at] * size + token[then]) != rank:
+                    continue  # a merge at its left has taken it
+                after = right[then]
+                token[at], token[then], right[at] = rank, -1, after
+                if after < n:
+                    left[after] = at
+                    if (r := pairs.get(rank * size + token[after])) is not None:
+                        enter(at, r)
+                        lower = lower or r < rank
+                if (before := left[at]) >= 0 and (r := pairs.get(token[before] * size + rank)) is not None:
+                    enter(before, r)
+                    lower = lower or r < rank
+                if lower:  # a lower pair goes before the places that are left
+                    for x in places[j + 1 :].tolist():
+                        enter(x, rank)
+                    break
+            if lower:
+                break
+    out = np.frombuffer(token, np.int32)
+    return out[out >= 0]
+
+
+def replay_corpus(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words one after another, number of ids of each word), by the windowed index."""
+    byte_ids = merges.byte_ids
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     n = int(sizes.sum())
     flat = np.frombuffer(b"".join(words), np.uint8)
@@ -274,98 +271,70 @@ def replay_corpus(words: list[bytes], ranks: dict[bytes, int], merges: Merges, b
     count = np.bincount(word[live], minlength=len(words))
     ids = token[:n][live]
     if odd and len(bad := np.unique(word[np.concatenate(odd)])):
-        parts = np.split(ids, np.cumsum(count)[:-1])
-        for k, own in zip(bad.tolist(), replay([words[k] for k in bad], ranks)):
-            parts[k] = np.array(own, np.int32)
-            count[k] = len(own)
-        ids = np.concatenate(parts)
+        ids, count = _instead(ids, count, {k: replay(words[k], merges) for k in bad.tolist()})
     return ids, count
 
 
+def _instead(ids: np.ndarray, count: np.ndarray, own: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """ids and counts with those of some words put in their places."""
+    ends = np.cumsum(count)
+    parts, at = [], 0
+    for k, x in sorted(own.items()):
+        parts += [ids[at : ends[k] - count[k]], x]
+        at = ends[k]
+        count[k] = len(x)
+    return np.concatenate([*parts, ids[at:]]), count
+
+
+def replay_words(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """As replay_corpus(), for any number of words of any length: about TOGETHER bytes at once, long words apart."""
+    ids, counts, at, size = [], [], 0, 0
+    for k, w in enumerate(words, 1):
+        size += len(w) if len(w) <= WORD_BYTES else 0
+        if size >= TOGETHER or k == len(words):
+            group = words[at:k]
+            got, count = replay_corpus([w if len(w) <= WORD_BYTES else b"" for w in group], merges)
+            long = {j: replay(w, merges) for j, w in enumerate(group) if len(w) > WORD_BYTES}
+            got, count = _instead(got, count, long) if long else (got, count)
+            ids.append(got)
+            counts.append(count)
+            at, size = k, 0
+    none = np.zeros(0, np.int32)
+    return np.concatenate([none, *ids]), np.concatenate([none, *counts]).astype(np.int64)
+
+
+def pieces(split: regex.Pattern, text: str) -> Iterator[list[str]]:
+    """The pattern's matches, some at a time. A piece ends before the last match that it shows whole."""
+    if len(text) <= PIECE:
+        yield split.findall(text)
+        return
+    at = 0
+    while at < len(text):
+        size = PIECE
+        while True:
+            part = [m.span() for m in split.finditer(text, at, min(len(text), at + size))]
+            if at + size >= len(text) or len(part) > 2:
+                break
+            size *= 2
+        # the last matches might go on, or end otherwise, when more text follows
+        ends = part if at + size >= len(text) else part[:-2]
+        yield [text[a:b] for a, b in ends]
+        at = ends[-1][1] if ends else len(text)
+
+
 class Codec:
     """Encodes and decodes with one vocabulary."""
 
     def __init__(self, path: str, pattern: str) -> None:
         self.ranks = read_ranks(path)
         self.merges = Merges(self.ranks)
-        self.byte_ids = np.array([self.ranks[bytes([k])] for k in range(256)], np.int32)
         self.split = regex.compile(pattern)
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.spelled: list[str] = []
-        self.flat, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def pieces(self, text: str) -> Iterator[list[str]]:
-        """The pattern's matches, some at a time. A piece ends before the last match that it shows whole."""
-        if len(text) <= PIECE:
-            yield self.split.findall(text)
-            return
-        at = 0
-        while at < len(text):
-            size = PIECE
-            while True:
-                part = [m.span() for m in self.split.finditer(text, at, min(len(text), at + size))]
-                if at + size >= len(text) or len(part) > 2:
-                    break
-                size *= 2
-            # the last matches might go on, or end otherwise, when more text follows
-            ends = part if at + size >= len(text) else part[:-2]
-            yield [text[a:b] for a, b in ends]
-            at = ends[-1][1] if ends else len(text)
-
-    def learn(self, words: set[str]) -> None:
-        """Makes all these words known: their ids, and the ids spelled as decimals."""
-        fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > WORDS and self.known:
-            self.forget()
-            fresh = list(words)
-        if not fresh:
-            return
-        raw = [w.encode() for w in fresh]
-        long = [k for k, w in enumerate(raw) if len(w) > WORD_BYTES]
-        ids, count = replay_corpus([b"" if len(w) > WORD_BYTES else w for w in raw] if long else raw, self.ranks, self.merges, self.byte_ids)
-        if long:
-            parts = np.split(ids, np.cumsum(count)[:-1])
-            for k, own in zip(long, replay([raw[k] for k in long], self.ranks)):
-                parts[k] = np.array(own, np.int32)
-                count[k] = len(own)
-            ids = np.concatenate(parts)
-        base = len(self.flat)
-        self.starts = np.concatenate([self.starts, base + np.cumsum(count) - count])
-        self.counts = np.concatenate([self.counts, count])
-        self.flat = np.concatenate([self.flat, ids])
-        text = list(map(str, ids.tolist()))
-        k = 0
-        for c in count.tolist():
-            self.spelled.append(",".join(text[k : k + c]))
-            k += c
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-
-    def numbers(self, words: list[str]) -> list[int]:
-        return list(map(self.known.__getitem__, words))
-
-    def ids(self, numbers: list[int]) -> np.ndarray:
-        """The ids of words given by their numbers."""
-        k = np.array(numbers, np.int64)
-        count = self.counts[k]
-        end = np.cumsum(count)
-        at = np.repeat(self.starts[k] - (end - count), count) + np.arange(end[-1] if len(end) else 0)
-        return self.flat[at]
-
-    def encode_pieces(self, text: str) -> Iterator[tuple[np.ndarray, str]]:
-        for words in self.pieces(text):
-            if words:
-                self.learn(set(words))
-                k = self.numbers(words)
-                yield self.ids(k), ",".join(map(self.spelled.__getitem__, k))
 
     def encode(self, text: str) -> list[int]:
-        return [x for ids, _ in self.encode_pieces(text) for x in ids.tolist()]
+        return [x for words in pieces(self.split, text) for x in replay_words([w.encode() for w in words], self.merges)[0].tolist()]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -376,92 +345,174 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encoded(own: Codec, texts: Iterable[str]) -> Iterator[list[tuple[np.ndarray, str]]]:
-    """The ids of each text, in pieces, as an array and spelled. Short texts form corpora of about CORPUS code points."""
-    group: list[list[str]] = []
-    size = 0
+# ---- tasks
 
-    def done() -> Iterator[list[tuple[np.ndarray, str]]]:
-        own.learn({w for words in group for w in words})
-        for words in group:
-            k = own.numbers(words)
-            yield [(own.ids(k), ",".join(map(own.spelled.__getitem__, k)))]
-        group.clear()
 
-    for text in texts:
-        if len(text) > PIECE:
-            yield from done()
-            size = 0
-            yield list(own.encode_pieces(text))
-            continue
-        group.append(own.split.findall(text))
-        size += len(text)
-        if size > CORPUS:
-            yield from done()
-            size = 0
-    yield from done()
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed bytes: how many there are, then low bytes first, as most numbers are small."""
+    planes = np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T
+    return len(numbers).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(np.ascontiguousarray(planes).tobytes(), asbytes=True)
+
 
+def unpack_numbers(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    raw = pa.Codec("zstd").decompress(packed[8:], 4 * n, asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<u4").ravel()
 
-def summarise(path: str, pattern: str):
-    """(id, text) to the digests of its ids and of what they decode to."""
+
+def split_texts(pattern: str, parts: int):
+    """(row, text) to a block's texts (block, row, numbers) and words (block, part, numbers, words); a part's words have the numbers beside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        split = regex.compile(pattern)
+        block = TaskContext.get().partitionId() << 32
+        known: dict[str, int] = {}
+        size, kind = 0, None
+
+        def rows(n: int, part, row, numbers: list[bytes], words) -> pa.RecordBatch:
+            columns = [pa.array([block] * n, pa.int64()), part or pa.nulls(n, pa.int32()), row if row is not None else pa.nulls(n, kind), pa.array(numbers, pa.binary()), words or pa.nulls(n, pa.list_(pa.binary()))]
+            return pa.record_batch(columns, names=["block", "part", "row", "numbers", "words"])
+
+        def all_words() -> Iterator[pa.RecordBatch]:
+            words = [w.encode() for w in known]
+            part = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % parts
+            order = np.argsort(part, kind="stable")
+            ends = np.flatnonzero(np.diff(part[order], append=-1)) + 1
+            begin = 0
+            for k in range(0, len(ends), 4096):
+                cut = ends[k : k + 4096]
+                own = [order[a:b] for a, b in zip([begin, *cut[:-1]], cut)]
+                begin = int(cut[-1])
+                lists = pa.array([[words[i] for i in x.tolist()] for x in own], pa.list_(pa.binary()))
+                yield rows(len(own), pa.array([int(part[x[0]]) for x in own], pa.int32()), None, [pack_numbers(x) for x in own], lists)
+
         for batch in batches:
-            n, ids_sha, text_sha = [], [], []
-            for pieces in encoded(own, (t.as_py() or "" for t in batch.column(1))):
-                spelled, plain, count, mark = hashlib.sha256(), hashlib.sha256(), 0, b""
-                for ids, text in pieces:
-                    if len(ids):
-                        spelled.update(mark + text.encode())
-                        plain.update(own.decode(ids.tolist()))
-                        count, mark = count + len(ids), b","
-                n.append(count)
-                ids_sha.append(spelled.hexdigest())
-                text_sha.append(plain.hexdigest())
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        own.forget()
+            kind = batch.column(0).type
+            at, numbers, held = 0, [], 0
+            for k, text in enumerate(batch.column(1)):
+                text = text.as_py() or ""
+                own = [np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint32, len(words)) for words in pieces(split, text)]
+                numbers.append(pack_numbers(np.concatenate(own) if len(own) != 1 else own[0]) if own else pack_numbers(np.zeros(0)))
+                size += len(text)
+                held += len(numbers[-1])
+                full = size > BLOCK
+                if full or held > PIECE or k + 1 == batch.num_rows:
+                    yield rows(len(numbers), None, batch.column(0).slice(at, len(numbers)), numbers, None)
+                    at, numbers, held = k + 1, [], 0
+                if full:
+                    yield from all_words()
+                    known.clear()
+                    size, block = 0, block + 1
+        if known:
+            yield from all_words()
 
     return run
 
 
-def to_ids(path: str, pattern: str):
-    """(row, text) to (row, ids, digest of what they decode to)."""
+def encode_part(path: str, pattern: str):
+    """The words of a part from all blocks to their ids: (block, numbers, ids, counts), each distinct word being replayed once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for batch in batches:
-            at, lists, sha, size = 0, [], [], 0
-            for pieces in encoded(own, (t.as_py() or "" for t in batch.column(1))):
-                ids = np.concatenate([x for x, _ in pieces]) if pieces else np.zeros(0, np.int32)
-                lists.append(ids)
-                sha.append(hashlib.sha256(own.decode(ids.tolist())).hexdigest())
-                size += len(ids)
-                if size > PIECE:
-                    yield _id_rows(batch.slice(at, len(lists)), lists, sha)
-                    at, lists, sha, size = at + len(lists), [], [], 0
-            if lists:
-                yield _id_rows(batch.slice(at, len(lists)), lists, sha)
-        own.forget()
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        lists = rows["words"].combine_chunks()
+        words, ends = lists.flatten().to_pylist(), lists.offsets.to_numpy()
+        known: dict[bytes, int] = {}
+        at = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+        ids, count = replay_words(list(known), codec(path, pattern).merges)
+        starts = np.cumsum(count) - count
+        out_ids, out_counts = [], []
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            own = count[at[a:b]]
+            out_ids.append(pack_numbers(gathered(ids, starts[at[a:b]], own)))
+            out_counts.append(pack_numbers(own))
+        return pa.table([rows["block"], rows["numbers"], pa.array(out_ids, pa.binary()), pa.array(out_counts, pa.binary())], names=["block", "numbers", "ids", "counts"])
 
     return run
 
 
-def _id_rows(batch: pa.RecordBatch, lists: list[np.ndarray], sha: list[str]) -> pa.RecordBatch:
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists).astype(np.int32)))
-    return pa.record_batch([batch.column(0), ids, pa.array(sha, pa.string())], names=["row", "ids", "decoded_sha256"])
+def gathered(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs of flat that begin at starts, one after another."""
+    end = np.cumsum(counts)
+    return flat[np.repeat(starts - (end - counts), counts) + np.arange(end[-1] if len(end) else 0)]
+
+
+class Words:
+    """The ids of a block's words by their numbers, the ids spelled as decimals, and what they decode to."""
+
+    def __init__(self, own: Codec, rows: pa.Table) -> None:
+        parts = [tuple(unpack_numbers(x.as_py()) for x in row) for row in zip(rows["numbers"], rows["ids"], rows["counts"])]
+        n = sum(len(numbers) for numbers, _, _ in parts)
+        self.starts, self.counts = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        base = 0
+        for numbers, ids, count in parts:
+            count = count.astype(np.int64)
+            self.counts[numbers], self.starts[numbers] = count, base + np.cumsum(count) - count
+            base += len(ids)
+        self.flat = np.concatenate([np.zeros(0, np.uint32), *[ids for _, ids, _ in parts]]).astype(np.int32)
+        text, tokens = list(map(str, self.flat.tolist())), list(map(own.tokens.__getitem__, self.flat.tolist()))
+        spans = list(zip(self.starts.tolist(), (self.starts + self.counts).tolist()))
+        self.spelled = [text[a] if b == a + 1 else ",".join(text[a:b]) for a, b in spans]
+        self.decoded = [tokens[a] if b == a + 1 else b"".join(tokens[a:b]) for a, b in spans]
+
+    def ids(self, numbers: np.ndarray) -> np.ndarray:
+        return gathered(self.flat, self.starts[numbers], self.counts[numbers])
+
+    def digests(self, numbers: np.ndarray) -> tuple[int, str, str]:
+        """How many ids a text has, and the digests of them spelled and decoded."""
+        spelled, plain, mark = hashlib.sha256(), hashlib.sha256(), ""
+        for k in range(0, len(numbers), PIECE):
+            own = numbers[k : k + PIECE].tolist()
+            spelled.update((mark + ",".join(map(self.spelled.__getitem__, own))).encode())
+            plain.update(b"".join(map(self.decoded.__getitem__, own)))
+            mark = ","
+        return int(self.counts[numbers].sum()), spelled.hexdigest(), plain.hexdigest()
+
+
+def assemble(path: str, pattern: str, with_ids: bool):
+    """A block's texts and words to (row, n_tokens, ids_sha256, decoded_sha256), with the ids if they are wanted."""
+
+    def run(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
+        known = Words(codec(path, pattern), words)
+        out: list[list] = [[], [], []]
+        lists = []
+        for packed in texts["numbers"]:
+            numbers = unpack_numbers(packed.as_py())
+            for column, value in zip(out, known.digests(numbers)):
+                column.append(value)
+            if with_ids:
+                lists.append(known.ids(numbers))
+        columns = [texts["row"], *[pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.string(), pa.string()))]]
+        if with_ids:
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *lists]))))
+        return pa.table(columns, names=["row", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
+
+    return run
+
+
+# ---- operators
+
+
+def encoded(docs: DataFrame, path: str, pattern: str, row: Column, text_col: str, with_ids: bool = False) -> DataFrame:
+    """row, n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids for every row of docs."""
+    rows = docs.select(row.alias("row"), F.col(text_col).alias("text"))
+    kind = rows.schema["row"].dataType
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    schema = StructType().add("block", "long").add("part", "integer").add("row", kind).add("numbers", "binary").add("words", ArrayType(BinaryType()))
+    split = written(rows.mapInArrow(trimmed(split_texts(pattern, -(-size // PART_BYTES) or 1)), schema), "words")
+    words = split.where("part IS NOT NULL").select("part", "block", "numbers", "words")
+    words = words.groupBy("part").applyInArrow(encode_part(path, pattern), "block long, numbers binary, ids binary, counts binary")
+    schema = StructType().add("row", kind).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = schema.add("ids", ArrayType(IntegerType())) if with_ids else schema
+    texts = split.where("part IS NULL").select("block", "row", "numbers")
+    return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(assemble(path, pattern, with_ids), schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(trimmed(summarise(path, pattern)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded(docs, path, pattern, F.col(id_col).cast("long"), text_col).withColumnRenamed("row", "doc_id")
 
 
 def tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
     """The columns `keep` of docs with n_tokens, ids (array) and the digest of the decoded text."""
-    rows = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    out = rows.mapInArrow(trimmed(to_ids(path, pattern)), f"row {kind}, ids array<int>, decoded_sha256 string")
-    return out.select("row.*", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
+    out = encoded(docs, path, pattern, F.struct(*keep), text_col, True)
+    return out.select("row.*", "n_tokens", "ids", "decoded_sha256")
