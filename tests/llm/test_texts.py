@@ -96,19 +96,19 @@ def test_bpe_splits_blocks_and_long_texts(monkeypatch, codec, library):
     texts = [t for t in odd_texts()[:20]] + ["short", None, "and more words " * 30]
     batches = [pa.record_batch([pa.array(range(k, min(k + 7, len(texts)))), pa.array(texts[k : k + 7])], names=["row", "text"]) for k in range(0, len(texts), 7)]
     rows = pa.Table.from_batches(list(byte_bpe.split_texts(public_tokenizers.PATTERN, 5)(iter(batches)))).to_pylist()
-    words = [r for r in rows if r["part"] is not None]
+    words = [r for r in rows if r["key"] >= 0]
     ids = []
-    for part in sorted({r["part"] for r in words}):
-        own = [r for r in words if r["part"] == part]
-        table = pa.table({"block": [r["block"] for r in own], "numbers": [r["numbers"] for r in own], "words": pa.array([r["words"] for r in own], pa.list_(pa.binary()))})
+    for part in sorted({r["key"] for r in words}):
+        own = [r for r in words if r["key"] == part]
+        table = pa.table({n: [r[n] for r in own] for n in ("block", "numbers", "words")})
         ids += byte_bpe.encode_part("", "")((pa.scalar(part),), table).to_pylist()
-    blocks = sorted({r["block"] for r in rows})
-    assert len(blocks) > 3 and blocks[0] == 3 << 32
+    blocks = sorted({r["key"] for r in rows if r["key"] < 0})
+    assert len(blocks) > 3 and blocks[-1] == -1 - (3 << 32)
     seen = {}
     for block in blocks:
-        held, own = [r for r in rows if r["part"] is None and r["block"] == block], [r for r in ids if r["block"] == block]
-        table = lambda x, names: pa.table({n: pa.array([r[n] for r in x], pa.int64() if n == "row" else pa.binary()) for n in names})
-        out = byte_bpe.assemble("", "", True)((pa.scalar(block),), table(held, ["row", "numbers"]), table(own, ["numbers", "ids", "counts"]))
+        held, own = [r for r in rows if r["key"] == block], [r for r in ids if r["key"] == block]
+        table = lambda x, names: pa.table({n: pa.array([r[n] for r in x], pa.list_(pa.int64()) if n == "rows" else pa.binary()) for n in names})
+        out = byte_bpe.assemble("", "", True)((pa.scalar(block),), table(held, ["rows", "sizes", "numbers"]), table(own, ["numbers", "ids", "counts"]))
         seen |= {r["row"]: r["ids"] for r in out.to_pylist()}
     assert seen == {k: library.encode_ordinary(t or "") for k, t in enumerate(texts)}
 
@@ -128,10 +128,18 @@ def test_bpe_with_ranks_out_of_order():
             assert own.tolist() == library.encode_ordinary(w.decode()) == byte_bpe.replay(w, merges).tolist()
 
 
+def test_what_is_no_scan_is_written_first(spark):
+    docs = documents(spark)
+    assert byte_bpe.is_scan(docs.select("doc_id", "text").where("doc_id > 3"))
+    assert not byte_bpe.is_scan(docs.repartition(3)) and not byte_bpe.is_scan(docs.distinct()) and not byte_bpe.is_scan(docs.orderBy("text").limit(5))
+
+
 def test_numbers_pack():
     rng = np.random.default_rng(3)
     for x in (np.zeros(0), np.arange(5), rng.integers(0, 2**32, 1000), rng.integers(0, 300, 5000)):
         assert (byte_bpe.unpack_numbers(byte_bpe.pack_numbers(x.astype(np.uint32))) == x).all()
+    for words in ([], [b""], [b"a", b"", "é".encode() * 3000, b"\n"]):
+        assert byte_bpe.unpack_words(byte_bpe.pack_words(words)) == words
 
 
 # ---- classifier

@@ -29,6 +29,7 @@ import base64
 import functools
 import hashlib
 import heapq
+import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -39,7 +40,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from .common import trimmed, written
 
@@ -50,7 +51,9 @@ WINDOW = 256
 #: Code points of a text that are split into words at once; the cut is moved to where the pattern cuts anyway.
 PIECE = 1 << 20
 #: Code points of the texts of a block, and bytes of text for each part of the words.
-BLOCK, PART_BYTES = 16 << 20, 16 << 20
+BLOCK, PART_BYTES = 8 << 20, 16 << 20
+#: Words of texts that are packed together.
+CHUNK = 1 << 18
 #: Bytes of words that are replayed together.
 TOGETHER = 1 << 20
 
@@ -67,7 +70,7 @@ class Merges:
         self.size = max(ranks.values()) + 1
         self.none = np.int32(self.size)
         self.byte_ids = np.array([ranks[bytes([k])] for k in range(256)], np.int32)
-        self.pairs = pairs = {}
+        pairs = {}
         for token, rank in ranks.items():
             for k in range(1, len(token)):
                 a, b = ranks.get(token[:k]), ranks.get(token[k:])
@@ -90,6 +93,12 @@ class Merges:
             self.keys[slot[take]], self.values[slot[take]] = left[take], value[take]
             left, value, slot = left[~take], value[~take], (slot[~take] + 1) & self.mask
 
+    @functools.cached_property
+    def pairs(self) -> dict[int, int]:
+        """The table as a dictionary, for words that are replayed one position at a time."""
+        held = self.keys >= 0
+        return dict(zip(self.keys[held].tolist(), self.values[held].tolist()))
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
@@ -360,18 +369,35 @@ def unpack_numbers(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<u4").ravel()
 
 
+def pack_words(words: list[bytes]) -> bytes:
+    sizes = pack_numbers(np.fromiter(map(len, words), np.uint32, len(words)))
+    joined = b"".join(words)
+    return len(sizes).to_bytes(8, "little") + sizes + len(joined).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(joined, asbytes=True)
+
+
+def unpack_words(packed: bytes) -> list[bytes]:
+    at = 8 + int.from_bytes(packed[:8], "little")
+    ends = np.cumsum(unpack_numbers(packed[8:at])).tolist()
+    joined = pa.Codec("zstd").decompress(packed[at + 8 :], int.from_bytes(packed[at : at + 8], "little"), asbytes=True)
+    return [joined[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def split_texts(pattern: str, parts: int):
-    """(row, text) to a block's texts (block, row, numbers) and words (block, part, numbers, words); a part's words have the numbers beside them."""
+    """(row, text) to a block's texts (key, rows, sizes, numbers), many in one row, and its words (key, block, numbers, words), whose
+    numbers are differences. The key of texts is their block, the key of words their part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(pattern)
-        block = TaskContext.get().partitionId() << 32
+        block = -1 - (TaskContext.get().partitionId() << 32)  # below 0, where no part is
         known: dict[str, int] = {}
         size, kind = 0, None
 
-        def rows(n: int, part, row, numbers: list[bytes], words) -> pa.RecordBatch:
-            columns = [pa.array([block] * n, pa.int64()), part or pa.nulls(n, pa.int32()), row if row is not None else pa.nulls(n, kind), pa.array(numbers, pa.binary()), words or pa.nulls(n, pa.list_(pa.binary()))]
-            return pa.record_batch(columns, names=["block", "part", "row", "numbers", "words"])
+        def record(keys: list, rows: pa.Array | None, sizes: list, numbers: list[bytes], words: list) -> pa.RecordBatch:
+            n = len(numbers)
+            blocks = [None if w is None else block for w in words]
+            listed = pa.nulls(n, pa.list_(kind)) if rows is None else pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+            columns = [pa.array(keys, pa.int64()), pa.array(blocks, pa.int64()), listed, pa.array(sizes, pa.binary()), pa.array(numbers, pa.binary()), pa.array(words, pa.binary())]
+            return pa.record_batch(columns, names=["key", "block", "rows", "sizes", "numbers", "words"])
 
         def all_words() -> Iterator[pa.RecordBatch]:
             words = [w.encode() for w in known]
@@ -380,29 +406,30 @@ def split_texts(pattern: str, parts: int):
             ends = np.flatnonzero(np.diff(part[order], append=-1)) + 1
             begin = 0
             for k in range(0, len(ends), 4096):
-                cut = ends[k : k + 4096]
+                cut = ends[k : k + 4096].tolist()
                 own = [order[a:b] for a, b in zip([begin, *cut[:-1]], cut)]
-                begin = int(cut[-1])
-                lists = pa.array([[words[i] for i in x.tolist()] for x in own], pa.list_(pa.binary()))
-                yield rows(len(own), pa.array([int(part[x[0]]) for x in own], pa.int32()), None, [pack_numbers(x) for x in own], lists)
+                begin = cut[-1]
+                yield record([int(part[x[0]]) for x in own], None, [None] * len(own), [pack_numbers(np.diff(x, prepend=0)) for x in own], [pack_words([words[i] for i in x.tolist()]) for x in own])
 
         for batch in batches:
             kind = batch.column(0).type
-            at, numbers, held = 0, [], 0
+            at, numbers, sizes, held = 0, [], [], 0
             for k, text in enumerate(batch.column(1)):
                 text = text.as_py() or ""
                 own = [np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint32, len(words)) for words in pieces(split, text)]
-                numbers.append(pack_numbers(np.concatenate(own) if len(own) != 1 else own[0]) if own else pack_numbers(np.zeros(0)))
+                numbers += own
+                sizes.append(sum(map(len, own)))
+                held += sizes[-1]
                 size += len(text)
-                held += len(numbers[-1])
                 full = size > BLOCK
-                if full or held > PIECE or k + 1 == batch.num_rows:
-                    yield rows(len(numbers), None, batch.column(0).slice(at, len(numbers)), numbers, None)
-                    at, numbers, held = k + 1, [], 0
+                if full or held > CHUNK or k + 1 == batch.num_rows:
+                    packed = pack_numbers(np.concatenate([np.zeros(0, np.uint32), *numbers]))
+                    yield record([block], batch.column(0).slice(at, len(sizes)), [pack_numbers(np.array(sizes))], [packed], [None])
+                    at, numbers, sizes, held = k + 1, [], [], 0
                 if full:
                     yield from all_words()
                     known.clear()
-                    size, block = 0, block + 1
+                    size, block = 0, block - 1
         if known:
             yield from all_words()
 
@@ -410,21 +437,19 @@ def split_texts(pattern: str, parts: int):
 
 
 def encode_part(path: str, pattern: str):
-    """The words of a part from all blocks to their ids: (block, numbers, ids, counts), each distinct word being replayed once."""
+    """The words of a part from all blocks to their ids: (key, numbers, ids, counts) by block, each distinct word being replayed once."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        lists = rows["words"].combine_chunks()
-        words, ends = lists.flatten().to_pylist(), lists.offsets.to_numpy()
         known: dict[bytes, int] = {}
-        at = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+        lists = []
+        for packed in rows["words"]:
+            words = unpack_words(packed.as_py())
+            lists.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
         ids, count = replay_words(list(known), codec(path, pattern).merges)
         starts = np.cumsum(count) - count
-        out_ids, out_counts = [], []
-        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-            own = count[at[a:b]]
-            out_ids.append(pack_numbers(gathered(ids, starts[at[a:b]], own)))
-            out_counts.append(pack_numbers(own))
-        return pa.table([rows["block"], rows["numbers"], pa.array(out_ids, pa.binary()), pa.array(out_counts, pa.binary())], names=["block", "numbers", "ids", "counts"])
+        out_ids = [pack_numbers(gathered(ids, starts[at], count[at])) for at in lists]
+        out_counts = [pack_numbers(count[at]) for at in lists]
+        return pa.table([rows["block"], rows["numbers"], pa.array(out_ids, pa.binary()), pa.array(out_counts, pa.binary())], names=["key", "numbers", "ids", "counts"])
 
     return run
 
@@ -444,6 +469,7 @@ class Words:
         self.starts, self.counts = np.zeros(n, np.int64), np.zeros(n, np.int64)
         base = 0
         for numbers, ids, count in parts:
+            numbers = np.cumsum(numbers.astype(np.int64))
             count = count.astype(np.int64)
             self.counts[numbers], self.starts[numbers] = count, base + np.cumsum(count) - count
             base += len(ids)
@@ -473,17 +499,18 @@ def assemble(path: str, pattern: str, with_ids: bool):
     def run(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
         known = Words(codec(path, pattern), words)
         out: list[list] = [[], [], []]
-        lists = []
-        for packed in texts["numbers"]:
+        lists = [np.zeros(0, np.int32)]
+        for sizes, packed in zip(texts["sizes"], texts["numbers"]):
             numbers = unpack_numbers(packed.as_py())
-            for column, value in zip(out, known.digests(numbers)):
-                column.append(value)
-            if with_ids:
-                lists.append(known.ids(numbers))
-        columns = [texts["row"], *[pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.string(), pa.string()))]]
+            for own in np.split(numbers, np.cumsum(unpack_numbers(sizes.as_py()))[:-1]):
+                for column, value in zip(out, known.digests(own)):
+                    column.append(value)
+                if with_ids:
+                    lists.append(known.ids(own))
+        columns = [texts["rows"].combine_chunks().flatten(), *[pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.string(), pa.string()))]]
         if with_ids:
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *lists]))))
+            ends = np.cumsum([len(x) for x in lists]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists))))
         return pa.table(columns, names=["row", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 
     return run
@@ -492,19 +519,31 @@ def assemble(path: str, pattern: str, with_ids: bool):
 # ---- operators
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether df's rows come in the same order and partitions each time: it reads files and does no more than choose rows and columns."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = [re.sub("^[^A-Za-z]*", "", line).split(" ")[0] for line in plan.splitlines() if line.strip()]
+    return all(n in ("Project", "Filter", "Relation") for n in nodes)
+
+
 def encoded(docs: DataFrame, path: str, pattern: str, row: Column, text_col: str, with_ids: bool = False) -> DataFrame:
-    """row, n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids for every row of docs."""
+    """row, n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids for every row of docs.
+
+    One exchange deals both texts and words; both branches read it. A task that is run again must make the same blocks, so docs that are no
+    plain scan are written first."""
     rows = docs.select(row.alias("row"), F.col(text_col).alias("text"))
+    rows = rows if is_scan(rows) else written(rows, "texts")
     kind = rows.schema["row"].dataType
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    schema = StructType().add("block", "long").add("part", "integer").add("row", kind).add("numbers", "binary").add("words", ArrayType(BinaryType()))
-    split = written(rows.mapInArrow(trimmed(split_texts(pattern, -(-size // PART_BYTES) or 1)), schema), "words")
-    words = split.where("part IS NOT NULL").select("part", "block", "numbers", "words")
-    words = words.groupBy("part").applyInArrow(encode_part(path, pattern), "block long, numbers binary, ids binary, counts binary")
+    schema = StructType().add("key", "long").add("block", "long").add("rows", ArrayType(kind)).add("sizes", "binary").add("numbers", "binary").add("words", "binary")
+    dealt = rows.mapInArrow(trimmed(split_texts(pattern, -(-size // PART_BYTES) or 1)), schema).repartition("key")
+    # a condition that rests on where a row is can't be moved below the exchange, which is thus the same for both branches
+    there = lambda condition: F.when(F.spark_partition_id() >= 0, condition)
+    words = dealt.where(there(F.col("key") >= 0)).groupBy("key").applyInArrow(encode_part(path, pattern), "key long, numbers binary, ids binary, counts binary")
     schema = StructType().add("row", kind).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     schema = schema.add("ids", ArrayType(IntegerType())) if with_ids else schema
-    texts = split.where("part IS NULL").select("block", "row", "numbers")
-    return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(assemble(path, pattern, with_ids), schema)
+    texts = dealt.where(there(F.col("key") < 0))
+    return texts.groupBy("key").cogroup(words.groupBy("key")).applyInArrow(assemble(path, pattern, with_ids), schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
