@@ -275,7 +275,7 @@ VEC = "vec_id long, embedding array<float>, label int"
 
 def check_vectors(spark, rows, recall=1.0):
     got = vectors.near_vectors(spark.createDataFrame(rows, VEC)).collect()
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and len({r.recall for r in got}) <= 1
     links = plain_links(rows)
     count = np.bincount(np.array(links).ravel(), minlength=len(rows)) if links else np.zeros(len(rows))
     assert sum(r.n_links for r in got) >= recall * count.sum() and sum(r.n_links for r in got) <= count.sum()
@@ -309,31 +309,94 @@ def test_vectors_planted(spark):
     check_vectors(spark, rows)
 
 
-def test_vectors_shards_and_blocks(spark, monkeypatch):
-    """Small shards and blocks on the driver's side; the functions of tasks read no such setting."""
+def test_vectors_shards(spark, monkeypatch):
+    """Small shards on the driver's side; the functions of tasks read no such setting."""
     monkeypatch.setattr(vectors, "SHARD", 60)
-    monkeypatch.setattr(vectors, "BLOCK", 40)
     rng = np.random.default_rng(6)
     base = rng.normal(size=(60, 16))
     rows = [(k, [float(x) for x in (base[k % 60] + rng.normal(size=16) * 0.1).astype(np.float32)], 1) for k in range(400)]
-    check_vectors(spark, rows, recall=0.9)
+    check_vectors(spark, rows, recall=0.95)
+
+
+def as_rows(near):
+    return [(k, [float(x) for x in v.astype(np.float32)], 1) for k, v in enumerate(near)]
 
 
 def test_large_shards_are_split_again(spark, monkeypatch):
-    """Two levels of pivots, and a group of near copies that no pivot may split."""
-    monkeypatch.setattr(vectors, "SHARD", 40)
-    monkeypatch.setattr(vectors, "SAMPLE", 16)
-    monkeypatch.setattr(vectors, "REFINE", 90)
-    monkeypatch.setattr(vectors, "CHUNK", 50)
+    """Levels of pivots, and a group of near copies that no pivot may split, which is compared in blocks."""
+    for name, value in (("SHARD", 40), ("SAMPLE", 16), ("REFINE", 90), ("CHUNK", 50)):
+        monkeypatch.setattr(vectors, name, value)
     rng = np.random.default_rng(9)
     base = rng.normal(size=(120, 24))
     near = [base[k % 120] + rng.normal(size=24) * 0.1 for k in range(500)] + [base[0] + rng.normal(size=24) * 0.03 for _ in range(150)]
-    rows = [(k, [float(x) for x in v.astype(np.float32)], 1) for k, v in enumerate(near)]
     calls = []
-    split = vectors.written
+    split, blocks = vectors.written, vectors.compare_blocks
     monkeypatch.setattr(vectors, "written", lambda df, name: calls.append(name) or split(df, name))
-    check_vectors(spark, rows, recall=0.95)
-    assert "finer" in calls
+    monkeypatch.setattr(vectors, "compare_blocks", lambda *a: calls.append("in full") or blocks(*a))
+    check_vectors(spark, as_rows(near), recall=0.95)
+    assert "finer" in calls and "in full" in calls
+
+
+def spread_out(rng, center, n, angle):
+    """Unit vectors up to this angle from a centre."""
+    center = center / np.sqrt(center @ center)
+    out = rng.normal(size=(n, len(center)))
+    out -= np.outer(out @ center, center)
+    out /= np.sqrt((out * out).sum(axis=1, keepdims=True))
+    at = rng.uniform(0, angle, (n, 1))
+    return np.cos(at) * center + np.sin(at) * out
+
+
+def test_near_copies_are_folded_without_a_loss(spark, monkeypatch):
+    """Two classes at an angle at which some of their members link, single vectors all around, repeated and shared ids."""
+    for name, value in (("SHARD", 50), ("FOLD_LEAST", 30), ("REFINE", 60)):
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(13)
+    a = rng.normal(size=12)
+    a /= np.sqrt(a @ a)
+    b = rng.normal(size=12)
+    b -= (b @ a) * a
+    b /= np.sqrt(b @ b)
+    turned = np.cos(0.45) * a + np.sin(0.45) * b
+    near = np.concatenate([spread_out(rng, a, 130, 0.17), spread_out(rng, turned, 110, 0.17), spread_out(rng, a, 60, 0.8), spread_out(rng, turned, 60, 0.6), rng.normal(size=(60, 12))])
+    rows = as_rows(near)
+    rows += [(1000 + k, rows[k][1], 1) for k in (0, 0, 5, 140, 250, 400)] + [(3, rows[200][1], 1), (None, rows[150][1], 1), (None, [1.0] * 12, 1)]
+    calls = []
+    fold = vectors.fold
+    monkeypatch.setattr(vectors, "fold", lambda *x: calls.append(fold(*x)) or calls[-1])
+    # what classes settle is exact; only single vectors are searched by graphs
+    monkeypatch.setattr(vectors, "LEAST_RECALL", 1.0)
+    check_vectors(spark, rows)
+    (settled,) = calls
+    assert sum(c.kept.sum() for c in settled.classes.values()) >= 2 and settled.members.count() > 150
+
+
+def test_folding_is_linear(spark):
+    """20,000 near copies in one label: the pairs are 200 million, the rows that move a few for each vector."""
+    rng = np.random.default_rng(14)
+    near = spread_out(rng, rng.normal(size=16), 20_000, 0.17)
+    df = spark.createDataFrame(as_rows(near), VEC)
+    calls = []
+    search = vectors.search_links
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(vectors, "search_links", lambda nodes, own, folded, *rest: calls.append(sum(int(c.mult.sum()) for c in folded.values())) or search(nodes, own, folded, *rest))
+        got = vectors.near_vectors(df).collect()
+    assert calls and calls[0] > 19_900
+    assert {r.n_links for r in got} == {19_999} and {r.component_id for r in got} == {0} and {r.recall for r in got} == {1.0}
+
+
+def test_audit_takes_all_ids_divisible(spark, monkeypatch):
+    rows = planted_pairs()
+    df = spark.createDataFrame(rows, VEC).selectExpr("vec_id AS id", "vec_id AS node", "label", "24 AS dim", "1L AS mult", "embedding AS vec")
+    truth = np.bincount(np.array(plain_links(rows)).ravel(), minlength=len(rows))
+    links = [(k, int(c)) for k, c in enumerate(truth) if k % 40]
+    some = spark.createDataFrame(links, "node long, n_links long")
+    asked = [k for k in range(len(rows)) if k % 20 == 0]
+    have = [k for k in asked if k % 40]
+    want = min(sum(truth[have]) / sum(truth[asked]), np.mean([k in have for k in asked if truth[k]]))
+    for most in (1000, 3):
+        monkeypatch.setattr(vectors, "ASKED", most)
+        assert abs(vectors.audit(df, some, every=20) - want) < 1e-9
 
 
 def planted_pairs(n=300, dim=24):
@@ -348,9 +411,11 @@ def planted_pairs(n=300, dim=24):
 
 def test_the_last_try_is_audited(spark, monkeypatch):
     """A search that loses half of the links on every try: all is compared in full then, in several blocks."""
-    monkeypatch.setattr(vectors, "BLOCK", 100)
+    for name, value in (("REFINE", 100), ("EVERY", 1)):
+        monkeypatch.setattr(vectors, name, value)
+    monkeypatch.setattr(vectors, "audit", lambda nodes, links, limit, audit=vectors.audit: audit(nodes, links, limit, 1))
     search, calls = vectors.search_links, []
-    monkeypatch.setattr(vectors, "search_links", lambda *args: calls.append(args[1]) or search(*args).where("a % 2 = 0"))
+    monkeypatch.setattr(vectors, "search_links", lambda *args: calls.append(args[3]) or search(*args).where("a % 2 = 0"))
     rows = planted_pairs()
     check_vectors(spark, rows + [(1000 + k, rows[0][1], 1) for k in range(5)] + [(None, [1.0, 2.0], 1)])
     assert calls == [2, 3, 4]

@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from veilspark.llm import byte_bpe, jpeg, licenses, mixing, quality, registry, sharding, simhash, warc
+from veilspark.llm import byte_bpe, common, jpeg, licenses, mixing, quality, registry, sharding, simhash, warc
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string"
@@ -137,7 +137,7 @@ def test_what_is_no_scan_is_written_first(spark):
 def test_numbers_pack():
     rng = np.random.default_rng(3)
     for x in (np.zeros(0), np.arange(5), rng.integers(0, 2**32, 1000), rng.integers(0, 300, 5000)):
-        assert (byte_bpe.unpack_numbers(byte_bpe.pack_numbers(x.astype(np.uint32))) == x).all()
+        assert (common.unpack_numbers(common.pack_numbers(x.astype(np.uint32))) == x).all()
     for words in ([], [b""], [b"a", b"", "é".encode() * 3000, b"\n"]):
         assert byte_bpe.unpack_words(byte_bpe.pack_words(words)) == words
 

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .common import trimmed, written
+from .common import pack_numbers, trimmed, unpack_numbers, written
 
 #: Bytes of a word that is replayed together with others.
 WORD_BYTES = 64
@@ -357,18 +357,6 @@ def codec(path: str, pattern: str) -> Codec:
 # ---- tasks
 
 
-def pack_numbers(numbers: np.ndarray) -> bytes:
-    """Numbers as compressed bytes: how many there are, then low bytes first, as most numbers are small."""
-    planes = np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T
-    return len(numbers).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(np.ascontiguousarray(planes).tobytes(), asbytes=True)
-
-
-def unpack_numbers(packed: bytes) -> np.ndarray:
-    n = int.from_bytes(packed[:8], "little")
-    raw = pa.Codec("zstd").decompress(packed[8:], 4 * n, asbytes=True) if n else b""
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<u4").ravel()
-
-
 def pack_words(words: list[bytes]) -> bytes:
     sizes = pack_numbers(np.fromiter(map(len, words), np.uint32, len(words)))
     joined = b"".join(words)

@@ -83,7 +83,22 @@ FROM t LEFT JOIN b ON b.doc_id = t.doc_id LEFT JOIN g ON g.doc_id = t.doc_id
 """
 
 
+#: All pairs of a label; what is reachable from each vector grows step by step.
+_VECTOR_SQL = """
+WITH RECURSIVE u AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+c AS (SELECT vec_id AS a, vec_id AS r FROM embeddings UNION SELECT l.b, c.r FROM c JOIN l ON l.a = c.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+m AS (SELECT a, min(r) AS r FROM c GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, m.r AS component_id, m.r = v.vec_id AS kept, 1.0::DOUBLE AS recall
+FROM embeddings v JOIN m ON m.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+
 ORACLES = {
+    "op10_vectors": _VECTOR_SQL,
     "op4_licenses": _license_sql(),
     "op3_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
