@@ -425,7 +425,7 @@ def refined(members: DataFrame, homes: int) -> DataFrame:
 
 
 def robust_prune(cand: np.ndarray, dist: np.ndarray, between, degree: int) -> np.ndarray:
-    """(n, c) candidates sorted by distance (-1: none) to (n, degree) neighbours. between(rows, picked, cand) gives distances
+    """(n, c) candidates sorted by squared distance (-1: none) to (n, degree) neighbours. between(picked, cand) gives squared distances
     of each row's picked node to its candidates."""
     n = len(cand)
     alive = cand >= 0
@@ -438,7 +438,7 @@ def robust_prune(cand: np.ndarray, dist: np.ndarray, between, degree: int) -> np
             break
         picked = cand[rows, first]
         out[some, k] = picked[some]
-        alive &= ~((ALPHA * between(picked, cand) <= dist) & some[:, None])
+        alive &= ~((ALPHA * ALPHA * between(picked, cand) <= dist) & some[:, None])
         alive[rows, first] = False
     return out
 
@@ -448,14 +448,17 @@ def build_graph(units: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     n = len(units)
     if n == 1:
         return np.full((1, 1), -1, np.int64)
-    sims = units @ units.T
-    np.fill_diagonal(sims, -np.inf)
+    # 1 - cosine, half the squared distance: single precision will do, as links are verified later
+    units = units.astype(np.float32)
+    apart = 1 - units @ units.T
+    np.fill_diagonal(apart, np.inf)
     near = min(NEAREST, n - 1)
-    cand = np.argpartition(-sims, near - 1, axis=1)[:, :near]
+    cand = np.argpartition(apart, near - 1, axis=1)[:, :near]
     cand = np.concatenate([cand, rng.integers(0, n, (n, min(RANDOM, n)))], axis=1)
+    flat = apart.ravel()
 
     def far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(0, 2 - 2 * np.minimum(sims[a[:, None], b], 1)))
+        return flat.take(a[:, None] * n + b)
 
     def pruned(cand: np.ndarray, degree: int) -> np.ndarray:
         me = np.arange(n)
@@ -465,8 +468,7 @@ def build_graph(units: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         dist = np.where(cand >= 0, far(me, np.maximum(cand, 0)), np.inf)
         order = np.argsort(dist, axis=1, kind="stable")
         cand, dist = np.take_along_axis(cand, order, axis=1), np.take_along_axis(dist, order, axis=1)
-        same = lambda p, c: np.where(c == p[:, None], 0, far(p, np.maximum(c, 0)))
-        return robust_prune(cand, dist, same, degree)
+        return robust_prune(cand, dist, lambda p, c: far(p, np.maximum(c, 0)), degree)
 
     out = pruned(cand, DEGREE)
     src = np.repeat(np.arange(n), out.shape[1])[out.ravel() >= 0]
