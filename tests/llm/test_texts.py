@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -26,21 +27,6 @@ def documents(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
-def test_odd_rows_and_empty_tables(spark, tmp_path, name):
-    """Every documents query returns a row a row for null, empty, repeated and clashing rows, and nothing for nothing."""
-    if name in ("op3_warc", "op10_vectors"):
-        pytest.skip("not a query over documents")
-    for k, rows in enumerate((ODD, [])):
-        out = str(tmp_path / f"{name}{k}")
-        spark.createDataFrame([(i, t, "en", None if i == 7 else f"s{(i or 0) % 2}", 1, "clash") for i, t in rows], DOC + ", lang string, source string, n_chars long, size string").write.parquet(f"{out}/documents.parquet")
-        spark.createDataFrame([(i, i % 2, 0) for i in range(9)] + [(None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{out}/labels.parquet")
-        assert registry.QUERIES[name](spark, out).count() == len(rows)
-
-
-# ---- BPE
-
-
 @pytest.fixture(scope="module")
 def codec():
     return byte_bpe.Codec(PATH, public_tokenizers.PATTERN)
@@ -51,6 +37,106 @@ def library(codec):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
 
 
+#: Names that operators use for columns of their own.
+CLASHES = ["id", "row", "rows", "key", "g", "r", "n", "shard", "slot", "size", "hash", "copies", "words", "numbers", "block", "fp", "node", "digest", "drops", "label", "score", "media", "_n", "a.b"]
+
+
+def written_tables(spark, path, rows, labels=()):
+    """documents with extra columns whose names clash, and labels."""
+    df = spark.createDataFrame([(i, t, "en", None if i == 7 else f"s{(i or 0) % 2}", 1) for i, t in rows], DOC + ", lang string, source string, n_chars long")
+    df.selectExpr("*", *[f"'clash {c}' AS `{c}`" for c in CLASHES]).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+def plain_rows(name, rows, model=None, library=None):
+    """What a query's columns that depend on the row alone are, from each row's text."""
+    for i, text in rows:
+        raw, words = (text or "").encode(), re.findall("[^\x20\x09-\x0d]+", text or "")
+        padded = jpeg.padded(raw)
+        if name == "op1_sharding":
+            yield i, len(raw) + 16, zlib.crc32(raw), "rows"
+        elif name == "op2_mixing":
+            yield i, len(words)
+        elif name == "op4_licenses":
+            found, hits = plain_scan(text)
+            yield i, len(found), len(hits), min((s for s, _ in hits), default=None), max((s for s, _ in hits), default=None), ",".join(sorted({x for _, x in hits}))
+        elif name == "op5_jpeg":
+            yield i, len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:])
+        elif name == "op6_line_dedup":
+            yield i, (text or "").count("\n") + 1
+        elif name == "op7_quality_cnn":
+            yield i, i is not None and zlib.crc32(str(i).encode()) % 5 == 0, round(float(quality.scores([raw], model)[0]), 5) if model else 0.5
+        elif name == "op8_byte_bpe":
+            ids = library.encode_ordinary(text or "")
+            yield i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(raw).hexdigest()
+        elif name == "op9_simhash_pigeonring":
+            yield i, f"{simhash.fingerprint(raw):016x}"
+
+
+COLUMNS = {
+    "op1_sharding": ["doc_id", "size", "text_crc32", "law"],
+    "op2_mixing": ["doc_id", "size"],
+    "op4_licenses": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"],
+    "op5_jpeg": ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32"],
+    "op6_line_dedup": ["doc_id", "n_lines"],
+    "op7_quality_cnn": ["doc_id", "held_out", "score"],
+    "op8_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op9_simhash_pigeonring": ["doc_id", "fingerprint"],
+}
+
+
+def check_rows(spark, path, name, rows, model=None, library=None):
+    got = registry.QUERIES[name](spark, path).select(COLUMNS[name]).collect()
+    plain = lambda x: repr(tuple(round(v, 5) if isinstance(v, float) else v for v in x))
+    assert sorted(map(plain, got)) == sorted(map(plain, plain_rows(name, rows, model, library))), name
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_odd_rows_and_empty_tables(spark, tmp_path, library, name):
+    """Values for null, empty, repeated and clashing rows, and nothing for nothing."""
+    labels = [(i, i % 2, 0) for i in range(9)] + [(None, 1, 0), (2, None, 0)]
+    at = written_tables(spark, str(tmp_path / "odd"), ODD, labels)
+    model = None
+    if name == "op7_quality_cnn":
+        read = lambda t: spark.read.parquet(f"{at}/{t}.parquet")
+        model = quality.fit(read("documents"), read("labels"))
+    check_rows(spark, at, name, ODD, model, library)
+    assert registry.QUERIES[name](spark, written_tables(spark, str(tmp_path / "empty"), [])).count() == 0
+
+
+def test_a_text_of_50_mb(spark, tmp_path, library):
+    """Whole texts, however long: every query over one of 50 MB beside short ones."""
+    line = "A long line of the words number {} under the MIT License, näher beschrieben."
+    text = "\n".join(line.format(k % 5000) for k in range(50 * (1 << 20) // 78))
+    rows = [(1, text), (2, "short\n" + line.format(7)), (3, None)]
+    documents_path = tmp_path / "documents.parquet"
+    documents_path.mkdir()
+    kinds = [("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())]
+    table = pa.table([pa.array(c, k) for c, (_, k) in zip(zip(*[(i, t, "en", "s", 1) for i, t in rows]), kinds)], names=[n for n, _ in kinds])
+    pq.write_table(table, documents_path / "part-0.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in COLUMNS:
+        check_rows(spark, str(tmp_path), name, rows, None, library)
+    kept = {r.doc_id: r for r in registry.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert kept[1].n_dropped == 0 and kept[2].n_dropped == 1
+
+
+def test_stages_keep_columns_whose_names_clash(spark, tmp_path):
+    at = written_tables(spark, str(tmp_path), [*ODD, *[(20 + k, f"line {k} of a document\nand one that many share\n{'word ' * k}") for k in range(30)]], [(k, 1, 0) for k in range(20, 50)])
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, at)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"clash {c}" for r in rows for c in CLASHES)
+        docs = spark.createDataFrame(rows, out.schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, at).count() == docs.count()
+
+
+# ---- BPE
+
+
 def odd_texts():
     rng = random.Random(1)
     texts = ["", " ", "a" * 300, "\n\n  x  \n", "don't  I'll", "日本語 テキスト", "😀👨‍👩‍👧", "".join(rng.choice("abc \n") for _ in range(5000)), "ab" * 4000 + " " + "é" * 500]

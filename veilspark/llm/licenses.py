@@ -14,7 +14,9 @@ The templates and the counts of their words (a bounded vocabulary) go to every t
 nothing of them is shuffled.
 
 Defined cases: a null or empty text has no words, no places (first_word and last_word null), empty label strings and score 0;
-rows that share a doc_id are scanned one by one; a null doc_id stays null; extra columns are ignored; an empty table gives an empty result.
+rows that share a doc_id, or are equal in all columns, are scanned one by one; tokens that occur equally often are ordered by their bytes; of
+several containments the largest is the score; a very long text is held with its list of words, about eleven times its bytes; a null
+doc_id stays null; extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

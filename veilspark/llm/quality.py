@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import trimmed
+from .common import trimmed, unpacked, whole_row
 
 DIM, WIDTH, STRIDE, FILTERS, BLOCK = 4, 8, 2, 32, 128
 FOLDS, THRESHOLD = 5, 0.3
@@ -251,13 +252,16 @@ def score_docs(docs: DataFrame, model: Model | None, id_col: str = "doc_id", tex
     return out.select(F.col("row").alias("doc_id"), held_out(F.col("row")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def good_docs(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of docs that the classifier accepts."""
-    names = docs.columns
-
+def _accepted(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = _batch_scores(batch.column(names.index(text_col)), model)
-            yield batch.filter(pa.array(got >= THRESHOLD))
+            got = _batch_scores(batch.column(0), model)
+            yield pa.record_batch([batch.column(1)], names=["row"]).filter(pa.array(got >= THRESHOLD))
+
+    return run
+
 
-    return docs.mapInArrow(trimmed(run), docs.schema)
+def good_docs(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs that the classifier accepts."""
+    rows = docs.select(F.col(text_col).alias("text"), whole_row(docs).alias("row"))
+    return unpacked(rows.mapInArrow(trimmed(_accepted(model)), StructType([rows.schema["row"]])))

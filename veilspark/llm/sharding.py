@@ -13,8 +13,9 @@ Law `rows`: shard sizes differ by one row at most. No group meets in one task: a
 count for each shard, and members of large groups are numbered in buckets.
 
 Defined cases: a null text has 16 bytes, crc32 0 and no links; the empty text links like any other; rows that share a doc_id, or
-are equal in all columns, are placed one by one; a null doc_id is null in the result; extra columns are ignored; an empty
-table gives an empty result.
+are equal in all columns, are placed one by one; between shards with as many members of a group a hash decides, which is the same on every
+run; a very long text is read once for its size and hashes, and no copy of it moves; a null doc_id is null in the result; extra columns
+are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
