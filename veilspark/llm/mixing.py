@@ -38,7 +38,7 @@ CHUNK = 1 << 16
 #: Up to so many sources, what is known of each is broadcast.
 FEW_SOURCES = 20_000
 #: Kinds of documents by their share of their source's fractional words, larger ones rounded first.
-BIG = (0.05, 0.005, 0.0005)
+BIG = (0.05, 0.015, 0.005, 0.0015, 0.0005)
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
