@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, jpeg, licenses, line_dedup, mixing, quality, sharding, simhash, vectors, warc
+from . import byte_bpe, codes, conversations, jpeg, licenses, line_dedup, mixing, quality, sharding, simhash, topk, vectors, warc
 
 
 #: The vocabulary that op8 and the pipeline encode with; the operator takes any path.
@@ -57,7 +57,20 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op10_vectors": op10_vectors, "op3_warc": op3_warc, "op4_licenses": op4_licenses, "op5_jpeg": op5_jpeg, "op7_quality_cnn": op7_quality_cnn, "op8_byte_bpe": op8_byte_bpe, "op2_mixing": op2_mixing, "op6_line_dedup": op6_line_dedup, "op9_simhash_pigeonring": op9_simhash_pigeonring}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_scores(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op10_vectors": op10_vectors, "op3_warc": op3_warc, "op4_licenses": op4_licenses, "op5_jpeg": op5_jpeg, "op7_quality_cnn": op7_quality_cnn, "op8_byte_bpe": op8_byte_bpe, "op2_mixing": op2_mixing, "op6_line_dedup": op6_line_dedup, "op9_simhash_pigeonring": op9_simhash_pigeonring, "op11_vector_codes": op11_vector_codes, "op12_topk": op12_topk, "op13_conversations": op13_conversations}
+
 
 def _license_sql() -> str:
     """Phrases by the words that follow each word; notices by counting their words in every window."""
@@ -97,7 +110,40 @@ FROM embeddings v JOIN m ON m.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """
 
 
+#: Vectors of which every component is a finite number, as integers.
+_INTEGERS = """SELECT vec_id, label, list_transform(embedding, lambda x: floor({factor} * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+def _codes_sql() -> str:
+    """Every part against every entry; vectors are taken to have one length, which four divides. The sums are whole numbers below 2**53."""
+    near = "SELECT vec_id, part, min(struct_pack(d := p.xx + list_inner_product(c.x, c.x) - 2 * list_inner_product(p.x, c.x), entry := c.entry)) AS b FROM p JOIN {c} c USING (part) GROUP BY vec_id, part"
+    rounds = ""
+    for k in range(codes.ROUNDS):
+        rounds += f"""
+a{k} AS MATERIALIZED ({near.format(c=f'c{k}')}),
+s{k} AS (SELECT part, a{k}.b.entry AS entry, unnest(p.x) AS y, generate_subscripts(p.x, 1) AS pos FROM p JOIN a{k} USING (vec_id, part)),
+m{k} AS (SELECT part, entry, list(y ORDER BY pos) AS x FROM (SELECT part, entry, pos, floor(sum(y) / count(*)) AS y FROM s{k} GROUP BY part, entry, pos) GROUP BY part, entry),
+c{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{k}.x, c{k}.x) AS x FROM c{k} LEFT JOIN m{k} USING (part, entry)),"""
+    last = f"c{codes.ROUNDS}"
+    return f"""
+WITH v AS ({_INTEGERS.format(factor='1024')}),
+p AS MATERIALIZED (SELECT vec_id, part, e[part * (len(e) // 4) + 1 : (part + 1) * (len(e) // 4)] AS x, list_inner_product(x, x) AS xx FROM v CROSS JOIN (SELECT unnest(range(4)) AS part)),
+c0 AS MATERIALIZED (SELECT part, rank - 1 AS entry, x FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rank FROM v) r USING (vec_id) WHERE rank <= 256),{rounds}
+f AS ({near.format(c=last)}),
+r AS (SELECT vec_id, string_agg(format('{{:02x}}', b.entry), '' ORDER BY part) AS code, CAST(sum(b.d) AS BIGINT) AS error FROM f GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(x) AS y, generate_subscripts(x, 1) AS pos FROM {last}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN v USING (vec_id) CROSS JOIN h
+"""
+
+
 ORACLES = {
+    "op11_vector_codes": _codes_sql(),
+    "op12_topk": f"""
+WITH v AS ({_INTEGERS.format(factor='256')}),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5
+""",
     "op10_vectors": _VECTOR_SQL,
     "op4_licenses": _license_sql(),
     "op3_warc": """
