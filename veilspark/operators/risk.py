@@ -1,4 +1,4 @@
-"""Per-document roll-up: counts, injection, level, scores, recommendations. One shuffle by doc_id makes them all."""
+"""Per-document roll-up: counts, injection, level, scores, recommendations. Parts of documents are summed up first, then documents."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions import injection, visibility
 from ..functions.text import preview
+from . import ordered
 
 SAMPLE = 5
 
@@ -16,12 +17,6 @@ def count_of(status: str) -> Column:
     return F.count_if(F.col("visibility_status") == status)
 
 
-def first_texts(condition: Column, most: int) -> Column:
-    """Aggregate: the first texts, in extraction order, of spans that meet the condition."""
-    items = F.collect_list(F.when(condition, F.struct("span_seq", "text")))
-    return F.transform(F.slice(F.array_sort(items), 1, most), lambda x: x["text"])
-
-
 def status_counts(analyzed_spans: DataFrame) -> DataFrame:
     return analyzed_spans.groupBy("doc_id").agg(
         F.count("*").alias("total_spans"),
@@ -67,23 +62,44 @@ def recommendations(level: Column, inv: Column, susp: Column, inj: Column) -> Co
 COUNTS = {"total_spans": None, "visible_count": "visible", "suspicious_count": "suspicious", "invisible_count": "invisible", "unknown_count": "unknown"}
 
 
+def _distinct(lists: str | Column) -> Column:
+    """Aggregate: the distinct items of all lists. Equal lists meet first, most of which are empty."""
+    return F.array_distinct(F.flatten(F.collect_set(lists)))
+
+
 def span_measures(c: Config = DEFAULT) -> list[Column]:
-    """Aggregates over analysed spans: counts, the phrases found in hidden ones, and the first invisible texts (at most SAMPLE)."""
+    """Aggregates over analysed spans of a part: counts, the phrases found in hidden ones, and the first invisible texts (at most SAMPLE)."""
     hidden = visibility.is_hidden(F.col("visibility_status"))
     found = F.when(hidden, injection.matches(F.col("text"))) if c.check_hidden_instructions else F.lit(None).cast("array<string>")
     first = F.collect_list(F.when(F.col("visibility_status") == "invisible", F.struct("span_seq", "text")))
     return [
         *[(count_of(status) if status else F.count("*")).alias(k) for k, status in COUNTS.items()],
-        F.array_distinct(F.flatten(F.collect_list(found))).alias("_found"),
+        _distinct(found).alias("_found"),
         F.slice(F.array_sort(first), 1, SAMPLE).alias("_sample"),
     ]
 
 
+def merged_measures() -> list[Column]:
+    """Aggregates over parts that hold span_measures(), which give the same columns."""
+    return [
+        *[F.sum(k).alias(k) for k in COUNTS],
+        _distinct("_found").alias("_found"),
+        F.slice(F.array_sort(F.flatten(F.collect_list("_sample"))), 1, SAMPLE).alias("_sample"),
+    ]
+
+
+def few_samples(parts: DataFrame) -> DataFrame:
+    """Parts of documents (_part, in extraction order) dealt by document, with samples only where fewer than SAMPLE texts came before: what a
+    document gathers never exceeds two samples."""
+    dealt = parts.repartition("doc_id")
+    return dealt.withColumn("_sample", F.when(ordered.before("invisible_count") < SAMPLE, F.col("_sample")))
+
+
 def document_measures() -> list[Column]:
     """Aggregates over parts of documents that hold span_measures()."""
     return [
         *[F.sum(k).alias(k) for k in COUNTS],
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_found")))).alias("prompt_injection_patterns"),
+        F.array_sort(_distinct("_found")).alias("prompt_injection_patterns"),
         F.transform(F.slice(F.array_sort(F.flatten(F.collect_list("_sample"))), 1, SAMPLE), lambda x: x["text"]).alias("invisible_text_sample"),
     ]
 
@@ -102,10 +118,10 @@ def judged(per: DataFrame, documents: DataFrame | None, c: Config = DEFAULT) ->
 
 
 def risk_report(analyzed_spans: DataFrame, documents: DataFrame | None = None, c: Config = DEFAULT) -> DataFrame:
-    """A report a document; documents (doc_id) adds those without any span. Pages are summed up first, so what is kept of a
-    long document is a few phrases and texts a page."""
-    pages = analyzed_spans.groupBy("doc_id", "page_number").agg(*span_measures(c))
-    return judged(pages.groupBy("doc_id").agg(*document_measures()), documents, c)
+    """A report a document; documents (doc_id) adds those without any span. Parts are summed up first, so what is kept of a
+    long document is a few phrases and texts a part."""
+    parts = analyzed_spans.groupBy("doc_id", ordered.part().alias("_part")).agg(*span_measures(c))
+    return judged(few_samples(parts).groupBy("doc_id").agg(*document_measures()), documents, c)
 
 
 # ---- scores and verdicts over a risk report

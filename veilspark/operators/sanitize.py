@@ -1,4 +1,4 @@
-"""Sanitized text of each document: strip, flag or preserve, one ordered aggregation by doc_id."""
+"""Sanitized text of each document: strip, flag or preserve, put together from parts in order."""
 
 from __future__ import annotations
 
@@ -7,57 +7,63 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..schema import STRATEGIES
-from .risk import adaptive_strategy, first_texts
+from . import ordered
+from .risk import adaptive_strategy
 
 SAMPLE = 10
 
 
-def joined(order: list[str], text: Column, keep: Column) -> Column:
-    """Aggregate: the kept texts, in order, with a space between them; '' without any."""
-    fields = [F.col(c) if "." not in c else F.col(c).alias(c.replace(".", "_")) for c in order]
-    items = F.collect_list(F.when(keep, F.struct(*fields, text.alias("_text"))))
-    return F.array_join(F.transform(F.array_sort(items), lambda x: x["_text"]), " ")
-
-
-#: Reading order, with the extraction order for ties, and the extraction order alone.
-READING, EXTRACTION = ["page_number", "bbox.y0", "bbox.x0", "span_seq"], ["span_seq"]
-
-
 def check_strategy(strategy: str) -> str:
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy {strategy!r}: one of {', '.join(STRATEGIES)} is needed")
     return strategy
 
 
-def sanitize(analyzed_spans: DataFrame, strategy: str, c: Config = DEFAULT) -> DataFrame:
-    """doc_id, original, sanitized, removed and flagged counts, strategy_used, removed_text_sample, safe_text."""
-    check_strategy(strategy)
+def _by_strategy(analyzed_spans: DataFrame, strategy: Column, c: Config) -> DataFrame:
+    """The columns of sanitize() for a strategy that may differ from document to document.
+
+    Kept texts stand in reading order (page, top, left, then as extracted), flagged ones as they were extracted."""
     status, text = F.col("visibility_status"), F.col("text")
-    nothing = F.lit(False)
-    gone = status == "invisible"
-    if strategy == "strip" and c.remove_suspicious:
-        gone = gone | (status == "suspicious")
-    gone = nothing if strategy == "preserve" else gone
-    flagged = (status == "suspicious") if strategy == "flag" else nothing
+    flag, strip = strategy == "flag", strategy == "strip"
+    gone = ((status == "invisible") & (strategy != "preserve")) | ((status == "suspicious") & strip & F.lit(c.remove_suspicious))
+    flagged = flag & (status == "suspicious")
     shown = F.when(flagged, F.concat(F.lit(c.flag_prefix), text)).otherwise(text)
-    return analyzed_spans.groupBy("doc_id").agg(
-        F.count("*").alias("original_span_count"),
-        F.count_if(~gone).alias("sanitized_span_count"),
-        F.count_if(gone).alias("removed_count"),
-        F.count_if(flagged).alias("flagged_count"),
-        F.lit(strategy).alias("strategy_used"),
-        first_texts(gone, SAMPLE).alias("removed_text_sample"),
-        joined(EXTRACTION if strategy == "flag" else READING, shown, ~gone).alias("safe_text"),
+    reading = lambda column: F.when(~flag, column)
+    page, within = reading(F.col("page_number")), F.when(flag, ordered.part().cast("double")).otherwise(ordered.band())
+    sample = F.collect_list(F.when(gone, F.struct("span_seq", "text")))
+    parts = analyzed_spans.groupBy("doc_id", strategy.alias("_strategy"), page.alias("_page"), within.alias("_within")).agg(
+        F.count("*").alias("_all"),
+        F.count_if(gone).alias("_gone"),
+        F.count_if(flagged).alias("_flagged"),
+        F.slice(F.array_sort(sample), 1, SAMPLE).alias("_sample"),
+        ordered.joined([reading(F.col("bbox.y0")), reading(F.col("bbox.x0")), F.col("span_seq")], shown, ~gone).alias("_text"),
     )
+    first = F.slice(F.array_sort(F.flatten(F.collect_list("_sample"))), 1, SAMPLE)
+    return parts.groupBy("doc_id", "_strategy").agg(
+        F.sum("_all").alias("original_span_count"),
+        F.sum(F.col("_all") - F.col("_gone")).alias("sanitized_span_count"),
+        F.sum("_gone").alias("removed_count"),
+        F.sum("_flagged").alias("flagged_count"),
+        F.transform(first, lambda x: x["text"]).alias("removed_text_sample"),
+        F.coalesce(ordered.joined([F.col("_page"), F.col("_within")], F.col("_text")), F.lit("")).alias("safe_text"),
+    ).withColumnRenamed("_strategy", "strategy_used")
+
+
+COLUMNS = ["doc_id", "original_span_count", "sanitized_span_count", "removed_count", "flagged_count", "strategy_used", "removed_text_sample", "safe_text"]
+
+
+def sanitize(analyzed_spans: DataFrame, strategy: str, c: Config = DEFAULT) -> DataFrame:
+    """doc_id, original, sanitized, removed and flagged counts, strategy_used, removed_text_sample, safe_text."""
+    return _by_strategy(analyzed_spans, F.lit(check_strategy(strategy)), c).select(COLUMNS)
 
 
 def sanitize_by_level(analyzed_spans: DataFrame, report: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """As sanitize(), with the strategy that each document's level asks for."""
-    choice = report.select("doc_id", adaptive_strategy(c).alias("_strategy"))
-    spans = analyzed_spans.join(choice, "doc_id")
-    parts = [sanitize(spans.where(F.col("_strategy") == s), s, c) for s in STRATEGIES]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """As sanitize(), with the strategy that each document's level asks for, in one pass over the spans."""
+    choice = report.select("doc_id", adaptive_strategy(c).alias("_chosen"))
+    return _by_strategy(analyzed_spans.join(choice, "doc_id"), F.col("_chosen"), c).select(COLUMNS)
 
 
 def reconstructed(spans: DataFrame) -> DataFrame:
-    return spans.groupBy("doc_id").agg(joined(READING, F.col("text"), F.lit(True)).alias("text"))
+    """doc_id, text: all texts in reading order."""
+    parts = spans.groupBy("doc_id", "page_number", ordered.band().alias("_within")).agg(ordered.joined([F.col("bbox.y0"), F.col("bbox.x0"), F.col("span_seq")], F.col("text")).alias("_text"))
+    return parts.groupBy("doc_id").agg(F.coalesce(ordered.joined([F.col("page_number"), F.col("_within")], F.col("_text")), F.lit("")).alias("text"))

@@ -10,9 +10,12 @@ from ..functions import color, injection, text, visibility
 
 
 def analyzed(spans: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """spans with contrast_ratio and visibility_status."""
+    """spans with contrast_ratio and visibility_status.
+
+    The contrast comes through a generator of one row: as a plain column it would be copied into each filter, status and reason
+    that uses it, which is too much code to compile."""
     fg, bg = F.col("font_color"), F.col("background_color")
-    out = spans.withColumn("contrast_ratio", color.contrast_ratio(fg, bg))
+    out = spans.select("*", F.explode(F.array(color.contrast_ratio(fg, bg))).alias("contrast_ratio"))
     status = visibility.visibility_status(F.col("contrast_ratio"), F.col("font_size"), F.col("bbox"), visibility.metadata_known(fg, bg), c)
     return out.withColumn("visibility_status", status)
 
