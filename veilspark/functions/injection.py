@@ -40,6 +40,14 @@ def translated(pattern: str) -> str:
     return "(?iu)" + body
 
 
+def translated_column(pattern: Column) -> Column:
+    """translated() of a column of patterns."""
+    edge, body = F.lit(r"\b"), F.replace(pattern, F.lit(r"\s"), F.lit(_SPACE))
+    begins, ends = F.startswith(body, edge), F.endswith(body, edge)
+    bare = F.regexp_replace(body, r"^\\b|\\b$", "")
+    return F.concat(F.lit("(?iu)"), F.when(begins, rf"(?<!{_LETTER})").otherwise(""), bare, F.when(ends, rf"(?!{_LETTER})").otherwise(""))
+
+
 #: A word that each pattern opens with: a text without any of them matches none.
 OPENING = "(?iu)" + "|".join(sorted({re.match(r"\\b(\w+)", p)[1] for p in PATTERNS}))
 

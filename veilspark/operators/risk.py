@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import injection, visibility
 from ..functions.text import preview
-from . import ordered
+from . import ordered, patterns
 
 SAMPLE = 5
 
@@ -117,9 +119,15 @@ def judged(per: DataFrame, documents: DataFrame | None, c: Config = DEFAULT) ->
     return per.withColumn("recommendations", recommendations(F.col("risk_level"), inv, susp, inj))
 
 
-def risk_report(analyzed_spans: DataFrame, documents: DataFrame | None = None, c: Config = DEFAULT) -> DataFrame:
+def risk_report(analyzed_spans: DataFrame, documents: DataFrame | None = None, c: Config = DEFAULT, pattern_table: DataFrame | None = None) -> DataFrame:
     """A report a document; documents (doc_id) adds those without any span. Parts are summed up first, so what is kept of a
-    long document is a few phrases and texts a part."""
+    long document is a few phrases and texts a part. pattern_table (pattern_id, pattern) stands in for the engine's own patterns."""
+    if pattern_table is not None:
+        hidden = analyzed_spans.where(visibility.is_hidden(F.col("visibility_status")))
+        phrases = patterns.by_document(patterns.matched(hidden, pattern_table)).withColumnRenamed("prompt_injection_patterns", "_phrases")
+        parts = analyzed_spans.groupBy("doc_id", ordered.part().alias("_part")).agg(*span_measures(replace(c, check_hidden_instructions=False)))
+        per = few_samples(parts).groupBy("doc_id").agg(*document_measures()).join(phrases, "doc_id", "left")
+        return judged(per.withColumn("prompt_injection_patterns", F.col("_phrases")).drop("_phrases"), documents, c)
     parts = analyzed_spans.groupBy("doc_id", ordered.part().alias("_part")).agg(*span_measures(c))
     return judged(few_samples(parts).groupBy("doc_id").agg(*document_measures()), documents, c)
 

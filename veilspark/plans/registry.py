@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color, injection, text, visibility
-from ..operators import reports, risk, sanitize
+from ..operators import paging, patterns, reports, risk, sanitize
 from ..operators import spans as span_ops
 from ..sources import docx, fixture, ingest, ocr, pdf, samples, sinks
 from ..sources import files as source_files
@@ -277,6 +277,28 @@ def docx_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docx.docx_spans(samples.files_of(fixture.spread(documents(spark, sf_dir)), lambda i, t: samples.docx_of(t))).groupBy("doc_id", "page_number").agg(F.count("*").alias("n_spans"))
 
 
+_BROKEN, _IN_TABLE = "(doc_id * 7 + line * 13) % 61 = 0", "(doc_id + line) % 90 >= 70"
+
+
+@query(
+    "paragraph_pages",
+    f"""WITH RECURSIVE x AS (SELECT doc_id, CAST(generate_subscripts(y, 1) - 1 AS BIGINT) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS y FROM documents)),
+k AS MATERIALIZED (SELECT doc_id, line, {_BROKEN} AS broken, {_IN_TABLE} AS outside FROM x),
+w(doc_id, para_seq, page, line, broken, outside) AS (
+  SELECT doc_id, line, 1, CAST(0 AS BIGINT), broken, outside FROM k WHERE line = 0
+  UNION ALL
+  SELECT k.doc_id, k.line, w.page + CASE WHEN NOT w.outside AND (w.broken OR w.line + 1 >= 40) THEN 1 ELSE 0 END,
+    CASE WHEN NOT w.outside AND (w.broken OR w.line + 1 >= 40) THEN CAST(0 AS BIGINT) ELSE w.line + 1 END, k.broken, k.outside
+  FROM w JOIN k ON k.doc_id = w.doc_id AND k.line = w.para_seq + 1)
+SELECT doc_id, para_seq, CAST(page AS INT) AS page_number, line FROM w""",
+)
+def paragraph_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of paragraphs, one a line of a document, with page breaks and tables that run past the end of a page."""
+    lines = fixture.spread(documents(spark, sf_dir)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    line = F.col("line").cast("long")
+    return paging.paged(lines.select("doc_id", line.alias("para_seq"), (~F.expr(_IN_TABLE)).alias("in_body"), F.expr(_BROKEN).alias("breaks")))
+
+
 def _pdf_words(packed: bool) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Words read back from PDF files that show a document's text, whatever its characters, 40 lines a page."""
@@ -436,6 +458,34 @@ def injection_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_ops.with_matches(span_ops.hidden(analyzed(spark, sf_dir))).select("doc_id", "span_seq", listed("matches").alias("matches"))
 
 
+@query("pattern_table", over_spans(f"SELECT doc_id, span_seq, array_to_string(m, '{SEP}') AS matches FROM (SELECT doc_id, span_seq, {_MATCHES} AS m FROM a WHERE {_HIDDEN}) WHERE len(m) > 0"))
+def pattern_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engine's own patterns, searched as a table by the words they open with."""
+    found = patterns.matched(span_ops.hidden(analyzed(spark, sf_dir)), patterns.builtin(spark))
+    return patterns.by_span(found).select("doc_id", "span_seq", listed("matches").alias("matches"))
+
+
+#: The first three words of a benchmark item, where these are plain.
+_ITEM = r"^([A-Za-z]+) ([a-z]+) ([a-z]+)[ .,]"
+
+
+@query(
+    "benchmark_phrases",
+    over_spans(
+        rf"""SELECT doc_id, span_seq, pattern_id, regexp_extract(low, regex, 0) AS phrase
+FROM (SELECT doc_id, span_seq, lower(text) AS low, unnest(list_distinct(regexp_extract_all(lower(text), '[\pL\pN_]+'))) AS word FROM a)
+JOIN (SELECT item_id AS pattern_id, lower(regexp_extract(text, '{_ITEM}', 1)) AS word, concat('\b', lower(regexp_extract(text, '{_ITEM}', 1)), '\s+', regexp_extract(text, '{_ITEM}', 2), '\s+', regexp_extract(text, '{_ITEM}', 3), '\b') AS regex
+  FROM benchmark WHERE regexp_matches(text, '{_ITEM}')) p USING (word)
+WHERE regexp_extract(low, regex, 0) <> ''"""
+    ),
+)
+def benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that hold the beginning of a benchmark item: as many patterns as there are items."""
+    items = fixture.read(spark, sf_dir, "benchmark").where(F.col("text").rlike(_ITEM))
+    phrase = F.array_join(F.array(*[F.regexp_extract("text", _ITEM, k) for k in (1, 2, 3)]), r"\s+")
+    return patterns.matched(analyzed(spark, sf_dir), items.select(F.col("item_id").alias("pattern_id"), F.concat(F.lit(r"\b"), F.lower(phrase), F.lit(r"\b")).alias("pattern")))
+
+
 @query("invisible_sample", over_risk(f"SELECT doc_id, array_to_string(sample, '{SEP}') AS sample"))
 def invisible_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark, sf_dir).select("doc_id", listed("invisible_text_sample").alias("sample"))
