@@ -160,6 +160,14 @@ def test_one_of_each_with_clashing_names(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "a b c d", "x", 1, 2, 3, 4), (3, "other words are here", "z", 1, 2, 3, 4), (None, "last of all these", "n", 1, 2, 3, 4)], key=repr)
 
 
+def test_one_of_each_goes_by_rows(spark):
+    rows = [(1, "a b c d"), (None, "a b c d"), (None, "something else is here"), (5, "words of its own again"), (5, "words of its own again"), (5, "and a further one of five"), (9, "and a further one of five")]
+    rows += [(None, "the same row all over")] * 300 + [(7, "the same row all over")] * 3 + [(8, None), (8, ""), (None, None)]
+    got = sorted(map(tuple, simhash.one_of_each(spark.createDataFrame(rows, DOC)).collect()), key=repr)
+    assert [r for r in got if r[1]] == sorted([(1, "a b c d"), (None, "something else is here"), (5, "words of its own again"), (5, "and a further one of five"), (7, "the same row all over")], key=repr)
+    assert [r[0] for r in got if not r[1]] == [8]
+
+
 # ---- line dedup
 
 
@@ -387,7 +395,7 @@ def test_folding_is_linear(spark):
 
 def test_audit_takes_all_ids_divisible(spark, monkeypatch):
     rows = planted_pairs()
-    df = spark.createDataFrame(rows, VEC).selectExpr("vec_id AS id", "vec_id AS node", "label", "24 AS dim", "1L AS mult", "embedding AS vec")
+    df = spark.createDataFrame(rows, VEC).selectExpr("vec_id AS id", "vec_id AS node", "CAST(label AS LONG) AS label", "24 AS dim", "1L AS mult", "vec_id % 20 = 0 AS asked", "embedding AS vec")
     truth = np.bincount(np.array(plain_links(rows)).ravel(), minlength=len(rows))
     links = [(k, int(c)) for k, c in enumerate(truth) if k % 40]
     some = spark.createDataFrame(links, "node long, n_links long")
@@ -399,6 +407,27 @@ def test_audit_takes_all_ids_divisible(spark, monkeypatch):
         assert abs(vectors.audit(df, some, every=20) - want) < 1e-9
 
 
+def test_recall_is_measured_or_null(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    rows = [(2 * k + 1, [1.0, k / 1e4], "a") for k in range(300)]
+    kind = "vec_id long, embedding array<double>, label string"
+    monkeypatch.setattr(vectors, "EVERY", 10)
+    got = vectors.near_vectors(spark.createDataFrame(rows, kind)).collect()
+    assert {r.recall for r in got} == {1.0} and {r.n_links for r in got} == {299}
+    alone = [(k, [float(x) for x in rng.normal(size=40)], "b") for k in range(60)]
+    assert {r.recall for r in vectors.near_vectors(spark.createDataFrame(alone, kind)).collect()} == {None}
+    # a vector that is asked about under a larger id of its own
+    nodes = vectors.nodes_of(spark.createDataFrame([(3, 1, 2, b"k", [1.0, 0.0]), (10, 1, 2, b"k", [1.0, 0.0]), (4, 1, 2, b"m", [0.0, 1.0])], "id long, label long, dim int, key binary, vec array<double>"))
+    assert {(r.node, r.asked, r.mult) for r in nodes.collect()} == {(3, True, 2), (4, False, 1)}
+
+
+def test_labels_of_any_type(spark):
+    vec = [1.0, 0.5]
+    for kind, a, b in (("string", "x", "y"), ("long", 2**40, 2**40 + 2**32), ("double", 0.5, 1.5), ("boolean", True, False)):
+        got = vectors.near_vectors(spark.createDataFrame([(1, vec, a), (2, vec, a), (3, vec, b), (4, vec, None), (5, vec, None)], f"vec_id long, embedding array<float>, label {kind}")).collect()
+        assert {r.vec_id: r.n_links for r in got} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0}
+
+
 def planted_pairs(n=300, dim=24):
     """Unstructured vectors, each with one other at cosine 0.935 to 0.96."""
     rng = np.random.default_rng(12)
@@ -422,7 +451,7 @@ def test_the_last_try_is_audited(spark, monkeypatch):
 
 
 def test_homes_reach_shards_that_are_split_again():
-    rows = pa.table({"label": pa.array([1] * 9, pa.int32()), "dim": pa.array([2] * 9, pa.int32()), "cluster": range(9), "node": range(9), "mult": [1] * 9, "vec": [[1.0, k / 9] for k in range(9)]})
+    rows = pa.table({"label": pa.array([1] * 9, pa.int64()), "dim": pa.array([2] * 9, pa.int32()), "cluster": range(9), "node": range(9), "mult": [1] * 9, "vec": [[1.0, k / 9] for k in range(9)]})
     pivots = pa.table({"pivot": [0, 4, 7, 8], "pivot_vec": [[1.0, k / 9] for k in (0, 4, 7, 8)]})
     key = [pa.scalar(0)] * 3
     assert [vectors.deal_out(homes)(key, rows, pivots).num_rows for homes in (2, 3, 4)] == [18, 27, 36]

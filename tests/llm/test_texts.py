@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -487,6 +488,48 @@ def test_shards_exchange_rows(spark):
     assert got[got.doc_id < 1000].shard.nunique() == 3
 
 
+def test_labels_are_propagated_in_small_tables(spark, monkeypatch):
+    """Below some 40 * 16 members a shard no group is large, so all of them go through the rounds."""
+    calls = []
+    monkeypatch.setattr(sharding, "propagate", lambda linked, quotas, own=sharding.propagate: calls.append(linked.count()) or own(linked, quotas))
+    rows = [(k, f"group {k // 4}") for k in range(400)]
+    got = sharding.place(spark.createDataFrame(rows, DOC)).toPandas()
+    assert calls == [400] and set(got.groupby("shard").size()) == {10}
+    # two groups of four fill eight of ten places, so a fifth of the groups can't but be cut
+    assert split_groups(got, dict(rows)) <= 20
+
+
+def least_cut(groups, quotas):
+    """The fewest groups that any placement splits, by trying which of them stay whole."""
+    def fits(sizes, room):
+        if not sizes:
+            return True
+        n, *rest = sizes
+        tried = set()
+        for k, r in enumerate(room):
+            if r >= n and r not in tried:
+                tried.add(r)
+                if fits(rest, [*room[:k], r - n, *room[k + 1 :]]):
+                    return True
+        return False
+
+    for cut in range(len(groups) + 1):
+        for gone in itertools.combinations(range(len(groups)), cut):
+            if fits(sorted((n for k, n in enumerate(groups) if k not in gone), reverse=True), list(quotas)):
+                return cut
+
+
+@pytest.mark.parametrize("groups,shards", [([3, 3, 2, 2, 2], 3), ([4, 4, 4], 2), ([5, 3, 2, 2], 2), ([2] * 6, 4), ([6, 2, 2, 2], 4)])
+def test_small_cuts_against_every_placement(spark, groups, shards):
+    rows = [(10 * g + k, f"text {g}") for g, n in enumerate(groups) for k in range(n)]
+    got = sharding.place(spark.createDataFrame(rows, DOC), shards=shards).toPandas()
+    sizes = got.groupby("shard").size()
+    assert sizes.max() - sizes.min() <= 1
+    quotas = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    least = least_cut(groups, quotas)
+    assert least <= split_groups(got, dict(rows)) <= min(least + 1, shards)
+
+
 def test_exchanges_along_cycles():
     assert sharding.exchanges({(0, 1): 5, (1, 0): 3, (1, 2): 2, (2, 0): 2}, [0, 0, 0]) == {(0, 1): 5, (1, 0): 3, (1, 2): 2, (2, 0): 2}
     assert sharding.exchanges({(0, 1): 5}, [0, 0]) == {} and sharding.exchanges({(0, 1): 5}, [0, 2]) == {(0, 1): 2}

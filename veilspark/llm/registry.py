@@ -105,7 +105,7 @@ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label
 c AS (SELECT vec_id AS a, vec_id AS r FROM embeddings UNION SELECT l.b, c.r FROM c JOIN l ON l.a = c.a),
 n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
 m AS (SELECT a, min(r) AS r FROM c GROUP BY a)
-SELECT v.vec_id, coalesce(n.n, 0) AS n_links, m.r AS component_id, m.r = v.vec_id AS kept, 1.0::DOUBLE AS recall
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, m.r AS component_id, m.r = v.vec_id AS kept, CASE WHEN EXISTS (SELECT 1 FROM l) THEN 1.0::DOUBLE END AS recall
 FROM embeddings v JOIN m ON m.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """
 

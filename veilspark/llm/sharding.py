@@ -1,6 +1,6 @@
 """Balanced label propagation over shards (operator 1).
 
-Documents of a group (equal texts) are linked. Large groups (over a LARGE-th of a shard, so at most LARGE for each shard) get their
+Documents of a group (equal texts) are linked. Large groups (over a LARGE-th of a shard, so at most LARGE for each shard, and over FEWEST members) get their
 places first, largest first: the fullest shard that has room for all of it, else as few shards as can hold it. Members of other
 groups start in shards by a hash order. Each round names a group's home, the shard with most members, and members
 elsewhere ask to move there. Shards exchange rows: requests are let in along cycles of shards, so that a move takes the place of a row that
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import drop_written, from_id, hot_join, small, to_id, written
 
 SHARDS, ROUNDS, LARGE, SETTLED = 40, 6, 16, 100
+#: Groups of up to so many members are never large: in small tables, too, labels are propagated.
+FEWEST = 8
 #: Rows that one window ranks together.
 RANKED = 1 << 16
 
@@ -197,7 +199,7 @@ def place(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     buckets = F.pmod(F.xxhash64("id"), F.lit(n // RANKED + 1))
     rows = written(ranked(rows, [], buckets, [F.xxhash64("id", F.lit(1)), "id", "g", "size"], "r"), "ranked")
     groups = rows.where("g IS NOT NULL").groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-    least = n // shards // LARGE
+    least = max(FEWEST, n // shards // LARGE)
     groups = written(groups.select("g", "n", F.lit(True).alias("many"), (F.col("n") > least).alias("large")), "groups")
     marked = written(hot_join(rows, groups, "g", n, "n"), "marked")
     large = groups.where("large").select("g", "n").collect()  # about LARGE * shards rows at most

@@ -93,9 +93,11 @@ def fingerprint(text: bytes) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(..., text) to (..., fp)."""
     for batch in batches:
-        fps = np.array([fingerprint(x.as_py() or b"") for x in batch.column(1).cast(pa.binary())], np.uint64).view(np.int64)
-        yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
+        *others, texts = batch.columns
+        fps = np.array([fingerprint(x.as_py() or b"") for x in texts.cast(pa.binary())], np.uint64).view(np.int64)
+        yield pa.record_batch([*others, pa.array(fps, pa.int64())], names=[*batch.schema.names[:-1], "fp"])
 
 
 def rotated(fp: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -354,8 +356,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is their component's smallest; of rows that share that id, all."""
-    near = near_duplicates(docs, id_col, text_col)
-    kept = near.where("doc_id <=> component_id").select(to_id("doc_id").alias("id")).distinct()
-    rows = docs.select(to_id(id_col).alias("id"), whole_row(docs).alias("row"))
-    return unpacked(rows.join(kept, "id", "left_semi"))
+    """One row of docs for each class of linked fingerprints: that with the smallest id, null last; a hash of all columns decides between rows of
+    one id, and of rows that are equal in all columns one stays."""
+    told = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    name = F.concat_ws(":", to_id(id_col), F.hex(F.xxhash64(*told)), F.hex(F.xxhash64(F.lit(1), *told)))
+    rows = docs.select(name.alias("name"), to_id(id_col).alias("id"), F.col(text_col).alias("text"))
+    printed = rows.mapInArrow(trimmed(_fingerprints), "name string, id long, fp long")
+    names = written(printed.groupBy("name", "id", "fp").agg(F.count("*").alias("n")), "names")
+    nodes = written(names.groupBy("fp").agg(F.min(F.struct("id", "name")).alias("first")), "nodes")
+    roots = components(links(nodes))
+    chosen = nodes.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first"))
+    chosen = chosen.select(F.col("first.name").alias("kept"))
+    decided = written(names.join(chosen, F.col("name") == F.col("kept"), "left").select("name", "n", F.col("kept").isNotNull().alias("stays"), (F.col("n") > 1).alias("many")), "decided")
+    total = decided.agg(F.sum("n")).first()[0] or 0
+    # equal rows have one name: a place in the table tells them apart where a hot name is dealt out
+    rows = docs.select(whole_row(docs).alias("row"), name.alias("name"), F.monotonically_increasing_id().alias("place"))
+    out = hot_join(rows, decided, "name", total, "n").where("stays")
+    return unpacked(out.where("NOT many").select("row").union(out.where("many").dropDuplicates(["name"]).select("row")))

@@ -14,10 +14,10 @@ of the limit's angle of a group's centre form a class, in which all link with al
 class, or with none, if its angle to the centre and the class's radius say so; only nodes between the two are compared with
 the members one by one. Shards that pivots can't split and that hold no such group are compared in full, in blocks.
 
-Recall is audited after every search: all nodes whose id is divisible by EVERY against brute force over all nodes, over all their links and as
+Recall is audited after every search: all nodes that hold a row whose id is divisible by EVERY against brute force over all nodes, over all their links and as
 the mean over nodes with links, and the lower of both counts. Below LEAST_RECALL the search is repeated with more homes, at every level of
 shards, and a wider beam. If no search of TRIES passes, all blocks of a label are compared in full, which loses nothing. What was
-measured is logged and stands in the column `recall`.
+measured is logged and stands in the column `recall`, which is null where no audited node has a link.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows without a label, link
 with nothing; vectors of different lengths don't link; equal rows link with each other; a cosine of exactly the limit links; rows with the
@@ -34,7 +34,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, drop_written, from_id, hot_join, pack_numbers, small, to_id, trimmed, unpack_numbers, written
@@ -45,6 +45,8 @@ log = logging.getLogger(__name__)
 LIMIT, LABELS, SAMPLE, SHARD, BLOCK = 0.93, 1000, 20_000, 1000, 2000
 HOMES, NEAREST, RANDOM, DEGREE, ALPHA, BEAM = 2, 32, 32, 20, 1.2, 24
 EVERY, LEAST_RECALL, TRIES, SEED = 100, 0.95, 3, 11
+#: Slices of an EVERY-th of all nodes that are audited while no link was found to measure by.
+AUDITS = 2
 #: Queries that an audit hands to every task; more are dealt out in blocks.
 ASKED = 4096
 #: Shards with more nodes are split again by up to about PIVOTS of their nodes, dealt CHUNK at a time.
@@ -105,22 +107,22 @@ def prepare(double: bool):
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
-    """key, id, node, label, dim, mult, vec for each key of prepared rows; node is the key's smallest id, or a number below all ids where another
-    key has that. Vectors that occur once stay where they are."""
-    rows = rows.where("key IS NOT NULL")
-    keyed = written(rows.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n")), "keys")
+    """key, id, node, label, dim, mult, asked, vec for each key of prepared rows; node is the key's smallest id, or a number below all ids where
+    another key has that; asked: whether any of its rows has an id divisible by EVERY. Vectors that occur once stay where they are."""
+    rows = rows.where("key IS NOT NULL").withColumn("asked", F.col("id") % EVERY == 0)
+    keyed = written(rows.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.bool_or("asked").alias("any_asked")), "keys")
     total = keyed.count()
     shared = keyed.groupBy("id").agg(F.count("*").alias("c"), F.min("key").alias("least")).where("c > 1")
     named = hot_join(keyed, shared, "id", total, "c").where("n > 1 OR least IS NOT NULL")
     node = F.when(F.col("key") != F.col("least"), -F.shiftrightunsigned(F.xxhash64("key"), 1) - 1).otherwise(F.col("id"))
-    special = written(named.select("key", F.col("id").alias("of"), node.alias("node"), "n", F.col("n").alias("mult")), "special")
-    columns = ["key", "id", "node", "label", "dim", "mult", "vec"]
+    special = written(named.select("key", F.col("id").alias("of"), node.alias("node"), "n", F.col("n").alias("mult"), "any_asked"), "special")
+    columns = ["key", "id", "node", "label", "dim", "mult", "asked", "vec"]
     if not special.head(1):
         return rows.withColumn("node", F.col("id")).withColumn("mult", F.lit(1).cast("long")).select(columns)
     marked = hot_join(rows, special, "key", rows.count(), "n")
     plain = marked.where("node IS NULL").withColumn("node", F.col("id")).withColumn("mult", F.lit(1).cast("long"))
-    one = marked.where("node IS NOT NULL").groupBy("key").agg(*[F.first(c).alias(c) for c in ("of", "node", "label", "dim", "mult", "vec")])
-    return written(plain.select(columns).unionByName(one.withColumnRenamed("of", "id").select(columns)), "nodes")
+    one = marked.where("node IS NOT NULL").drop("asked").groupBy("key").agg(*[F.first(c).alias(c) for c in ("of", "node", "label", "dim", "mult", "any_asked", "vec")])
+    return written(plain.select(columns).unionByName(one.withColumnRenamed("of", "id").withColumnRenamed("any_asked", "asked").select(columns)), "nodes")
 
 
 # ---- shards
@@ -177,7 +179,7 @@ def layout(nodes: DataFrame, limit: float) -> Layout:
     counts = {(r.label, r.dim): r.n for r in large.collect()}  # LABELS rows at most
     if not counts:
         return Layout({}, {})
-    names = nodes.sparkSession.createDataFrame([(*k, n) for k, n in counts.items()], "label int, dim int, n long")
+    names = nodes.sparkSession.createDataFrame([(*k, n) for k, n in counts.items()], "label long, dim int, n long")
     found: dict[Key, list] = {}
     for r in nodes.join(F.broadcast(names.drop("n")), ["label", "dim"]).select("label", "dim", "node", "vec").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect():
         found.setdefault((r.label, r.dim), []).append(r.vec)
@@ -297,7 +299,7 @@ def fold(nodes: DataFrame, groups: dict[Key, np.ndarray], limit: float) -> Folde
     if not groups:
         return None
     spark = nodes.sparkSession
-    found = nodes.mapInArrow(trimmed(member_rows(groups, limit)), "node long, label int, dim int, mult long, cls long, radius double")
+    found = nodes.mapInArrow(trimmed(member_rows(groups, limit)), "node long, label long, dim int, mult long, cls long, radius double")
     found = found.groupBy("label", "dim", "cls").agg(F.max("radius").alias("radius"), F.sum("mult").alias("mult"), F.min("node").alias("rep"), F.count("*").alias("n")).where(F.col("n") >= FOLD_LEAST)
     classes: dict[Key, Classes] = {}
     for r in found.collect():  # at most SAMPLE / FOLD_SAMPLE rows
@@ -307,9 +309,9 @@ def fold(nodes: DataFrame, groups: dict[Key, np.ndarray], limit: float) -> Folde
         c.kept[r.cls], c.radius[r.cls], c.mult[r.cls], c.rep[r.cls] = True, r.radius, r.mult, r.rep
     if not classes:
         return None
-    table = written(nodes.mapInArrow(trimmed(relations(classes, limit)), "node long, label int, dim int, mult long, cls long, links long, touches array<long>, borders array<long>"), "relations")
+    table = written(nodes.mapInArrow(trimmed(relations(classes, limit)), "node long, label long, dim int, mult long, cls long, links long, touches array<long>, borders array<long>"), "relations")
     reps = [(*key, j, int(c.rep[j])) for key, c in classes.items() for j in np.flatnonzero(c.kept).tolist()]
-    names = F.broadcast(spark.createDataFrame(reps, "label int, dim int, cls long, rep long"))
+    names = F.broadcast(spark.createDataFrame(reps, "label long, dim int, cls long, rep long"))
     kind = ["label", "dim", "cls"]
     named = table.join(names, kind, "left").withColumn("name", F.coalesce("rep", "node"))
     # what single nodes add to a class that they link with all of
@@ -368,7 +370,7 @@ def thin(key: tuple, rows: pa.Table) -> pa.Table:
         if not kept or (units[kept] @ units[k]).max() < APART:
             kept.append(k)
     rows = rows.take(pa.array(kept))
-    same = [pa.array([k.as_py()] * len(kept), t) for k, t in zip(key, (pa.int32(), pa.int32(), pa.int64()))]
+    same = [pa.array([k.as_py()] * len(kept), t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int64()))]
     return pa.table([*same, rows["node"], rows["vec"]], names=["label", "dim", "cluster", "pivot", "pivot_vec"])
 
 
@@ -400,7 +402,7 @@ def refined(members: DataFrame, homes: int) -> DataFrame:
     """members (label, dim, cluster, node, mult, vec, homes) with large shards split; homes lists each node's shards anew."""
     keys = ["label", "dim", "cluster"]
     vec = members.schema["vec"].dataType.simpleString()
-    schema = f"label int, dim int, cluster long, node long, mult long, vec {vec}, final boolean"
+    schema = f"label long, dim int, cluster long, node long, mult long, vec {vec}, final boolean"
     now = written(members.drop("homes").withColumn("final", F.lit(False)), "placed")
     for level in range(LEVELS):
         sizes = written(now.where("NOT final").groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > REFINE), "large")
@@ -410,7 +412,7 @@ def refined(members: DataFrame, homes: int) -> DataFrame:
         large = marked.where("n IS NOT NULL")
         every = F.greatest(F.lit(1), F.floor(F.col("n") / F.least(F.lit(PIVOTS), F.ceil(F.col("n") / SHARD))))
         chosen = large.where(F.pmod(F.xxhash64("node", F.lit(level)), every) == 0).select(*keys, "node", "vec")
-        pivots = written(chosen.groupBy(*keys).applyInArrow(thin, f"label int, dim int, cluster long, pivot long, pivot_vec {vec}"), "pivots")
+        pivots = written(chosen.groupBy(*keys).applyInArrow(thin, f"label long, dim int, cluster long, pivot long, pivot_vec {vec}"), "pivots")
         chunks = F.ceil(F.col("n") / CHUNK)
         left = large.select(*keys, "node", "mult", "vec", F.pmod(F.xxhash64("node", F.lit(-1)), chunks).alias("chunk"))
         right = pivots.join(small(sizes), keys).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).drop("n")
@@ -525,7 +527,7 @@ def build(key: tuple, rows: pa.Table) -> pa.Table:
     label, dim = (k.as_py() for k in key[:2])
     columns = list(zip(*out)) or [[], [], [], []]
     kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    same = [pa.array([label] * len(out), pa.int32()), pa.array([dim] * len(out), pa.int32())]
+    same = [pa.array([label] * len(out), pa.int64()), pa.array([dim] * len(out), pa.int32())]
     return pa.table([*same, *[pa.array(list(c), k) for c, k in zip(columns, kinds)]], names=["label", "dim", "cluster", "ids", "counts", "near"])
 
 
@@ -702,19 +704,31 @@ def block_counts(limit: float):
     return run
 
 
-def audit(nodes: DataFrame, links: DataFrame, limit: float = LIMIT, every: int = EVERY) -> float:
-    """The share of brute-force links that links (node, n_links) has, for all nodes whose id is divisible by `every`: over all their links or as the
-    mean over those with links, whichever is lower, so that neither a few large groups nor many small ones hide a loss."""
-    asked = nodes.where(F.col("id") % every == 0).select("node", "label", "dim", "mult", "vec")
+def audit(nodes: DataFrame, links: DataFrame, limit: float = LIMIT, every: int = EVERY) -> float | None:
+    """The share of brute-force links that links (node, n_links) has, for all nodes that are asked: over all their links or as the mean over
+    those with links, whichever is lower, so that neither a few large groups nor many small ones hide a loss. Where those have no link,
+    slices of all nodes by a hash of their number follow, AUDITS at most; None if none of them has one."""
+    by_hash = F.pmod(F.xxhash64("node"), F.lit(every))
+    for turn in range(1 + AUDITS):
+        asked = nodes.where("asked" if not turn else by_hash == turn).select("node", "label", "dim", "mult", "vec")
+        found = _recall(nodes, asked, links, limit)
+        if found is not None:
+            return found
+    return None
+
+
+def _recall(nodes: DataFrame, asked: DataFrame, links: DataFrame, limit: float) -> float | None:
     if (n := asked.count()) <= ASKED:
+        if not n:
+            return None
         truth = nodes.select("node", "label", "dim", "mult", "vec").mapInArrow(trimmed(brute_counts(asked.collect(), limit)), "node long, truth long")
     else:
         truth = crossed(asked, nodes.select(asked.columns), ["label", "dim"]).applyInArrow(block_counts(limit), "node long, truth long")
     truth = truth.groupBy("node").agg(F.sum("truth").alias("truth"))
     have = F.least("truth", F.coalesce("n_links", F.lit(0)))
     got = truth.where("truth > 0").join(links, "node", "left").agg(F.sum("truth"), F.sum(have), F.avg(have / F.col("truth"))).first()
-    recall = min(got[1] / got[0], got[2]) if got[0] else 1.0
-    log.info("recall %.4f over %d vectors", recall, n)
+    recall = min(got[1] / got[0], got[2]) if got[0] else None
+    log.info("recall %s over %d vectors", recall, n)
     return recall
 
 
@@ -777,8 +791,8 @@ def search_links(nodes: DataFrame, own: Layout, folded: dict[Key, Classes], home
     """Written rows (kind, a, b) of the search over nodes (node, label, dim, mult, vec) that no class has."""
     keys, vec = ["label", "dim", "cluster"], nodes.schema["vec"].dataType.simpleString()
     nodes = nodes.select("node", "label", "dim", "mult", "vec")
-    names = nodes.mapInArrow(trimmed(assign(own, folded, homes, limit, False)), "label int, dim int, cluster long")
-    members = nodes.mapInArrow(trimmed(assign(own, folded, homes, limit, True)), f"label int, dim int, cluster long, node long, mult long, vec {vec}, homes array<long>")
+    names = nodes.mapInArrow(trimmed(assign(own, folded, homes, limit, False)), "label long, dim int, cluster long")
+    members = nodes.mapInArrow(trimmed(assign(own, folded, homes, limit, True)), f"label long, dim int, cluster long, node long, mult long, vec {vec}, homes array<long>")
     found = None
     if names.groupBy(*keys).count().where(F.col("count") > REFINE).head(1):
         members = written(refined(members, homes), "members")
@@ -788,18 +802,24 @@ def search_links(nodes: DataFrame, own: Layout, folded: dict[Key, Classes], home
             members = members.join(small(large), keys, "left_anti")
     # one exchange, from which graphs are built and then searched
     dealt = members.repartition(*keys)
-    messages = dealt.groupBy(*keys).applyInArrow(build, "label int, dim int, cluster long, ids binary, counts binary, near binary")
+    messages = dealt.groupBy(*keys).applyInArrow(build, "label long, dim int, cluster long, ids binary, counts binary, near binary")
     got = dealt.groupBy(*keys).cogroup(messages.groupBy(*keys)).applyInArrow(search(beam, limit), "kind int, a long, b long")
     return written(got if found is None else got.union(found), "links")
 
 
+def label_number(vectors: DataFrame, col: str) -> Column:
+    """Labels of any type as numbers: whole numbers as they are, others by a 64-bit hash of how they print."""
+    kind = vectors.schema[col].dataType.simpleString()
+    return F.col(col).cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.when(F.col(col).isNotNull(), F.xxhash64(F.col(col).cast("string"))) if kind != "void" else F.lit(None).cast("long")
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", limit: float = LIMIT) -> DataFrame:
     """vec_id, n_links, component_id, kept, recall for every row of vectors."""
     item = vectors.schema[vector_col].dataType.elementType.simpleString()
     vec = F.col(vector_col) if item in ("float", "double") else F.col(vector_col).cast("array<double>")
     item = "float" if item == "float" else "double"
-    rows = vectors.select(to_id(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), vec.alias("vec"))
-    rows = written(rows.mapInArrow(trimmed(prepare(item == "double")), f"id long, label int, dim int, key binary, vec array<{item}>"), "vectors")
+    rows = vectors.select(to_id(id_col).alias("id"), label_number(vectors, label_col).alias("label"), vec.alias("vec"))
+    rows = written(rows.mapInArrow(trimmed(prepare(item == "double")), f"id long, label long, dim int, key binary, vec array<{item}>"), "vectors")
     nodes = nodes_of(rows)
     own = layout(nodes, limit)
     settled = fold(nodes.select("node", "label", "dim", "mult", "vec"), own.groups, limit)
@@ -810,7 +830,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         counts = found.where("kind = 0").select(F.col("a").alias("node"), F.col("b").alias("n_links"))
         counts = (counts.union(folded.counts) if folded else counts).groupBy("node").agg(F.sum("n_links").alias("n_links"))
         recall = audit(nodes, counts, limit)
-        if recall >= LEAST_RECALL:
+        if recall is None or recall >= LEAST_RECALL:
             break
         homes, beam = homes + 1, 2 * beam
     edges = found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -828,4 +848,4 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     known = known.select("key", F.col("mult").alias("n"), (F.coalesce("n_links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "root")
     out = hot_join(rows.select("id", "key"), known, "key", rows.count(), "n")
     root = F.coalesce("root", "id")
-    return out.select(from_id("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), from_id(root).alias("component_id"), (F.col("id") == root).alias("kept"), F.lit(recall).alias("recall"))
+    return out.select(from_id("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), from_id(root).alias("component_id"), (F.col("id") == root).alias("kept"), F.lit(recall).cast("double").alias("recall"))
