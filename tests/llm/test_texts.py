@@ -447,14 +447,40 @@ def test_licenses_against_brute_force(spark):
         best, found = float(bool(hits)), {x for _, x in hits}
         for b in range(0, max(1, len(words)), index.half):
             block = set(words[b : b + 2 * index.half])
-            for notice, label in licenses.NOTICES:
+            for notice, label, required in licenses.NOTICES:
                 t = set(notice.split())
-                if len(t & block) >= licenses.THRESHOLD * len(t) - 1e-9:
+                if len(t & block) >= licenses.THRESHOLD * len(t) - 1e-9 and set(required.split()) <= block:
                     best, found = max(best, len(t & block) / len(t)), found | {label}
         assert (r.labels, round(r.score, 9)) == (",".join(sorted(found)), round(best, 9)), (i, r)
     assert got[-3].labels == "mit" and got[-3].n_base == 0
 
 
+def test_licenses_are_told_apart(spark):
+    terms = "it under the terms of the GNU {}General Public License as published by the Free Software Foundation"
+    rows = [
+        ("Licensed under CC BY 4.0", "cc-by"),
+        ("Licensed under CC BY-NC 4.0", "cc-by,cc-by-nc"),
+        ("This program is free software: you can redistribute it and/or modify " + terms.format(""), "gpl"),
+        ("This library is free software; you can redistribute it and/or modify " + terms.format("Lesser "), "lgpl"),
+        ("Licensed under the Apache License, Version 2.0", "apache"),
+        ("licensed under the license version 2 0", ""),
+    ]
+    got = licenses.scan_licenses(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], DOC)).collect()
+    assert [r.labels for r in sorted(got)] == [labels for _, labels in rows]
+
+
+def test_notices_come_from_a_table(spark):
+    kind = "text string, label string, required string, extra int"
+    table = spark.createDataFrame([("Free as in Speech, not as in beer!", "speech", "speech", 1), ("all rights reserved by the owner", "closed", None, 2)], kind)
+    notices = licenses.notices_of(table)
+    assert notices == (("all rights reserved by the owner", "closed", ""), ("free as in speech not as in beer", "speech", "speech"))
+    docs = spark.createDataFrame([(1, "free as in speech not as in"), (2, "free as in not as in beer"), (3, "All rights reserved by owner, apache license")], DOC)
+    assert [r.labels for r in sorted(licenses.scan_licenses(docs, notices=notices).collect())] == ["speech", "", "apache,closed"]
+    for bad in [("", "x", ""), ("a b", None, ""), ("a b", "x", "c")]:
+        with pytest.raises(ValueError):
+            licenses.notices_of(spark.createDataFrame([(*bad, 0)], kind))
+
+
 # ---- sharding
 
 

@@ -2,7 +2,7 @@
 
 Templates (license phrases and notices) are joined with text blocks: windows of 2 H words that start every H words, H being the
 longest template's length, so every passage as long as a template lies in a block. A block contains a template when
-it holds at least the template's threshold of its distinct words.
+it holds at least the template's threshold of its distinct words, and all of those that tell its license from others.
 
 All tokens are ordered by how often they occur in the corpus, rarest first. A block that reaches a threshold
 t of a template with k tokens must hold one of its k - ceil(t k) + 1 rarest: only blocks with such a prefix token become candidates.
@@ -42,19 +42,35 @@ PHRASES = (
     ("cc by", "cc-by"),
     ("mit license", "mit"),
 )
-# Opening sentences of license notices, and their labels.
+# Opening sentences of license notices, their labels, and words without which a text is another license's.
 NOTICES = (
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
-    ("licensed under the apache license version 2 0", "apache"),
-    ("you may not use this file except in compliance with the license", "apache"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
-    ("this work is licensed under the gnu general public license version 3", "gpl"),
-    ("gnu lesser general public license as published by the free software foundation", "lgpl"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("this source code form is subject to the terms of the mozilla public license", "mpl"),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit", ""),
+    ("licensed under the apache license version 2 0", "apache", "apache"),
+    ("you may not use this file except in compliance with the license", "apache", "compliance"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl", "program gnu"),
+    ("this work is licensed under the gnu general public license version 3", "gpl", "gnu"),
+    ("gnu lesser general public license as published by the free software foundation", "lgpl", "lesser"),
+    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", "redistribution"),
+    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by", "creative commons attribution"),
+    ("licensed under cc by nc 4 0", "cc-by-nc", "cc nc"),
+    ("this source code form is subject to the terms of the mozilla public license", "mpl", "mozilla"),
 )
+#: Rows that a table of notices may have: they go to every task.
+MOST_NOTICES = 10_000
+
+
+def notices_of(table: DataFrame) -> tuple[tuple[str, str, str], ...]:
+    """Notices of a table (text, label, required): templates with their labels and the words, parted by spaces, that a block must hold."""
+    clean = lambda x: b" ".join(words_of((x or "").encode())).decode()
+    rows = table.select("text", "label", "required").limit(MOST_NOTICES + 1).collect()
+    if len(rows) > MOST_NOTICES:
+        raise ValueError(f"more than {MOST_NOTICES} notices")
+    found = [(clean(r.text), r.label, clean(r.required)) for r in rows]
+    for text, label, required in found:
+        if not text or not label or not set(required.split()) <= set(text.split()):
+            raise ValueError(f"a notice needs words, a label, and required words that it holds: {text!r}, {label!r}, {required!r}")
+    return tuple(sorted(found))
+
 
 _TABLE = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -73,19 +89,21 @@ class Template(NamedTuple):
     """Tokens that a block must hold."""
     label: str
     is_phrase: bool
+    required: frozenset[int]
+    """Tokens without which no block holds the template."""
 
 
 class Index:
     """Templates over the frequency order of their tokens."""
 
     def __init__(self, phrases: tuple, notices: tuple, threshold: float, counts: dict[bytes, int]) -> None:
-        texts = [(t.encode().split(), label, 1.0, True) for t, label in phrases] + [(t.encode().split(), label, threshold, False) for t, label in notices]
+        texts = [(t.encode().split(), label, 1.0, True, []) for t, label in phrases] + [(t.encode().split(), label, threshold, False, r.encode().split()) for t, label, r in notices]
         tokens = sorted({w for t, *_ in texts for w in t}, key=lambda w: (counts.get(w, 0), w))
         self.number = {w: k for k, w in enumerate(tokens)}
         self.templates = []
-        for t, label, share, is_phrase in texts:
+        for t, label, share, is_phrase, required in texts:
             ids = tuple(self.number[w] for w in t)
-            self.templates.append(Template(ids, tuple(sorted(set(ids))), math.ceil(share * len(set(ids)) - 1e-9), label, is_phrase))
+            self.templates.append(Template(ids, tuple(sorted(set(ids))), math.ceil(share * len(set(ids)) - 1e-9), label, is_phrase, frozenset(self.number[w] for w in required)))
         self.half = max(len(t.words) for t in self.templates)
         self.prefix: dict[int, list[int]] = {}
         for k, t in enumerate(self.templates):
@@ -113,7 +131,7 @@ class Index:
                 i += 1
             else:
                 j += 1
-        return held / len(t.ordered) if held >= t.need else 0.0
+        return held / len(t.ordered) if held >= t.need and t.required.issubset(block) else 0.0
 
     def scan(self, words: list[bytes]) -> tuple[set[tuple[int, str]], set[str], float]:
         """The places (start, label) of phrases, the labels of notices, and the best containment."""
@@ -178,7 +196,7 @@ def _scan(index: Index):
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: tuple = PHRASES, notices: tuple = NOTICES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of docs."""
-    vocabulary = frozenset(w for t, _ in (*phrases, *notices) for w in t.encode().split())
+    vocabulary = frozenset(w for t, *_ in (*phrases, *notices) for w in t.encode().split())
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(trimmed(_count(vocabulary)), "word binary, n long")
     counts = {bytes(r.word): r.n for r in counted.groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row a template word
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -79,16 +79,16 @@ def _license_sql() -> str:
     phrases = " UNION ALL ".join(f"SELECT doc_id, pos, '{label}' AS label FROM s WHERE " + " AND ".join(f"{c} = '{w}'" for c, w in zip(at, phrase.split())) for phrase, label in licenses.PHRASES)
     notices = [t for t in index.templates if not t.is_phrase]
     words = {k: w.decode() for w, k in index.number.items()}
-    listed = ", ".join(f"({k}, '{t.label}', {t.need}, {len(t.ordered)}, '{words[w]}')" for k, t in enumerate(notices) for w in t.ordered)
+    listed = ", ".join(f"({k}, '{t.label}', {t.need}, {len(t.ordered)}, '{words[w]}', {len(t.required)}, {w in t.required})" for k, t in enumerate(notices) for w in t.ordered)
     return rf"""
 WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 e AS (SELECT doc_id, CAST(generate_subscripts(w, 1) - 1 AS BIGINT) AS pos, unnest(w) AS word FROM t),
 s AS (SELECT *, lead(word, 1) OVER o AS w1, lead(word, 2) OVER o AS w2, lead(word, 3) OVER o AS w3 FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 p AS ({phrases}),
 b AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM p GROUP BY doc_id),
-v AS (SELECT * FROM (VALUES {listed}) x(k, label, need, size, word)),
-m AS (SELECT e.doc_id, e.pos // {index.half} - d.d AS block, v.k, v.label, v.need, v.size, v.word FROM e JOIN v ON v.word = e.word CROSS JOIN (VALUES (0), (1)) d(d) WHERE e.pos // {index.half} >= d.d),
-c AS (SELECT doc_id, label, count(DISTINCT word)::DOUBLE / any_value(size) AS share FROM m GROUP BY doc_id, block, k, label HAVING count(DISTINCT word) >= any_value(need)),
+v AS (SELECT * FROM (VALUES {listed}) x(k, label, need, size, word, n_required, required)),
+m AS (SELECT e.doc_id, e.pos // {index.half} - d.d AS block, v.k, v.label, v.need, v.size, v.word, v.n_required, v.required FROM e JOIN v ON v.word = e.word CROSS JOIN (VALUES (0), (1)) d(d) WHERE e.pos // {index.half} >= d.d),
+c AS (SELECT doc_id, label, count(DISTINCT word)::DOUBLE / any_value(size) AS share FROM m GROUP BY doc_id, block, k, label HAVING count(DISTINCT word) >= any_value(need) AND count(DISTINCT word) FILTER (WHERE required) = any_value(n_required)),
 a AS (SELECT doc_id, label, 1.0::DOUBLE AS share, TRUE AS base FROM p UNION ALL SELECT doc_id, label, share, FALSE FROM c),
 g AS (SELECT doc_id, max(share) AS score, array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM a GROUP BY doc_id)
 SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
