@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import __version__, config
 from .operators import reports, risk, sanitize, spans as span_ops
 from .schema import STRATEGIES
-from .sources import files
+from .sources import files, text_files
 
 OK, FAILED = 0, 5
 
@@ -32,7 +32,7 @@ def _parser() -> argparse.ArgumentParser:
         one.add_argument("--verbose", "-v", action="store_true")
         one.add_argument("--ocr-tokens", help="Parquet table of OCR tokens with the paths of their files")
         if name == "clean":
-            one.add_argument("--output", "-o", help="text file for the cleaned text; a folder of JSON lines for several documents")
+            one.add_argument("--output", "-o", help="text file for the cleaned text; a folder of text files for several documents")
             one.add_argument("--strategy", choices=STRATEGIES, default="strip")
     return p
 
@@ -97,12 +97,12 @@ def _short(x: str, most: int = 40) -> str:
 
 
 def _clean(spans, documents, c, args) -> int:
-    """Cleaned text to standard output, to a text file (one document) or to a folder of JSON lines (several)."""
+    """Cleaned text to standard output, to a text file (one document) or to a folder of text files (several)."""
     found = documents.join(sanitize.sanitize(span_ops.analyzed(spans, c), args.strategy, c), "doc_id", "left")
     out = found.fillna({"original_span_count": 0, "removed_count": 0, "flagged_count": 0, "safe_text": "", "strategy_used": args.strategy})
     first = out.orderBy("path").limit(2).collect()
     if args.output and len(first) > 1:
-        out.select("path", "safe_text").write.mode("overwrite").json(args.output)
+        text_files.write_text_files(out.select(text_files.file_name().alias("name"), F.col("safe_text").alias("text")), args.output)
         return OK
     for r in first if len(first) < 2 else out.orderBy("path").collect():
         print(f"{r.path}\n  Strategy: {r.strategy_used}\n  Original: {r.original_span_count} spans\n  Removed: {r.removed_count} spans")

@@ -10,10 +10,24 @@ from ..schema import INVISIBLE, SUSPICIOUS, UNKNOWN, VISIBLE
 from .color import contrast_ratio, has_colors
 
 
-def _graded(value: Column, limits: list[tuple[float, str]], missing: str) -> Column:
+def number(setting: float | Column) -> Column:
+    """A setting as a column: settings may differ from row to row."""
+    return setting if isinstance(setting, Column) else F.lit(float(setting))
+
+
+def switched(condition: Column, setting: bool | Column) -> Column:
+    """condition where the setting is on, false elsewhere."""
+    return condition & setting if isinstance(setting, Column) else condition if setting else F.lit(False)
+
+
+def larger(a: float | Column, b: float | Column) -> float | Column:
+    return F.greatest(number(a), number(b)) if isinstance(a, Column) or isinstance(b, Column) else max(a, b)
+
+
+def _graded(value: Column, limits: list[tuple[float | Column, str]], missing: str) -> Column:
     out = F.when(value.isNull(), missing)
     for limit, status in limits:
-        out = out.when(value < F.lit(float(limit)), status)
+        out = out.when(value < number(limit), status)
     return out.otherwise(VISIBLE)
 
 
@@ -27,12 +41,11 @@ def font_size_status(size: Column, c: Config = DEFAULT) -> Column:
 
 def _bbox_tests(box: Column, c: Config) -> tuple[Column, Column]:
     """Whether the box makes a span invisible, and whether it makes it suspicious if it doesn't."""
-    wide, high, never = F.lit(float(c.page_width)), F.lit(float(c.page_height)), F.lit(False)
-    gone = (box["x1"] - box["x0"] <= 0) | (box["y1"] - box["y0"] <= 0) if c.check_zero_area else never
-    if not c.check_off_screen:
-        return gone, never
-    gone = gone | (box["x1"] < 0) | (box["y1"] < 0) | (box["x0"] > wide) | (box["y0"] > high)
-    return gone, (box["x0"] < 0) | (box["y0"] < 0) | (box["x1"] > wide) | (box["y1"] > high)
+    wide, high = number(c.page_width), number(c.page_height)
+    flat = (box["x1"] - box["x0"] <= 0) | (box["y1"] - box["y0"] <= 0)
+    beyond = (box["x1"] < 0) | (box["y1"] < 0) | (box["x0"] > wide) | (box["y0"] > high)
+    across = (box["x0"] < 0) | (box["y0"] < 0) | (box["x1"] > wide) | (box["y1"] > high)
+    return switched(flat, c.check_zero_area) | switched(beyond, c.check_off_screen), switched(across, c.check_off_screen)
 
 
 def bbox_status(box: Column, c: Config = DEFAULT) -> Column:
@@ -44,9 +57,9 @@ def visibility_status(contrast: Column, size: Column, box: Column, known: Column
     """The worst of the three. Two limits of a kind give the same status, so the larger one decides, and each
     value is compared twice only."""
     gone, part = _bbox_tests(box, c)
-    below = lambda x, limit: F.coalesce(x < F.lit(float(limit)), F.lit(False))
+    below = lambda x, limit: F.coalesce(x < number(limit), F.lit(False))
     gone = below(contrast, c.invisible_contrast) | below(size, c.invisible_size) | gone
-    part = below(contrast, max(c.suspicious_contrast, c.min_contrast)) | below(size, max(c.suspicious_size, c.min_readable_size)) | part
+    part = below(contrast, larger(c.suspicious_contrast, c.min_contrast)) | below(size, larger(c.suspicious_size, c.min_readable_size)) | part
     return F.when(~known | contrast.isNull(), UNKNOWN).when(gone, INVISIBLE).when(part, SUSPICIOUS).otherwise(VISIBLE)
 
 

@@ -72,7 +72,8 @@ def _distinct(lists: str | Column) -> Column:
 def span_measures(c: Config = DEFAULT) -> list[Column]:
     """Aggregates over analysed spans of a part: counts, the phrases found in hidden ones, and the first invisible texts (at most SAMPLE)."""
     hidden = visibility.is_hidden(F.col("visibility_status"))
-    found = F.when(hidden, injection.matches(F.col("text"))) if c.check_hidden_instructions else F.lit(None).cast("array<string>")
+    searched = visibility.switched(hidden, c.check_hidden_instructions)
+    found = F.lit(None).cast("array<string>") if c.check_hidden_instructions is False else F.when(searched, injection.matches(F.col("text")))
     first = F.collect_list(F.when(F.col("visibility_status") == "invisible", F.struct("span_seq", "text")))
     return [
         *[(count_of(status) if status else F.count("*")).alias(k) for k, status in COUNTS.items()],
@@ -109,7 +110,7 @@ def document_measures() -> list[Column]:
 def judged(per: DataFrame, documents: DataFrame | None, c: Config = DEFAULT) -> DataFrame:
     """A row a document with document_measures() completed: documents without spans, level and recommendations."""
     if documents is not None:
-        per = documents.select("doc_id").join(per, "doc_id", "left")
+        per = documents.select("doc_id", *(k for k in ("settings",) if k in documents.columns)).join(per, "doc_id", "left")
     per = per.fillna(0, subset=list(COUNTS))
     for k in ("prompt_injection_patterns", "invisible_text_sample"):
         per = per.withColumn(k, F.coalesce(k, F.array().cast("array<string>")))

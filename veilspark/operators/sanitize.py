@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..functions import visibility
 from ..schema import STRATEGIES
 from . import ordered
 from .risk import adaptive_strategy
@@ -25,9 +26,9 @@ def _by_strategy(analyzed_spans: DataFrame, strategy: Column, c: Config) -> Data
     Kept texts stand in reading order (page, top, left, then as extracted), flagged ones as they were extracted."""
     status, text = F.col("visibility_status"), F.col("text")
     flag, strip = strategy == "flag", strategy == "strip"
-    gone = ((status == "invisible") & (strategy != "preserve")) | ((status == "suspicious") & strip & F.lit(c.remove_suspicious))
+    gone = ((status == "invisible") & (strategy != "preserve")) | visibility.switched((status == "suspicious") & strip, c.remove_suspicious)
     flagged = flag & (status == "suspicious")
-    shown = F.when(flagged, F.concat(F.lit(c.flag_prefix), text)).otherwise(text)
+    shown = F.when(flagged, F.concat(c.flag_prefix if isinstance(c.flag_prefix, Column) else F.lit(c.flag_prefix), text)).otherwise(text)
     reading = lambda column: F.when(~flag, column)
     page, within = reading(F.col("page_number")), F.when(flag, ordered.part().cast("double")).otherwise(ordered.band())
     sample = F.collect_list(F.when(gone, F.struct("span_seq", "text")))

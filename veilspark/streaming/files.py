@@ -28,10 +28,12 @@ def read_stream(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
 
 
 def span_arrays(files: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """path, spans (array), error; one row a file. A file whose text only OCR can read is an error."""
+    """path, spans (array), error, choice, seen_at, digest; one row a file. A file whose text only OCR can read is an error. seen_at is when the
+    file was modified, null where that isn't known; the digest is that of its content."""
     mode = c.highlight_mode
-
-    names = ["path", "spans", "error", *Info._fields]
+    kept = {"seen_at": "timestamp", "digest": "string"}
+    seen = F.col("modificationTime") if "modificationTime" in files.columns else F.lit(None).cast("timestamp")
+    names = ["path", "spans", "error", *Info._fields, *kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -41,23 +43,26 @@ def span_arrays(files: DataFrame, c: Config = DEFAULT) -> DataFrame:
                 spans, info = [], Info(0)
                 if error is None:
                     spans, info, error = attempt(lambda x: source_files.read_any(x, mode), content or b"")
-                yield pa.record_batch([batch.column(0).slice(k, 1), pa.array([[as_struct(s) for s in spans]], pa.list_(SPAN_ARROW)), pa.array([error], pa.string()), *[pa.array([x], kind) for x, kind in zip(info, (pa.int64(), pa.float64(), pa.float64()))]], names=names)
+                found = [pa.array([[as_struct(s) for s in spans]], pa.list_(SPAN_ARROW)), pa.array([error], pa.string()), *[pa.array([x], kind) for x, kind in zip(info, (pa.int64(), pa.float64(), pa.float64()))]]
+                yield pa.record_batch([batch.column(0).slice(k, 1), *found, *[batch.column(name).slice(k, 1) for name in kept]], names=names)
 
-    routed = files.select("path", "content", ingest.route_error(F.col("path")).alias("error"))
-    out = routed.mapInArrow(run, f"path string, spans array<{SPAN}>, error string, native_chars long, page_area double, image_area double")
-    unread = F.when(source_files.choice_of(c) != "native", F.lit(source_files.NEEDS_OCR))
-    return out.select("path", F.when(unread.isNull(), F.col("spans")).otherwise(F.array().cast(f"array<{SPAN}>")).alias("spans"), F.coalesce("error", unread).alias("error"))
+    routed = files.select("path", "content", ingest.route_error(F.col("path")).alias("error"), seen.alias("seen_at"), F.sha2("content", 256).alias("digest"))
+    schema = f"path string, spans array<{SPAN}>, error string, native_chars long, page_area double, image_area double, " + ", ".join(f"{n} {k}" for n, k in kept.items())
+    out = routed.mapInArrow(run, schema).withColumn("choice", source_files.choice_of(c))
+    unread = F.when(F.col("choice") != "native", F.lit(source_files.NEEDS_OCR))
+    return out.select("path", F.when(unread.isNull(), F.col("spans")).otherwise(F.array().cast(f"array<{SPAN}>")).alias("spans"), F.coalesce("error", unread).alias("error"), "choice", *kept)
 
 
 def reports(arrays: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """path, error, counts, prompt_injection_patterns, risk_level, risk_score, exit_code of each file."""
+    """path, error, counts, prompt_injection_patterns, risk_level, risk_score, exit_code of each file, and seen_at and digest if arrays have them."""
     status = lambda s: visibility.status_of(s["font_color"], s["background_color"], s["font_size"], s["bbox"], c)
     marked = arrays.withColumn("marked", F.transform("spans", lambda s: F.struct(status(s).alias("status"), s["text"].alias("text"))))
     count: Column = lambda kind: F.size(F.filter("marked", lambda m: m["status"] == kind)).cast("long")
     hidden = F.filter("marked", lambda m: visibility.is_hidden(m["status"]))
     found = F.flatten(F.transform(hidden, lambda m: injection.matches(m["text"])))
+    about = [k for k in ("seen_at", "digest") if k in arrays.columns]
     out = marked.select(
-        "path", "error", F.size("spans").cast("long").alias("total_spans"), count("visible").alias("visible_count"), count("suspicious").alias("suspicious_count"),
+        "path", "error", *about, F.size("spans").cast("long").alias("total_spans"), count("visible").alias("visible_count"), count("suspicious").alias("suspicious_count"),
         count("invisible").alias("invisible_count"), count("unknown").alias("unknown_count"), F.array_sort(F.array_distinct(found)).alias("prompt_injection_patterns"),
     )
     out = out.withColumn("prompt_injection_detected", F.size("prompt_injection_patterns") > 0)
