@@ -304,12 +304,12 @@ def in_order(rows: DataFrame) -> DataFrame:
     return dealt.select("conv", "turn", F.col("role").cast("binary"), F.col("text").cast("binary"), "copies")
 
 
-def cut(rows: Iterator[tuple]) -> Iterator[list[Row]]:
+def cut(rows: Iterator[tuple], most: int) -> Iterator[list[Row]]:
     """The rows of a conversation, as often as they are there after the damage, in pieces; one at least, which may be empty."""
     now, size = [], 0
     for _, turn, role, text, copies in rows:
         for _ in range(copies):
-            if now and (len(now) >= PIECE or size + len(role) + len(text) > PIECE_BYTES):
+            if now and (len(now) >= most or size + len(role) + len(text) > PIECE_BYTES):
                 yield now
                 now, size = [], 0
             now.append(Row(turn, role, text))
@@ -317,38 +317,42 @@ def cut(rows: Iterator[tuple]) -> Iterator[list[Row]]:
     yield now
 
 
-def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows to results of the conversations that lie within the task and a piece, and to pieces of all others."""
-    task, seq = TaskContext.get().partitionId(), 0
-    results: list[tuple] = []
-
-    def pieces(conv: int, parts: Iterable[list[Row]]) -> Iterator[pa.RecordBatch]:
-        nonlocal seq
-        for rows in parts:
-            marks = [mark(r) for r in rows]
-            found = [m.turn for m in marks], b"".join(m.initial for m in marks), [m.fault for m in marks], [m.digest for m in marks], [r.role for r in rows], [r.text for r in rows]
-            yield emitted([(conv, *[None] * 8, task, seq, *found)], PASSED)
-            seq += 1
-
-    held: tuple[int, list[Row]] | None = None
-    for conv, rows in groupby(streamed(batches), key=itemgetter(0)):
+def first_pass(most: int):
+    """Sorted rows to results of the conversations that lie within the task and a piece of up to `most` rows, and to pieces of all others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seq = TaskContext.get().partitionId(), 0
+        results: list[tuple] = []
+
+        def pieces(conv: int, parts: Iterable[list[Row]]) -> Iterator[pa.RecordBatch]:
+            nonlocal seq
+            for rows in parts:
+                marks = [mark(r) for r in rows]
+                found = [m.turn for m in marks], b"".join(m.initial for m in marks), [m.fault for m in marks], [m.digest for m in marks], [r.role for r in rows], [r.text for r in rows]
+                yield emitted([(conv, *[None] * 8, task, seq, *found)], PASSED)
+                seq += 1
+
+        held: tuple[int, list[Row]] | None = None
+        for conv, rows in groupby(streamed(batches), key=itemgetter(0)):
+            if held:
+                results.append((held[0], *repaired(held[1]), *[None] * 8))
+            # the first of the task may have begun in the task before
+            parts, begins = cut(rows, most), held is None and not results and not seq
+            first, more = next(parts), next(parts, None)
+            if begins or more is not None:
+                yield from pieces(conv, chain([first], [] if more is None else [more], parts))
+                held = None
+            else:
+                held = conv, first
+            if len(results) >= RESULTS:
+                yield emitted(results, PASSED)
+                results = []
         if held:
-            results.append((held[0], *repaired(held[1]), *[None] * 8))
-        parts = cut(rows)
-        first, more = next(parts), next(parts, None)
-        if more is not None or (held is None and not results and seq == 0):
-            # long, or the first of the task, which may have begun in the task before
-            yield from pieces(conv, chain([first], [more] if more is not None else [], parts))
-            held = None
-        else:
-            held = conv, first
-        if len(results) >= RESULTS:
+            yield from pieces(held[0], [held[1]])  # may go on in the task after
+        if results:
             yield emitted(results, PASSED)
-            results = []
-    if held:
-        yield from pieces(held[0], [held[1]])  # may go on in the task after
-    if results:
-        yield emitted(results, PASSED)
+
+    return run
 
 
 def arcs_of(table: Table) -> list[dict]:
@@ -412,7 +416,7 @@ def found_earlier(numbered: DataFrame) -> DataFrame:
 def repair(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 of every conversation."""
     rows = in_order(damaged(conversations, conv_col, turn_col, role_col, text_col))
-    passed = written(rows.mapInArrow(trimmed(first_pass), ddl(PASSED)), "conversations")
+    passed = written(rows.mapInArrow(trimmed(first_pass(PIECE)), ddl(PASSED)), "conversations")
     pieces = passed.where("task IS NOT NULL")
     # pieces are numbered without what they hold
     by_conv = Window.partitionBy("conv")
