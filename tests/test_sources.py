@@ -21,6 +21,18 @@ def test_runs_and_formats():
     assert [(s[1], s[4], s[5]) for s in got] == [("white", 12.0, (255, 255, 255)), ("tiny", 0.5, (0, 0, 0)), ("plain", None, (0, 0, 0))]
 
 
+def test_files_that_unpack_without_end_are_errors(spark, monkeypatch):
+    bomb = X.docx_bytes(paragraphs("a" * (docx.MOST_UNPACKED + 1)))
+    assert len(bomb) < 1 << 20
+    got = files.extracted(spark.createDataFrame([(1, "a.docx", bomb, None), (2, "b.docx", X.docx_bytes(paragraphs("fine")), None)], "doc_id long, path string, content binary, error string")).collect()
+    assert {r.doc_id: (r.text, r.error) for r in got} == {1: (None, "ValueError: word/document.xml unpacks to too many bytes"), 2: ("fine", None)}
+    # parts that are too many together
+    monkeypatch.setattr(docx, "MOST_UNPACKED", 3000)
+    head = '<w:sectPr><w:headerReference w:type="default" r:id="rId1"/></w:sectPr>'
+    with pytest.raises(ValueError, match="too many bytes"):
+        docx.read_docx(X.docx_bytes(paragraphs("x" * 900) + head, {"header1.xml": paragraphs("y" * 2900)}))
+
+
 def test_page_break_keeps_its_runs_on_the_old_page():
     broken = X.paragraph_xml(X.run_xml("a"), '<w:r><w:br w:type="page"/></w:r>')
     assert [(s[1], s[2]) for s in docx.read_docx(X.docx_bytes(broken + paragraphs("b")))] == [("a", 1), ("b", 2)]

@@ -549,6 +549,7 @@ def risk_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark, sf_dir).select("doc_id", "total_spans", "visible_count", "suspicious_count", "invisible_count", "unknown_count", F.col("prompt_injection_detected").alias("detected"), "risk_level")
 
 
+# The advice for each level, in order.
 _ADVICE = f"""array_to_string(list_filter(CASE level
   WHEN 'critical' THEN ['DO NOT process this document with LLMs', 'Prompt injection attack detected in invisible text', 'Manual security review required', 'Consider reporting as malicious document']
   WHEN 'high' THEN CASE WHEN inj THEN ['Block LLM processing - prompt injection detected', 'Review detected patterns before proceeding', 'Manual review strongly recommended']

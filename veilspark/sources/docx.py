@@ -21,6 +21,8 @@ from .extraction import Info, extract, info_of, native_spans
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 LINES, LINE_HEIGHT, LINE_WIDTH = 40, 14.0, 500.0
+#: Bytes that the parts of a file may unpack to, all together: a small file may claim, or hide, any number.
+MOST_UNPACKED = 128 << 20
 BLACK, WHITE = (0, 0, 0), (255, 255, 255)
 
 # Colours of highlight names.
@@ -91,12 +93,30 @@ def run_format(run, highlight_mode: str) -> tuple:
     return (float(size) / 2 if size else None), fg, bg
 
 
+class _Parts:
+    """The parts of a file, unpacked within MOST_UNPACKED bytes whatever their headers say."""
+
+    def __init__(self, z: zipfile.ZipFile) -> None:
+        self.zip, self.names, self.left = z, set(z.namelist()), MOST_UNPACKED
+
+    def read(self, name: str) -> bytes:
+        if self.zip.getinfo(name).file_size > self.left:
+            raise ValueError(f"{name} unpacks to too many bytes")
+        with self.zip.open(name) as part:
+            found = part.read(self.left + 1)
+        self.left -= len(found)
+        if self.left < 0:
+            raise ValueError(f"{name} unpacks to too many bytes")
+        return found
+
+
 def read_docx(content: bytes, highlight_mode: str = "white") -> list[tuple]:
     """(span_seq, text, page, (x0, y0, x1, y1), size, fg, bg) of a file."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        z = _Parts(archive)
         root = ElementTree.fromstring(z.read("word/document.xml"))
         rels = {}
-        if "word/_rels/document.xml.rels" in z.namelist():
+        if "word/_rels/document.xml.rels" in z.names:
             # targets are relative to the document's folder, or absolute
             rels = {r.get("Id"): posixpath.normpath(posixpath.join("/word", r.get("Target") or "")).lstrip("/") for r in ElementTree.fromstring(z.read("word/_rels/document.xml.rels"))}
         body, walk = root.find(f"{_W}body"), _Walk(highlight_mode)
@@ -112,7 +132,7 @@ def read_docx(content: bytes, highlight_mode: str = "white") -> list[tuple]:
                 for ref in section.findall(f"{_W}{kind}Reference"):
                     if ref.get(f"{_W}type", "default") == "default":
                         parts[kind] = rels.get(ref.get(f"{_R}id"))  # a section without its own keeps the one before
-                if parts.get(kind) in z.namelist():
+                if parts.get(kind) in z.names:
                     for p in ElementTree.fromstring(z.read(parts[kind])).findall(f"{_W}p"):
                         walk.paragraph(p)
         for _ in sections:
