@@ -667,9 +667,12 @@ def test_arc_versions(version):
         list(warc.read_arc(gzip.compress(b"no version block\n")))
 
 
-def test_warc_odd_rows(spark):
+@pytest.mark.parametrize("few", [warc.FEW_BYTES, 0])
+def test_warc_odd_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "FEW_BYTES", few)
     big = "<p>" + "é\r\n\r\nWARC/1.1\r\n" * 20
     pages = [(1, "http://a", big), (2, "http://b c\n", big), (3, None, None), (4, "", "short"), (5, "u", "short"), (None, "n", big), (2, "http://d", big), (6, "http://e", "x" * 100), (7, "http://e", "x" * 100), (8, "http://e", "y" * 99), (9, "http://e", "y" * 99)]
+    pages += [(None, "http://hot", "hot " * 50)] * 40 + [(k, "http://hot", "hot " * 50) for k in range(20, 60)] + [(k, "http://own", f"{k} " * 60) for k in range(100, 130)]
     got = warc.archive(spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, digest string")).collect()
     want = []
     for i, _, html in pages:

@@ -8,8 +8,9 @@ WARC file opens with; a block that begins with an HTTP status line becomes a res
 file transfer) a resource, whose payload is the whole block.
 
 Of responses with equal payloads of at least LEAST bytes, the one with the smallest id is kept, and the others become revisits, which
-name the kept record's identifier, address and date and don't repeat the payload. Digests alone are compared for that; the list of
-revisits is broadcast up to FEW rows and joined by a shuffle beyond.
+name the kept record's identifier, address and date and don't repeat the payload. Digests alone are compared for that. What revisits
+refer to is broadcast while it takes FEW_BYTES at most. Beyond that a Bloom filter of the repeated digests goes to all tasks: records
+that it rejects stay where they are, and only the others are joined, by their digest, those of hot digests by a broadcast.
 
 Archives are gzip files in the shared folder with a member for each record, so any record can be read on its own; a file ends
 after FILE_BYTES, whatever its number of records. ARC files are parsed once: records are kept packed, as they go into the WARC files. Files are
@@ -30,13 +31,19 @@ import zlib
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NO_ID, drop_written, from_id, hot_join, new_path, remove, to_id, trimmed, written
+from .line_dedup import _hits as filter_hits
+from .line_dedup import bits_for, build_members, merged_filter
 
-LEAST, FEW = 100, 200_000
+LEAST = 100
+#: Bytes of revisits that are broadcast.
+FEW_BYTES = 32 << 20
 #: Packed bytes after which an archive file ends.
 FILE_BYTES = 16 << 20
 PIECE, FEED = 1 << 20, 1 << 13
@@ -397,18 +404,36 @@ def read_arc_files(spark: SparkSession, path: str) -> DataFrame:
     return written(_files(spark, path).mapInArrow(trimmed(arc_parsed), schema), "records")
 
 
+def in_filter(shared, bits: int):
+    """Whether a column of 16-byte digests may be in a broadcast filter; records themselves don't go through Python for that."""
+
+    def run(digests: pd.Series) -> pd.Series:
+        return pd.Series(filter_hits(np.frombuffer(shared.value, np.uint8), b"".join(digests), bits) if len(digests) else [], dtype=bool)
+
+    return F.pandas_udf(run, "boolean")
+
+
 def write_warc(records: DataFrame, path: str, least: int = LEAST) -> None:
     """Records of read_arc_files() as WARC files under path."""
     seen = records.where("kind = 'response'").select("id", "digest", "size", "url", "date")
     kept = F.min(F.struct("id", "url", "date")).alias("kept")
-    first = seen.where(F.col("size") >= least).groupBy("digest").agg(kept, F.count("*").alias("n")).where("n > 1")
-    again = hot_join(seen.select("id", "digest"), first, "digest", seen.count(), "n").where("id <> kept.id")
-    again = written(again.groupBy("id", "digest").agg(F.first("kept").alias("kept")), "revisits")
-    joined = records.join(F.broadcast(again) if again.count() <= FEW else again, ["id", "digest"], "left")
-    is_response = F.when(F.col("kind") == "response", F.col("kept.id"))
+    first = written(seen.where(F.col("size") >= least).groupBy("digest").agg(kept, F.count("*").alias("n")).where("n > 1"), "repeated")
+    held = F.coalesce(F.octet_length("kept.url"), F.lit(0)) + 100
+    n, size = first.agg(F.count("*"), F.sum(held)).first()
+    if (size or 0) <= FEW_BYTES:
+        joined = records.join(F.broadcast(first), "digest", "left")
+    else:
+        bits = bits_for(n)
+        members = first.select(F.substring("digest", 1, 16).alias("key")).mapInArrow(trimmed(build_members(bits)), "seg int, once binary, twice binary")
+        shared = records.sparkSession.sparkContext.broadcast(merged_filter(members, bits))
+        marked = records.withColumn("_open", in_filter(shared, bits)(F.substring("digest", 1, 16)))
+        go = marked.where("_open").drop("_open").withColumn("_place", F.monotonically_increasing_id())  # tells records of a hot digest apart
+        go = hot_join(go, first, "digest", seen.count(), "n").drop("_place")
+        joined = go.unionByName(marked.where("NOT _open").drop("_open"), allowMissingColumns=True)
+    is_response = F.when((F.col("kind") == "response") & (F.col("id") != F.col("kept.id")), F.col("kept.id"))
     out = joined.select(is_response.alias("first"), F.col("kept.url").alias("first_url"), F.col("kept.date").alias("first_date"), "id", "digest", "size", "url", "ip", "date", "head", "member")
     _save(out.mapInArrow(trimmed(to_warc), "value binary"), path)
-    drop_written(again)
+    drop_written(first)
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST) -> None:
