@@ -104,7 +104,7 @@ def test_bounds_lose_no_nearest_entry():
         index, dist = codes.Entries(entries).nearest(rows)
         every = ((rows[:, None] - entries[None]) ** 2).sum(axis=2)
         assert (index == every.argmin(axis=1)).all() and (dist == every.min(axis=1)).all()
-        for block, sums, rest in codes.Entries(entries).levels:
+        for block, sums, rest, _ in codes.Entries(entries).levels:
             own, left = codes.summary(rows, block)
             bound = ((own[:, None] - sums[None]) ** 2).sum(axis=2) / block + (left[:, None] - rest[None]) ** 2
             assert (bound <= every * (1 + 1e-9) + 1e-6).all()

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -59,13 +60,29 @@ def summary(rows: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     return sums, np.sqrt(rest / block)
 
 
+class Level(NamedTuple):
+    """Blocks of one width: their sums and residual norms for all entries, and the entries' side of the bounds as one matrix."""
+
+    block: int
+    sums: np.ndarray
+    rest: np.ndarray
+    side: np.ndarray
+
+
+#: What rounding may add to a bound, as a share of both squares.
+SLACK = 1e-12
+
+
 class Entries:
     """The entries of a codebook for one part, with what each level of the search needs of them."""
 
     def __init__(self, entries: np.ndarray) -> None:
         self.entries = entries
-        self.squares = (entries * entries).sum(axis=1).astype(np.float64)
-        self.levels = [(block, *summary(entries, block)) for block in block_widths(entries.shape[1])] if entries.shape[1] else []
+        self.squares = (entries * entries).sum(axis=1) * (1 - SLACK)
+        self.levels = []
+        for block in block_widths(entries.shape[1]) if entries.shape[1] else []:
+            sums, rest = summary(entries, block)
+            self.levels.append(Level(block, sums, rest, np.column_stack([sums, rest, np.ones(len(entries)), self.squares]).T.copy()))
 
     def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The index of the nearest entry of each row, and its squared distance."""
@@ -76,34 +93,32 @@ class Entries:
         return np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
 
     def _nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        every = np.arange(len(rows))
-        # what rounding may add to a bound
-        slack = 1e-12 * ((rows * rows).sum(axis=1)[:, None] + self.squares[None, :])
-        near, best = None, np.full(len(rows), 2**62)
-        for block, sums, rest in self.levels:
-            own, left = summary(rows, block)
+        squares = (rows * rows).sum(axis=1) * (1 - SLACK)
+        every, near, best = np.arange(len(rows)), None, np.full(len(rows), 2**62)
+        for level in self.levels:
+            own, left = summary(rows, level.block)
             if near is None or near.mean() > DENSE:
-                a, b = own.astype(np.float64), sums.astype(np.float64)
-                bound = ((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)) / block + (left[:, None] - rest[None, :]) ** 2
-                if near is not None:
-                    bound[~near] = np.inf
+                # sum((a - b)^2) / block + (r - s)^2 for all pairs; finer bounds are never below coarser ones
+                bound = np.column_stack([own * (-2 / level.block), -2 * left, squares, np.ones(len(rows))]) @ level.side
             else:
                 i, j = np.nonzero(near)
                 bound = np.full(near.shape, np.inf)
-                bound[i, j] = ((own[i] - sums[j]) ** 2).sum(axis=1) / block + (left[i] - rest[j]) ** 2
+                bound[i, j] = ((own[i] - level.sums[j]) ** 2).sum(axis=1) / level.block + (left[i] - level.rest[j]) ** 2 - SLACK * (squares[i] + self.squares[j])
             # the entry that looks nearest gives a distance that all others must stay below
-            best = np.minimum(best, self._exact(rows, self.entries[bound.argmin(axis=1)]))
-            near = bound - slack <= best[:, None]
+            best = np.minimum(best, self._exact(rows, every, bound.argmin(axis=1)))
+            near = bound <= best[:, None]
         i, j = np.nonzero(near)
-        exact = self._exact(rows[i], self.entries[j])
+        exact = self._exact(rows, i, j)
         best = np.minimum.reduceat(exact, np.searchsorted(i, every))
         at = np.flatnonzero(exact == best[i])
         _, first = np.unique(i[at], return_index=True)
         return j[at[first]], best
 
-    @staticmethod
-    def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return ((a - b) ** 2).sum(axis=1)
+    def _exact(self, rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The integer distances of pairs of a row and an entry."""
+        off = rows.take(i, axis=0)
+        off -= self.entries.take(j, axis=0)
+        return np.einsum("ij,ij->i", off, off)
 
 
 def parts_of(vectors: np.ndarray) -> np.ndarray:
