@@ -421,6 +421,16 @@ def test_recall_is_measured_or_null(spark, monkeypatch):
     assert {(r.node, r.asked, r.mult) for r in nodes.collect()} == {(3, True, 2), (4, False, 1)}
 
 
+def test_long_vectors_and_clashing_names(spark):
+    rng = np.random.default_rng(31)
+    base = rng.normal(size=20_000)
+    rows = [(k, [float(x) for x in (base if k < 4 else rng.normal(size=20_000))], 1) for k in range(8)]
+    clash = [f"{k} AS {c}" for k, c in enumerate(["id", "node", "key", "dim", "mult", "vec", "asked", "n", "root", "recall", "n_links", "component_id", "kept"])]
+    got = vectors.near_vectors(spark.createDataFrame(rows, VEC).selectExpr("*", *clash))
+    assert got.columns == ["vec_id", "n_links", "component_id", "kept", "recall"]
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == {k: (3, 0) if k < 4 else (0, k) for k in range(8)}
+
+
 def test_labels_of_any_type(spark):
     vec = [1.0, 0.5]
     for kind, a, b in (("string", "x", "y"), ("long", 2**40, 2**40 + 2**32), ("double", 0.5, 1.5), ("boolean", True, False)):

@@ -684,6 +684,16 @@ def test_warc_odd_rows(spark, monkeypatch, few):
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_long_payloads_and_clashing_names(spark):
+    long = "é <p> long payload\n" * 1_000_000
+    rows = [(1, "http://a", long), (2, "http://b", long), (3, "http://c", "short")]
+    clash = [f"{k} AS {c}" for k, c in enumerate(["id", "digest", "size", "kind", "head", "member", "kept", "n", "first", "value", "payload_bytes", "record_type"])]
+    got = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", *clash)).collect()
+    raw = long.encode()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got)[:2] == [(1, len(raw), "response", None), (2, len(raw), "revisit", 1)]
+    assert {r.payload_digest for r in got if r.page_id < 3} == {hashlib.sha256(raw).hexdigest()} and len(got) == 3
+
+
 def archive_files(path):
     return sorted(p for p in path.glob("part-*"))
 
@@ -762,6 +772,12 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
 
 
+def test_the_pipeline_over_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_null_texts_pass_through_the_pipeline(spark, tmp_path):
     rows = [(i, t, None, None, None) for i, t in ODD]
     spark.createDataFrame(rows, DOC + ", lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
