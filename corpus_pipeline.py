@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result as Parquet in the
 shared folder and reads it again as the next stage's docs. All stages but the last return the columns of docs.
+
+Defined cases: a null text passes like an empty one, and of all texts without words near-dedup leaves one; rows with one doc_id are decided on
+one by one, and of rows that are equal in all columns near-dedup leaves one; ties go to the smallest doc_id, null last; the mix takes a row up to
+twice, and then it is there twice; very long texts pass whole, in one task each; further columns of documents are kept up to the last stage,
+whatever their names; without labels all documents are accepted; an empty table gives an empty result.
 """
 
 from __future__ import annotations
