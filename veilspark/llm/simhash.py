@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, components, from_id, hot_join, to_id, trimmed, unpacked, whole_row, written
+from .common import HOT_SHARE, components, from_id, hot_join, small, to_id, trimmed, unpacked, whole_row, written
 
 SHINGLE, SEED, LIMIT = 4, 42, 4
 WIDTHS = (13, 13, 13, 13, 12)
@@ -367,9 +367,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     roots = components(links(nodes))
     chosen = nodes.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first"))
     chosen = chosen.select(F.col("first.name").alias("kept"))
-    decided = written(names.join(chosen, F.col("name") == F.col("kept"), "left").select("name", "n", F.col("kept").isNotNull().alias("stays"), (F.col("n") > 1).alias("many")), "decided")
+    stays = F.col("kept").isNotNull()
+    decided = written(names.join(chosen, F.col("name") == F.col("kept"), "left").select("name", "n", (stays & (F.col("n") == 1)).alias("stays"), (stays & (F.col("n") > 1)).alias("many")), "decided")
     total = decided.agg(F.sum("n")).first()[0] or 0
     # equal rows have one name: a place in the table tells them apart where a hot name is dealt out
     rows = docs.select(whole_row(docs).alias("row"), name.alias("name"), F.monotonically_increasing_id().alias("place"))
-    out = hot_join(rows, decided, "name", total, "n").where("stays")
-    return unpacked(out.where("NOT many").select("row").union(out.where("many").dropDuplicates(["name"]).select("row")))
+    out = hot_join(rows, decided.select("name", "n", "stays"), "name", total, "n").where("stays").select("row")
+    many = decided.where("many").select("name")
+    if many.head(1):
+        alike = rows.select("row", "name").join(small(many), "name", "left_semi")
+        out = out.union(alike.dropDuplicates(["name"]).select("row"))
+    return unpacked(out)
