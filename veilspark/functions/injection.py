@@ -29,6 +29,8 @@ PATTERNS = (
 
 _SPACE = r"(?U:[\s\x1c-\x1f])"
 _LETTER = r"[\p{L}\p{N}_]"
+#: The same for patterns whose classes are those of ASCII alone.
+_ASCII_SPACE, _ASCII_LETTER = r"[\t\n\f\r ]", "[A-Za-z0-9_]"
 
 
 def translated(pattern: str) -> str:
@@ -40,12 +42,13 @@ def translated(pattern: str) -> str:
     return "(?iu)" + body
 
 
-def translated_column(pattern: Column) -> Column:
-    """translated() of a column of patterns."""
-    edge, body = F.lit(r"\b"), F.replace(pattern, F.lit(r"\s"), F.lit(_SPACE))
+def translated_column(pattern: Column, plain: bool = False) -> Column:
+    """translated() of a column of patterns. plain: case is told apart, and \\s and \\b follow the ASCII classes, so that a word ends before ä."""
+    space, letter, flags = (_ASCII_SPACE, _ASCII_LETTER, "") if plain else (_SPACE, _LETTER, "(?iu)")
+    edge, body = F.lit(r"\b"), F.replace(pattern, F.lit(r"\s"), F.lit(space))
     begins, ends = F.startswith(body, edge), F.endswith(body, edge)
     bare = F.regexp_replace(body, r"^\\b|\\b$", "")
-    return F.concat(F.lit("(?iu)"), F.when(begins, rf"(?<!{_LETTER})").otherwise(""), bare, F.when(ends, rf"(?!{_LETTER})").otherwise(""))
+    return F.concat(F.lit(flags), F.when(begins, rf"(?<!{letter})").otherwise(""), bare, F.when(ends, rf"(?!{letter})").otherwise(""))
 
 
 #: A word that each pattern opens with: a text without any of them matches none.

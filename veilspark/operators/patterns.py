@@ -33,24 +33,25 @@ def opening(pattern: Column) -> Column:
     return F.when(F.contains(grouped, F.lit("|")), F.lit(ANY)).otherwise(F.lower(word))
 
 
-def indexed(patterns: DataFrame) -> DataFrame:
+def indexed(patterns: DataFrame, plain: bool = False) -> DataFrame:
     """pattern_id, opening, regex of patterns (pattern_id, pattern)."""
     p = F.col("pattern")
-    return patterns.select("pattern_id", opening(p).alias("opening"), injection.translated_column(p).alias("regex"))
+    return patterns.select("pattern_id", opening(p).alias("opening"), injection.translated_column(p, plain).alias("regex"))
 
 
-def words(text: Column) -> Column:
+def words(text: Column, plain: bool = False) -> Column:
     """The distinct words of a text, folded as patterns are searched, and ANY."""
-    folded = F.translate(F.lower(text), _FOLDED, _PLAIN)
+    folded = F.lower(text) if plain else F.translate(F.lower(text), _FOLDED, _PLAIN)
     return F.array_distinct(F.array_append(F.split(folded, r"[^\p{L}\p{N}_]+"), F.lit(ANY)))
 
 
-def matched(spans: DataFrame, patterns: DataFrame) -> DataFrame:
-    """doc_id, span_seq, pattern_id, phrase: the first match of each pattern in each span (doc_id, span_seq, text), in lower case."""
-    index = indexed(patterns)
+def matched(spans: DataFrame, patterns: DataFrame, plain: bool = False) -> DataFrame:
+    """doc_id, span_seq, pattern_id, phrase: the first match of each pattern in each span (doc_id, span_seq, text), in lower case. plain: patterns
+    in lower case whose classes are those of ASCII, as injection.translated_column() has it; their opening words stay whole words of any letters."""
+    index = indexed(patterns, plain)
     index = F.broadcast(index) if index.limit(FEW + 1).count() <= FEW else index
     # the text goes along: a span has few words that open a pattern, and those alone are searched
-    cut = spans.select("doc_id", "span_seq", F.lower("text").alias("_low"), F.explode(words(F.col("text"))).alias("opening"))
+    cut = spans.select("doc_id", "span_seq", F.lower("text").alias("_low"), F.explode(words(F.col("text"), plain)).alias("opening"))
     pairs = cut.join(index, "opening")
     found = pairs.select("doc_id", "span_seq", "pattern_id", F.expr("regexp_extract(_low, regex, 0)").alias("phrase"))
     return found.where("phrase <> ''")
