@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import itertools
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -49,6 +50,30 @@ SPAN_ARROW = pa.struct(
 )
 
 
+def span_array(spans: list[tuple | None]) -> pa.Array:
+    """Spans of readers as Arrow structs, column by column; None as null."""
+    kept = [s for s in spans if s is not None]
+    seq, text, page, box, size, fg, bg = zip(*kept) if kept else [()] * 7
+
+    def struct(values: tuple, kind: pa.StructType) -> pa.Array:
+        whole = [v for v in values if v is not None]
+        columns = zip(*whole) if whole else [()] * kind.num_fields
+        # null colours have no values: the places of the others are taken from a struct without nulls
+        made = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], fields=list(kind))
+        return made if len(whole) == len(values) else made.take(_ranks(values))
+
+    kinds = [f.type for f in SPAN_ARROW]
+    columns = [pa.array(seq, kinds[0]), pa.array(text, kinds[1]), pa.array(page, kinds[2]), struct(box, kinds[3]), pa.array(size, kinds[4]), struct(fg, kinds[5]), struct(bg, kinds[6])]
+    made = pa.StructArray.from_arrays(columns, fields=list(SPAN_ARROW))
+    return made if len(kept) == len(spans) else made.take(_ranks(spans))
+
+
+def _ranks(values: Sequence) -> pa.Array:
+    """The number of each value among those that aren't None."""
+    ranks = itertools.count()
+    return pa.array([None if v is None else next(ranks) for v in values], pa.int64())
+
+
 def attempt(read: Read, content: bytes) -> tuple[list[tuple], Info, str | None]:
     """What a reader makes of a file; its error in place of an exception."""
     try:
@@ -68,13 +93,13 @@ def extract(files: DataFrame, read: Read) -> DataFrame:
         held: list[tuple] = []
 
         def rows(part: list[tuple]) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(c, k) for c, (_, k) in zip(zip(*part), kinds)], names=[n for n, _ in kinds])
+            return pa.record_batch([span_array(c) if k == SPAN_ARROW else pa.array(c, k) for c, (_, k) in zip(zip(*part), kinds)], names=[n for n, _ in kinds])
 
         for batch in batches:
             for doc, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 spans, info, error = attempt(read, content.as_py() or b"")
                 for span in spans or [None]:
-                    held.append((doc, span and as_struct(span), error, *info))
+                    held.append((doc, span, error, *info))
                     if len(held) >= ROWS:
                         yield rows(held)
                         held = []

@@ -18,7 +18,7 @@ from ..operators import risk
 from ..schema import SPAN
 from ..sources import ingest
 from ..sources import files as source_files
-from ..sources.extraction import SPAN_ARROW, Info, as_struct, attempt
+from ..sources.extraction import SPAN_ARROW, Info, attempt, span_array
 
 FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
 
@@ -43,7 +43,7 @@ def span_arrays(files: DataFrame, c: Config = DEFAULT) -> DataFrame:
                 spans, info = [], Info(0)
                 if error is None:
                     spans, info, error = attempt(lambda x: source_files.read_any(x, mode), content or b"")
-                found = [pa.array([[as_struct(s) for s in spans]], pa.list_(SPAN_ARROW)), pa.array([error], pa.string()), *[pa.array([x], kind) for x, kind in zip(info, (pa.int64(), pa.float64(), pa.float64()))]]
+                found = [pa.ListArray.from_arrays(pa.array([0, len(spans)], pa.int32()), span_array(spans), pa.list_(SPAN_ARROW)), pa.array([error], pa.string()), *[pa.array([x], kind) for x, kind in zip(info, (pa.int64(), pa.float64(), pa.float64()))]]
                 yield pa.record_batch([batch.column(0).slice(k, 1), *found, *[batch.column(name).slice(k, 1) for name in kept]], names=names)
 
     routed = files.select("path", "content", ingest.route_error(F.col("path")).alias("error"), seen.alias("seen_at"), F.sha2("content", 256).alias("digest"))
