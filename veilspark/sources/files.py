@@ -56,6 +56,20 @@ def spans_of_files(files: DataFrame, c: Config = DEFAULT, tokens: DataFrame | No
     return spans, errors.join(files.select("doc_id", "path"), "doc_id").select("doc_id", "path", "error")
 
 
+def outcomes(files: DataFrame, c: Config = DEFAULT, tokens: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_spans, error: how many rows spans_of_files() has of each file, or why there are none.
+
+    Files are read once, and spans and tokens are counted where they are, so that what moves is a row a file and task."""
+    by_file = extracted(files, c).groupBy("doc_id", "error", "choice").agg(F.count("span_seq").alias("n_native"))
+    given = F.lit(None).cast("long")
+    if tokens is not None:
+        counted = tokens.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count_if(ocr.trusted()).alias("n_tokens"))
+        by_file, given = by_file.join(counted, "doc_id", "left"), F.when(F.col("choice") == "ocr", F.col("n_tokens"))
+    native = F.when(F.col("error").isNotNull() | (F.col("choice") == "native"), F.col("n_native"))
+    found = F.coalesce(native, given)
+    return by_file.select("doc_id", F.coalesce(found, F.lit(0)).alias("n_spans"), F.when(found.isNull(), NEEDS_OCR).otherwise(F.col("error")).alias("error"))
+
+
 def load(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Files under paths with a doc_id made from the path."""
     return ingest.load_files(spark, paths).withColumn("doc_id", F.xxhash64("path"))

@@ -11,10 +11,15 @@ from ..schema import BBOX, COLOR
 LEAST_CONFIDENCE, SCANNED_SHARE, NATIVE_CHARS, UNREADABLE_SHARE = 30, 0.7, 50, 0.5
 
 
+def trusted() -> Column:
+    """Whether a token is confident and shows something."""
+    return (F.col("conf") >= LEAST_CONFIDENCE) & (F.trim("text") != "")
+
+
 def tokens_to_spans(tokens: DataFrame) -> DataFrame:
     """Spans of an OCR token table: confident, non-blank tokens, pixels scaled to points; the size is unknown."""
     scale = F.lit(72.0) / F.col("dpi")
-    kept = tokens.where((F.col("conf") >= LEAST_CONFIDENCE) & (F.trim("text") != ""))
+    kept = tokens.where(trusted())
     x0, y0 = F.col("left") * scale, F.col("top") * scale
     return kept.select("doc_id", "token_seq", F.trim("text").alias("text"), (F.col("page_index") + 1).alias("page_number"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("width") * scale).alias("x1"), (y0 + F.col("height") * scale).alias("y1"), F.lit(None).cast("double").alias("font_size"))
 
