@@ -1,7 +1,9 @@
 """What reading files costs: calls by string and not by character, files read once, and the same words as one by one."""
 
+import io
 import random
 import sys
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,3 +65,21 @@ def test_outcomes_as_spans_and_errors(spark):
         spans, errors = files.spans_of_files(given, tokens=t)
         n, why = {r.doc_id: r["count"] for r in spans.groupBy("doc_id").count().collect()}, {r.doc_id: r.error for r in errors.collect()}
         assert {r.doc_id: (r.n_spans, r.error) for r in files.outcomes(given, tokens=t).collect()} == {k: (n.get(k, 0), why.get(k)) for k in range(1, 8)}
+
+
+def test_archive_that_happens_to_say_pdf():
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as out, zipfile.ZipFile(io.BytesIO(X.docx_of("one\ntwo"))) as given:
+        out.writestr("first", b"\x00%PDF\x00")
+        for name in given.namelist():
+            out.writestr(name, given.read(name))
+    assert [s[1] for s in files.read_any(made.getvalue())[0]] == ["one", "two"]
+    assert [s[1] for s in files.read_any(b"PK\x03\x04" + X.pdf_of("both kinds"))[0]] == ["both", "kinds"]
+
+
+def test_want_of_memory_is_no_error_of_a_file():
+    def read(content):
+        raise MemoryError
+
+    with pytest.raises(MemoryError):
+        extraction.attempt(read, b"")

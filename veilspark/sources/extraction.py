@@ -75,9 +75,12 @@ def _ranks(values: Sequence) -> pa.Array:
 
 
 def attempt(read: Read, content: bytes) -> tuple[list[tuple], Info, str | None]:
-    """What a reader makes of a file; its error in place of an exception."""
+    """What a reader makes of a file; its error in place of an exception. Want of memory is the machine's error and not the file's: the task fails
+    and is run again."""
     try:
         return *read(content), None
+    except MemoryError:
+        raise
     except RecursionError:
         return [], Info(0), "RecursionError: nested too deeply"
     except Exception as e:

@@ -6,6 +6,8 @@ and has the file; else the file is an error, never a document without hidden tex
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,12 @@ NEEDS_OCR = "the pages are pictures: no text can be read without OCR"
 
 def read_any(content: bytes, highlight_mode: str = "white") -> tuple[list[tuple], Info]:
     """Spans of a PDF or DOCX file, told apart by its first bytes."""
-    return pdf.read_file(content) if b"%PDF" in content[:1024] else docx.read_file(content, highlight_mode)
+    return pdf.read_file(content) if is_pdf(content[:1024]) else docx.read_file(content, highlight_mode)
+
+
+def is_pdf(head: bytes) -> bool:
+    """Whether a file that opens with these bytes is a PDF file. An archive must show a version too, as its packed bytes may happen to be %PDF."""
+    return re.search(rb"%PDF-[0-9]" if head.startswith(b"PK\x03\x04") else rb"%PDF", head) is not None
 
 
 def choice_of(c: Config = DEFAULT) -> Column:
