@@ -17,13 +17,17 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+#: Bytes and files that a reading task hands over together.
+READ_BYTES, READ_FILES = 4 << 20, 1024
+
 
 @dataclass
 class Written(WriterCommitMessage):
@@ -84,6 +88,41 @@ class TextFilesWriter(DataSourceWriter):
             files.delete_dir(self._pending(root))
 
 
+@dataclass
+class Folder(InputPartition):
+    path: str
+
+
+class TextFilesReader(DataSourceReader):
+    """Reads a writer's files again: a task a folder, which it lists itself, so that the driver sees folders and no files."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def partitions(self) -> list[Folder]:
+        files, root = place(self.path)
+        return [Folder(x.path) for x in sorted(files.get_file_info(fs.FileSelector(root)), key=lambda x: x.path) if x.type == fs.FileType.Directory and x.base_name.startswith("part-")]
+
+    def read(self, partition: Folder | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # nothing was written
+            return
+        files, _ = place(self.path)
+        names: list[str] = []
+        texts: list[str] = []
+        held = 0
+        for x in files.get_file_info(fs.FileSelector(partition.path)):
+            with files.open_input_stream(x.path) as file:
+                raw = file.read()
+            names.append(x.base_name)
+            texts.append(raw.decode())
+            held += len(raw)
+            if held >= READ_BYTES or len(names) >= READ_FILES:
+                yield pa.record_batch([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["name", "text"])
+                names, texts, held = [], [], 0
+        if names:
+            yield pa.record_batch([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["name", "text"])
+
+
 class TextFiles(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -92,6 +131,9 @@ class TextFiles(DataSource):
     def schema(self) -> str:
         return "name string, text string"
 
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return TextFilesReader(self.options["path"])
+
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         if schema.names != ["name", "text"]:
             raise ValueError("columns name and text are needed")
@@ -109,3 +151,9 @@ def write_text_files(df: DataFrame, path: str, overwrite: bool = True) -> None:
     spark = df.sparkSession
     spark.dataSource.register(TextFiles)
     df.select("name", "text").write.format("text_files").mode("overwrite" if overwrite else "append").save(path)
+
+
+def read_text_files(spark: SparkSession, path: str) -> DataFrame:
+    """name and text of the files that write_text_files() left under path."""
+    spark.dataSource.register(TextFiles)
+    return spark.read.format("text_files").load(path)
