@@ -7,6 +7,8 @@ A task writes its files to a folder of its own under `_pending-<job>`, whose nam
 folders of the attempts that succeeded, one rename a task, and leaves `_SUCCESS`; the abort removes what is pending. So a job that fails
 leaves no file, a repeated or speculative attempt is never mixed with another, and the driver sees a message a task and no text. The path may be
 any that pyarrow's file systems reach and all machines share, on a file system that renames folders.
+
+The same format reads what it wrote: a task a folder.
 """
 
 from __future__ import annotations
