@@ -86,6 +86,43 @@ def test_want_of_memory_is_no_error_of_a_file():
         extraction.attempt(read, b"")
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_calls_grow_with_strings(packed):
+    data = X.pdf_of("\n".join(" ".join(["ab"] * 200) for _ in range(80)), packed)
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        spans = pdf.read_columns(data)[0]
+    finally:
+        sys.setprofile(None)
+    assert len(spans.text) == 16000 and calls < len(spans.text) / 4
+
+
+def test_columns_as_rows():
+    hidden = X.pdf_bytes([X.pdf_page(["one two", "", "three"], before="0.5 g", after="1 0 0 rg 60 700 40 40 re f"), X.pdf_page(["fo\xa0ur"])])
+    pattern = X.pdf_bytes(["BT /Pattern cs /P1 scn 72 700 Td (no colour) Tj ET"])
+    made = [hidden, X.pdf_of("a b\nc " * 30, True), X.pdf_bytes([""]), pattern, X.pdf_of("日 \U0001f600")]
+    want = [extraction.as_struct(s) for x in made for s in pdf.read_pdf(x)]
+    assert len(want) > 70 and {s["page_number"] for s in want} == {1, 2} and any(s["font_color"] is None for s in want)
+    assert extraction.column_array([pdf.read_columns(x)[0] for x in made]).to_pylist() == want
+
+
+def test_files_of_all_kinds_in_a_batch(spark):
+    made = [X.pdf_of("a b\n\nc"), b"junk", X.docx_of("d e\n\nf"), X.pdf_of(""), X.pdf_of("g " * 9000), X.docx_of(""), X.pdf_of("h")]
+    given = spark.createDataFrame(list(enumerate(made)), "doc_id long, content binary").coalesce(1)
+    got = extraction.extract(given, files.read_columns).select("doc_id", "span_seq", "text", "page_number", "bbox", "native_chars", "error").collect()
+    want = []
+    for k, x in enumerate(made):
+        spans, info, error = extraction.attempt(files.read_any, x)
+        want += [(k, s[0], s[1], s[2], s[3], info.native_chars, error) for s in spans] or [(k, None, None, None, None, info.native_chars, error)]
+    assert [(r.doc_id, r.span_seq, r.text, r.page_number, r.bbox and tuple(r.bbox), r.native_chars, r.error) for r in got] == want
+
+
 def test_tokens_at_once_as_one_by_one(monkeypatch):
     rng = random.Random(5)
     tokens = [b"1", b"-2.5", b"--3", b"+.5", b"4.", b"1-2", b".", b"-", b"1e5", b"12 0 R", b"12 0 Rx", b"Tj", b"'", b'"', b"T*", b"true", b"null", b"obj<", b"<6162>", b"<616>", b"<61 62>", b"<>", b"<zz>", b"(a b)", b"(a\\(b)", b"(a(b))", b"()", b"/Na#41me", b"/", b"/A/B", b"<< /K 1 /L null >>", b"[1 (x) /N]", b">>", b"]", b"% 7 Tj\n", b"% (x\r", b"{", b"!x"]

@@ -6,6 +6,7 @@ import itertools
 from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,19 @@ def info_of(spans: list[tuple], page_area: float = 0.0, image_area: float = 0.0)
     return Info(len("".join(s[1] for s in spans).strip()), page_area, image_area)
 
 
-Read = Callable[[bytes], tuple[list[tuple], Info]]
+class Columns(NamedTuple):
+    """Spans of a file, numbered from 0, by columns. Colours are numbers in a palette."""
+
+    text: list[str]
+    page: np.ndarray
+    box: tuple[np.ndarray, ...]
+    size: np.ndarray
+    fg: np.ndarray
+    bg: np.ndarray
+    palette: list[tuple | None]
+
+
+Read = Callable[[bytes], tuple[list[tuple] | Columns, Info]]
 
 
 def as_struct(span: tuple) -> dict:
@@ -68,13 +81,31 @@ def span_array(spans: list[tuple | None]) -> pa.Array:
     return made if len(kept) == len(spans) else made.take(_ranks(spans))
 
 
+_KINDS = [f.type for f in SPAN_ARROW]
+_FIELDS, _BOX = list(SPAN_ARROW), list(_KINDS[3])
+
+
+def column_array(files: list[Columns]) -> pa.StructArray:
+    """Spans of files as Arrow structs, one file after the other."""
+    text, page, box, size, fg, bg, palette = zip(*files)
+    sizes = [len(t) for t in text]
+    first = list(itertools.accumulate(map(len, palette), initial=0))[:-1]
+    colors = pa.array([c and dict(zip("rgb", c)) for c in itertools.chain(*palette)], _KINDS[5])
+    color = lambda numbers: colors.take(pa.array(np.concatenate(numbers) + np.repeat(first, sizes)))
+    double = lambda parts: pa.array(np.concatenate(parts), pa.float64())
+    seq = np.arange(sum(sizes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    boxes = pa.StructArray.from_arrays([double(c) for c in zip(*box)], fields=_BOX)
+    columns = [pa.array(seq), pa.array(list(itertools.chain(*text)), pa.string()), pa.array(np.concatenate(page).astype(np.int32)), boxes, double(size), color(fg), color(bg)]
+    return pa.StructArray.from_arrays(columns, fields=_FIELDS)
+
+
 def _ranks(values: Sequence) -> pa.Array:
     """The number of each value among those that aren't None."""
     ranks = itertools.count()
     return pa.array([None if v is None else next(ranks) for v in values], pa.int64())
 
 
-def attempt(read: Read, content: bytes) -> tuple[list[tuple], Info, str | None]:
+def attempt(read: Read, content: bytes) -> tuple[list[tuple] | Columns, Info, str | None]:
     """What a reader makes of a file; its error in place of an exception. Want of memory is the machine's error and not the file's: the task fails
     and is run again."""
     try:
@@ -90,28 +121,46 @@ def attempt(read: Read, content: bytes) -> tuple[list[tuple], Info, str | None]:
 def extract(files: DataFrame, read: Read) -> DataFrame:
     """doc_id, span columns, error, native_chars, page_area and image_area of files (doc_id, content). A file without spans gives one
     row with a null span_seq, with its error if it can't be read."""
-    kinds = [("doc_id", pa.int64()), ("span", SPAN_ARROW), ("error", pa.string()), ("native_chars", pa.int64()), ("page_area", pa.float64()), ("image_area", pa.float64())]
+    about = [("error", pa.string()), ("native_chars", pa.int64()), ("page_area", pa.float64()), ("image_area", pa.float64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-
-        def rows(part: list[tuple]) -> pa.RecordBatch:
-            return pa.record_batch([span_array(c) if k == SPAN_ARROW else pa.array(c, k) for c, (_, k) in zip(zip(*part), kinds)], names=[n for n, _ in kinds])
+        n = 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            """What is held, a row a span."""
+            docs, spans, *rest = zip(*held)
+            parts, sizes = [], []
+            for whole, some in itertools.groupby(spans, lambda s: isinstance(s, Columns)):
+                if whole:
+                    some = list(some)
+                    parts.append(column_array(some))
+                    sizes += [len(s.text) for s in some]
+                else:
+                    for s in some:
+                        parts.append(span_array(s or [None]))
+                        sizes.append(len(parts[-1]))
+            file = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            found = parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
+            columns = [pa.array(docs, pa.int64()).take(file), *found.flatten(), *[pa.array(c, k).take(file) for c, (_, k) in zip(rest, about)]]
+            made = pa.record_batch(columns, names=["doc_id", *[f.name for f in SPAN_ARROW], *[name for name, _ in about]])
+            for at in range(0, made.num_rows, ROWS):
+                yield made.slice(at, ROWS)
 
         for batch in batches:
             for doc, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 spans, info, error = attempt(read, content.as_py() or b"")
-                for span in spans or [None]:
-                    held.append((doc, span, error, *info))
-                    if len(held) >= ROWS:
-                        yield rows(held)
-                        held = []
+                count = len(spans.text) if isinstance(spans, Columns) else len(spans)
+                held.append((doc, spans if count else [], error, *info))
+                n += max(1, count)
+                if n >= ROWS:
+                    yield from rows()
+                    held, n = [], 0
         if held:
-            yield rows(held)
+            yield from rows()
 
-    schema = f"doc_id long, span {SPAN}, error string, native_chars long, page_area double, image_area double"
-    out = files.select(F.col("doc_id").cast("long").alias("doc_id"), "content").mapInArrow(run, schema)
-    return out.select("doc_id", "span.*", "error", "native_chars", "page_area", "image_area")
+    schema = f"doc_id long, {SPAN[len('struct<'):-1]}, error string, native_chars long, page_area double, image_area double"
+    return files.select(F.col("doc_id").cast("long").alias("doc_id"), "content").mapInArrow(run, schema)
 
 
 def native_spans(extracted: DataFrame) -> DataFrame:

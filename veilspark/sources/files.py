@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from . import docx, ingest, ocr, pdf
-from .extraction import Info, extract
+from .extraction import Columns, Info, extract
 
 NEEDS_OCR = "the pages are pictures: no text can be read without OCR"
 
@@ -23,6 +23,11 @@ def read_any(content: bytes, highlight_mode: str = "white") -> tuple[list[tuple]
     return pdf.read_file(content) if is_pdf(content[:1024]) else docx.read_file(content, highlight_mode)
 
 
+def read_columns(content: bytes, highlight_mode: str = "white") -> tuple[list[tuple] | Columns, Info]:
+    """read_any(), with the words of a PDF file by columns."""
+    return pdf.read_columns(content) if is_pdf(content[:1024]) else docx.read_file(content, highlight_mode)
+
+
 def is_pdf(head: bytes) -> bool:
     """Whether a file that opens with these bytes is a PDF file. An archive must show a version too, as its packed bytes may happen to be %PDF."""
     return re.search(rb"%PDF-[0-9]" if head.startswith(b"PK\x03\x04") else rb"%PDF", head) is not None
@@ -38,7 +43,7 @@ def choice_of(c: Config = DEFAULT) -> Column:
 def extracted(files: DataFrame, c: Config = DEFAULT) -> DataFrame:
     """Rows as of extract() for files (doc_id, content, error), with the choice of their text; files that were rejected keep their error."""
     mode = c.highlight_mode
-    got = extract(files.where("error IS NULL"), lambda content: read_any(content, mode)).withColumn("choice", choice_of(c))
+    got = extract(files.where("error IS NULL"), lambda content: read_columns(content, mode)).withColumn("choice", choice_of(c))
     rejected = files.where("error IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "error")
     return got.unionByName(rejected, allowMissingColumns=True)
 
